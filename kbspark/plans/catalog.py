@@ -196,3 +196,7 @@ def q_rag_batch(spark, sf_dir):
                     F.when(F.col("sources").isNull(), F.lit(0)).otherwise(F.size("sources"))
                     .cast("long").alias("n_sources"),
                     F.md5("prompt").alias("prompt_md5"), F.md5("response").alias("response_md5"))
+
+
+# Register the other query groups (imported for their side effect).
+from kbspark.plans import q_store  # noqa: E402,F401

@@ -60,3 +60,24 @@ def chat_queries(spark, sf_dir) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     return (c.filter((F.col("role") == "user") & (F.col("turn") == 0))
             .select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")))
+
+
+def base_time_lit():
+    return F.to_timestamp(F.lit(BASE_TIME.strftime("%Y-%m-%d %H:%M:%S")))
+
+
+def documents_kb(spark, sf_dir, embedder) -> DataFrame:
+    """``documents`` as a knowledge base: created on one of 30 days of January 2024."""
+    d = documents_kb_text(spark, sf_dir)
+    created = F.timestamp_add("DAY", F.pmod(F.col("id"), F.lit(30)), base_time_lit())
+    return d.select("id", "doc_id", "content", embedder.embed(F.col("content")).alias("embedding"),
+                    created.alias("created_at"), created.alias("updated_at"))
+
+
+def events_kb(spark, sf_dir) -> DataFrame:
+    """``events`` as a knowledge base whose rows were created at ``ts`` (retention input)."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("evt-"), F.col("event_id")).alias("doc_id"),
+                    F.concat_ws(" ", "event_type", "props").alias("content"),
+                    F.lit(None).cast("array<float>").alias("embedding"),
+                    F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
