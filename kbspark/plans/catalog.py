@@ -201,3 +201,4 @@ def q_rag_batch(spark, sf_dir):
 # Register the other query groups (imported for their side effect).
 from kbspark.plans import q_store  # noqa: E402,F401
 from kbspark.plans import q_ingest  # noqa: E402,F401
+from kbspark.plans import q_registry  # noqa: E402,F401

@@ -42,3 +42,65 @@ def ingest_updates(updates: DataFrame, base: DataFrame | None = None, embedder=N
     base = base if base is not None else empty_kb(spark)
     ready = prepare_updates(updates, embedder, seq).filter(F.col("status") == "ready")
     return upsert_documents(base, ready.select("doc_id", "content", "embedding", "seq"), now=now)
+
+
+# ---------------------------------------------------------------------------
+# Source ingestion run
+# ---------------------------------------------------------------------------
+
+from dataclasses import dataclass  # noqa: E402
+
+from kbspark.functions.ids import content_doc_id, dense_index  # noqa: E402
+from kbspark.operators.registry import active_sources, dispatch, touch_sources  # noqa: E402
+from kbspark.schema import MAX_DOC_ID_CHARS  # noqa: E402
+
+
+@dataclass
+class SourceRun:
+    items: DataFrame        # source_id, doc_id, content, embedding, seq, status
+    rejects: DataFrame      # source_id, url, reason
+    fetched_ok: DataFrame   # source_id
+    registry: DataFrame     # registry after W4
+    kb: DataFrame           # knowledge base after W1
+
+
+def ingest_sources(registry: DataFrame, landed: DataFrame, base: DataFrame | None = None,
+                   embedder=None, now: Column | None = None) -> SourceRun:
+    """Active sources -> dispatch -> per-item doc id (X4) -> embed (M1) -> upsert
+    -> touch sources (W4).  Failures are rows with a status, never exceptions:
+    a failed fetch is a reject row; a failed embedding or insert skips its item
+    only; a source is touched when a fetch succeeded, whatever its items did."""
+    spark = registry.sparkSession
+    embedder = embedder or HashingEmbedder()
+    now = now if now is not None else F.current_timestamp()
+    base = base if base is not None else empty_kb(spark)
+    content, rejects, fetched_ok = dispatch(registry, landed, now)
+    c = content.withColumn("_tmd5", F.md5(F.col("text")))
+    c = dense_index(c, ["source_id", "url", "title", "_tmd5"], out="seq").drop("_tmd5")
+    c = (c.withColumn("doc_id", content_doc_id(F.col("source_id"), now, F.col("seq")))
+         .withColumn("embedding", embedder.embed(F.col("text"))))
+    status = (F.when(F.char_length("doc_id") > MAX_DOC_ID_CHARS, F.lit("failed_insert"))
+              .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))
+              .otherwise(F.lit("added")))
+    items = c.select("source_id", "doc_id", F.col("text").alias("content"), "embedding", "seq",
+                     status.alias("status"))
+    kb = upsert_documents(base, items.filter(F.col("status") == "added")
+                          .select("doc_id", "content", "embedding", "seq"), now=now)
+    return SourceRun(items, rejects, fetched_ok, touch_sources(registry, fetched_ok, now), kb)
+
+
+def ingest_report(run: SourceRun, registry: DataFrame) -> DataFrame:
+    """Per active source - fetched?, items, added, blank (no embedding), failures, rejects."""
+    act = active_sources(registry).select(F.col("id").alias("source_id"), "type")
+    it = run.items.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(F.col("status") == "added").alias("n_added"),
+        F.count_if(F.col("embedding").isNull()).alias("n_no_embedding"),
+        F.count_if(F.col("status") == "failed_embed").alias("n_failed_embed"),
+        F.count_if(F.col("status") == "failed_insert").alias("n_failed_insert"))
+    rj = run.rejects.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rejected"))
+    ok = run.fetched_ok.select("source_id", F.lit(True).alias("fetched"))
+    r = act.join(it, "source_id", "left").join(rj, "source_id", "left").join(ok, "source_id", "left")
+    counts = ["n_items", "n_added", "n_no_embedding", "n_failed_embed", "n_failed_insert", "n_rejected"]
+    return r.select("source_id", "type", F.coalesce("fetched", F.lit(False)).alias("fetched"),
+                    *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])

@@ -116,3 +116,63 @@ def update_feed(spark, sf_dir) -> DataFrame:
 UPDATE_CONTENT_SQL = """CASE o_orderkey % 50 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN chr(9)
   WHEN 3 THEN chr(10) WHEN 4 THEN chr(160)
   ELSE 'Order ' || CAST(o_orderkey AS VARCHAR) || ' of customer ' || CAST(o_custkey AS VARCHAR) || ' is ' || o_orderstatus END"""
+
+
+# ---------------------------------------------------------------------------
+# Source registry fixture and landed bodies per registered source
+# ---------------------------------------------------------------------------
+
+# Fixed cycle of declared source types (the reference's constants, in order).
+TYPE_CYCLE = ("api", "link", "pdf", "youtube", "rss", "text")
+UNKNOWN_TYPE_AT, UNKNOWN_TYPE = 7, "ftp"
+NULL_ACTIVE_AT = 5
+SCHEDULE = "*/15 * * * *"
+
+
+def source_requests(spark, sf_dir) -> DataFrame:
+    """One registration request per distinct ``documents.source`` (index i in name order):
+    type cycles through TYPE_CYCLE (one unknown type), active unless i % 4 = 0 (one NULL)."""
+    from kbspark.functions.ids import dense_index
+    d = TB.read(spark, sf_dir, "documents").select("source").distinct()
+    s = dense_index(d, ["source"], out="i")
+    typ = F.when(F.col("i") == UNKNOWN_TYPE_AT, F.lit(UNKNOWN_TYPE)).otherwise(
+        F.element_at(F.array(*[F.lit(t) for t in TYPE_CYCLE]), (F.col("i") % len(TYPE_CYCLE) + 1).cast("int")))
+    active = F.when(F.col("i") == NULL_ACTIVE_AT, F.lit(None).cast("boolean")).otherwise(F.col("i") % 4 != 0)
+    return s.select("i", "source", typ.alias("type"),
+                    F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/feed")).alias("url"),
+                    F.lit(SCHEDULE).alias("schedule"), active.alias("active"))
+
+
+def registry(spark, sf_dir, requests: DataFrame | None = None) -> DataFrame:
+    """The registry as registered on BASE_TIME (W3), with the request index kept as ``i``."""
+    from kbspark.functions.ids import source_id
+    from kbspark.operators.registry import register_sources
+    req = requests if requests is not None else source_requests(spark, sf_dir)
+    reg = register_sources(req, now=TB.base_time_lit(), ordinal="i")
+    return reg.join(req.select("i", source_id(F.col("type"), TB.base_time_lit(), F.col("i")).alias("id")), "id")
+
+
+def landed_for_registry(spark, sf_dir, reg: DataFrame) -> DataFrame:
+    """Landed bodies of every table, spread over the sources of the matching natural type:
+    a row with key k goes to source i = (k mod n_t) * 6 + t."""
+    from kbspark.operators.registry import maybe_broadcast
+    n_types = len(TYPE_CYCLE)
+    counts = {r["t"]: r["n"] for r in reg.groupBy((F.col("i") % n_types).alias("t"))
+              .agg(F.count(F.lit(1)).alias("n")).collect()}          # <= 6 rows
+    idx = maybe_broadcast(reg.select("i", F.col("id").alias("source_id")))
+    cols = ["source_id", "url", "body", "fetched_at", "page_no"]
+
+    def assign(bodies: DataFrame, t: int) -> DataFrame:
+        n = counts.get(t, 0)
+        if "page_no" not in bodies.columns:
+            bodies = bodies.withColumn("page_no", F.lit(None).cast("long"))
+        b = bodies.drop("source_id").withColumn("i", F.pmod(F.col("key"), F.lit(max(n, 1))) * n_types + t)
+        return b.join(idx, "i").select(*cols)
+
+    parts = [assign(api_bodies(spark, sf_dir), 0), assign(page_bodies(spark, sf_dir), 1),
+             assign(pdf_pages(spark, sf_dir), 2), assign(video_bodies(spark, sf_dir), 3),
+             assign(feed_bodies(spark, sf_dir), 4), assign(text_bodies(spark, sf_dir), 5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

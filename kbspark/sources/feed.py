@@ -43,7 +43,7 @@ def parse_feeds(landed: DataFrame, now: Column | None = None) -> tuple[DataFrame
     is_atom = F.col("_x.entry").isNotNull() | F.col("_x.title").isNotNull()
     ok = x.filter(is_rss | is_atom)
     rejects = x.filter(~(is_rss | is_atom) | F.col("_x").isNull()).select(
-        "source_id", F.lit("not an RSS or Atom feed").alias("reason"))
+        "source_id", "url", F.lit("not an RSS or Atom feed").alias("reason"))
     rss = ok.filter(is_rss).select("source_id", F.col("_x.channel.title").alias("feed_title"),
                                    F.explode(F.col("_x.channel.item")).alias("it"))
     rss = rss.select("source_id", go_string(F.col("it.title")).alias("title"),

@@ -25,11 +25,14 @@ def _ordered_concat(key_col: str, text_col: str) -> Column:
                     lambda s: s[text_col]), "")
 
 
-def stitch_pages(pages: DataFrame, now: Column | None = None, block_pages: int = BLOCK_PAGES) -> DataFrame:
+def stitch_pages(pages: DataFrame, now: Column | None = None, block_pages: int = BLOCK_PAGES,
+                 keys: list[str] | None = None) -> DataFrame:
+    """``(path, page_no, text)`` (+ ``keys``) -> Content rows (+ ``keys``), one per path."""
     now = now if now is not None else F.current_timestamp()
+    keys = list(keys or [])
     blocks = (pages.withColumn("_blk", F.floor(F.col("page_no") / F.lit(block_pages)))
-              .groupBy("path", "_blk").agg(_ordered_concat("page_no", "text").alias("_t")))
-    docs = blocks.groupBy("path").agg(_ordered_concat("_blk", "_t").alias("text"))
+              .groupBy(*keys, "path", "_blk").agg(_ordered_concat("page_no", "text").alias("_t")))
+    docs = blocks.groupBy(*keys, "path").agg(_ordered_concat("_blk", "_t").alias("text"))
     path = F.coalesce(F.col("path"), F.lit(""))
-    return docs.select(path.alias("title"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    return docs.select(*keys, path.alias("title"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
                        path.alias("source"), path.alias("url"), now.alias("published_at"))

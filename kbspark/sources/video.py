@@ -25,7 +25,8 @@ def parse_videos(landed: DataFrame, now: Column | None = None) -> tuple[DataFram
     x = landed.withColumn("_first", F.try_element_at(
         F.from_json(F.col("body"), VIDEO_SCHEMA)["items"], F.lit(1)))
     ok = x.filter(F.col("_first").isNotNull())
-    rejects = x.filter(F.col("_first").isNull()).select("source_id", F.lit("video not found").alias("reason"))
+    rejects = x.filter(F.col("_first").isNull()).select("source_id", "url",
+                                                          F.lit("video not found").alias("reason"))
     content = ok.select(
         "source_id",
         go_string(F.col("_first.snippet.title")).alias("title"),
