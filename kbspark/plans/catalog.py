@@ -202,3 +202,4 @@ def q_rag_batch(spark, sf_dir):
 from kbspark.plans import q_store  # noqa: E402,F401
 from kbspark.plans import q_ingest  # noqa: E402,F401
 from kbspark.plans import q_registry  # noqa: E402,F401
+from kbspark.plans import q_stream  # noqa: E402,F401

@@ -28,8 +28,8 @@ def api_bodies(spark, sf_dir) -> DataFrame:
                     F.concat(F.lit("api-"), F.col("user_id").cast("string")).alias("source_id"))
 
 
-def page_bodies(spark, sf_dir) -> DataFrame:
-    p = TB.read(spark, sf_dir, "pages")
+def page_bodies(spark, sf_dir, pages: DataFrame | None = None) -> DataFrame:
+    p = pages if pages is not None else TB.read(spark, sf_dir, "pages")
     host = F.regexp_extract(F.col("url"), "^[a-z]+://([^/:?#]+)", 1)
     return p.select("url", F.col("html").alias("body"), TB.now_lit().alias("fetched_at"),
                     F.col("page_id").alias("key"), F.concat(F.lit("link-"), host).alias("source_id"))
@@ -99,11 +99,11 @@ def text_bodies(spark, sf_dir) -> DataFrame:
                     F.col("doc_id").alias("key"), F.lit("text-local").alias("source_id"))
 
 
-def update_feed(spark, sf_dir) -> DataFrame:
+def update_feed(spark, sf_dir, orders: DataFrame | None = None) -> DataFrame:
     """Scheduled updates from ``orders``: source = priority, updated_at = order date,
     sequence = order key; keys 0..4 mod 50 carry blank content (empty, spaces, tab,
     newline, NBSP)."""
-    o = TB.read(spark, sf_dir, "orders")
+    o = orders if orders is not None else TB.read(spark, sf_dir, "orders")
     k = F.col("o_orderkey") % 50
     text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of customer "),
                     F.col("o_custkey").cast("string"), F.lit(" is "), F.col("o_orderstatus"))
@@ -152,9 +152,8 @@ def registry(spark, sf_dir, requests: DataFrame | None = None) -> DataFrame:
     return reg.join(req.select("i", source_id(F.col("type"), TB.base_time_lit(), F.col("i")).alias("id")), "id")
 
 
-def landed_for_registry(spark, sf_dir, reg: DataFrame) -> DataFrame:
-    """Landed bodies of every table, spread over the sources of the matching natural type:
-    a row with key k goes to source i = (k mod n_t) * 6 + t."""
+def body_assigner(reg: DataFrame):
+    """``assign(bodies, t)``: landed bodies of natural type index t, attached to their source."""
     from kbspark.operators.registry import maybe_broadcast
     n_types = len(TYPE_CYCLE)
     counts = {r["t"]: r["n"] for r in reg.groupBy((F.col("i") % n_types).alias("t"))
@@ -168,7 +167,13 @@ def landed_for_registry(spark, sf_dir, reg: DataFrame) -> DataFrame:
             bodies = bodies.withColumn("page_no", F.lit(None).cast("long"))
         b = bodies.drop("source_id").withColumn("i", F.pmod(F.col("key"), F.lit(max(n, 1))) * n_types + t)
         return b.join(idx, "i").select(*cols)
+    return assign
+
 
+def landed_for_registry(spark, sf_dir, reg: DataFrame) -> DataFrame:
+    """Landed bodies of every table, spread over the sources of the matching natural type:
+    a row with key k goes to source i = (k mod n_t) * 6 + t."""
+    assign = body_assigner(reg)
     parts = [assign(api_bodies(spark, sf_dir), 0), assign(page_bodies(spark, sf_dir), 1),
              assign(pdf_pages(spark, sf_dir), 2), assign(video_bodies(spark, sf_dir), 3),
              assign(feed_bodies(spark, sf_dir), 4), assign(text_bodies(spark, sf_dir), 5)]
