@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.vectors import l2_normalize
 from kbspark.operators.retrieve import DEFAULT_MAX_BROADCAST_BYTES, top_k_batch
+from kbspark.session import ensure_checkpoint_dir
 
 # Fixed default of the reference's index (ivfflat, lists = 100).
 DEFAULT_LISTS = 100
@@ -66,11 +67,16 @@ def build_ivf(kb: DataFrame, n_lists: int = DEFAULT_LISTS, seed: int = 42, max_i
         .withColumn("_features", array_to_vector("_unit"))
     km = KMeans(k=n_lists, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
                 featuresCol="_features", predictionCol="cell")
+    ensure_checkpoint_dir(kb.sparkSession)
+    data = data.persist()           # Lloyd iterations re-read the training set
     model = km.fit(data)
     cent = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     norms = np.linalg.norm(cent, axis=1)
     cent[norms > 0] /= norms[norms > 0, None]
     assigned = model.transform(data).drop("_unit", "_features").withColumn("cell", F.col("cell").cast("int"))
+    # The built index is materialised once (reliable checkpoint), then the cache is released.
+    assigned = assigned.checkpoint(eager=True)
+    data.unpersist()
     return IVFIndex(cent, assigned)
 
 

@@ -74,7 +74,8 @@ class HashingEmbedder:
         def _unit(b: pa.Array) -> pa.Array:
             return _counts_to_unit(b, d)
 
-        self._unit = _unit
+        # Nondeterministic only for the optimizer: never duplicate or move the Python evaluation.
+        self._unit = _unit.asNondeterministic()
 
     def embed(self, text) -> Column:
         return self._unit(token_buckets(text, self.dim))
@@ -108,7 +109,7 @@ class BatchModelEmbedder:
                 out = [_safe_one(t) if t is not None else None for t in vals]
             return pd.Series(out)
 
-        self._embed = _embed
+        self._embed = _embed.asNondeterministic()
 
     def embed(self, text) -> Column:
         text = F.col(text) if isinstance(text, str) else text
@@ -118,5 +119,6 @@ class BatchModelEmbedder:
 def embed_documents(df: DataFrame, text_col: str = "content", embedder=None,
                     out_col: str = "embedding") -> DataFrame:
     """Add ``out_col`` (array<float>, NULL on failure) embedding ``text_col``."""
+    from kbspark.functions.parallel import spread
     embedder = embedder or HashingEmbedder()
-    return df.withColumn(out_col, embedder.embed(F.col(text_col)))
+    return spread(df).withColumn(out_col, embedder.embed(F.col(text_col)))

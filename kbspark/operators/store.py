@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.ids import dense_index
 from kbspark.schema import KB_COLUMNS, MAX_DOC_ID_CHARS
+from kbspark.session import ensure_checkpoint_dir
 
 
 def dedupe_last(batch: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
@@ -49,7 +50,10 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
     shuffled); a larger batch takes a full-outer sort-merge join on ``doc_id``.
     """
     now = now if now is not None else F.current_timestamp()
-    latest = dedupe_last(batch, "doc_id", seq, ["content", "embedding"])
+    # Materialise the de-duplicated batch once (embeddings included): it feeds the size
+    # check, the merge and the new-key ids.  A reliable checkpoint survives executor loss.
+    ensure_checkpoint_dir(batch.sparkSession)
+    latest = dedupe_last(batch, "doc_id", seq, ["content", "embedding"]).checkpoint(eager=True)
     o = base.select(*KB_COLUMNS).alias("o")
     small = _batch_bytes(latest) <= max_broadcast_bytes
     n = (F.broadcast(latest) if small else latest).alias("n")

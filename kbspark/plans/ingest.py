@@ -83,7 +83,7 @@ def ingest_sources(registry: DataFrame, landed: DataFrame, base: DataFrame | Non
               .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))
               .otherwise(F.lit("added")))
     items = c.select("source_id", "doc_id", F.col("text").alias("content"), "embedding", "seq",
-                     status.alias("status"))
+                     status.alias("status")).checkpoint(eager=True)   # embedded once, reused below
     kb = upsert_documents(base, items.filter(F.col("status") == "added")
                           .select("doc_id", "content", "embedding", "seq"), now=now)
     return SourceRun(items, rejects, fetched_ok, touch_sources(registry, fetched_ok, now), kb)

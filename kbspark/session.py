@@ -41,9 +41,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     # Session-level settings apply even when getOrCreate returned an existing session.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kbspark`` importable in Python workers (UDFs pickle by module reference):
+    zip the package once per SparkContext and ``addPyFile`` it, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kbspark_shipped", False):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="kbspark-pkg-"), "kbspark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._kbspark_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kbspark.functions.parallel import spread
 from kbspark.functions.text import go_string
 
 API_TITLE_PREFIX = "API Data from "
@@ -93,15 +94,19 @@ _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error
 
 
 @F.pandas_udf(_OUT)
-def go_map_text(body: pd.Series) -> pd.DataFrame:
+def _go_map_text(body: pd.Series) -> pd.DataFrame:
     rows = [render_body(b) for b in body.where(body.notna(), None)]
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
+# Nondeterministic only for the optimizer (see web.html_extract).
+go_map_text = _go_map_text.asNondeterministic()
+
+
 def parse_api(landed: DataFrame, now: Column | None = None) -> DataFrame:
     """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error`` (NULL when ok)."""
     now = now if now is not None else F.current_timestamp()
-    x = landed.withColumn("_r", go_map_text(F.col("body")))
+    x = spread(landed).withColumn("_r", go_map_text(F.col("body")))
     url = go_string(F.col("url"))
     return x.select(
         "source_id",

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kbspark.functions.parallel import spread
 from kbspark.functions.text import go_string
 
 # HTML void elements (no end tag, no content).
@@ -105,15 +106,20 @@ _OUT = T.StructType([T.StructField("title", T.StringType()), T.StructField("text
 
 
 @F.pandas_udf(_OUT)
-def html_extract(html: pd.Series) -> pd.DataFrame:
+def _html_extract(html: pd.Series) -> pd.DataFrame:
     rows = [extract_page(h) for h in html.where(html.notna(), None)]
     return pd.DataFrame(rows, columns=["title", "text", "error"])
 
 
+# Nondeterministic only for the optimizer: a filter on the result must not be
+# pushed below a repartition (which would re-run the parser in fewer tasks).
+html_extract = _html_extract.asNondeterministic()
+
+
 def parse_pages(landed: DataFrame, now: Column | None = None) -> DataFrame:
     """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error``."""
     now = now if now is not None else F.current_timestamp()
-    x = landed.withColumn("_p", html_extract(F.col("body")))
+    x = spread(landed).withColumn("_p", html_extract(F.col("body")))
     return x.select(
         "source_id",
         go_string(F.col("_p.title")).alias("title"),
