@@ -61,7 +61,7 @@ def touch_sources(registry: DataFrame, fetched_ids: DataFrame, now: Column | Non
                       if c == "last_updated" else F.col(c) for c in SOURCE_COLUMNS])
 
 
-def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None):
+def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None, scratch: str | None = None):
     """Route landed bodies of active sources to the processor of their type.
 
     Returns ``(content, rejects, fetched_ok)``:
@@ -69,15 +69,33 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None):
     * rejects: ``(source_id, url, reason)`` - one per failed fetch, and one per
       active source whose type has no processor (including ``text``);
     * fetched_ok: ids of sources with at least one successful fetch (for W4).
+
+    Plan: the bodies of active sources are routed once - landed as parquet
+    partitioned by ``type`` in the shared scratch folder - so each processor
+    reads only its own partition (partition pruning), never the whole landing.
+    Every processor runs once into one outcome table (items and failures
+    together), which is checkpointed; the three results are filters of it.
     """
+    from kbspark.session import scratch_dir
+    spark = registry.sparkSession
     now = now if now is not None else F.current_timestamp()
-    act = active_sources(registry).select(F.col("id").alias("source_id"), "type", F.col("url").alias("_src_url"))
-    routed = landed.join(maybe_broadcast(act.select("source_id", "type")), "source_id")
-    by = {t: routed.filter(F.col("type") == t).drop("type") for t in DISPATCHABLE_TYPES}
+    act = active_sources(registry).select(F.col("id").alias("source_id"), "type")
+    routed = landed.join(maybe_broadcast(act), "source_id").filter(F.col("type").isin(*DISPATCHABLE_TYPES))
+    path = scratch or scratch_dir(spark, "dispatch")
+    routed.write.mode("errorifexists").partitionBy("type").parquet(path)
+    stored = spark.read.parquet(path)
+    by = {t: stored.filter(F.col("type") == t).drop("type") for t in DISPATCHABLE_TYPES}
 
-    unknown = act.filter(~F.col("type").isin(*DISPATCHABLE_TYPES)).select(
-        "source_id", F.lit(None).cast("string").alias("url"),
-        F.concat(F.lit("unknown source type: "), F.col("type")).alias("reason"))
+    cols = ["source_id"] + CONTENT_COLUMNS
+    nul = F.lit(None).cast("string")
+
+    def items(df):
+        return df.select(*cols, F.lit("item").alias("kind"), nul.alias("reason"))
+
+    def fails(df, reason):
+        return df.select("source_id", *[nul.alias(c) for c in ("title", "text", "source")],
+                         F.col("url"), F.lit(None).cast("timestamp").alias("published_at"),
+                         F.lit("reject").alias("kind"), reason.alias("reason"))
 
     api = parse_api(by["api"], now)
     web = parse_pages(by["link"], now)
@@ -85,20 +103,26 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None):
                                         F.col("body").alias("text")), now, keys=["source_id"])
     vid_c, vid_r = parse_videos(by["youtube"], now)
     rss_c, rss_r = parse_feeds(by["rss"], now)
+    # Bodies that produced nothing but did not fail (e.g. a feed without items) still count as fetched.
+    fetched = stored.select("source_id", "url").distinct().select(
+        "source_id", *[nul.alias(c) for c in ("title", "text", "source")], "url",
+        F.lit(None).cast("timestamp").alias("published_at"), F.lit("fetch").alias("kind"), nul.alias("reason"))
+
+    outcome = (api.select(*cols, F.when(F.col("error").isNull(), "item").otherwise("reject").alias("kind"),
+                          F.col("error").alias("reason"))
+               .unionByName(web.select(*cols, F.when(F.col("error").isNull(), "item").otherwise("reject")
+                                       .alias("kind"), F.col("error").alias("reason")))
+               .unionByName(items(pdf)).unionByName(items(vid_c)).unionByName(items(rss_c))
+               .unionByName(fails(vid_r, F.col("reason"))).unionByName(fails(rss_r, F.col("reason")))
+               .unionByName(fetched))
+    outcome = outcome.checkpoint(eager=True)
 
-    cols = ["source_id"] + CONTENT_COLUMNS
-    content = (api.filter(F.col("error").isNull()).select(*cols)
-               .unionByName(web.filter(F.col("error").isNull()).select(*cols))
-               .unionByName(pdf.select(*cols)).unionByName(vid_c.select(*cols)).unionByName(rss_c.select(*cols)))
-
-    body_rejects = (api.filter(F.col("error").isNotNull()).select("source_id", "url", F.col("error").alias("reason"))
-                    .unionByName(web.filter(F.col("error").isNotNull())
-                                 .select("source_id", "url", F.col("error").alias("reason")))
-                    .unionByName(vid_r.select("source_id", "url", "reason"))
-                    .unionByName(rss_r.select("source_id", "url", "reason")))
+    unknown = act.filter(~F.col("type").isin(*DISPATCHABLE_TYPES)).select(
+        "source_id", nul.alias("url"), F.concat(F.lit("unknown source type: "), F.col("type")).alias("reason"))
+    content = outcome.filter(F.col("kind") == "item").select(*cols)
+    body_rejects = outcome.filter(F.col("kind") == "reject").select("source_id", "url", "reason")
     rejects = body_rejects.unionByName(unknown)
-
-    dispatchable = routed.filter(F.col("type").isin(*DISPATCHABLE_TYPES)).select("source_id", "url")
-    fetched_ok = (dispatchable.join(body_rejects.select("source_id", "url"), ["source_id", "url"], "left_anti")
+    fetched_ok = (outcome.filter(F.col("kind") == "fetch").select("source_id", "url")
+                  .join(body_rejects.select("source_id", "url"), ["source_id", "url"], "left_anti")
                   .select("source_id").distinct())
     return content, rejects, fetched_ok
