@@ -41,6 +41,12 @@ def fmt_ts(c) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def n_dims(c) -> F.Column:
+    """Vector length, NULL for a NULL vector under any ``sizeOfNull`` setting."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.size(c)).cast("long")
+
+
 def _embedder():
     return HashingEmbedder(DIM)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.plans import landing as L
 from kbspark.plans import tables as TB
+from kbspark.plans.catalog import n_dims
 from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register  # noqa: F401
 from kbspark.plans.ingest import ingest_report, ingest_sources
 from kbspark.operators.registry import active_sources
@@ -156,7 +157,7 @@ def q_ingest_pipeline(spark, sf_dir):
     items = run.items.select("doc_id", "source_id")
     return kb.join(items, "doc_id").select(
         "doc_id", "source_id", F.md5("content").alias("content_md5"),
-        F.size("embedding").cast("long").alias("n_dims"), fmt_ts("created_at").alias("created_at"))
+        n_dims("embedding").alias("n_dims"), fmt_ts("created_at").alias("created_at"))
 
 
 @register("ingest_report", f"""

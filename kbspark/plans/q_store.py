@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import store as ST
 from kbspark.plans import tables as TB
+from kbspark.plans.catalog import n_dims
 from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register
 from kbspark.session import scratch_dir
 from kbspark.sources.snapshot import SnapshotStore
@@ -31,7 +32,7 @@ def q_kb_scan(spark, sf_dir):
     store.commit(TB.documents_kb(spark, sf_dir, _embedder()))
     kb = store.read()
     return kb.select("id", "doc_id", F.md5("content").alias("content_md5"),
-                     F.size("embedding").cast("long").alias("n_dims"),
+                     n_dims("embedding").alias("n_dims"),
                      fmt_ts("created_at").alias("created_at"), fmt_ts("updated_at").alias("updated_at"))
 
 
@@ -99,7 +100,7 @@ def q_upsert_documents(spark, sf_dir):
     base, batch = _upsert_inputs(spark, sf_dir)
     r = ST.upsert_documents(base, batch, now=TB.now_lit())
     return r.select("doc_id", F.md5("content").alias("content_md5"), fmt_ts("created_at").alias("created_at"),
-                    fmt_ts("updated_at").alias("updated_at"), F.size("embedding").cast("long").alias("n_dims"))
+                    fmt_ts("updated_at").alias("updated_at"), n_dims("embedding").alias("n_dims"))
 
 
 @register("vector_upsert", """
@@ -114,7 +115,7 @@ def q_vector_upsert(spark, sf_dir):
     base = e.filter(F.col("vec_id") % 2 == 0).select("vec_id", "embedding")
     batch = e.filter(F.col("vec_id") % 3 == 0).select("vec_id", F.reverse("embedding").alias("embedding"))
     r = ST.vector_upsert(base, batch)
-    return r.select("vec_id", F.size("embedding").cast("long").alias("n_dims"),
+    return r.select("vec_id", n_dims("embedding").alias("n_dims"),
                     F.element_at("embedding", 1).cast("double").alias("first_value"))
 
 

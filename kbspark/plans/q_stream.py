@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.operators.ann import ann_topk, build_ivf
 from kbspark.plans import landing as L
 from kbspark.plans import tables as TB
+from kbspark.plans.catalog import n_dims
 from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register
 from kbspark.plans.q_ingest import _UPD, NOW_TXT
 from kbspark.plans.q_registry import _DISPATCH, _TOKENS
@@ -65,7 +66,7 @@ def q_stream_sources(spark, sf_dir):
                    embedder=_embedder(), now=TB.now_lit(), to_landed=to_landed)
     kb = store.read()
     return kb.select("doc_id", F.md5("content").alias("content_md5"),
-                     F.size("embedding").cast("long").alias("n_dims"))
+                     n_dims("embedding").alias("n_dims"))
 
 
 ANN_LISTS, ANN_PROBE, ANN_K = 10, 3, 10
