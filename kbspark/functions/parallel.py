@@ -18,6 +18,8 @@ def target_partitions(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    if df.isStreaming:
+        return df
     n = target_partitions(df)
     if df.rdd.getNumPartitions() >= n // 2:
         return df

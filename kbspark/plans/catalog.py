@@ -137,7 +137,7 @@ FROM {O.embed_sparse("documents", "doc_id", "text", DIM)}
 """)
 def q_embed_documents(spark, sf_dir):
     """M1: default embedder over all documents; non-zero buckets exploded."""
-    d = TB.read(spark, sf_dir, "documents")
+    d = TB.read_spread(spark, sf_dir, "documents")
     e = d.select("doc_id", _embedder().embed(F.col("text")).alias("embedding"))
     x = e.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
     return x.filter(F.col("value") != 0).select(

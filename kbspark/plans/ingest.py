@@ -26,8 +26,9 @@ def prepare_updates(updates: DataFrame, embedder=None, seq: str = "seq") -> Data
 
     status: ``skipped_blank``, ``failed_embed`` or ``ready``.
     """
+    from kbspark.functions.parallel import spread
     embedder = embedder or HashingEmbedder()
-    u = updates.withColumn("_blank", ~has_text(F.col("content")))
+    u = spread(updates).withColumn("_blank", ~has_text(F.col("content")))
     u = u.withColumn("embedding", F.when(~F.col("_blank"), embedder.embed(F.col("content"))))
     status = (F.when(F.col("_blank"), F.lit("skipped_blank"))
               .when(F.col("embedding").isNull(), F.lit("failed_embed")).otherwise(F.lit("ready")))

@@ -67,7 +67,7 @@ def video_bodies(spark, sf_dir) -> DataFrame:
 
 def feed_items(spark, sf_dir) -> DataFrame:
     """One RSS item per document (the SQL twin reads ``documents`` directly)."""
-    d = TB.read(spark, sf_dir, "documents")
+    d = TB.read_spread(spark, sf_dir, "documents")
     pub = F.timestamp_add("MINUTE", F.col("doc_id"), TB.base_time_lit())
     link = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/doc/"), F.col("doc_id").cast("string"))
     desc = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(

@@ -62,7 +62,7 @@ def q_get_documents(spark, sf_dir):
 
 
 def _upsert_inputs(spark, sf_dir):
-    d = TB.read(spark, sf_dir, "documents")
+    d = TB.read_spread(spark, sf_dir, "documents")
     base_t = TB.base_time_lit()
     emb = _embedder()
     base = d.filter(F.col("doc_id") % 2 == 0).select(

@@ -40,7 +40,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for f in df.schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
-    return spread(df, TABLE_KEYS.get(name))
+    return df
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``read`` for inputs of CPU-heavy per-row stages (embedding, parsing): spread over
+    the cores when the scan is too coarse (a no-op on large, many-split inputs)."""
+    return spread(read(spark, sf_dir, name), TABLE_KEYS.get(name))
 
 
 def vector_index(spark, sf_dir) -> DataFrame:
@@ -59,7 +65,7 @@ def vector_queries(spark, sf_dir) -> DataFrame:
 
 def documents_kb_text(spark, sf_dir) -> DataFrame:
     """``documents`` as knowledge-base rows before embedding."""
-    d = read(spark, sf_dir, "documents")
+    d = read_spread(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"),
                     F.col("text").alias("content"))
 

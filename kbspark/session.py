@@ -51,6 +51,11 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_kbspark_shipped", False):
         return
+    # On a cluster that installs the package on executors (or passes it with --py-files),
+    # set spark.kbspark.shipPackage=false.
+    if sc.getConf().get("spark.kbspark.shipPackage", "true").lower() == "false":
+        sc._kbspark_shipped = True
+        return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="kbspark-pkg-"), "kbspark.zip")
