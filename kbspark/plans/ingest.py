@@ -49,20 +49,45 @@ def ingest_updates(updates: DataFrame, base: DataFrame | None = None, embedder=N
 # Source ingestion run
 # ---------------------------------------------------------------------------
 
-from dataclasses import dataclass  # noqa: E402
-
 from kbspark.functions.ids import content_doc_id, dense_index  # noqa: E402
 from kbspark.operators.registry import active_sources, dispatch, touch_sources  # noqa: E402
 from kbspark.schema import MAX_DOC_ID_CHARS  # noqa: E402
 
 
-@dataclass
 class SourceRun:
-    items: DataFrame        # source_id, doc_id, content, embedding, seq, status
-    rejects: DataFrame      # source_id, url, reason
-    fetched_ok: DataFrame   # source_id
-    registry: DataFrame     # registry after W4
-    kb: DataFrame           # knowledge base after W1
+    """Results of one source-ingestion run.  Dispatch runs up front; the embedded
+    items and the upserted knowledge base are built on first use, so callers that
+    need only the touched registry or the rejects do not pay for embedding."""
+
+    def __init__(self, registry, content, rejects, fetched_ok, base, embedder, now):
+        self.rejects, self.fetched_ok = rejects, fetched_ok
+        self._content, self._base, self._embedder, self._now = content, base, embedder, now
+        self._items = self._kb = None
+        self.registry = touch_sources(registry, fetched_ok, now)
+
+    @property
+    def items(self) -> DataFrame:
+        """source_id, doc_id, content, embedding, seq, status (materialised once)."""
+        if self._items is None:
+            now = self._now
+            c = self._content.withColumn("_tmd5", F.md5(F.col("text")))
+            c = dense_index(c, ["source_id", "url", "title", "_tmd5"], out="seq").drop("_tmd5")
+            c = (c.withColumn("doc_id", content_doc_id(F.col("source_id"), now, F.col("seq")))
+                 .withColumn("embedding", self._embedder.embed(F.col("text"))))
+            status = (F.when(F.char_length("doc_id") > MAX_DOC_ID_CHARS, F.lit("failed_insert"))
+                      .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))
+                      .otherwise(F.lit("added")))
+            self._items = c.select("source_id", "doc_id", F.col("text").alias("content"), "embedding", "seq",
+                                   status.alias("status")).checkpoint(eager=True)
+        return self._items
+
+    @property
+    def kb(self) -> DataFrame:
+        """The knowledge base after W1 (items with status ``added`` upserted into the base)."""
+        if self._kb is None:
+            added = self.items.filter(F.col("status") == "added").select("doc_id", "content", "embedding", "seq")
+            self._kb = upsert_documents(self._base, added, now=self._now)
+        return self._kb
 
 
 def ingest_sources(registry: DataFrame, landed: DataFrame, base: DataFrame | None = None,
@@ -76,18 +101,7 @@ def ingest_sources(registry: DataFrame, landed: DataFrame, base: DataFrame | Non
     now = now if now is not None else F.current_timestamp()
     base = base if base is not None else empty_kb(spark)
     content, rejects, fetched_ok = dispatch(registry, landed, now)
-    c = content.withColumn("_tmd5", F.md5(F.col("text")))
-    c = dense_index(c, ["source_id", "url", "title", "_tmd5"], out="seq").drop("_tmd5")
-    c = (c.withColumn("doc_id", content_doc_id(F.col("source_id"), now, F.col("seq")))
-         .withColumn("embedding", embedder.embed(F.col("text"))))
-    status = (F.when(F.char_length("doc_id") > MAX_DOC_ID_CHARS, F.lit("failed_insert"))
-              .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))
-              .otherwise(F.lit("added")))
-    items = c.select("source_id", "doc_id", F.col("text").alias("content"), "embedding", "seq",
-                     status.alias("status")).checkpoint(eager=True)   # embedded once, reused below
-    kb = upsert_documents(base, items.filter(F.col("status") == "added")
-                          .select("doc_id", "content", "embedding", "seq"), now=now)
-    return SourceRun(items, rejects, fetched_ok, touch_sources(registry, fetched_ok, now), kb)
+    return SourceRun(registry, content, rejects, fetched_ok, base, embedder, now)
 
 
 def ingest_report(run: SourceRun, registry: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ WITH {_DISPATCH},
 items AS (SELECT *, row_number() OVER (ORDER BY source_id, url, title, md5(text)) - 1 AS seq FROM content)
 SELECT source_id || '-' || CAST(epoch_us(TIMESTAMP {NOW_TXT}) * 1000 + seq AS VARCHAR) AS doc_id,
        source_id, md5(text) AS content_md5,
-       CASE WHEN regexp_matches(text, '{_TOKENS}') THEN {DIM} END AS n_dims,
+       CAST(CASE WHEN regexp_matches(text, '{_TOKENS}') THEN {DIM} END AS BIGINT) AS n_dims,
        {NOW_TXT} AS created_at
 FROM items
 """)

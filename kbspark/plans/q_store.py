@@ -14,7 +14,7 @@ from kbspark.sources.snapshot import SnapshotStore
 # SQL twin of ``documents_kb``: created on day (doc_id mod 30) of January 2024.
 _DOCS_KB = f"""
   SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS doc_id, text AS content,
-         CASE WHEN regexp_matches(text, '[^\\t\\n\\x0B\\f\\r ]') THEN {DIM} END AS n_dims,
+         CAST(CASE WHEN regexp_matches(text, '[^\\t\\n\\x0B\\f\\r ]') THEN {DIM} END AS BIGINT) AS n_dims,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS created_at
   FROM documents"""
 

@@ -49,7 +49,7 @@ def q_stream_updates(spark, sf_dir):
 WITH {_DISPATCH},
 items AS (SELECT *, row_number() OVER (ORDER BY source_id, url, title, md5(text)) - 1 AS seq FROM c_link)
 SELECT source_id || '-' || CAST(epoch_us(TIMESTAMP {NOW_TXT}) * 1000 + seq AS VARCHAR) AS doc_id,
-       md5(text) AS content_md5, CASE WHEN regexp_matches(text, '{_TOKENS}') THEN {DIM} END AS n_dims
+       md5(text) AS content_md5, CAST(CASE WHEN regexp_matches(text, '{_TOKENS}') THEN {DIM} END AS BIGINT) AS n_dims
 FROM items
 """)
 def q_stream_sources(spark, sf_dir):
