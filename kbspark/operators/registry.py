@@ -92,29 +92,23 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
     def items(df):
         return df.select(*cols, F.lit("item").alias("kind"), nul.alias("reason"))
 
-    def fails(df, reason):
-        return df.select("source_id", *[nul.alias(c) for c in ("title", "text", "source")],
-                         F.col("url"), F.lit(None).cast("timestamp").alias("published_at"),
-                         F.lit("reject").alias("kind"), reason.alias("reason"))
-
     api = parse_api(by["api"], now)
     web = parse_pages(by["link"], now)
     pdf = stitch_pages(by["pdf"].select("source_id", F.col("url").alias("path"), "page_no",
                                         F.col("body").alias("text")), now, keys=["source_id"])
-    vid_c, vid_r = parse_videos(by["youtube"], now)
-    rss_c, rss_r = parse_feeds(by["rss"], now)
+    vid = parse_videos(by["youtube"], now)
+    rss = parse_feeds(by["rss"], now)
     # Bodies that produced nothing but did not fail (e.g. a feed without items) still count as fetched.
     fetched = stored.select("source_id", "url").distinct().select(
         "source_id", *[nul.alias(c) for c in ("title", "text", "source")], "url",
         F.lit(None).cast("timestamp").alias("published_at"), F.lit("fetch").alias("kind"), nul.alias("reason"))
 
-    outcome = (api.select(*cols, F.when(F.col("error").isNull(), "item").otherwise("reject").alias("kind"),
-                          F.col("error").alias("reason"))
-               .unionByName(web.select(*cols, F.when(F.col("error").isNull(), "item").otherwise("reject")
-                                       .alias("kind"), F.col("error").alias("reason")))
-               .unionByName(items(pdf)).unionByName(items(vid_c)).unionByName(items(rss_c))
-               .unionByName(fails(vid_r, F.col("reason"))).unionByName(fails(rss_r, F.col("reason")))
-               .unionByName(fetched))
+    def checked(df):
+        return df.select(*cols, F.when(F.col("error").isNull(), "item").otherwise("reject").alias("kind"),
+                         F.col("error").alias("reason"))
+
+    outcome = (checked(api).unionByName(checked(web)).unionByName(items(pdf))
+               .unionByName(checked(vid)).unionByName(checked(rss)).unionByName(fetched))
     outcome = outcome.checkpoint(eager=True)
 
     unknown = act.filter(~F.col("type").isin(*DISPATCHABLE_TYPES)).select(

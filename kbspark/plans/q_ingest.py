@@ -64,7 +64,7 @@ FROM documents
 """)
 def q_ingest_feed(spark, sf_dir):
     """S7 + X10: RSS bodies (built from documents, XML-escaped) parsed back, one row per item."""
-    c, _rej = parse_feeds(L.feed_bodies(spark, sf_dir), now=TB.now_lit())
+    c = parse_feeds(L.feed_bodies(spark, sf_dir), now=TB.now_lit()).filter(F.col("error").isNull())
     return c.select("title", F.md5("text").alias("text_md5"), "source", "url",
                     fmt_ts("published_at").alias("published_at"))
 
@@ -94,7 +94,7 @@ FROM conversations WHERE turn % 7 <> 6
 """)
 def q_ingest_video(spark, sf_dir):
     """First item of each video-list response; empty lists rejected."""
-    c, _rej = parse_videos(L.video_bodies(spark, sf_dir), now=TB.now_lit())
+    c = parse_videos(L.video_bodies(spark, sf_dir), now=TB.now_lit()).filter(F.col("error").isNull())
     return c.select("title", F.md5("text").alias("text_md5"), "source", "url",
                     fmt_ts("published_at").alias("published_at"))
 

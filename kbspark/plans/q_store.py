@@ -39,7 +39,7 @@ def q_kb_scan(spark, sf_dir):
 @register("count_documents", "SELECT count(*) AS n_documents FROM documents")
 def q_count_documents(spark, sf_dir):
     """A1: SELECT COUNT(*) over the knowledge base."""
-    return ST.count_documents(TB.documents_kb_text(spark, sf_dir))
+    return ST.count_documents(TB.documents_kb_text(spark, sf_dir, for_embedding=False))
 
 
 @register("get_documents", f"""
@@ -55,7 +55,8 @@ def q_get_documents(spark, sf_dir):
     ids = lab.select(F.col("doc_id").cast("string").alias("doc_id")).unionByName(
         lab.filter(F.col("toxic") == 1).select(
             F.concat(F.lit("retired-"), F.col("doc_id").cast("string")).alias("doc_id")))
-    kb = TB.documents_kb_text(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")) \
+    kb = TB.documents_kb_text(spark, sf_dir, for_embedding=False) \
+        .withColumn("embedding", F.lit(None).cast("array<float>")) \
         .withColumn("created_at", TB.base_time_lit()).withColumn("updated_at", TB.base_time_lit())
     r = ST.get_documents(kb, ids)
     return r.select("lookup_id", "found", "id", F.md5("content").alias("content_md5"))
@@ -144,17 +145,19 @@ def q_retention_deleted_count(spark, sf_dir):
 
 
 def _audit_table(spark, sf_dir):
+    """One pass: every 50th document is emitted twice (copy 2 is a plain duplicate key);
+    copy 1 carries the injected violations."""
     kb = TB.documents_kb(spark, sf_dir, _embedder())
     i = F.col("id")
-    bad = kb.select(
+    x = kb.withColumn("_copy", F.explode(F.when(i % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    first = F.col("_copy") == 1
+    return x.select(
         "id",
-        F.when(i % 101 == 0, F.concat(F.col("doc_id"), F.repeat(F.lit("x"), 256))).otherwise(F.col("doc_id"))
-        .alias("doc_id"),
-        F.when(i % 97 == 0, F.lit(None).cast("string")).otherwise(F.col("content")).alias("content"),
-        F.when(i % 103 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"),
+        F.when(first & (i % 101 == 0), F.concat(F.col("doc_id"), F.repeat(F.lit("x"), 256)))
+        .otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(first & (i % 97 == 0), F.lit(None).cast("string")).otherwise(F.col("content")).alias("content"),
+        F.when(first & (i % 103 == 0), F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"),
         "created_at", "updated_at")
-    dups = kb.filter(i % 50 == 0)
-    return bad.unionByName(dups)
 
 
 @register("kb_constraints", f"""

@@ -63,9 +63,9 @@ def vector_queries(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding"))
 
 
-def documents_kb_text(spark, sf_dir) -> DataFrame:
+def documents_kb_text(spark, sf_dir, for_embedding: bool = True) -> DataFrame:
     """``documents`` as knowledge-base rows before embedding."""
-    d = read_spread(spark, sf_dir, "documents")
+    d = read_spread(spark, sf_dir, "documents") if for_embedding else read(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"),
                     F.col("text").alias("content"))
 

@@ -35,28 +35,41 @@ def parse_feed_date(s) -> Column:
     return F.coalesce(*tries)
 
 
-def parse_feeds(landed: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Landed ``(source_id, url, body, fetched_at)`` -> (content, rejects)."""
+_ITEM = "struct<title:string,text:string,url:string,date:string,error:string>"
+
+
+def parse_feeds(landed: DataFrame, now: Column | None = None) -> DataFrame:
+    """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error``.
+
+    One ``from_xml`` and one ``explode`` per body: RSS items or Atom entries become
+    rows; a body that is not a feed becomes one row with ``error`` (url = the landed
+    url); a feed without items gives no row (it was still fetched).
+    """
     now = now if now is not None else F.current_timestamp()
     x = landed.withColumn("_x", F.from_xml(F.col("body"), FEED_SCHEMA, {"mode": "PERMISSIVE"}))
     is_rss = F.col("_x.channel").isNotNull()
     is_atom = F.col("_x.entry").isNotNull() | F.col("_x.title").isNotNull()
-    ok = x.filter(is_rss | is_atom)
-    rejects = x.filter(~(is_rss | is_atom) | F.col("_x").isNull()).select(
-        "source_id", "url", F.lit("not an RSS or Atom feed").alias("reason"))
-    rss = ok.filter(is_rss).select("source_id", F.col("_x.channel.title").alias("feed_title"),
-                                   F.explode(F.col("_x.channel.item")).alias("it"))
-    rss = rss.select("source_id", go_string(F.col("it.title")).alias("title"),
-                     go_string(F.col("it.description")).alias("text"),
-                     go_string(F.col("feed_title")).alias("source"),
-                     go_string(F.col("it.link")).alias("url"),
-                     F.coalesce(parse_feed_date(F.col("it.pubDate")), now).alias("published_at"))
-    atom = ok.filter(~is_rss).select("source_id", F.col("_x.title").alias("feed_title"),
-                                     F.explode(F.col("_x.entry")).alias("it"))
-    atom = atom.select("source_id", go_string(F.col("it.title")).alias("title"),
-                       go_string(F.coalesce(F.col("it.summary"), F.col("it.content"))).alias("text"),
-                       go_string(F.col("feed_title")).alias("source"),
-                       go_string(F.col("it.link._href")).alias("url"),
-                       F.coalesce(parse_feed_date(F.coalesce(F.col("it.published"), F.col("it.updated"))), now)
-                       .alias("published_at"))
-    return rss.unionByName(atom), rejects
+    nul = F.lit(None).cast("string")
+    rss = F.transform(F.col("_x.channel.item"), lambda it: F.struct(
+        it["title"].alias("title"), it["description"].alias("text"), it["link"].alias("url"),
+        it["pubDate"].alias("date"), nul.alias("error")))
+    atom = F.transform(F.col("_x.entry"), lambda it: F.struct(
+        it["title"].alias("title"), F.coalesce(it["summary"], it["content"]).alias("text"),
+        it["link"]["_href"].alias("url"), F.coalesce(it["published"], it["updated"]).alias("date"),
+        nul.alias("error")))
+    bad = F.array(F.struct(nul.alias("title"), nul.alias("text"), F.col("url").alias("url"), nul.alias("date"),
+                           F.lit("not an RSS or Atom feed").alias("error")))
+    items = (F.when(is_rss, F.coalesce(rss, F.array().cast(f"array<{_ITEM}>")))
+             .when(is_atom, F.coalesce(atom, F.array().cast(f"array<{_ITEM}>")))
+             .otherwise(bad))
+    e = x.select("source_id", F.coalesce(F.col("_x.channel.title"), F.col("_x.title")).alias("feed_title"),
+                 F.explode(items).alias("it"))
+    ok = F.col("it.error").isNull()
+    return e.select(
+        "source_id",
+        go_string(F.col("it.title")).alias("title"),
+        go_string(F.col("it.text")).alias("text"),
+        go_string(F.col("feed_title")).alias("source"),
+        go_string(F.col("it.url")).alias("url"),
+        F.when(ok, F.coalesce(parse_feed_date(F.col("it.date")), now)).alias("published_at"),
+        F.col("it.error").alias("error"))

@@ -19,19 +19,18 @@ VIDEO_SOURCE = "youtube"
 VIDEO_URL_PREFIX = "https://youtube.com/watch?v="
 
 
-def parse_videos(landed: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Landed ``(source_id, url = video id, body, fetched_at)`` -> (content, rejects)."""
+def parse_videos(landed: DataFrame, now: Column | None = None) -> DataFrame:
+    """Landed ``(source_id, url = video id, body, fetched_at)`` -> Content rows + ``error``
+    (for an error row, ``url`` is the landed video id)."""
     now = now if now is not None else F.current_timestamp()
     x = landed.withColumn("_first", F.try_element_at(
         F.from_json(F.col("body"), VIDEO_SCHEMA)["items"], F.lit(1)))
-    ok = x.filter(F.col("_first").isNotNull())
-    rejects = x.filter(F.col("_first").isNull()).select("source_id", "url",
-                                                          F.lit("video not found").alias("reason"))
-    content = ok.select(
+    ok = F.col("_first").isNotNull()
+    return x.select(
         "source_id",
         go_string(F.col("_first.snippet.title")).alias("title"),
         go_string(F.col("_first.snippet.description")).alias("text"),
         F.lit(VIDEO_SOURCE).alias("source"),
-        F.concat(F.lit(VIDEO_URL_PREFIX), go_string(F.col("url"))).alias("url"),
-        now.alias("published_at"))
-    return content, rejects
+        F.when(ok, F.concat(F.lit(VIDEO_URL_PREFIX), go_string(F.col("url")))).otherwise(F.col("url")).alias("url"),
+        now.alias("published_at"),
+        F.when(~ok, F.lit("video not found")).alias("error"))

@@ -60,23 +60,24 @@ def test_feeds(spark):
     landed = spark.createDataFrame([("r", "u1", rss), ("r", "u2", empty), ("a", "u3", atom), ("x", "u4", "<rss")],
                                    "source_id string, url string, body string")
     now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
-    c, rej = parse_feeds(landed, now)
-    got = {r.url: r for r in c.collect()}
+    out = parse_feeds(landed, now).collect()
+    got = {r.url: r for r in out if r.error is None}
+    rej = [r for r in out if r.error is not None]
     assert set(got) == {"l1", "l2", "l3"}
     assert got["l1"].published_at == dt.datetime(2024, 1, 1, 0, 5) and got["l1"].source == "F"
     assert got["l2"].text == "" and got["l2"].published_at == dt.datetime(2024, 1, 31)
     assert got["l3"].text == "s" and got["l3"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5)
-    assert [r.url for r in rej.collect()] == ["u4"]
+    assert [r.url for r in rej] == ["u4"]
 
 
 def test_video(spark):
     landed = spark.createDataFrame(
         [("y", "v1", '{"items":[{"snippet":{"title":"t","description":"d"}},{"snippet":{"title":"x"}}]}'),
          ("y", "v2", '{"items":[]}'), ("y", "v3", "garbage")], "source_id string, url string, body string")
-    c, rej = parse_videos(landed)
-    r = c.collect()
+    out = parse_videos(landed).collect()
+    r = [x for x in out if x.error is None]
     assert [(x.title, x.text, x.source, x.url) for x in r] == [("t", "d", "youtube", "https://youtube.com/watch?v=v1")]
-    assert sorted(x.url for x in rej.collect()) == ["v2", "v3"]
+    assert sorted(x.url for x in out if x.error is not None) == ["v2", "v3"]
 
 
 def test_stitch_pages(spark):
