@@ -60,7 +60,7 @@ def token_buckets(text, dim: int) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     toks = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != F.lit(""))
     return F.transform(
-        toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)))
+        toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
 class HashingEmbedder:

@@ -60,6 +60,22 @@ def test_ann_full_probe_equals_exact_and_recall(spark):
     assert rec[0] <= rec[1] <= rec[2] == 1.0 and rec[0] > 0.5
 
 
+def test_ivf_written_index_prunes_cells(spark, tmp_root):
+    import os
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(300, 8)).astype(np.float32)
+    kb = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(vecs)],
+                               "doc_id string, embedding array<float>")
+    qs = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(0, 300, 37)], "query_id long, embedding array<float>")
+    idx = build_ivf(kb, n_lists=6, seed=3)
+    stored = idx.write(os.path.join(tmp_root, "ivf"))
+    mem = sorted(map(tuple, ann_topk(qs, idx, k=4, n_probe=2).select("query_id", "doc_id", "rank").collect()))
+    r = ann_topk(qs, stored, k=4, n_probe=2)
+    assert sorted(map(tuple, r.select("query_id", "doc_id", "rank").collect())) == mem
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+
+
 def test_stream_equals_batch_and_replay(spark, tmp_root):
     import datetime as dt
     import os
