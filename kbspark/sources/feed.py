@@ -2,7 +2,7 @@
 
 Parsed with the built-in ``from_xml`` (one schema covering both RSS
 ``rss/channel/item`` and Atom ``feed/entry``), then ``explode``.  Per item:
-title, text = item title, description (Atom: summary, else content); source =
+title, text = item title, description (Atom: summary); source =
 the *feed* title; url = link; published_at = parsed date, else ``now``.
 A body that is not a feed rejects the fetch; a feed without items is a
 successful fetch with no rows.
@@ -18,8 +18,8 @@ from kbspark.functions.text import go_string
 FEED_SCHEMA = (
     "channel struct<title string, item array<struct<title string, link string, description string,"
     " pubDate string>>>, title string,"
-    " entry array<struct<title string, link struct<_href string>, summary string, content string,"
-    " published string, updated string>>"
+    " entry array<struct<title string, link array<struct<_href string, _rel string>>, summary string,"
+    " content string, published string, updated string>>"
 )
 
 # Fixed date layouts accepted for item dates (RFC 1123 / RFC 822 variants, ISO 8601).
@@ -53,10 +53,13 @@ def parse_feeds(landed: DataFrame, now: Column | None = None) -> DataFrame:
     rss = F.transform(F.col("_x.channel.item"), lambda it: F.struct(
         it["title"].alias("title"), it["description"].alias("text"), it["link"].alias("url"),
         it["pubDate"].alias("date"), nul.alias("error")))
+    # Atom: text is the summary (content is a separate field), the date is ``published``
+    # (``updated`` is not a publication time), the link is the first alternate/untyped one.
     atom = F.transform(F.col("_x.entry"), lambda it: F.struct(
-        it["title"].alias("title"), F.coalesce(it["summary"], it["content"]).alias("text"),
-        it["link"]["_href"].alias("url"), F.coalesce(it["published"], it["updated"]).alias("date"),
-        nul.alias("error")))
+        it["title"].alias("title"), it["summary"].alias("text"),
+        F.try_element_at(F.filter(it["link"], lambda l: l["_rel"].isNull() | (l["_rel"] == "alternate")),
+                         F.lit(1))["_href"].alias("url"),
+        it["published"].alias("date"), nul.alias("error")))
     bad = F.array(F.struct(nul.alias("title"), nul.alias("text"), F.col("url").alias("url"), nul.alias("date"),
                            F.lit("not an RSS or Atom feed").alias("error")))
     items = (F.when(is_rss, F.coalesce(rss, F.array().cast(f"array<{_ITEM}>")))

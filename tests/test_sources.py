@@ -56,14 +56,18 @@ def test_feeds(spark):
            "</item></channel></rss>")
     empty = "<rss><channel><title>E</title></channel></rss>"
     atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><title>A</title><entry><title>e</title>'
-            '<link href="l3"/><summary>s</summary><published>2024-01-02T03:04:05Z</published></entry></feed>')
+            '<link rel="self" href="x"/><link href="l3"/><summary>s</summary>'
+            '<published>2024-01-02T03:04:05Z</published></entry>'
+            '<entry><title>f</title><link rel="alternate" href="l4"/><content>c</content>'
+            '<updated>2024-01-03T00:00:00Z</updated></entry></feed>')
     landed = spark.createDataFrame([("r", "u1", rss), ("r", "u2", empty), ("a", "u3", atom), ("x", "u4", "<rss")],
                                    "source_id string, url string, body string")
     now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
     out = parse_feeds(landed, now).collect()
     got = {r.url: r for r in out if r.error is None}
     rej = [r for r in out if r.error is not None]
-    assert set(got) == {"l1", "l2", "l3"}
+    assert set(got) == {"l1", "l2", "l3", "l4"}
+    assert got["l4"].text == "" and got["l4"].published_at == dt.datetime(2024, 1, 31)
     assert got["l1"].published_at == dt.datetime(2024, 1, 1, 0, 5) and got["l1"].source == "F"
     assert got["l2"].text == "" and got["l2"].published_at == dt.datetime(2024, 1, 31)
     assert got["l3"].text == "s" and got["l3"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5)
