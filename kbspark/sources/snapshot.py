@@ -85,6 +85,23 @@ class SnapshotStore:
         writer.parquet(self._dir(v, "none" if batch_id is None else str(batch_id)))
         return True
 
+    def retain(self, now, days: int, batch_id=None) -> bool:
+        """W5 on the stored snapshot: commit the survivors of a retention delete.
+
+        A redundant predicate on the partition column (``created_date`` NULL or on/after
+        the boundary day) lets the scan skip whole expired days; the exact predicate on
+        ``created_at`` then decides the boundary day row by row."""
+        from kbspark.operators.store import retention_survivors
+        p = self.latest_path()
+        if p is None or self.partition_by is None:
+            return False
+        boundary = now - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days))
+        df = self.spark.read.option("basePath", p).parquet(p)
+        keep_days = F.col(self.partition_by).isNull() | (F.col(self.partition_by) >= F.to_date(boundary))
+        survivors = retention_survivors(df.filter(keep_days), now, days)
+        # Reads version N, writes version N + 1: never the path being read.
+        return self.commit(survivors, batch_id)
+
 
 def scan_kb(spark: SparkSession, path: str) -> DataFrame:
     """The six knowledge-base columns of a snapshot directory, schema enforced."""

@@ -93,6 +93,8 @@ def extract_page(html: str | None) -> tuple[str, str, str | None]:
     if html is None:
         return "", "", "no body"
     try:
+        # HTML input preprocessing: newlines normalised to LF, NUL replaced.
+        html = html.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "\ufffd")
         p = _Extractor()
         p.feed(html)
         p.close()

@@ -101,3 +101,20 @@ def test_snapshot_store_idempotent(spark, tmp_root):
     assert st.read().count() == 2
     assert st.commit(_base(spark).limit(1), batch_id=1)
     assert st.read().count() == 1 and len(st.versions()) == 2
+
+
+def test_snapshot_retention_prunes_days(spark, tmp_root):
+    rows = [(i, f"d{i}", "x", None, dt.datetime(2024, 1, 1 + i % 30, 12), None) for i in range(60)]
+    rows.append((99, "nul", "x", None, None, None))
+    st = SnapshotStore(spark, tmp_root)
+    st.commit(spark.createDataFrame(rows, KB))
+    p = st.latest_path()
+    df = spark.read.option("basePath", p).parquet(p)
+    boundary = _now() - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(15))
+    plan = df.filter(F.col("created_date") >= F.to_date(boundary))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan
+    assert st.retain(_now(), 15)
+    kept = sorted(r.doc_id for r in st.read().collect())
+    want = sorted([f"d{i}" for i in range(60) if dt.datetime(2024, 1, 1 + i % 30, 12) >= dt.datetime(2024, 1, 16)]
+                  + ["nul"])
+    assert kept == want
