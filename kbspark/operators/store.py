@@ -121,6 +121,19 @@ def get_documents(kb: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
         *[hit[c] for c in KB_COLUMNS if c != "doc_id"])
 
 
+def get_document(kb: DataFrame, doc_id: str):
+    """F2 for one id, as the reference's point lookup: the row, or ``KeyError`` when missing.
+
+    Pushed down to the scan as ``doc_id = <literal>`` (parquet min/max and
+    dictionary filtering); at most two rows reach the driver (to detect duplicates)."""
+    rows = kb.filter(F.col("doc_id") == F.lit(doc_id)).select(*KB_COLUMNS).limit(2).collect()
+    if not rows:
+        raise KeyError(f"document not found: {doc_id}")
+    if len(rows) > 1:
+        raise ValueError(f"duplicate doc_id: {doc_id}")
+    return rows[0]
+
+
 def count_documents(kb: DataFrame) -> DataFrame:
     """A1: SELECT COUNT(*) (partial + final hash aggregate)."""
     return kb.agg(F.count(F.lit(1)).alias("n_documents"))

@@ -77,6 +77,13 @@ def test_get_documents_reports_missing(spark):
     assert got == {"a": True, "zz": False}
 
 
+def test_get_document_point_lookup(spark):
+    import pytest
+    assert ST.get_document(_base(spark), "b").content == "B0"
+    with pytest.raises(KeyError):
+        ST.get_document(_base(spark), "nope")
+
+
 def test_constraint_audit(spark):
     rows = [(1, "a", "x", [1.0, 2.0], None, None), (2, "a", "y", [1.0], None, None),
             (3, "l" * 256, None, None, None, None), (4, None, "z", [1.0, 2.0], None, None)]
