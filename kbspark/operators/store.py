@@ -82,12 +82,25 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
     return old.unionByName(new.select(*KB_COLUMNS))
 
 
+# Key sets up to this many rows are broadcast, so the large side streams without a shuffle.
+KEY_BROADCAST_ROWS = 5_000_000
+
+
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    """Distinct keys, broadcast when their counted number is within KEY_BROADCAST_ROWS."""
+    k = df.select(key).distinct()
+    return F.broadcast(k) if k.count() <= KEY_BROADCAST_ROWS else k
+
+
 def vector_upsert(index: DataFrame, batch: DataFrame, key: str = "vec_id", seq: str | None = None) -> DataFrame:
-    """(id, values) upsert: replace values of existing ids, insert new ones."""
+    """(id, values) upsert: replace values of existing ids, insert new ones.
+
+    The index streams through an anti-join against the (size-checked, broadcast)
+    batch keys; the batch is appended."""
     if seq is not None:
         batch = dedupe_last(batch, key, seq, ["embedding"])
     batch = batch.select(key, "embedding")
-    return index.select(key, "embedding").join(batch.select(key), key, "left_anti").unionByName(batch)
+    return index.select(key, "embedding").join(_keys(batch, key), key, "left_anti").unionByName(batch)
 
 
 def retention_predicate(created_at: Column, now: Column, days: int) -> Column:
@@ -115,7 +128,10 @@ def retention_counts(kb: DataFrame, now: Column, days: int = 30) -> DataFrame:
 def get_documents(kb: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """F2 for many ids: one row per requested id with ``found``; a missing id is
     reported (found = false), not silently dropped."""
-    hit = kb.select(*KB_COLUMNS).withColumn("_hit", F.lit(True))
+    # The knowledge base streams through an inner join with the (size-checked, broadcast)
+    # requested keys; only the matches meet the id list in the final small left join.
+    wanted = _keys(ids.select(F.col(key).alias("doc_id")), "doc_id")
+    hit = kb.select(*KB_COLUMNS).join(wanted, "doc_id").withColumn("_hit", F.lit(True))
     return ids.join(hit, ids[key] == hit["doc_id"], "left").select(
         ids[key].alias("lookup_id"), F.coalesce(F.col("_hit"), F.lit(False)).alias("found"),
         *[hit[c] for c in KB_COLUMNS if c != "doc_id"])
