@@ -81,15 +81,42 @@ class HashingEmbedder:
         return self._unit(token_buckets(text, self.dim))
 
 
+# Fixed default of the reference's configuration: embedding batch size.
+MODEL_BATCH = 32
+
+
+def call_in_batches(fn, vals: list, batch_size: int, retries: int, one):
+    """Call ``fn`` on consecutive sub-batches; a sub-batch that still fails after
+    ``retries`` retries is redone row by row with ``one`` (row isolation)."""
+    out = []
+    for lo in range(0, len(vals), max(1, batch_size)):
+        chunk = vals[lo:lo + batch_size]
+        res = None
+        for _ in range(retries + 1):
+            try:
+                res = list(fn(chunk))
+                if len(res) != len(chunk):
+                    raise ValueError("model returned wrong number of rows")
+                break
+            except Exception:  # noqa: BLE001 - retried, then isolated per row
+                res = None
+        out.extend(res if res is not None else [one(t) for t in chunk])
+    return out
+
+
 class BatchModelEmbedder:
-    """Plug-in model: ``fn(texts) -> vectors``; a failing batch retries row by row,
-    a failing row (or one of the wrong dimension) yields NULL."""
+    """Plug-in model: ``fn(texts) -> vectors``, called in sub-batches of ``batch_size``
+    with ``retries``; a failing sub-batch is redone row by row, and a failing row (or
+    one of the wrong dimension) yields NULL."""
 
-    def __init__(self, fn: Callable[[Sequence[str]], Sequence[Sequence[float]]], dim: int):
+    def __init__(self, fn: Callable[[Sequence[str]], Sequence[Sequence[float]]], dim: int,
+                 batch_size: int = MODEL_BATCH, retries: int = 0):
         self.dim = int(dim)
         d = self.dim
 
         def _safe_one(t):
+            if t is None:
+                return None
             try:
                 v = list(fn([t])[0])
                 return v if len(v) == d else None
@@ -100,13 +127,8 @@ class BatchModelEmbedder:
         def _embed(texts):
             import pandas as pd
             vals = texts.where(texts.notna(), None).tolist()
-            try:
-                out = [list(v) for v in fn(vals)]
-                if len(out) != len(vals):
-                    raise ValueError("embedder returned wrong number of rows")
-                out = [v if len(v) == d else None for v in out]
-            except Exception:  # noqa: BLE001
-                out = [_safe_one(t) if t is not None else None for t in vals]
+            out = call_in_batches(fn, vals, batch_size, retries, _safe_one)
+            out = [list(v) if v is not None and len(v) == d else None for v in out]
             return pd.Series(out)
 
         self._embed = _embed.asNondeterministic()

@@ -30,6 +30,21 @@ def test_model_embedder_isolates_failures(spark):
     assert got["ok"] == [1.0, 2.0] and got["boom"] is None and got["short"] is None
 
 
+def test_model_generator_batches_and_isolation(spark):
+    from kbspark.operators.generate import BatchModelGenerator
+    calls = []
+
+    def fn(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise RuntimeError("x")
+        return [p.upper() for p in prompts]
+    g = BatchModelGenerator(fn, batch_size=2)
+    df = spark.createDataFrame([("a",), ("b",), ("bad",), ("c",)], "p string").coalesce(1)
+    got = [r.r for r in df.select(g.generate(F.col("p"), F.lit(None)).alias("r")).collect()]
+    assert got == ["A", "B", None, "C"]
+
+
 def test_blank_detection(spark):
     df = spark.createDataFrame([("",), (" ",), ("\t",), ("\n",), (" ",), (" x",)], "t string")
     assert [r.b for r in df.select(has_text("t").alias("b")).collect()] == [False] * 5 + [True]
