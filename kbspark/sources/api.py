@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from kbspark.functions.parallel import spread
 from kbspark.functions.text import go_string
 
+# Fixed value of the reference: title of API content.
 API_TITLE_PREFIX = "API Data from "
 
 

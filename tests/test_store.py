@@ -100,6 +100,13 @@ def test_dense_index(spark):
     assert all(r.i == r.k + 5 for r in out)
 
 
+def test_dense_index_independent_of_partitioning(spark):
+    base = spark.range(0, 500).select((F.col("id") * 13 % 500).cast("string").alias("k"))
+    a = {r.k: r.i for r in dense_index(base.repartition(3), ["k"], out="i").collect()}
+    b = {r.k: r.i for r in dense_index(base.repartition(11), ["k"], out="i").collect()}
+    assert a == b and sorted(a.values()) == list(range(500))
+
+
 def test_snapshot_store_idempotent(spark, tmp_root):
     st = SnapshotStore(spark, tmp_root)
     assert st.read().count() == 0
