@@ -70,7 +70,9 @@ def _upsert_inputs(spark, sf_dir):
         F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"),
         F.col("text").alias("content"), emb.embed(F.col("text")).alias("embedding"),
         base_t.alias("created_at"), base_t.alias("updated_at"))
-    rev1 = d.filter(F.col("doc_id") % 3 == 0).select(
+    # Every document takes part: even ids are the base, odd ids arrive as inserts (rev1),
+    # multiples of 3 arrive as updates or inserts (rev1), multiples of 9 twice (rev2 wins).
+    rev1 = d.filter((F.col("doc_id") % 3 == 0) | (F.col("doc_id") % 2 == 1)).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("rev1 "), "text").alias("content"),
         (F.col("doc_id") * 2).alias("seq"))
     rev2 = d.filter(F.col("doc_id") % 9 == 0).select(
@@ -85,7 +87,7 @@ WITH base AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content,
                      TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
               FROM documents WHERE doc_id % 2 = 0),
 batch AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'rev1 ' || text AS content, doc_id * 2 AS seq
-          FROM documents WHERE doc_id % 3 = 0
+          FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 1
           UNION ALL
           SELECT CAST(doc_id AS VARCHAR), 'rev2 ' || text, doc_id * 2 + 1 FROM documents WHERE doc_id % 9 = 0),
 latest AS (SELECT doc_id, arg_max(content, seq) AS content FROM batch GROUP BY doc_id)
@@ -106,7 +108,7 @@ def q_upsert_documents(spark, sf_dir):
 
 @register("vector_upsert", """
 WITH base AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0),
-batch AS (SELECT vec_id, list_reverse(embedding) AS embedding FROM embeddings WHERE vec_id % 3 = 0),
+batch AS (SELECT vec_id, list_reverse(embedding) AS embedding FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 1),
 u AS (SELECT * FROM base WHERE vec_id NOT IN (SELECT vec_id FROM batch) UNION ALL SELECT * FROM batch)
 SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n_dims, embedding[1]::DOUBLE AS first_value FROM u
 """)
@@ -114,7 +116,9 @@ def q_vector_upsert(spark, sf_dir):
     """(id, values) upsert into a vector index: anti join + union."""
     e = TB.read(spark, sf_dir, "embeddings")
     base = e.filter(F.col("vec_id") % 2 == 0).select("vec_id", "embedding")
-    batch = e.filter(F.col("vec_id") % 3 == 0).select("vec_id", F.reverse("embedding").alias("embedding"))
+    # Every vector takes part: even ids are the index, odd ids are inserted, multiples of 3 replaced.
+    batch = e.filter((F.col("vec_id") % 3 == 0) | (F.col("vec_id") % 2 == 1)) \
+        .select("vec_id", F.reverse("embedding").alias("embedding"))
     r = ST.vector_upsert(base, batch)
     return r.select("vec_id", n_dims("embedding").alias("n_dims"),
                     F.element_at("embedding", 1).cast("double").alias("first_value"))
