@@ -23,8 +23,8 @@ _DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Sizing: AQE coalesces shuffle output to ~128 MB partitions; scans split at 256 MB;
-    # Arrow batches of 4096 rows bound the scorer's (rows x 1024 queries) float64 block
-    # to 32 MB and the embedder's count matrix at 1536 dims to 48 MB.
+    # Arrow batches of 4096 rows bound the scorer's (rows x 512 queries) float64 block
+    # to 16 MB and the embedder's count matrix at 1536 dims to 48 MB.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
