@@ -139,8 +139,14 @@ class BatchModelEmbedder:
 
 
 def embed_documents(df: DataFrame, text_col: str = "content", embedder=None,
-                    out_col: str = "embedding") -> DataFrame:
-    """Add ``out_col`` (array<float>, NULL on failure) embedding ``text_col``."""
+                    out_col: str = "embedding", error_col: str | None = "embed_error") -> DataFrame:
+    """Add ``out_col`` (array<float>, NULL on failure) embedding ``text_col``, and
+    ``error_col``: NULL, ``blank text`` or ``embedding failed`` (the row is kept either way)."""
     from kbspark.functions.parallel import spread
+    from kbspark.functions.text import has_text
     embedder = embedder or HashingEmbedder()
-    return spread(df).withColumn(out_col, embedder.embed(F.col(text_col)))
+    out = spread(df).withColumn(out_col, embedder.embed(F.col(text_col)))
+    if error_col:
+        out = out.withColumn(error_col, F.when(F.col(out_col).isNull(), F.when(
+            has_text(F.col(text_col)), F.lit("embedding failed")).otherwise(F.lit("blank text"))))
+    return out

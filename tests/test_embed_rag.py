@@ -45,6 +45,18 @@ def test_model_generator_batches_and_isolation(spark):
     assert got == ["A", "B", None, "C"]
 
 
+def test_embed_documents_error_column(spark):
+    from kbspark.operators.embed import embed_documents
+
+    def fn(texts):
+        return [[1.0, 0.0] if t != "bad" else [] for t in texts]
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, " ")], "i int, content string")
+    got = {r.i: r.embed_error for r in embed_documents(df, embedder=BatchModelEmbedder(fn, 2)).collect()}
+    assert got == {1: None, 2: "embedding failed", 3: None}      # the model embeds blank text
+    got = {r.i: r.embed_error for r in embed_documents(df, embedder=HashingEmbedder(8)).collect()}
+    assert got == {1: None, 2: None, 3: "blank text"}
+
+
 def test_blank_detection(spark):
     df = spark.createDataFrame([("",), (" ",), ("\t",), ("\n",), (" ",), (" x",)], "t string")
     assert [r.b for r in df.select(has_text("t").alias("b")).collect()] == [False] * 5 + [True]
