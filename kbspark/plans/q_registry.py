@@ -141,7 +141,7 @@ def q_touch_sources(spark, sf_dir):
     return run.registry.select("id", "type", "active", fmt_ts("last_updated").alias("last_updated"))
 
 
-@register("ingest_pipeline", f"""
+@register("source_ingestion", f"""
 WITH {_DISPATCH},
 items AS (SELECT *, row_number() OVER (ORDER BY source_id, url, title, md5(text)) - 1 AS seq FROM content)
 SELECT source_id || '-' || CAST(epoch_us(TIMESTAMP {NOW_TXT}) * 1000 + seq AS VARCHAR) AS doc_id,
@@ -150,7 +150,7 @@ SELECT source_id || '-' || CAST(epoch_us(TIMESTAMP {NOW_TXT}) * 1000 + seq AS VA
        {NOW_TXT} AS created_at
 FROM items
 """)
-def q_ingest_pipeline(spark, sf_dir):
+def q_source_ingestion(spark, sf_dir):
     """P2 + U1: all active sources ingested into the knowledge base in one run."""
     _reg, run = _run(spark, sf_dir)
     kb = run.kb
