@@ -65,7 +65,8 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
         F.coalesce(F.col("o.doc_id"), F.col("n.doc_id")).alias("doc_id"),
         F.when(hit, F.col("n.content")).otherwise(F.col("o.content")).alias("content"),
         F.when(hit, F.col("n.embedding")).otherwise(F.col("o.embedding")).alias("embedding"),
-        F.coalesce(F.col("o.created_at"), now).alias("created_at"),
+        # An existing row keeps its created_at (even NULL); only an insert stamps now.
+        F.when(F.col("o.doc_id").isNotNull(), F.col("o.created_at")).otherwise(now).alias("created_at"),
         F.when(hit, now).otherwise(F.col("o.updated_at")).alias("updated_at"),
         F.col("n._first_seq").alias("_first_seq"),
     )

@@ -44,6 +44,15 @@ def test_upsert_large_batch_path_equals_broadcast_path(spark):
     assert ids == list(range(1, 33))        # dense, unique, after the base ids
 
 
+def test_upsert_keeps_null_created_at(spark):
+    base = spark.createDataFrame([(1, "a", "A0", [1.0], None, None)], KB)
+    batch = spark.createDataFrame([("a", "A1", [2.0], 1)],
+                                  "doc_id string, content string, embedding array<float>, seq long")
+    for limit in (256 * 1024 * 1024, 0):          # broadcast and sort-merge paths
+        r = ST.upsert_documents(base, batch, now=_now(), max_broadcast_bytes=limit).first()
+        assert (r.content, r.created_at, r.updated_at) == ("A1", None, NOW)
+
+
 def test_upsert_twice_is_once(spark):
     batch = spark.createDataFrame([("b", "B1", [2.0], 1), ("x", "X", [1.0], 2)],
                                   "doc_id string, content string, embedding array<float>, seq long")
