@@ -44,3 +44,10 @@ def sparse_cosine_keys(qv: str, dv: str) -> str:
 
 def key_of(sim_expr: str) -> str:
     return f"CAST(floor(({sim_expr}) * 1e9 + 0.5) AS BIGINT)"
+
+
+def decode_entities(x: str) -> str:
+    """HTML character references that occur in the landed pages, decoded as HTML does in text:
+    these legacy named references need no trailing semicolon; ``&amp`` goes last."""
+    return (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '&quot;?', '\"', 'g'), "
+            f"'&middot;?', chr(183), 'g'), '&copy;?', chr(169), 'g'), '&amp;?', '&', 'g')")

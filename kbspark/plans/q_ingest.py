@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.ids import content_doc_id, dense_index, update_doc_id
 from kbspark.plans import landing as L
+from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
 from kbspark.plans.catalog import _embedder, fmt_ts, register
 from kbspark.plans.ingest import ingest_updates
@@ -20,8 +21,7 @@ NOW_TXT = "'2024-01-31 00:00:00'"
 
 
 def _decode(x: str) -> str:
-    return (f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', chr(183)), "
-            f"'&copy;', chr(169)), '&amp;', '&')")
+    return O.decode_entities(x)
 
 
 @register("ingest_web", f"""

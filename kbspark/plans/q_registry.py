@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.plans import landing as L
+from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
 from kbspark.plans.catalog import n_dims
 from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register  # noqa: F401
@@ -20,8 +21,7 @@ _TOKENS = "[^\\t\\n\\x0B\\f\\r ]"
 
 
 def _decode(x: str) -> str:
-    return (f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', chr(183)), "
-            f"'&copy;', chr(169)), '&amp;', '&')")
+    return O.decode_entities(x)
 
 
 _ARTICLE = _decode("regexp_replace(regexp_extract(p.html, '<article[^>]*>(.*?)</article>', 1, 's'), "
