@@ -113,9 +113,11 @@ def retention_predicate(created_at: Column, now: Column, days: int) -> Column:
 def retention_survivors(kb: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """The snapshot after ``DELETE .. WHERE created_at < now - days``.
 
-    With the snapshot partitioned by creation date, the predicate prunes whole
-    partitions at the scan."""
-    return kb.filter(~retention_predicate(F.col("created_at"), now, days))
+    Written as ``created_at IS NULL OR created_at >= boundary`` (the same rows as
+    ``NOT coalesce(created_at < boundary, false)``) so that parquet can push it down."""
+    boundary = now - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days))
+    c = F.col("created_at")
+    return kb.filter(c.isNull() | (c >= boundary))
 
 
 def retention_counts(kb: DataFrame, now: Column, days: int = 30) -> DataFrame:

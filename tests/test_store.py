@@ -136,6 +136,9 @@ def test_snapshot_retention_prunes_days(spark, tmp_root):
     boundary = _now() - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(15))
     plan = df.filter(F.col("created_date") >= F.to_date(boundary))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_date" in plan
+    from kbspark.operators.store import retention_survivors
+    pushed = retention_survivors(st.read(), _now(), 15)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(created_at),GreaterThanOrEqual(created_at" in pushed, pushed
     assert st.retain(_now(), 15)
     kept = sorted(r.doc_id for r in st.read().collect())
     want = sorted([f"d{i}" for i in range(60) if dt.datetime(2024, 1, 1 + i % 30, 12) >= dt.datetime(2024, 1, 16)]
