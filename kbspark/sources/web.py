@@ -15,6 +15,7 @@ error string instead of failing the task.
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,6 +28,8 @@ from kbspark.functions.text import go_string
 
 # HTML void elements (no end tag, no content).
 VOID_TAGS = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
+# HTML5 RCDATA elements: their content is text (tags inside are literal), entities decoded.
+RCDATA_TAGS = frozenset(("title", "textarea"))
 # Fixed selector of the reference: article, main, .content, #content
 SELECT_TAGS = frozenset(("article", "main"))
 SELECT_CLASS = "content"
@@ -52,6 +55,7 @@ class _Extractor(HTMLParser):
         self.open_matches: list[int] = []
         self.title: list[str] = []
         self.in_title = 0
+        self.rcdata = False
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -64,12 +68,17 @@ class _Extractor(HTMLParser):
         self.stack.append((tag, idx))
         if tag == "title":
             self.in_title += 1
+        if tag in RCDATA_TAGS:
+            self.set_cdata_mode(tag)          # raw text up to the matching end tag
+            self.rcdata = True
 
     def handle_startendtag(self, tag, attrs):
         # HTML ignores the self-closing slash on non-void elements.
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag in RCDATA_TAGS:
+            self.rcdata = False
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 for t, idx in self.stack[i:]:
@@ -82,6 +91,8 @@ class _Extractor(HTMLParser):
         # a stray end tag closes nothing
 
     def handle_data(self, data):
+        if self.rcdata:
+            data = unescape(data)
         for idx in self.open_matches:
             self.buffers[idx].append(data)
         if self.in_title > 0:
@@ -98,6 +109,8 @@ def extract_page(html: str | None) -> tuple[str, str, str | None]:
         p = _Extractor()
         p.feed(html)
         p.close()
+        if p.rcdata and p.rawdata:            # an unclosed title/textarea runs to the end
+            p.handle_data(p.rawdata)
         return "".join(p.title), "".join("".join(b) for b in p.buffers), None
     except Exception as ex:  # noqa: BLE001 - isolate the page, never fail the task
         return "", "", f"html parse error: {type(ex).__name__}"

@@ -27,6 +27,14 @@ def test_html_edges():
     assert extract_page("<article><b>unclosed<p>x</article><footer>f</footer>")[1] == "unclosedx"
 
 
+def test_html_rcdata():
+    # title and textarea content is text: tags inside are literal, entities decoded
+    t, x, _ = extract_page("<title>a<b>c</b> &amp; d</title><article>x<textarea>q<b>r</b></textarea></article>")
+    assert t == "a<b>c</b> & d" and x == "xq<b>r</b>"
+    assert extract_page("<title>open <article>a</article>")[:2] == ("open <article>a</article>", "")
+    assert extract_page("<article>a\r\nb</article>")[1] == "a\nb"
+
+
 def test_json_rendering():
     assert render_body('{"b":1,"a":[1,2]}') == ("map[a:[1 2] b:1]", None)
     assert render_body('{"a":{"x":null}}') == ("map[a:map[x:<nil>]]", None)
