@@ -30,6 +30,9 @@ from kbspark.functions.text import go_string
 VOID_TAGS = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 # HTML5 RCDATA elements: their content is text (tags inside are literal), entities decoded.
 RCDATA_TAGS = frozenset(("title", "textarea"))
+# HTML5 RAWTEXT elements (scripting enabled): literal text, entities not decoded.
+# script and style are handled by the stdlib parser already.
+RAWTEXT_TAGS = frozenset(("xmp", "iframe", "noembed", "noframes", "noscript"))
 # Fixed selector of the reference: article, main, .content, #content
 SELECT_TAGS = frozenset(("article", "main"))
 SELECT_CLASS = "content"
@@ -56,6 +59,7 @@ class _Extractor(HTMLParser):
         self.title: list[str] = []
         self.in_title = 0
         self.rcdata = False
+        self.rawtext = False
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -71,6 +75,9 @@ class _Extractor(HTMLParser):
         if tag in RCDATA_TAGS:
             self.set_cdata_mode(tag)          # raw text up to the matching end tag
             self.rcdata = True
+        elif tag in RAWTEXT_TAGS:
+            self.set_cdata_mode(tag)
+            self.rawtext = True
 
     def handle_startendtag(self, tag, attrs):
         # HTML ignores the self-closing slash on non-void elements.
@@ -79,6 +86,8 @@ class _Extractor(HTMLParser):
     def handle_endtag(self, tag):
         if tag in RCDATA_TAGS:
             self.rcdata = False
+        if tag in RAWTEXT_TAGS:
+            self.rawtext = False
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 for t, idx in self.stack[i:]:
@@ -109,7 +118,7 @@ def extract_page(html: str | None) -> tuple[str, str, str | None]:
         p = _Extractor()
         p.feed(html)
         p.close()
-        if p.rcdata and p.rawdata:            # an unclosed title/textarea runs to the end
+        if (p.rcdata or p.rawtext) and p.rawdata:     # an unclosed raw element runs to the end
             p.handle_data(p.rawdata)
         return "".join(p.title), "".join("".join(b) for b in p.buffers), None
     except Exception as ex:  # noqa: BLE001 - isolate the page, never fail the task

@@ -33,6 +33,7 @@ def test_html_rcdata():
     assert t == "a<b>c</b> & d" and x == "xq<b>r</b>"
     assert extract_page("<title>open <article>a</article>")[:2] == ("open <article>a</article>", "")
     assert extract_page("<article>a\r\nb</article>")[1] == "a\nb"
+    assert extract_page("<article><noscript><b>n</b>&amp;</noscript>z</article>")[1] == "<b>n</b>&amp;z"
 
 
 def test_json_rendering():
