@@ -108,3 +108,31 @@ def test_driver_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 30
     df = E.entry(spark)
     assert df.count() > 0 and "prompt_md5" in df.columns
+
+
+def test_source_stream_touches_registry_and_is_idempotent(spark, tmp_root):
+    import os
+    import time
+    from kbspark.schema import SOURCE
+    from kbspark.sources.snapshot import SnapshotStore
+    from kbspark.streaming.stream import stream_sources
+    reg = _registry(spark).cache()
+    ids = {r.type: r.id for r in reg.collect()}
+    land = os.path.join(tmp_root, "landing")
+    schema = "source_id string, url string, body string, page_no long"
+    spark.createDataFrame([(ids["link"], "p1", "<article>one</article>", None)], schema) \
+        .coalesce(1).write.parquet(land + "/a")
+    time.sleep(1.1)
+    spark.createDataFrame([(ids["api"], "a1", '{"k": 1}', None), (ids["api"], "a2", "[0]", None)], schema) \
+        .coalesce(1).write.parquet(land + "/b")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land + "/*")
+              .withColumn("fetched_at", F.current_timestamp()))
+    kb = SnapshotStore(spark, os.path.join(tmp_root, "kb"))
+    rs = SnapshotStore(spark, os.path.join(tmp_root, "reg"), schema=SOURCE, partition_by=None)
+    stream_sources(spark, stream, reg, kb, rs, os.path.join(tmp_root, "ckpt"))
+    contents = sorted(r.content for r in kb.read().collect())
+    assert contents == ["map[k:1]", "one"]                      # the rejected body adds nothing
+    touched = {r.type for r in rs.read().collect() if r.last_updated is not None}
+    assert touched == {"link", "api"}
+    n = len(kb.versions())
+    assert n == 2 and not kb.commit(kb.read(), batch_id=kb.versions()[-1][1])
