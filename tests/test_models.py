@@ -67,3 +67,21 @@ def test_batch_topk_matches_brute_force(spark, n, q, k, threshold, seed):
                 cands.append((-key, f"{i:03d}"))
         want += [(j, r + 1, d) for r, (_, d) in enumerate(sorted(cands)[:k])]
     assert got == sorted(want)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["p", "q", "r"]), st.integers(1, 40),
+                          st.one_of(st.none(), st.text("abc", max_size=3))), max_size=40),
+       st.integers(1, 6))
+def test_two_level_stitch_equals_ordered_concat(spark, pages, block):
+    from kbspark.sources.pages import stitch_pages
+    uniq = {}
+    for path, no, text in pages:              # one text per (path, page)
+        uniq.setdefault((path, no), text)
+    rows = [(p, n, t) for (p, n), t in uniq.items()]
+    df = spark.createDataFrame(rows, "path string, page_no long, text string")
+    got = {r.title: r.text for r in stitch_pages(df, block_pages=block).collect()}
+    want = {}
+    for (p, n), t in sorted(uniq.items()):
+        want[p] = want.get(p, "") + (t or "")
+    assert got == want
