@@ -79,3 +79,15 @@ def test_rag_no_match_keeps_prompt(spark):
     assert out[10].sources == ["2", "1"] and out[10].response == "alpha beta"
     assert out[11].sources is None and out[11].response == ""
     assert "Context:\n\n\nQuestion: zzz qqq" in out[11].prompt
+
+
+def test_rag_query_groups_equal_single_group(spark, monkeypatch):
+    import kbspark.operators.rag as R
+    e = HashingEmbedder(64)
+    kb = spark.createDataFrame([(i, str(i), f"w{i % 5} w{i % 3} common") for i in range(40)],
+                               "id long, doc_id string, content string").withColumn("embedding", e.embed("content"))
+    qs = spark.createDataFrame([(j, f"w{j % 5} common") for j in range(12)], "query_id long, query string")
+    one = sorted((r.query_id, tuple(r.sources or ())) for r in R.rag(qs, kb, k=4, threshold=0.3, embedder=e).collect())
+    monkeypatch.setattr(R, "MATCH_BROADCAST_ROWS", 10)            # forces 5 query groups
+    many = sorted((r.query_id, tuple(r.sources or ())) for r in R.rag(qs, kb, k=4, threshold=0.3, embedder=e).collect())
+    assert one == many and len(one) == 12
