@@ -109,8 +109,10 @@ def update_feed(spark, sf_dir, orders: DataFrame | None = None) -> DataFrame:
                     F.col("o_custkey").cast("string"), F.lit(" is "), F.col("o_orderstatus"))
     content = (F.when(k == 0, F.lit("")).when(k == 1, F.lit("   ")).when(k == 2, F.lit("\t"))
                .when(k == 3, F.lit("\n")).when(k == 4, F.lit("\u00a0")).otherwise(text))
-    return o.select(content.alias("content"), F.col("o_orderpriority").alias("source"),
-                    F.col("o_orderdate").alias("updated_at"), F.col("o_orderkey").alias("seq"))
+    from kbspark.sources.updates import normalise
+    return normalise(o.select(content.alias("content"), F.col("o_orderpriority").alias("source"),
+                              F.col("o_orderdate").alias("updated_at"), F.col("o_orderkey").alias("seq")),
+                     extra=["seq"])
 
 
 UPDATE_CONTENT_SQL = """CASE o_orderkey % 50 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN chr(9)
