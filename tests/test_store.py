@@ -144,3 +144,14 @@ def test_snapshot_retention_prunes_days(spark, tmp_root):
     want = sorted([f"d{i}" for i in range(60) if dt.datetime(2024, 1, 1 + i % 30, 12) >= dt.datetime(2024, 1, 16)]
                   + ["nul"])
     assert kept == want
+
+
+def test_id_functions(spark):
+    from kbspark.functions.ids import content_doc_id, source_id, update_doc_id
+    df = spark.createDataFrame([("s", dt.datetime(1969, 12, 31, 23, 59, 59, 500000)),
+                                ("s", dt.datetime(2024, 1, 1, 0, 0, 0, 900000))], "src string, ts timestamp")
+    ids = [r.i for r in df.select(update_doc_id("src", "ts").alias("i")).collect()]
+    assert ids == ["doc_s_-1", "doc_s_1704067200"]          # floored seconds, like Unix()
+    r = df.select(content_doc_id(F.lit("api-1"), F.col("ts"), F.lit(3)).alias("c"),
+                  source_id(F.lit("rss"), F.col("ts"), F.lit(0)).alias("s")).collect()[1]
+    assert r.c == "api-1-1704067200900000003" and r.s == "rss-1704067200900000000"
