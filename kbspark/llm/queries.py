@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import snapshots, url_rules
+from kbspark.llm import chosen_path, hyperplanes, piece_bpe, snapshots, url_rules
 from kbspark.session import ship_package
 
 QUERIES: dict = {}
@@ -31,6 +31,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_url_rules(table(spark, sf_dir, "pages"), rules)
 
 
+@register("op2_minhash_near_dedup", chosen_path.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@register("op3_embedding_near_dedup", hyperplanes.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplanes.embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@register("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op8_chat_formatting", snapshots.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.format_conversations(table(spark, sf_dir, "conversations"))
