@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chosen_path, hyperplanes, piece_bpe, snapshots, url_rules
+from kbspark.llm import chosen_path, hyperplanes, norm_buckets, piece_bpe, snapshots, url_rules
 from kbspark.session import ship_package
 
 QUERIES: dict = {}
@@ -47,6 +47,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@register("op5_exact_topk", norm_buckets.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = norm_buckets.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return norm_buckets.top_products(v, v.filter("vec_id % 50 = 0"), k=5)
+
+
 @register("op8_chat_formatting", snapshots.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.format_conversations(table(spark, sf_dir, "conversations"))
