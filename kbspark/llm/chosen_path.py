@@ -1,28 +1,31 @@
 """MinHash near-duplicates: a chosen-path set similarity join.
 
 Each document is its set of distinct word shingles. Equal sets collapse into one class first. A
-class gets a sketch of ``COORDS`` minwise tokens; ``trees`` independent trees branch the classes
-recursively by the tokens at chosen coordinates: the root of a tree chooses ``root_depth``
-coordinates at once, each further level one, and in a quarter of the nodes a second one (about
-1 / similarity children per record on average, so that a linked pair is expected to stay together
-in one child at any depth). Nodes of at most ``small`` classes are compared exhaustively; larger
-ones branch on. A pair at the threshold meets in a root of 3 coordinates with probability 0.51, so
-20 trees miss it less than once in a million, before branching costs anything.
-
-Large groups of near copies never become small by branching. They end another way, without
-dropping rows: every member of a node is compared with the node's leader, links join labels
-(connected components so far), and a node whose members all have one label is closed, as no link
-inside it is news. Only pairs of different labels are ever compared. Nodes whose classes agree in
-all coordinates are finished by further leaders, one after the other, until one label is left.
-
-Every candidate passes a sketch filter (2 bits of each coordinate; five standard deviations of
-slack) and is then confirmed on the full sets, so no false link exists; components follow.
+class gets a sketch of minwise tokens; ``trees`` independent trees branch the classes recursively
+by the tokens at chosen coordinates: the root of a tree chooses ``root_depth`` coordinates at once,
+each further level one, and the first ``EXTRA_LEVELS`` of these a second one in a quarter of the
+nodes (about 1 / similarity children per record, so that a linked pair is expected to stay together
+in one child). Nodes of at most ``small`` classes are compared exhaustively; larger ones branch on.
+A pair at the threshold meets in a root of 3 coordinates with probability 0.51, so 20 trees miss it
+less than once in a million.
+
+Large groups of near copies hardly shrink by branching. They end another way, without dropping
+rows: every member of a large node is compared with the node's leader, its most central member
+(nearest to the majority of the sketch bits of about ``CENTRE_SAMPLE`` members; the source of a group
+of copies, if it is there). Links join labels (components so far); only pairs of different labels
+are compared at all, and a node whose members all have one label is closed, as no link inside it
+is news. Nodes whose classes agree in all coordinates are finished by blocks of ``small`` members,
+each pair of blocks compared exhaustively.
+
+Every candidate passes two sketch filters (128 bits, then 256 coordinates of 4 bits; five standard
+deviations of slack) and is then confirmed on the full sets, once, so no false link exists;
+components follow.
 
 Scale: texts are read once for the sketches and once per level that has candidates, then only
 those of candidates (a semi-join with their ids: broadcast while they are few, else shuffled).
 What is shuffled per class and tree is 50 bytes at the root level and only large nodes below.
-Node sizes, leaders and labels are partial aggregates, and hot nodes are met by joins that AQE can
-split; groups are only collected up to ``small`` members. Levels are cut by tables in the shared
+Node sizes and labels are partial aggregates, and hot nodes are met by joins that AQE can split;
+groups are only collected up to ``small`` members. Levels are cut by tables in the shared
 checkpoint folder. The driver sees row counts only.
 
 Defined cases: null, empty and blank texts have no set (``n_shingles`` 0) and link nothing; texts
@@ -45,7 +48,10 @@ from kbspark.llm.components import connected_components
 from kbspark.llm.words import mix, seeds, shingle_sets, slices
 from kbspark.session import scratch_dir
 
-COORDS = 64
+#: Coordinates to branch by (32-bit tokens) and to compare (the same and more).
+COORDS, WIDE = 64, 256
+EXTRA_LEVELS = 3
+CENTRE_SAMPLE = 64
 #: Candidate ids are broadcast up to this many (16 bytes each), else shuffled.
 BROADCAST_IDS = 2_000_000
 #: Seed of the trees' choices.
@@ -63,13 +69,14 @@ def _fingerprints(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _sketch(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(sets x COORDS) 32-bit minwise tokens."""
-    mult, flip = seeds(COORDS, 400) | np.uint64(1), seeds(COORDS, 500)
-    out = np.empty((len(off) - 1, COORDS), np.uint32)
+    """Per set, as bytes: COORDS 32-bit minwise tokens, then 4 bits of each of WIDE tokens."""
+    mult, flip = seeds(WIDE, 400) | np.uint64(1), seeds(WIDE, 800)
+    out = np.empty((len(off) - 1, WIDE), np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(COORDS):
+        for i in range(WIDE):
             out[:, i] = mix(np.minimum.reduceat((sets ^ flip[i]) * mult[i], off[:-1])) >> np.uint64(32)
-    return out
+    four = (out & np.uint32(15)).astype(np.uint8)
+    return np.hstack([np.ascontiguousarray(out[:, :COORDS]).view(np.uint8), four[:, ::2] | four[:, 1::2] << 4])
 
 
 def _fixed(a: np.ndarray) -> pa.Array:
@@ -118,15 +125,26 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "cls binary, items array<long>")
 
 
-def _bits(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of each of the 64 coordinates, as two 64-bit words."""
-    return tuple(np.packbits((sketch >> np.uint32(k)) & 1, axis=1).view(np.int64).ravel() for k in range(2))
+def _tokens(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows x COORDS) tokens, and one bit of each of the first 128 coordinates as two 64-bit words."""
+    raw = _plain(sketches, np.uint8, 4 * COORDS + WIDE // 2)
+    tokens = np.ascontiguousarray(raw[:, :4 * COORDS]).view(np.uint32)
+    four = raw[:, 4 * COORDS:4 * COORDS + 64]
+    bits = np.hstack([four & 1, four >> 4 & 1])
+    words = np.packbits(bits, axis=1).view(np.int64)
+    return tokens, words[:, 0].copy(), words[:, 1].copy()
 
 
 def _far(similarity: float) -> int:
     """Most differing bits (of 128) that a linked pair is allowed: mean plus five deviations."""
-    d = 1 - similarity
-    return math.ceil(COORDS * d + 5 * math.sqrt(COORDS * (1.5 * d - d * d)))
+    p = (1 - similarity) / 2
+    return math.ceil(128 * p + 5 * math.sqrt(128 * p * (1 - p)))
+
+
+def _least_equal(similarity: float) -> int:
+    """Fewest equal 4-bit coordinates (of WIDE) of a linked pair: mean minus five deviations."""
+    p = similarity + (1 - similarity) / 16
+    return math.floor(WIDE * p - 5 * math.sqrt(WIDE * p * (1 - p)))
 
 
 def _choice(tree: int) -> np.ndarray:
@@ -141,8 +159,7 @@ def _roots(classes: DataFrame, trees: int, depth: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            s = _plain(b.column(1), np.uint32, COORDS)
-            lo, hi = _bits(s)
+            s, lo, hi = _tokens(b.column(1))
             for r in range(trees):
                 with np.errstate(over="ignore"):
                     h = np.full(len(s), mix(np.array([r + 1], np.uint64))[0] * mult[depth], np.uint64)
@@ -154,20 +171,18 @@ def _roots(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("cls", "sketch").mapInArrow(run, "tree int, node long, cls binary, lo long, hi long")
 
 
-def _branch(rows: DataFrame, depth: int) -> DataFrame:
+def _branch(rows: DataFrame, depth: int, twice: bool) -> DataFrame:
     """The children of the rows' nodes at ``depth`` (rows: tree, node, cls, lo, hi, label, sketch)."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            s = _plain(b.column(6), np.uint32, COORDS).astype(np.uint64)
+            s = _tokens(b.column(6))[0].astype(np.uint64)
             tree = b.column(0).to_numpy(zero_copy_only=False)
             node = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             order = {r: _choice(r) for r in np.unique(tree)}
-            for extra in (0, 1):
-                at = (depth + extra * (COORDS - depth) // 2) % COORDS
-                if extra and at <= depth:
-                    continue
+            for extra in (0, 1) if twice and depth < COORDS - 1 else (0,):
+                at = depth if not extra else (depth + COORDS) // 2
                 col = np.array([order[r][at] for r in tree])
                 with np.errstate(over="ignore"):
                     child = mix(node * np.uint64(0x9E3779B97F4A7C15) + s[np.arange(len(s)), col] + np.uint64(at << 40))
@@ -187,7 +202,7 @@ class _Join:
         self.spark = docs.sparkSession
         self.base = scratch_dir(self.spark, "chosen-path")
         self.n_stored = 0
-        self.far = _far(percent / 100)
+        self.far, self.least_equal = _far(percent / 100), _least_equal(percent / 100)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{self.n_stored}-{name}"
@@ -197,34 +212,83 @@ class _Join:
 
     # -- candidates -----------------------------------------------------------------------
     def prune(self, rows: DataFrame) -> DataFrame:
-        """Rows of nodes that hold more than one label, with the node's size and leader."""
-        fresh = (F.col("after").isNull() | (F.col("cls") > F.col("after"))) if "after" in rows.columns else F.lit(True)
-        after = [F.first("after").alias("after")] if "after" in rows.columns else []
-        leader = F.min(F.when(fresh, F.struct("cls", "lo", "hi"))).alias("leader")
-        stat = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("cnt"), F.min("label").alias("l0"), F.max("label").alias("l1"), leader)
-                .filter("cnt > 1 and l0 <> l1 and leader is not null").select("node", "cnt", "leader"))
-        return self.store(rows.drop("after").join(stat, "node"), "live")
-
-    def near(self, a: str, b: str):
-        return F.expr(f"bit_count({a}.lo ^ {b}.lo) + bit_count({a}.hi ^ {b}.hi) <= {self.far}")
+        """Rows of nodes that hold more than one label, with the node's size."""
+        stat = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("cnt"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+                .filter("cnt > 1 and l0 <> l1").select("node", "cnt"))
+        return self.store(rows.join(stat, "node"), "live")
 
     def leader_pairs(self, live: DataFrame) -> DataFrame:
-        m = live.select(F.struct("cls", "lo", "hi").alias("m"), "leader").filter("m.cls <> leader.cls").filter(self.near("m", "leader"))
-        return m.select(F.least("m.cls", "leader.cls").alias("a"), F.greatest("m.cls", "leader.cls").alias("b"))
-
-    def all_pairs(self, live: DataFrame) -> DataFrame:
-        """Pairs of different labels in nodes of at most ``small`` classes."""
-        g = (live.filter(F.col("cnt") <= self.small).groupBy("node")
-             .agg(F.array_sort(F.collect_list(F.struct("cls", "lo", "hi", "label"))).alias("ms"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-             .filter("l0 <> l1").select("ms"))
-        one = g.select("ms", F.posexplode("ms").alias("i", "x"))
-        two = one.select("x", F.explode(F.slice("ms", F.col("i") + 2, F.size("ms"))).alias("y"))
-        return two.filter("x.label <> y.label").filter(self.near("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        """Pairs of the members of large nodes with the node's most central member."""
+        large = live.filter(F.col("cnt") > self.small).select("node", "cnt", "cls", "lo", "hi")
+        picked = F.pmod(F.xxhash64("cls", "node"), F.col("cnt")) < CENTRE_SAMPLE
+
+        def majority(batches):
+            for b in batches:
+                c = [np.array([[m["lo"], m["hi"]] for m in ms], np.int64) for ms in b.column(1).to_pylist()]
+                m = [np.packbits(np.unpackbits(x.view(np.uint8).reshape(len(x), 16), axis=1).mean(axis=0) >= 0.5).view(np.int64) for x in c]
+                yield pa.record_batch({"node": b.column(0), "clo": pa.array([x[0] for x in m], pa.int64()), "chi": pa.array([x[1] for x in m], pa.int64())})
+
+        centre = (large.filter(picked).groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("ms"))
+                  .mapInArrow(majority, "node long, clo long, chi long"))
+        off = F.expr("bit_count(lo ^ clo) + bit_count(hi ^ chi)")
+        leader = (large.join(centre, "node").groupBy("node").agg(F.min(F.struct(off.alias("off"), "cls", "lo", "hi")).alias("leader")))
+        m = large.join(leader, "node").filter("cls <> leader.cls").filter(
+            f"bit_count(lo ^ leader.lo) + bit_count(hi ^ leader.hi) <= {self.far}")
+        return m.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b"))
+
+    def all_pairs(self, live: DataFrame, bottom: bool) -> DataFrame:
+        """Pairs of different labels in nodes of at most ``small`` classes; at the bottom in all nodes,
+        by pairs of blocks."""
+        far = self.far
+
+        def compare(batches):
+            for b in batches:
+                a_out, b_out = [], []
+                for ms in b.column(0).to_pylist():
+                    x = np.array([[m["lo"], m["hi"]] for m in ms], np.int64).view(np.uint64)
+                    _, label = np.unique(np.array([m["label"] for m in ms], object), return_inverse=True)
+                    d = np.bitwise_count(x[:, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int16)
+                    i, j = np.nonzero(np.triu(d <= far, 1) & (label[:, None] != label[None, :]))
+                    for p, q in zip(i.tolist(), j.tolist()):
+                        u, v = ms[p]["cls"], ms[q]["cls"]
+                        a_out.append(min(u, v))
+                        b_out.append(max(u, v))
+                yield pa.record_batch({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+
+        g = live.filter(F.col("cnt") <= self.small).withColumn("part", F.lit("")) if not bottom else self.blocks(live)
+        g = (g.groupBy("node", "part").agg(F.collect_list(F.struct("cls", "lo", "hi", "label")).alias("ms"), F.min("label").alias("l0"),
+                                           F.max("label").alias("l1")).filter("l0 <> l1").select("ms"))
+        return g.mapInArrow(compare, "a binary, b binary")
+
+    def blocks(self, live: DataFrame) -> DataFrame:
+        """Each row once for every pair of blocks of its node that holds the row's block."""
+        k = F.ceil(F.col("cnt") / F.lit(max(1, self.small // 2))).cast("int")
+        d = live.withColumn("k", k).withColumn("j", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+        d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        return d.withColumn("part", F.concat_ws("-", F.least("j", "o"), F.greatest("j", "o")))
 
     # -- confirmation ---------------------------------------------------------------------
     def confirm(self, pairs: DataFrame) -> DataFrame | None:
-        """The linked pairs, on the full sets of the texts."""
-        pairs = self.store(pairs.distinct(), "pairs")
+        """The linked pairs, on the full sets of the texts. Each pair is confirmed only once."""
+        pairs = pairs.distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = self.store(pairs, "pairs")
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        least = self.least_equal
+
+        def alike(batches):
+            for b in batches:
+                x, y = (_plain(b.column(i), np.uint8, 4 * COORDS + WIDE // 2)[:, 4 * COORDS:] for i in (2, 3))
+                d = x ^ y
+                equal = (d & 15 == 0).sum(axis=1) + (d >> 4 == 0).sum(axis=1)
+                yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(equal >= least))
+
+        sketch = self.classes.select("cls", "sketch")
+        pairs = (pairs.join(sketch.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a")
+                 .join(sketch.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
+                 .select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary"))
+        pairs = self.store(pairs, "alike")
         if pairs.isEmpty():
             return None
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -257,22 +321,20 @@ class _Join:
         sigs = self.store(_signatures(self.docs, self.words), "signatures")
         self.classes = self.store(sigs.filter("cls is not null").groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-        self.labels = None
+        self.labels = self.seen = None
         linkable = self.classes.filter("rep is not null")
         live = self.prune(self.labelled(_roots(linkable, self.trees, self.root_depth)))
-        pairs, depth = self.leader_pairs(live), self.root_depth
-        while True:
-            self.relabel(self.confirm(pairs))
-            if live.isEmpty():
+        depth = self.root_depth
+        self.relabel(self.confirm(self.leader_pairs(live)))
+        while not live.isEmpty():
+            live, bottom = self.labelled(live), depth >= COORDS
+            pairs, large = self.all_pairs(live, bottom), live.filter(F.col("cnt") > self.small)
+            if bottom:
+                self.relabel(self.confirm(pairs))
                 break
-            live = self.labelled(live)
-            small, large = self.all_pairs(live), live.filter(F.col("cnt") > self.small)
-            if depth < COORDS:
-                rows = _branch(large.join(self.classes.select("cls", "sketch"), "cls"), depth)
-            else:                           # no coordinate is left: the next leader of the same node
-                rows = large.withColumn("after", F.col("leader.cls")).drop("cnt", "leader")
-            children = self.prune(rows)
-            pairs, live, depth = small.unionByName(self.leader_pairs(children)), children, depth + 1
+            rows = _branch(large.join(self.classes.select("cls", "sketch"), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
+            live, depth = self.prune(rows), depth + 1
+            self.relabel(self.confirm(pairs.unionByName(self.leader_pairs(live))))
         return self.result(sigs)
 
     def result(self, sigs: DataFrame) -> DataFrame:
@@ -285,7 +347,7 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 20, root_depth: int = 3,
-                    small: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    small: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate components of documents by Jaccard similarity of word-shingle sets.
 
     Two documents link if 100 * |intersection| >= ``percent`` * |union|. Returns one row per
