@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chosen_path, hyperplanes, norm_buckets, piece_bpe, snapshots, toxicity, url_rules
+from kbspark.llm import chosen_path, hyperplanes, langid, norm_buckets, piece_bpe, snapshots, toxicity, url_rules
 from kbspark.session import ship_package
 
 QUERIES: dict = {}
@@ -61,3 +61,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_chat_formatting", snapshots.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_query(table(spark, sf_dir, "documents"))
