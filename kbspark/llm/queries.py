@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chosen_path, hyperplanes, langid, norm_buckets, piece_bpe, snapshots, toxicity, url_rules
+from kbspark.llm import (backoff_lm, bins, chosen_path, hyperplanes, langid, norm_buckets, piece_bpe, snapshots, toxicity, url_rules)
 from kbspark.session import ship_package
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.top_products(v, v.filter("vec_id % 50 = 0"), k=5)
 
 
+@register("op6_lm_scoring", backoff_lm.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -63,6 +68,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+@register("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.packed_pieces(table(spark, sf_dir, "documents"))
+
+
 @register("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(table(spark, sf_dir, "documents"))
