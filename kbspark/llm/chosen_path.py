@@ -13,8 +13,9 @@ Large groups of near copies hardly shrink by branching. They end another way, wi
 rows: every member of a large node is compared with the node's leader, its most central member
 (nearest to the majority of the sketch bits of about ``CENTRE_SAMPLE`` members; the source of a group
 of copies, if it is there). Links join labels (components so far); only pairs of different labels
-are compared at all, and a node whose members all have one label is closed, as no link inside it
-is news. Nodes whose classes agree in all coordinates are finished by blocks of ``small`` members,
+are compared at all: a node whose members all have one label is closed, as no link inside it is
+news, and so is one where at most ``small`` members have another label than the most frequent, once
+these few have been compared with all. Nodes whose classes agree in all coordinates are finished by blocks of ``small`` members,
 each pair of blocks compared exhaustively.
 
 Every candidate passes two sketch filters (128 bits, then 256 coordinates of 4 bits; five standard
@@ -212,14 +213,20 @@ class _Join:
 
     # -- candidates -----------------------------------------------------------------------
     def prune(self, rows: DataFrame) -> DataFrame:
-        """Rows of nodes that hold more than one label, with the node's size."""
-        stat = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("cnt"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-                .filter("cnt > 1 and l0 <> l1").select("node", "cnt"))
-        return self.store(rows.join(stat, "node"), "live")
+        """Rows of nodes that hold more than one label, with the node's size, its most frequent
+        label and how many rows have another one."""
+        by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        stat = (by_label.groupBy("node").agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
+                .filter("labels > 1").select("node", "cnt", F.col("m.label").alias("top"), (F.col("cnt") - F.col("m.n")).alias("rest")))
+        return self.store(rows.drop("cnt", "top", "rest").join(stat, "node"), "live")
+
+    def large(self, live: DataFrame) -> DataFrame:
+        """Rows of nodes that are too large to be finished at once."""
+        return live.filter((F.col("cnt") > self.small) & (F.col("rest") > self.small))
 
     def leader_pairs(self, live: DataFrame) -> DataFrame:
         """Pairs of the members of large nodes with the node's most central member."""
-        large = live.filter(F.col("cnt") > self.small).select("node", "cnt", "cls", "lo", "hi")
+        large = self.large(live).select("node", "cnt", "cls", "lo", "hi")
         picked = F.pmod(F.xxhash64("cls", "node"), F.col("cnt")) < CENTRE_SAMPLE
 
         def majority(batches):
@@ -255,17 +262,42 @@ class _Join:
                         b_out.append(max(u, v))
                 yield pa.record_batch({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
-        g = live.filter(F.col("cnt") <= self.small).withColumn("part", F.lit("")) if not bottom else self.blocks(live)
+        g = live.filter(F.col("cnt") <= self.small).withColumn("part", F.lit(""))
+        if bottom:
+            g = g.unionByName(self.blocks(self.large(live)))
         g = (g.groupBy("node", "part").agg(F.collect_list(F.struct("cls", "lo", "hi", "label")).alias("ms"), F.min("label").alias("l0"),
                                            F.max("label").alias("l1")).filter("l0 <> l1").select("ms"))
         return g.mapInArrow(compare, "a binary, b binary")
 
+    def minor_pairs(self, live: DataFrame) -> DataFrame:
+        """Pairs of different labels in larger nodes where at most ``small`` rows have another label
+        than the most frequent one: these few against all."""
+        far = self.far
+        rows = live.filter((F.col("cnt") > self.small) & (F.col("rest") <= self.small)).select("node", "cls", "lo", "hi", "label", "top")
+        few = rows.filter("label <> top").groupBy("node").agg(F.collect_list(F.struct("cls", "lo", "hi", "label")).alias("ms"))
+
+        def compare(batches):
+            for b in batches:
+                a_out, b_out = [], []
+                cls, label = b.column(0).to_pylist(), b.column(3).to_pylist()
+                own = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], 1).view(np.uint64)
+                for i, ms in enumerate(b.column(4).to_pylist()):
+                    x = np.array([[m["lo"], m["hi"]] for m in ms], np.int64).view(np.uint64)
+                    near = np.bitwise_count(x ^ own[i]).sum(axis=1, dtype=np.int16) <= far
+                    for j in np.flatnonzero(near).tolist():
+                        if ms[j]["label"] != label[i]:
+                            a_out.append(min(cls[i], ms[j]["cls"]))
+                            b_out.append(max(cls[i], ms[j]["cls"]))
+                yield pa.record_batch({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+
+        return rows.join(few, "node").select("cls", "lo", "hi", "label", "ms").mapInArrow(compare, "a binary, b binary")
+
     def blocks(self, live: DataFrame) -> DataFrame:
         """Each row once for every pair of blocks of its node that holds the row's block."""
         k = F.ceil(F.col("cnt") / F.lit(max(1, self.small // 2))).cast("int")
         d = live.withColumn("k", k).withColumn("j", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
         d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        return d.withColumn("part", F.concat_ws("-", F.least("j", "o"), F.greatest("j", "o")))
+        return d.withColumn("part", F.concat_ws("-", F.least("j", "o"), F.greatest("j", "o"))).select(*live.columns, "part")
 
     # -- confirmation ---------------------------------------------------------------------
     def confirm(self, pairs: DataFrame) -> DataFrame | None:
@@ -326,13 +358,15 @@ class _Join:
         live = self.prune(self.labelled(_roots(linkable, self.trees, self.root_depth)))
         depth = self.root_depth
         self.relabel(self.confirm(self.leader_pairs(live)))
-        while not live.isEmpty():
-            live, bottom = self.labelled(live), depth >= COORDS
-            pairs, large = self.all_pairs(live, bottom), live.filter(F.col("cnt") > self.small)
+        while True:
+            live, bottom = self.prune(self.labelled(live)), depth >= COORDS
+            if live.isEmpty():
+                break
+            pairs = self.all_pairs(live, bottom).unionByName(self.minor_pairs(live))
             if bottom:
                 self.relabel(self.confirm(pairs))
                 break
-            rows = _branch(large.join(self.classes.select("cls", "sketch"), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
+            rows = _branch(self.large(live).join(self.classes.select("cls", "sketch"), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
             live, depth = self.prune(rows), depth + 1
             self.relabel(self.confirm(pairs.unionByName(self.leader_pairs(live))))
         return self.result(sigs)
