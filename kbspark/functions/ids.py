@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.session import ensure_checkpoint_dir
@@ -36,26 +36,35 @@ def source_id(source_type, ts, ordinal) -> Column:
     return F.concat(_col(source_type), F.lit("-"), unix_nanos(ts, ordinal).cast("string"))
 
 
+def _stamped(df: DataFrame) -> DataFrame:
+    """``df`` with (``_pid``, ``_li``) = partition and position, behind a reliable checkpoint, so
+    that a retried task cannot renumber."""
+    ensure_checkpoint_dir(df.sparkSession)
+    pid = F.spark_partition_id()
+    return (df.withColumn("_pid", pid)
+            .withColumn("_li", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
+            .checkpoint(eager=True))
+
+
+def _numbered(s: DataFrame, out: str, start: int) -> DataFrame:
+    """Offsets from per-partition counts: one row per partition, joined as a table."""
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.lit(start)).alias("_off"))
+    return s.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + F.col("_li")).drop("_pid", "_li", "_off")
+
+
+def unique_index(df: DataFrame, out: str = "idx", start: int = 0) -> DataFrame:
+    """A dense index (from ``start``) in no particular order: rows are numbered where they are,
+    without a shuffle of the rows."""
+    s = _numbered(_stamped(df), out, start)
+    return s.select(*df.columns, out)
+
+
 def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx", start: int = 0) -> DataFrame:
     """A dense 0-based (+start) index in ``order_cols`` order without a single-partition window.
 
-    Range-partition and sort by the key, stamp each row with (partition, position)
-    in the same stage, and cut the lineage with a reliable checkpoint so a retried
-    task cannot renumber.  Per-partition counts (one row per partition: bounded by
-    the partition count, not the data) give the offsets.
+    For narrow rows whose rank matters: range-partition and sort by the key, stamp each row with (partition, position), then add per-partition offsets.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    pid = F.spark_partition_id()
-    s = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_pid", pid)
-         .withColumn("_li", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)))
-    s = s.checkpoint(eager=True)
-    counts = {r["_pid"]: r["n"] for r in s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return s.drop("_pid", "_li").withColumn(out, F.lit(None).cast("long"))
-    offs, acc = [], start
-    for p in range(max(counts) + 1):
-        offs.append(acc)
-        acc += counts.get(p, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offs]), F.col("_pid") + 1)
-    return s.withColumn(out, off + F.col("_li")).drop("_pid", "_li")
+    s = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    return _numbered(_stamped(s), out, start).select(*df.columns, out)

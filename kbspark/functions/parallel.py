@@ -1,8 +1,8 @@
 """Parallelism guard for CPU-heavy per-row stages (embedding, parsing, scoring).
 
 A small or single-row-group input scans as one partition, which would run
-the heavy stage in one task.  ``spread`` checks the partition count at plan
-time and only then hash-redistributes (deterministic on retry).  On large
+the heavy stage in one task.  ``spread`` estimates the scan's splits from the
+plan's size statistics (no job runs) and only then hash-redistributes (deterministic on retry).  On large
 inputs - thousands of scan splits - it returns the DataFrame unchanged, so it
 adds no shuffle where the scan already gives enough parallelism.
 """
@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (file sizes for scans); runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def target_partitions(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism * 2)
 
@@ -21,7 +26,8 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     if df.isStreaming:
         return df
     n = target_partitions(df)
-    if df.rdd.getNumPartitions() >= n // 2:
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if estimated_bytes(df) >= n // 2 * split:
         return df
     if key is not None:
         return df.repartition(n, F.xxhash64(F.col(key)))

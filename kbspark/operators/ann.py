@@ -3,8 +3,8 @@
 Build: ``pyspark.ml`` KMeans (cosine distance, distributed Lloyd iterations
 over the whole table) gives ``n_lists`` centroids; every vector is assigned
 its cell by the fitted model (JVM, no join back).  The index can be written
-partitioned by cell, with each hot cell spread over several files (salted
-repartition), so a probe reads only the cells it needs (partition pruning).
+partitioned by cell, with large cells spread over several files (rebalance by
+size), so a probe reads only the cells it needs (partition pruning).
 
 Search: each query probes its ``n_probe`` most similar centroids; scoring runs
 in the same Arrow-batched matmul scorer as the exact search, restricted per
@@ -19,13 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kbspark.functions.vectors import l2_normalize
-from kbspark.operators.retrieve import DEFAULT_MAX_BROADCAST_BYTES, top_k_batch
+from kbspark.functions.vectors import SIM_SCALE, l2_normalize
+from kbspark.operators.retrieve import DEFAULT_MAX_BROADCAST_BYTES, _to_matrix, top_k_batch
 from kbspark.session import ensure_checkpoint_dir
 
 # Fixed default of the reference's index (ivfflat, lists = 100).
 DEFAULT_LISTS = 100
+MAX_CENTROIDS = 65_536
 
 
 @dataclass
@@ -37,34 +39,56 @@ class IVFIndex:
     def n_lists(self) -> int:
         return len(self.centroids)
 
-    def write(self, path: str, salt_buckets: int = 8) -> "IVFIndex":
-        """Persist partitioned by cell; a hot cell is spread over ``salt_buckets`` writers."""
-        n = self.data.sparkSession.sparkContext.defaultParallelism
-        (self.data.repartition(max(n, 1), "cell", F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets)))
-         .write.mode("errorifexists").partitionBy("cell").parquet(path))
+    def write(self, path: str) -> "IVFIndex":
+        """Persist partitioned by cell; the rebalance splits a large cell over writers by its size."""
+        (self.data.hint("rebalance", "cell").write.mode("errorifexists").partitionBy("cell").parquet(path))
         return IVFIndex(self.centroids, self.data.sparkSession.read.parquet(path))
 
     def probe_fn(self, n_probe: int):
         cent = self.centroids
 
         def probes(qmat: np.ndarray) -> np.ndarray:
-            sims = qmat @ cent.T
             p = min(n_probe, cent.shape[0])
-            top = np.argpartition(-sims, p - 1, axis=1)[:, :p]
-            mask = np.zeros(sims.shape, dtype=bool)
+            top = np.argsort(-_keys(qmat, cent), axis=1, kind="stable")[:, :p]
+            mask = np.zeros((len(qmat), len(cent)), dtype=bool)
             np.put_along_axis(mask, top, True, axis=1)
             return mask
         return probes
 
 
+def _keys(unit: np.ndarray, cent: np.ndarray) -> np.ndarray:
+    """Rounded similarity keys to the centroids, so that ties go to the smaller cell everywhere."""
+    return np.floor((unit @ cent.T) * SIM_SCALE + 0.5)
+
+
+def assign_ivf(kb: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> IVFIndex:
+    """An index on given centroids: a small table of vectors, one cell each, in row order (at most
+    ``MAX_CENTROIDS``). Vectors without a direction are in no cell."""
+    rows = centroids.select(vec_col).limit(MAX_CENTROIDS + 1).collect()
+    if not 0 < len(rows) <= MAX_CENTROIDS:
+        raise ValueError(f"1 to {MAX_CENTROIDS} centroids expected")
+    cent, ok = _to_matrix([r[0] for r in rows], max(len(r[0]) for r in rows))
+    if not ok.all():
+        raise ValueError("a centroid has no direction")
+
+    def assign(batches):
+        for b in batches:
+            unit, good = _to_matrix(b[vec_col].to_numpy(), cent.shape[1])
+            yield b.assign(cell=np.argmax(_keys(unit, cent), axis=1).astype(np.int32))[good]
+
+    data = kb.mapInPandas(assign, T.StructType([*kb.schema.fields, T.StructField("cell", T.IntegerType())]))
+    ensure_checkpoint_dir(kb.sparkSession)
+    return IVFIndex(cent, data.checkpoint(eager=True))
+
+
 def build_ivf(kb: DataFrame, n_lists: int = DEFAULT_LISTS, seed: int = 42, max_iter: int = 20,
               vec_col: str = "embedding") -> IVFIndex:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = l2_normalize(F.col(vec_col))
-    data = kb.withColumn("_unit", unit).filter(F.col("_unit").isNotNull()) \
-        .withColumn("_features", array_to_vector("_unit"))
+    data = kb.select("doc_id", unit.alias("_unit")).filter(F.col("_unit").isNotNull()) \
+        .select(array_to_vector("_unit").alias("_features"))
     km = KMeans(k=n_lists, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
                 featuresCol="_features", predictionCol="cell")
     ensure_checkpoint_dir(kb.sparkSession)
@@ -73,11 +97,11 @@ def build_ivf(kb: DataFrame, n_lists: int = DEFAULT_LISTS, seed: int = 42, max_i
     cent = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     norms = np.linalg.norm(cent, axis=1)
     cent[norms > 0] /= norms[norms > 0, None]
-    assigned = model.transform(data).drop("_unit", "_features").withColumn("cell", F.col("cell").cast("int"))
-    # The built index is materialised once (reliable checkpoint), then the cache is released.
-    assigned = assigned.checkpoint(eager=True)
     data.unpersist()
-    return IVFIndex(cent, assigned)
+    full = kb.withColumn("_unit", unit).filter(F.col("_unit").isNotNull()).withColumn("_features", array_to_vector("_unit"))
+    assigned = model.transform(full).drop("_unit", "_features").withColumn("cell", F.col("cell").cast("int"))
+    # The built index is materialised once (reliable checkpoint).
+    return IVFIndex(cent, assigned.checkpoint(eager=True))
 
 
 def ann_topk(queries: DataFrame, index: IVFIndex, k: int = 10, n_probe: int = 1,

@@ -74,49 +74,56 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
     partitioned by ``type`` in the shared scratch folder - so each processor
     reads only its own partition (partition pruning), never the whole landing.
     Every processor runs once into one outcome table (items and failures
-    together), which is checkpointed; the three results are filters of it.
+    together), which is checkpointed; the three results are filters of it. Bodies
+    carry an id of their own, so a source counts as fetched if any of its bodies
+    did not fail, whatever their urls. The routed copy is deleted at the end.
     """
-    from kbspark.session import scratch_dir
+    from kbspark.session import delete_folder, scratch_dir
     spark = registry.sparkSession
     now = now if now is not None else F.current_timestamp()
     act = active_sources(registry).select(F.col("id").alias("source_id"), "type")
     routed = landed.join(maybe_broadcast(act), "source_id").filter(F.col("type").isin(*DISPATCHABLE_TYPES))
     path = scratch or scratch_dir(spark, "dispatch")
-    routed.write.mode("errorifexists").partitionBy("type").parquet(path)
+    # Clustered by type and split by size, so that a task writes few files.
+    (routed.withColumn("body_id", F.monotonically_increasing_id()).hint("rebalance", "type")
+     .write.mode("errorifexists").partitionBy("type").parquet(path))
     stored = spark.read.parquet(path)
     by = {t: stored.filter(F.col("type") == t).drop("type") for t in DISPATCHABLE_TYPES}
 
     cols = ["source_id"] + CONTENT_COLUMNS
     nul = F.lit(None).cast("string")
+    body = ("body_id",)
 
     def items(df):
-        return df.select(*cols, F.lit("item").alias("kind"), nul.alias("reason"))
+        return df.select(*cols, F.lit("item").alias("kind"), nul.alias("reason"), F.lit(None).cast("long").alias("body_id"))
 
-    api = parse_api(by["api"], now)
-    web = parse_pages(by["link"], now)
+    api = parse_api(by["api"], now, keep=body)
+    web = parse_pages(by["link"], now, keep=body)
     pdf = stitch_pages(by["pdf"].select("source_id", F.col("url").alias("path"), "page_no",
                                         F.col("body").alias("text")), now, keys=["source_id"])
-    vid = parse_videos(by["youtube"], now)
-    rss = parse_feeds(by["rss"], now)
+    vid = parse_videos(by["youtube"], now, keep=body)
+    rss = parse_feeds(by["rss"], now, keep=body)
     # Bodies that produced nothing but did not fail (e.g. a feed without items) still count as fetched.
-    fetched = stored.select("source_id", "url").distinct().select(
+    fetched = stored.select(
         "source_id", *[nul.alias(c) for c in ("title", "text", "source")], "url",
-        F.lit(None).cast("timestamp").alias("published_at"), F.lit("fetch").alias("kind"), nul.alias("reason"))
+        F.lit(None).cast("timestamp").alias("published_at"), F.lit("fetch").alias("kind"), nul.alias("reason"), "body_id")
 
     def checked(df):
         return df.select(*cols, F.when(F.col("error").isNull(), "item").otherwise("reject").alias("kind"),
-                         F.col("error").alias("reason"))
+                         F.col("error").alias("reason"), "body_id")
 
     outcome = (checked(api).unionByName(checked(web)).unionByName(items(pdf))
                .unionByName(checked(vid)).unionByName(checked(rss)).unionByName(fetched))
     outcome = outcome.checkpoint(eager=True)
+    if scratch is None:
+        delete_folder(spark, path)
 
     unknown = act.filter(~F.col("type").isin(*DISPATCHABLE_TYPES)).select(
         "source_id", nul.alias("url"), F.concat(F.lit("unknown source type: "), F.col("type")).alias("reason"))
     content = outcome.filter(F.col("kind") == "item").select(*cols)
     body_rejects = outcome.filter(F.col("kind") == "reject").select("source_id", "url", "reason")
     rejects = body_rejects.unionByName(unknown)
-    fetched_ok = (outcome.filter(F.col("kind") == "fetch").select("source_id", "url")
-                  .join(body_rejects.select("source_id", "url"), ["source_id", "url"], "left_anti")
-                  .select("source_id").distinct())
+    failed = outcome.filter(F.col("kind") == "reject").select("body_id")
+    fetched_ok = (outcome.filter(F.col("kind") == "fetch").select("source_id", "body_id")
+                  .join(failed, "body_id", "left_anti").select("source_id").distinct())
     return content, rejects, fetched_ok

@@ -5,12 +5,14 @@ Parquet has no MERGE/DELETE, so every write produces a new snapshot
 DataFrame (see ``kbspark.sources.snapshot`` for the versioned store).
 All keyed work is hash-aggregate or equi-join on the key:
 
-* the batch is de-duplicated with ``max_by(.., seq)`` - a partial (map-side)
-  aggregate, so a key repeated in a third of the batch is pre-combined before
-  the shuffle instead of landing whole in one task;
-* the merge is one full-outer equi-join on ``doc_id`` (sort-merge at scale;
-  AQE splits skewed partitions);
-* new keys get dense surrogate ids from ``dense_index`` (no global window).
+* rows that the table's constraints forbid never reach a write: ``batch_errors``
+  names the reason, ``upsert_rejects`` returns them;
+* the batch is de-duplicated with ``max_by(.., seq)``, aggregated map-side first
+  (a sort aggregate, as the values are strings and arrays), so a key repeated in
+  a third of the batch is pre-combined before the shuffle;
+* the merge is one equi-join on ``doc_id``: left-outer against a broadcast batch,
+  or full-outer sort-merge (AQE splits skewed partitions). Both give the same rows;
+* new keys get dense surrogate ids from ``unique_index`` (no sort, no global window).
 """
 
 from __future__ import annotations
@@ -18,18 +20,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.functions.ids import dense_index
+from kbspark.functions.ids import unique_index
 from kbspark.schema import KB_COLUMNS, MAX_DOC_ID_CHARS
 from kbspark.session import ensure_checkpoint_dir
 
 
 def dedupe_last(batch: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
-    """Last write wins per key (largest ``seq``); ``_first_seq`` keeps arrival order."""
+    """Last write wins per key (largest ``seq``, ties by a hash of the values, so that the
+    winner does not depend on partitioning); ``_first_seq`` keeps arrival order."""
+    order = F.struct(F.col(seq).alias("s"), F.xxhash64(*cols).alias("h"))
     return (batch.groupBy(key)
-            .agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_v"), F.min(seq).alias("_first_seq"))
+            .agg(F.max_by(F.struct(*cols), order).alias("_v"), F.min(seq).alias("_first_seq"))
             .select(key, "_first_seq", *[F.col(f"_v.{c}").alias(c) for c in cols]))
 
 
+def batch_errors(seq: str = "seq", dim: int | None = None) -> Column:
+    """Why a batch row may not be written (NULL: it may): the constraints of the table."""
+    doc = F.col("doc_id")
+    reason = (F.when(doc.isNull(), "NULL doc_id").when(F.char_length(doc) > MAX_DOC_ID_CHARS, "doc_id too long")
+              .when(F.col("content").isNull(), "NULL content").when(F.col(seq).isNull(), "NULL sequence"))
+    if dim is not None:
+        reason = reason.when(F.col("embedding").isNotNull() & (F.size("embedding") != dim), "wrong dimension")
+    return reason
+
+
+def upsert_rejects(batch: DataFrame, seq: str = "seq", dim: int | None = None) -> DataFrame:
+    """The rows that ``upsert_documents`` leaves out, with their ``reason``."""
+    return batch.withColumn("reason", batch_errors(seq, dim)).filter(F.col("reason").isNotNull())
+
+
 def _batch_bytes(latest: DataFrame) -> int:
     """Size estimate of a de-duplicated batch: text bytes + 4 bytes per vector element."""
     r = latest.agg(F.coalesce(F.sum(F.octet_length("content") + 64
@@ -39,11 +58,14 @@ def _batch_bytes(latest: DataFrame) -> int:
 
 
 def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = None,
-                     seq: str = "seq", max_broadcast_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+                     seq: str = "seq", max_broadcast_bytes: int = 256 * 1024 * 1024,
+                     dim: int | None = None) -> DataFrame:
     """INSERT .. ON CONFLICT (doc_id) DO UPDATE for a whole batch.
 
     New key: both timestamps = now.  Conflict: content and embedding replaced,
     ``updated_at`` = now; ``id`` and ``created_at`` kept.  Returns the new snapshot.
+    Rows with a ``batch_errors`` reason are left out (see ``upsert_rejects``); every base
+    row is kept, whatever its columns hold.
 
     A batch whose measured size is within ``max_broadcast_bytes`` is broadcast and
     the base is streamed through a left-outer hash join (the base is never
@@ -53,8 +75,9 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
     # Materialise the de-duplicated batch once (embeddings included): it feeds the size
     # check, the merge and the new-key ids.  A reliable checkpoint survives executor loss.
     ensure_checkpoint_dir(batch.sparkSession)
-    latest = dedupe_last(batch, "doc_id", seq, ["content", "embedding"]).checkpoint(eager=True)
-    o = base.select(*KB_COLUMNS).alias("o")
+    valid = batch.filter(batch_errors(seq, dim).isNull())
+    latest = dedupe_last(valid, "doc_id", seq, ["content", "embedding"]).checkpoint(eager=True)
+    o = base.select(*KB_COLUMNS, F.lit(True).alias("_old")).alias("o")
     small = _batch_bytes(latest) <= max_broadcast_bytes
     n = (F.broadcast(latest) if small else latest).alias("n")
     how = "left_outer" if small else "full_outer"
@@ -66,20 +89,20 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
         F.when(hit, F.col("n.content")).otherwise(F.col("o.content")).alias("content"),
         F.when(hit, F.col("n.embedding")).otherwise(F.col("o.embedding")).alias("embedding"),
         # An existing row keeps its created_at (even NULL); only an insert stamps now.
-        F.when(F.col("o.doc_id").isNotNull(), F.col("o.created_at")).otherwise(now).alias("created_at"),
+        F.when(F.col("o._old"), F.col("o.created_at")).otherwise(now).alias("created_at"),
         F.when(hit, now).otherwise(F.col("o.updated_at")).alias("updated_at"),
-        F.col("n._first_seq").alias("_first_seq"),
+        F.col("n._first_seq").alias("_first_seq"), F.col("o._old").alias("_old"),
     )
-    old = merged.filter(F.col("id").isNotNull()).drop("_first_seq")
+    old = merged.filter(F.col("_old")).drop("_first_seq", "_old")
     if small:
         # Keys already present: a doc_id-only (column-pruned) scan of the base.
         matched = base.select("doc_id").join(F.broadcast(latest.select("doc_id")), "doc_id")
         new = (latest.join(matched, "doc_id", "left_anti")
                .withColumn("created_at", now).withColumn("updated_at", now))
     else:
-        new = merged.filter(F.col("id").isNull()).drop("id")
+        new = merged.filter(F.col("_old").isNull()).drop("id", "_old")
     start = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1
-    new = dense_index(new, ["_first_seq", "doc_id"], out="id", start=int(start)).drop("_first_seq")
+    new = unique_index(new.drop("_first_seq"), out="id", start=int(start))
     return old.unionByName(new.select(*KB_COLUMNS))
 
 
@@ -97,9 +120,13 @@ def vector_upsert(index: DataFrame, batch: DataFrame, key: str = "vec_id", seq:
     """(id, values) upsert: replace values of existing ids, insert new ones.
 
     The index streams through an anti-join against the (size-checked, broadcast)
-    batch keys; the batch is appended."""
+    batch keys; the batch is appended. A batch with repeated ids needs ``seq`` to say
+    which one is last (``ValueError`` without it); NULL ids are not written."""
+    batch = batch.filter(F.col(key).isNotNull())
     if seq is not None:
-        batch = dedupe_last(batch, key, seq, ["embedding"])
+        batch = dedupe_last(batch.filter(F.col(seq).isNotNull()), key, seq, ["embedding"])
+    elif not batch.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"repeated {key} in a vector batch: name the sequence column")
     batch = batch.select(key, "embedding")
     return index.select(key, "embedding").join(_keys(batch, key), key, "left_anti").unionByName(batch)
 
@@ -184,3 +211,16 @@ def kb_constraints(kb: DataFrame, dim: int) -> DataFrame:
         F.sum(F.when(keyed & (F.col("c") > 1), F.col("c")).otherwise(0)).alias("dup_rows"),
     )
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
+
+
+def source_constraints(registry: DataFrame) -> DataFrame:
+    """K1 for the source registry: id UNIQUE NOT NULL; type, url and schedule NOT NULL."""
+    per_key = registry.groupBy("id").agg(
+        F.count(F.lit(1)).alias("c"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("type", "url", "schedule")])
+    keyed = F.col("id").isNotNull()
+    out = per_key.agg(
+        F.sum("c").alias("n_rows"), F.sum(F.when(~keyed, F.col("c")).otherwise(0)).alias("null_id"),
+        *[F.sum(f"null_{c}").alias(f"null_{c}") for c in ("type", "url", "schedule")],
+        F.count_if(keyed & (F.col("c") > 1)).alias("dup_ids"),
+        F.sum(F.when(keyed & (F.col("c") > 1), F.col("c")).otherwise(0)).alias("dup_rows"))
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in out.columns])

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.vectors import SIM_SCALE, cosine_similarity, key_to_sim, sim_key
 from kbspark.operators import rag as rag_ops
-from kbspark.operators.embed import HashingEmbedder
-from kbspark.operators.generate import ExtractiveGenerator
-from kbspark.operators.retrieve import similar_documents, top_k_batch
+from kbspark.operators.embed import HashingEmbedder, embed_documents
+from kbspark.operators.generate import ExtractiveGenerator, generate_answers
+from kbspark.operators.retrieve import similar_documents, top_k_batch, vector_topk
 from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
 
@@ -122,7 +122,7 @@ SELECT query_id, doc_id AS vec_id, sim_key / 1e9 AS score, rank FROM r WHERE ran
 """)
 def q_vector_topk(spark, sf_dir):
     """T2 + F6: plain top-k, ids and scores only (values excluded)."""
-    r = top_k_batch(TB.vector_queries(spark, sf_dir), TB.vector_index(spark, sf_dir), k=VEC_K)
+    r = vector_topk(TB.vector_queries(spark, sf_dir), TB.vector_index(spark, sf_dir), k=VEC_K)
     return r.select("query_id", F.col("doc_id").alias("vec_id"), F.col("similarity").alias("score"),
                     F.col("rank").cast("long").alias("rank"))
 
@@ -138,14 +138,15 @@ FROM {O.embed_sparse("documents", "doc_id", "text", DIM)}
 def q_embed_documents(spark, sf_dir):
     """M1: default embedder over all documents; non-zero buckets exploded."""
     d = TB.read_spread(spark, sf_dir, "documents")
-    e = d.select("doc_id", _embedder().embed(F.col("text")).alias("embedding"))
+    e = embed_documents(d, "text", embedder=_embedder()).filter(F.col("embed_error").isNull())
     x = e.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
     return x.filter(F.col("value") != 0).select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
 
 
 _CHAT = f"""
-q AS (SELECT conv_id AS query_id, text AS query FROM conversations WHERE role = 'user' AND turn = 0),
+q AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, text AS query
+      FROM conversations WHERE role = 'user'),
 d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content FROM documents),
 qv AS {O.embed_sparse("q", "query_id", "query", DIM)},
 dv AS {O.embed_sparse("d", "doc_id", "content", DIM)},
@@ -186,7 +187,9 @@ SELECT query_id, length(response) AS response_len, md5(response) AS response_md5
 """)
 def q_generate_answers(spark, sf_dir):
     """M2: default (extractive) generator over the prompts."""
-    r = _chat(spark, sf_dir)
+    q = TB.chat_queries(spark, sf_dir)
+    ctx = rag_ops.retrieve_contexts(q, _documents_kb(spark, sf_dir), k=CHAT_K, threshold=CHAT_T, embedder=_embedder())
+    r = generate_answers(rag_ops.build_prompts(q, ctx), generator=ExtractiveGenerator())
     return r.select("query_id", F.length("response").cast("long").alias("response_len"),
                     F.md5("response").alias("response_md5"))
 

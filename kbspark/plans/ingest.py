@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kbspark.functions.ids import update_doc_id
 from kbspark.functions.text import has_text
 from kbspark.operators.embed import HashingEmbedder
-from kbspark.operators.store import upsert_documents
+from kbspark.operators.store import batch_errors, upsert_documents
 from kbspark.schema import KB
 
 
@@ -24,16 +24,28 @@ def empty_kb(spark) -> DataFrame:
 def prepare_updates(updates: DataFrame, embedder=None, seq: str = "seq") -> DataFrame:
     """Update rows ready to upsert: ``(doc_id, content, embedding, seq, status)``.
 
-    status: ``skipped_blank``, ``failed_embed`` or ``ready``.
+    status: ``skipped_blank``, ``failed_embed``, ``failed_insert`` or ``ready``.
     """
     from kbspark.functions.parallel import spread
     embedder = embedder or HashingEmbedder()
     u = spread(updates).withColumn("_blank", ~has_text(F.col("content")))
-    u = u.withColumn("embedding", F.when(~F.col("_blank"), embedder.embed(F.col("content"))))
+    # The text is nulled before the model, which runs on every row it is given.
+    u = u.withColumn("embedding", embedder.embed(F.when(~F.col("_blank"), F.col("content"))))
+    u = u.select(update_doc_id(F.col("source"), F.col("updated_at")).alias("doc_id"), "content",
+                 "embedding", F.col(seq).alias("seq"), "source", "_blank")
     status = (F.when(F.col("_blank"), F.lit("skipped_blank"))
-              .when(F.col("embedding").isNull(), F.lit("failed_embed")).otherwise(F.lit("ready")))
-    return u.select(update_doc_id(F.col("source"), F.col("updated_at")).alias("doc_id"), "content",
-                    "embedding", F.col(seq).alias("seq"), "source", status.alias("status"))
+              .when(F.col("embedding").isNull(), F.lit("failed_embed"))
+              .when(batch_errors("seq").isNotNull(), F.lit("failed_insert")).otherwise(F.lit("ready")))
+    return u.withColumn("status", status).drop("_blank")
+
+
+def update_report(prepared: DataFrame) -> DataFrame:
+    """A6 for the scheduled run: per source, rows seen, skipped, failed and added."""
+    return prepared.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_seen"),
+        *[F.count_if(F.col("status") == s).alias(n) for n, s in (
+            ("n_skipped_blank", "skipped_blank"), ("n_failed_embed", "failed_embed"),
+            ("n_failed_insert", "failed_insert"), ("n_added", "ready"))])
 
 
 def ingest_updates(updates: DataFrame, base: DataFrame | None = None, embedder=None,
@@ -49,7 +61,7 @@ def ingest_updates(updates: DataFrame, base: DataFrame | None = None, embedder=N
 # Source ingestion run
 # ---------------------------------------------------------------------------
 
-from kbspark.functions.ids import content_doc_id, dense_index  # noqa: E402
+from kbspark.functions.ids import unique_index, unix_nanos  # noqa: E402
 from kbspark.operators.registry import active_sources, dispatch, touch_sources  # noqa: E402
 from kbspark.schema import MAX_DOC_ID_CHARS  # noqa: E402
 
@@ -69,10 +81,14 @@ class SourceRun:
     def items(self) -> DataFrame:
         """source_id, doc_id, content, embedding, seq, status (materialised once)."""
         if self._items is None:
-            now = self._now
-            c = self._content.withColumn("_tmd5", F.md5(F.col("text")))
-            c = dense_index(c, ["source_id", "url", "title", "_tmd5"], out="seq").drop("_tmd5")
-            c = (c.withColumn("doc_id", content_doc_id(F.col("source_id"), now, F.col("seq")))
+            # The clock of the ids never stands still: a run starts at ``now`` or one past the
+            # latest nanosecond in the knowledge base, so runs and micro-batches never collide.
+            c = unique_index(self._content, out="seq")
+            last = F.max(F.regexp_extract("doc_id", "-(\\d{1,18}|[1-8]\\d{18})$", 1).try_cast("long"))
+            past = self._base.agg(last.alias("n")).first()["n"]
+            start = unix_nanos(self._now)
+            start = start if past is None else F.greatest(start, F.lit(past + 1))
+            c = (c.withColumn("doc_id", F.concat("source_id", F.lit("-"), (start + F.col("seq")).cast("string")))
                  .withColumn("embedding", self._embedder.embed(F.col("text"))))
             status = (F.when(F.char_length("doc_id") > MAX_DOC_ID_CHARS, F.lit("failed_insert"))
                       .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))

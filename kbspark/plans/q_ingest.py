@@ -9,7 +9,7 @@ from kbspark.plans import landing as L
 from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
 from kbspark.plans.catalog import _embedder, fmt_ts, register
-from kbspark.plans.ingest import ingest_updates
+from kbspark.plans.ingest import ingest_updates, prepare_updates, update_report
 from kbspark.sources.api import parse_api
 from kbspark.sources.feed import parse_feeds
 from kbspark.sources.pages import stitch_pages
@@ -140,3 +140,31 @@ def q_content_doc_ids(spark, sf_dir):
     p = L.page_bodies(spark, sf_dir).select("source_id", "url")
     p = dense_index(p, ["source_id", "url"], out="ordinal")
     return p.select("url", content_doc_id(F.col("source_id"), TB.now_lit(), F.col("ordinal")).alias("doc_id"))
+
+
+class _FailingEmbedder:
+    """The default embedder, failing on the rows that a test feed marks."""
+
+    def __init__(self, inner, marker: str):
+        self.inner, self.marker = inner, marker
+
+    def embed(self, text):
+        return self.inner.embed(F.when(~F.contains(text, F.lit(self.marker)), text))
+
+
+@register("update_report", f"""
+WITH {_UPD},
+r AS (SELECT CASE WHEN seq % 41 = 0 THEN source || repeat('x', 256) ELSE source END AS source, content, seq FROM u)
+SELECT source, count(*) AS n_seen,
+       count(*) FILTER (WHERE NOT regexp_matches(content, '{_WS}')) AS n_skipped_blank,
+       count(*) FILTER (WHERE regexp_matches(content, '{_WS}') AND contains(content, ' is F')) AS n_failed_embed,
+       count(*) FILTER (WHERE regexp_matches(content, '{_WS}') AND NOT contains(content, ' is F') AND length(source) > 255) AS n_failed_insert,
+       count(*) FILTER (WHERE regexp_matches(content, '{_WS}') AND NOT contains(content, ' is F') AND length(source) <= 255) AS n_added
+FROM r GROUP BY source
+""")
+def q_update_report(spark, sf_dir):
+    """A6 on P3: the scheduled run's accounting, with failing embeddings and over-long ids injected."""
+    u = L.update_feed(spark, sf_dir)
+    long_id = F.concat("source", F.repeat(F.lit("x"), 256))
+    u = u.withColumn("source", F.when(F.col("seq") % 41 == 0, long_id).otherwise(F.col("source")))
+    return update_report(prepare_updates(u, _FailingEmbedder(_embedder(), " is F")))

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.plans import landing as L
@@ -141,23 +142,54 @@ def q_touch_sources(spark, sf_dir):
     return run.registry.select("id", "type", "active", fmt_ts("last_updated").alias("last_updated"))
 
 
-@register("source_ingestion", f"""
-WITH {_DISPATCH},
-items AS (SELECT *, row_number() OVER (ORDER BY source_id, url, title, md5(text)) - 1 AS seq FROM content)
-SELECT source_id || '-' || CAST(epoch_us(TIMESTAMP {NOW_TXT}) * 1000 + seq AS VARCHAR) AS doc_id,
-       source_id, md5(text) AS content_md5,
+# Ids are only required to be unique and to name their source; which item gets which is free.
+INGESTED = f"""
+SELECT source_id, md5(text) AS content_md5,
        CAST(CASE WHEN regexp_matches(text, '{_TOKENS}') THEN {DIM} END AS BIGINT) AS n_dims,
-       {NOW_TXT} AS created_at
-FROM items
-""")
+       {NOW_TXT} AS created_at, true AS own_id, CAST(1 AS BIGINT) AS id_rows
+FROM content
+"""
+
+
+def ingested(kb):
+    """The knowledge-base rows of an ingestion run, with checks of their ids."""
+    source = F.regexp_extract("doc_id", "^(.*)-\\d+$", 1)
+    nanos = F.regexp_extract("doc_id", "-(\\d+)$", 1).cast("long")
+    per_id = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    return kb.select(source.alias("source_id"), F.md5("content").alias("content_md5"), n_dims("embedding").alias("n_dims"),
+                     fmt_ts("created_at").alias("created_at"), (nanos >= F.unix_micros(TB.now_lit()) * 1000).alias("own_id"),
+                     per_id.alias("id_rows"))
+
+
+@register("source_ingestion", f"WITH {_DISPATCH} {INGESTED}")
 def q_source_ingestion(spark, sf_dir):
     """P2 + U1: all active sources ingested into the knowledge base in one run."""
     _reg, run = _run(spark, sf_dir)
-    kb = run.kb
-    items = run.items.select("doc_id", "source_id")
-    return kb.join(items, "doc_id").select(
-        "doc_id", "source_id", F.md5("content").alias("content_md5"),
-        n_dims("embedding").alias("n_dims"), fmt_ts("created_at").alias("created_at"))
+    return ingested(run.kb)
+
+
+@register("source_constraints", f"""
+WITH {_REG},
+bad AS (SELECT CASE WHEN i % 11 = 4 THEN NULL ELSE id END AS id, CASE WHEN i % 3 = 0 THEN NULL ELSE type END AS type,
+               CASE WHEN i % 5 = 0 THEN NULL ELSE url END AS url, CASE WHEN i % 7 = 0 THEN NULL ELSE '{L.SCHEDULE}' END AS schedule
+        FROM reg2 UNION ALL SELECT id, type, url, '{L.SCHEDULE}' FROM reg2 WHERE i % 4 = 1),
+per_key AS (SELECT id, count(*) AS c FROM bad GROUP BY id)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE id IS NULL) AS null_id, count(*) FILTER (WHERE type IS NULL) AS null_type,
+       count(*) FILTER (WHERE url IS NULL) AS null_url, count(*) FILTER (WHERE schedule IS NULL) AS null_schedule,
+       (SELECT count(*) FROM per_key WHERE id IS NOT NULL AND c > 1) AS dup_ids,
+       (SELECT coalesce(sum(c), 0) FROM per_key WHERE id IS NOT NULL AND c > 1)::BIGINT AS dup_rows
+FROM bad
+""")
+def q_source_constraints(spark, sf_dir):
+    """K1 for the source registry, with injected violations."""
+    from kbspark.operators.store import source_constraints
+    reg = L.registry(spark, sf_dir)
+
+    def unless(cond, c):
+        return F.when(cond, F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
+    i = F.col("i")
+    bad = reg.select(unless(i % 11 == 4, "id"), unless(i % 3 == 0, "type"), unless(i % 5 == 0, "url"), unless(i % 7 == 0, "schedule"))
+    return source_constraints(bad.unionByName(reg.filter(i % 4 == 1).select("id", "type", "url", "schedule")))
 
 
 @register("ingest_report", f"""

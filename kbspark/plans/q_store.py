@@ -9,7 +9,7 @@ from kbspark.plans import tables as TB
 from kbspark.plans.catalog import n_dims
 from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register
 from kbspark.session import scratch_dir
-from kbspark.sources.snapshot import SnapshotStore
+from kbspark.sources.snapshot import SnapshotStore, scan_kb
 
 # SQL twin of ``documents_kb``: created on day (doc_id mod 30) of January 2024.
 _DOCS_KB = f"""
@@ -30,7 +30,7 @@ def q_kb_scan(spark, sf_dir):
     """Write the KB as a date-partitioned snapshot, scan its six columns back."""
     store = SnapshotStore(spark, scratch_dir(spark, "kb"))
     store.commit(TB.documents_kb(spark, sf_dir, _embedder()))
-    kb = store.read()
+    kb = scan_kb(spark, store.latest_path())
     return kb.select("id", "doc_id", F.md5("content").alias("content_md5"),
                      n_dims("embedding").alias("n_dims"),
                      fmt_ts("created_at").alias("created_at"), fmt_ts("updated_at").alias("updated_at"))
@@ -79,10 +79,19 @@ def _upsert_inputs(spark, sf_dir):
         F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("rev2 "), "text").alias("content"),
         (F.col("doc_id") * 2 + 1).alias("seq"))
     batch = rev1.unionByName(rev2).withColumn("embedding", emb.embed(F.col("content")))
-    return base, batch
-
-
-@register("upsert_documents", f"""
+    # Every tenth document also arrives once as a row that the constraints forbid.
+    bad = d.filter(F.col("doc_id") % 10 == 0).select("doc_id", "text")
+    kind = F.floor(F.col("doc_id") / 10) % 5
+    key = F.col("doc_id").cast("string")
+    bad = bad.select(
+        F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.concat(key, F.repeat(F.lit("x"), 256))).otherwise(key).alias("doc_id"),
+        F.when(kind == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("bad "), "text")).alias("content"),
+        F.when(kind == 3, F.lit(None).cast("long")).otherwise(F.lit(1 << 40)).alias("seq"),
+        F.when(kind == 4, F.array(F.lit(1.0))).cast("array<float>").alias("embedding"))
+    return base, batch.unionByName(bad)
+
+
+_UPSERT = f"""
 WITH base AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content,
                      TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
               FROM documents WHERE doc_id % 2 = 0),
@@ -97,15 +106,39 @@ SELECT coalesce(b.doc_id, l.doc_id) AS doc_id,
        strftime(CASE WHEN l.doc_id IS NOT NULL THEN {TB.NOW_SQL} ELSE b.updated_at END, {_TS}) AS updated_at,
        CAST({DIM} AS BIGINT) AS n_dims
 FROM base b FULL OUTER JOIN latest l ON b.doc_id = l.doc_id
-""")
+"""
+
+
+@register("upsert_documents", _UPSERT)
 def q_upsert_documents(spark, sf_dir):
     """W1 + J2: batch upsert (last write wins inside the batch) into the base snapshot."""
     base, batch = _upsert_inputs(spark, sf_dir)
-    r = ST.upsert_documents(base, batch, now=TB.now_lit())
+    return _upserted(ST.upsert_documents(base, batch, now=TB.now_lit(), dim=DIM))
+
+
+def _upserted(r):
     return r.select("doc_id", F.md5("content").alias("content_md5"), fmt_ts("created_at").alias("created_at"),
                     fmt_ts("updated_at").alias("updated_at"), n_dims("embedding").alias("n_dims"))
 
 
+@register("upsert_documents_sort_merge", _UPSERT)
+def q_upsert_documents_sort_merge(spark, sf_dir):
+    """W1 + J2 as for a batch too large to broadcast: the same rows."""
+    base, batch = _upsert_inputs(spark, sf_dir)
+    return _upserted(ST.upsert_documents(base, batch, now=TB.now_lit(), dim=DIM, max_broadcast_bytes=0))
+
+
+@register("upsert_rejects", """
+SELECT reason, count(*) AS n FROM (
+  SELECT ['NULL doc_id', 'doc_id too long', 'NULL content', 'NULL sequence', 'wrong dimension'][doc_id // 10 % 5 + 1] AS reason
+  FROM documents WHERE doc_id % 10 = 0) GROUP BY reason
+""")
+def q_upsert_rejects(spark, sf_dir):
+    """The batch rows that the table's constraints forbid, by reason."""
+    _base, batch = _upsert_inputs(spark, sf_dir)
+    return ST.upsert_rejects(batch, dim=DIM).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("vector_upsert", """
 WITH base AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0),
 batch AS (SELECT vec_id, list_reverse(embedding) AS embedding FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 1),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.operators.ann import ann_topk, build_ivf
+from kbspark.operators.ann import ann_topk, assign_ivf
 from kbspark.plans import landing as L
+from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
-from kbspark.plans.catalog import n_dims
-from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register
+from kbspark.plans.catalog import _VEC_PAIRS, _embedder, fmt_ts, register
 from kbspark.plans.q_ingest import _UPD, NOW_TXT
-from kbspark.plans.q_registry import _DISPATCH, _TOKENS
+from kbspark.plans.q_registry import _DISPATCH, INGESTED, ingested
 from kbspark.schema import SOURCE
 from kbspark.session import scratch_dir
 from kbspark.sources.snapshot import SnapshotStore
@@ -45,38 +45,57 @@ def q_stream_updates(spark, sf_dir):
                      fmt_ts("updated_at").alias("updated_at"))
 
 
-@register("stream_sources", f"""
-WITH {_DISPATCH},
-items AS (SELECT *, row_number() OVER (ORDER BY source_id, url, title, md5(text)) - 1 AS seq FROM c_link)
-SELECT source_id || '-' || CAST(epoch_us(TIMESTAMP {NOW_TXT}) * 1000 + seq AS VARCHAR) AS doc_id,
-       md5(text) AS content_md5, CAST(CASE WHEN regexp_matches(text, '{_TOKENS}') THEN {DIM} END AS BIGINT) AS n_dims
-FROM items
-""")
+@register("stream_sources", f"WITH {_DISPATCH} {INGESTED}")
 def q_stream_sources(spark, sf_dir):
-    """R2: landed web pages arrive as a stream; each micro-batch runs source ingestion."""
+    """R2: landed bodies of all types arrive as a stream of several micro-batches, each of which
+    runs source ingestion (P2); the same rows as one batch run."""
     root = scratch_dir(spark, "stream-sources")
     store = SnapshotStore(spark, f"{root}/kb")
     reg_store = SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None)
     reg = L.registry(spark, sf_dir)
-    assign = L.body_assigner(reg)
-
-    def to_landed(batch):
-        return assign(L.page_bodies(spark, sf_dir, pages=batch), L.TYPE_CYCLE.index("link"))
-    stream_sources(spark, _read_stream(spark, sf_dir, "pages"), reg, store, reg_store, f"{root}/checkpoint",
-                   embedder=_embedder(), now=TB.now_lit(), to_landed=to_landed)
-    kb = store.read()
-    return kb.select("doc_id", F.md5("content").alias("content_md5"),
-                     n_dims("embedding").alias("n_dims"))
+    landed = L.landed_for_registry(spark, sf_dir, reg)
+    # The pages of one document land in one file.
+    landed.repartition(4, "source_id", "url").write.parquet(f"{root}/landed")
+    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
+    stream_sources(spark, stream, reg, store, reg_store, f"{root}/checkpoint", embedder=_embedder(), now=TB.now_lit())
+    return ingested(store.read())
 
 
-ANN_LISTS, ANN_PROBE, ANN_K = 10, 3, 10
+ANN_K, ANN_PROBE = 10, 3
+# Given centroids: the first vector of each label. Cells and probes go by the rounded similarity key.
+_IVF = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+cent AS (SELECT row_number() OVER (ORDER BY f) - 1 AS c, e FROM
+         (SELECT min(vec_id) AS f FROM embeddings GROUP BY label) JOIN v ON v.vec_id = f),
+near AS (SELECT v.vec_id, cent.c, row_number() OVER (PARTITION BY v.vec_id ORDER BY
+                {O.key_of("list_cosine_similarity(v.e, cent.e)")} DESC, cent.c) AS r FROM v CROSS JOIN cent),
+s AS (SELECT q.vec_id AS query_id, CAST(d.vec_id AS VARCHAR) AS vec_id, {O.key_of("list_cosine_similarity(qv.e, dv.e)")} AS sim_key
+      FROM near q JOIN near d ON d.c = q.c AND d.r = 1 AND q.r <= %d JOIN v qv ON qv.vec_id = q.vec_id JOIN v dv ON dv.vec_id = d.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim_key DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, sim_key / 1e9 AS score, rank FROM t WHERE rank <= {ANN_K}
+"""
 
 
-@register("ann_topk")
-def q_ann_topk(spark, sf_dir):
-    """T4: IVF approximate top-k (KMeans cells, n_probe of n_lists probed); rows-only check,
-    recall and n_probe = n_lists equality are unit-tested."""
-    idx = build_ivf(TB.vector_index(spark, sf_dir), n_lists=ANN_LISTS, seed=7)
-    r = ann_topk(TB.vector_queries(spark, sf_dir), idx, k=ANN_K, n_probe=ANN_PROBE)
+def _ann(spark, sf_dir, n_probe):
+    e = TB.read(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    centroids = first.join(e.select("vec_id", "embedding"), "vec_id").orderBy("vec_id").select("embedding")
+    idx = assign_ivf(TB.vector_index(spark, sf_dir), centroids)
+    r = ann_topk(TB.vector_queries(spark, sf_dir), idx, k=ANN_K, n_probe=n_probe or idx.n_lists)
     return r.select("query_id", F.col("doc_id").alias("vec_id"), F.col("similarity").alias("score"),
                     F.col("rank").cast("long").alias("rank"))
+
+
+@register("ann_topk", _IVF.replace("%d", str(ANN_PROBE)))
+def q_ann_topk(spark, sf_dir):
+    """T4: IVF top-k over given centroids, n_probe of the cells probed."""
+    return _ann(spark, sf_dir, ANN_PROBE)
+
+
+@register("ann_topk_full_probe", """
+SELECT query_id, doc_id AS vec_id, sim_key / 1e9 AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim_key DESC, doc_id) AS rank FROM (%s)) WHERE rank <= 10
+""" % _VEC_PAIRS)
+def q_ann_topk_full_probe(spark, sf_dir):
+    """T4 with every cell probed: equal to the exact search."""
+    return _ann(spark, sf_dir, None)

@@ -71,10 +71,11 @@ def documents_kb_text(spark, sf_dir, for_embedding: bool = True) -> DataFrame:
 
 
 def chat_queries(spark, sf_dir) -> DataFrame:
-    """Opening user turns of ``conversations`` as chat queries."""
+    """Every user turn of ``conversations`` is a chat query, named ``<conversation>-<turn>``."""
     c = read(spark, sf_dir, "conversations")
-    return (c.filter((F.col("role") == "user") & (F.col("turn") == 0))
-            .select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")))
+    return (c.filter(F.col("role") == "user")
+            .select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+                    F.col("text").alias("query")))
 
 
 def base_time_lit():

@@ -6,9 +6,9 @@ Go ``%v`` rendering of the decoded map (sorted keys, ``map[k:v ...]``, arrays
 ``[a b]``, ``<nil>``, float64 numbers in shortest ``%g`` form); source = url =
 the URL.
 
-Classification (object / null / other / malformed) is JVM-side with
-``try_parse_json`` + ``schema_of_variant``; only the canonical text, which is
-recursive, is a small per-row helper in an Arrow-batched pandas UDF.
+Decoding and the canonical text, which is recursive, are a small per-row helper
+in an Arrow-batched pandas UDF. Constants that JSON does not have (``NaN``,
+``Infinity``) make a body malformed.
 """
 
 from __future__ import annotations
@@ -75,12 +75,16 @@ def _number(s: str) -> float:
     return f
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 def render_body(body: str | None) -> tuple[str | None, str | None]:
     """(text, error): decode the first JSON value of the body as a map, render it."""
     if body is None:
         return None, "empty body"
     try:
-        dec = json.JSONDecoder(parse_float=_number, parse_int=_number)
+        dec = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_no_constant)
         v, _ = dec.raw_decode(body.lstrip(" \t\r\n"))
     except Exception as ex:  # noqa: BLE001
         return None, f"invalid JSON: {type(ex).__name__}"
@@ -104,8 +108,9 @@ def _go_map_text(body: pd.Series) -> pd.DataFrame:
 go_map_text = _go_map_text.asNondeterministic()
 
 
-def parse_api(landed: DataFrame, now: Column | None = None) -> DataFrame:
-    """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error`` (NULL when ok)."""
+def parse_api(landed: DataFrame, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error`` (NULL when ok);
+    columns ``keep`` are carried along."""
     now = now if now is not None else F.current_timestamp()
     x = spread(landed).withColumn("_r", go_map_text(F.col("body")))
     url = go_string(F.col("url"))
@@ -116,5 +121,5 @@ def parse_api(landed: DataFrame, now: Column | None = None) -> DataFrame:
         url.alias("source"),
         url.alias("url"),
         now.alias("published_at"),
-        F.col("_r.error").alias("error"),
+        F.col("_r.error").alias("error"), *keep,
     )

@@ -6,7 +6,8 @@ immutable snapshot versions under one root (a shared folder on a cluster):
     <root>/v=00000001_b=<batch id>/created_date=2024-01-05/part-....parquet
 
 * a write never touches the version being read (no read/overwrite race);
-* a version counts only once its ``_SUCCESS`` marker exists (atomic commit);
+* a version counts only once its ``_SUCCESS`` marker exists (atomic commit); what a
+  crashed write left behind is replaced when its batch is replayed;
 * the batch id is part of the version name, so replaying a micro-batch is a
   no-op (exactly-once with ``foreachBatch``);
 * partitioning by creation date lets retention prune whole partitions.
@@ -78,29 +79,33 @@ class SnapshotStore:
         out = df.select(*[f.name for f in self.schema.fields])
         w = out
         if self.partition_by:
-            w = out.withColumn(self.partition_by, F.to_date("created_at"))
-        writer = w.write.mode("errorifexists")
+            # Few files per day: rows are clustered by day, and large days split by size.
+            w = out.withColumn(self.partition_by, F.to_date("created_at")).hint("rebalance", self.partition_by)
+        # The version is not committed (no marker), so what a crashed attempt left there is replaced.
+        writer = w.write.mode("overwrite")
         if self.partition_by:
             writer = writer.partitionBy(self.partition_by)
         writer.parquet(self._dir(v, "none" if batch_id is None else str(batch_id)))
         return True
 
-    def retain(self, now, days: int, batch_id=None) -> bool:
-        """W5 on the stored snapshot: commit the survivors of a retention delete.
+    def retain(self, now, days: int, batch_id=None) -> int:
+        """W5 on the stored snapshot: commit the survivors of a retention delete; the number of
+        deleted rows (0 without a snapshot or for a batch that is committed already).
 
         A redundant predicate on the partition column (``created_date`` NULL or on/after
         the boundary day) lets the scan skip whole expired days; the exact predicate on
         ``created_at`` then decides the boundary day row by row."""
-        from kbspark.operators.store import retention_survivors
+        from kbspark.operators.store import retention_counts, retention_survivors
         p = self.latest_path()
-        if p is None or self.partition_by is None:
-            return False
+        if p is None:
+            return 0
         boundary = now - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days))
         df = self.spark.read.option("basePath", p).parquet(p)
-        keep_days = F.col(self.partition_by).isNull() | (F.col(self.partition_by) >= F.to_date(boundary))
-        survivors = retention_survivors(df.filter(keep_days), now, days)
+        deleted = int(retention_counts(df, now, days).first()["deleted"] or 0)
+        if self.partition_by is not None:
+            df = df.filter(F.col(self.partition_by).isNull() | (F.col(self.partition_by) >= F.to_date(boundary)))
         # Reads version N, writes version N + 1: never the path being read.
-        return self.commit(survivors, batch_id)
+        return deleted if self.commit(retention_survivors(df, now, days), batch_id) else 0
 
 
 def scan_kb(spark: SparkSession, path: str) -> DataFrame:

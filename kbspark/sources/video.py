@@ -19,9 +19,9 @@ VIDEO_SOURCE = "youtube"
 VIDEO_URL_PREFIX = "https://youtube.com/watch?v="
 
 
-def parse_videos(landed: DataFrame, now: Column | None = None) -> DataFrame:
+def parse_videos(landed: DataFrame, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Landed ``(source_id, url = video id, body, fetched_at)`` -> Content rows + ``error``
-    (for an error row, ``url`` is the landed video id)."""
+    (for an error row, ``url`` is the landed video id); columns ``keep`` are carried along."""
     now = now if now is not None else F.current_timestamp()
     x = landed.withColumn("_first", F.try_element_at(
         F.from_json(F.col("body"), VIDEO_SCHEMA)["items"], F.lit(1)))
@@ -33,4 +33,4 @@ def parse_videos(landed: DataFrame, now: Column | None = None) -> DataFrame:
         F.lit(VIDEO_SOURCE).alias("source"),
         F.when(ok, F.concat(F.lit(VIDEO_URL_PREFIX), go_string(F.col("url")))).otherwise(F.col("url")).alias("url"),
         now.alias("published_at"),
-        F.when(~ok, F.lit("video not found")).alias("error"))
+        F.when(~ok, F.lit("video not found")).alias("error"), *keep)

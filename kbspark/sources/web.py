@@ -33,6 +33,8 @@ RCDATA_TAGS = frozenset(("title", "textarea"))
 # HTML5 RAWTEXT elements (scripting enabled): literal text, entities not decoded.
 # script and style are handled by the stdlib parser already.
 RAWTEXT_TAGS = frozenset(("xmp", "iframe", "noembed", "noframes", "noscript"))
+# HTML formatting elements: their end tags do not close a block opened inside them.
+FORMATTING_TAGS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 # Fixed selector of the reference: article, main, .content, #content
 SELECT_TAGS = frozenset(("article", "main"))
 SELECT_CLASS = "content"
@@ -90,6 +92,11 @@ class _Extractor(HTMLParser):
             self.rawtext = False
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                if tag in FORMATTING_TAGS and any(t not in FORMATTING_TAGS for t, _ in self.stack[i + 1:]):
+                    if self.stack[i][1] is not None:
+                        self.open_matches.remove(self.stack[i][1])
+                    del self.stack[i]
+                    return
                 for t, idx in self.stack[i:]:
                     if idx is not None:
                         self.open_matches.remove(idx)
@@ -140,8 +147,9 @@ def _html_extract(html: pd.Series) -> pd.DataFrame:
 html_extract = _html_extract.asNondeterministic()
 
 
-def parse_pages(landed: DataFrame, now: Column | None = None) -> DataFrame:
-    """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error``."""
+def parse_pages(landed: DataFrame, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Landed ``(source_id, url, body, fetched_at)`` -> Content rows + ``error``; columns
+    ``keep`` are carried along."""
     now = now if now is not None else F.current_timestamp()
     x = spread(landed).withColumn("_p", html_extract(F.col("body")))
     return x.select(
@@ -151,5 +159,5 @@ def parse_pages(landed: DataFrame, now: Column | None = None) -> DataFrame:
         go_string(F.col("url")).alias("source"),
         go_string(F.col("url")).alias("url"),
         now.alias("published_at"),
-        F.col("_p.error").alias("error"),
+        F.col("_p.error").alias("error"), *keep,
     )

@@ -136,3 +136,54 @@ def test_source_stream_touches_registry_and_is_idempotent(spark, tmp_root):
     assert touched == {"link", "api"}
     n = len(kb.versions())
     assert n == 2 and not kb.commit(kb.read(), batch_id=kb.versions()[-1][1])
+
+
+def test_success_is_judged_per_body(spark):
+    reg = _registry(spark).cache()
+    ids = {r.type: r.id for r in reg.collect()}
+    landed = spark.createDataFrame(
+        [(ids["api"], None, "[1]", None), (ids["link"], "l1", None, None), (ids["link"], "l1", "<article>x</article>", None)],
+        "source_id string, url string, body string, page_no long").withColumn("fetched_at", F.current_timestamp())
+    _c, rejects, ok = dispatch(reg, landed)
+    # a failed fetch without url is a failure; a url that failed once and landed once is fetched
+    assert {r.source_id for r in ok.collect()} == {ids["link"]}
+    assert {r.source_id for r in rejects.collect() if r.reason in ("JSON body is not an object", "no body")} == {ids["api"], ids["link"]}
+
+
+def test_ids_are_unique_over_batches_and_runs_of_one_clock(spark, tmp_root):
+    import os
+    from kbspark.plans.ingest import ingest_sources
+    from kbspark.sources.snapshot import SnapshotStore
+    from kbspark.streaming.stream import stream_sources
+    reg = _registry(spark).cache()
+    link = {r.type: r.id for r in reg.collect()}["link"]
+    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    schema = "source_id string, url string, body string, page_no long, fetched_at timestamp"
+    land = os.path.join(tmp_root, "landing")
+    for b in range(2):
+        spark.createDataFrame([(link, f"p{b}{i}", f"<article>{b}{i}</article>", None, None) for i in range(3)], schema) \
+            .coalesce(1).write.parquet(f"{land}/{b}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land + "/*")
+    kb = SnapshotStore(spark, os.path.join(tmp_root, "kb"))
+    rs = SnapshotStore(spark, os.path.join(tmp_root, "reg"), schema=SOURCE, partition_by=None)
+    stream_sources(spark, stream, reg, kb, rs, os.path.join(tmp_root, "ckpt"), now=now)
+    assert kb.read().count() == 6 and len(kb.versions()) == 2
+    again = ingest_sources(reg, spark.read.schema(schema).parquet(land + "/*"), base=kb.read(), now=now).kb
+    assert again.count() == 12 and again.select("doc_id").distinct().count() == 12
+
+
+def test_ivf_on_given_centroids(spark):
+    import pytest
+    from kbspark.operators.ann import assign_ivf
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(120, 6)).astype(np.float32)
+    kb = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(vecs)] + [("zero", [0.0] * 6), ("none", None)],
+                               "doc_id string, embedding array<float>")
+    cent = spark.createDataFrame([(v.tolist(),) for v in vecs[:5]], "embedding array<float>").coalesce(1)
+    idx = assign_ivf(kb, cent)
+    assert idx.data.count() == 120
+    qs = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(0, 120, 11)], "query_id long, embedding array<float>")
+    full = sorted(map(tuple, ann_topk(qs, idx, k=4, n_probe=5).select("query_id", "doc_id", "rank").collect()))
+    assert full == sorted(map(tuple, top_k_batch(qs, kb, k=4).select("query_id", "doc_id", "rank").collect()))
+    with pytest.raises(ValueError):
+        assign_ivf(kb, cent.limit(0))

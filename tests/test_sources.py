@@ -27,6 +27,12 @@ def test_html_edges():
     assert extract_page("<article><b>unclosed<p>x</article><footer>f</footer>")[1] == "unclosedx"
 
 
+def test_formatting_end_tag_closes_no_block():
+    assert extract_page("<b><article>one</b>two</article>three")[1] == "onetwo"
+    assert extract_page("<article><b><i>x</b>y</i></article>z")[1] == "xy"
+    assert extract_page("<b class=content>x<p>y</b>z</p>")[1] == "xy"
+
+
 def test_html_rcdata():
     # title and textarea content is text: tags inside are literal, entities decoded
     t, x, _ = extract_page("<title>a<b>c</b> &amp; d</title><article>x<textarea>q<b>r</b></textarea></article>")
@@ -41,6 +47,7 @@ def test_json_rendering():
     assert render_body('{"a":{"x":null}}') == ("map[a:map[x:<nil>]]", None)
     assert render_body('{"n":1e3, "m":1e6, "f":2.5}') == ("map[f:2.5 m:1e+06 n:1000]", None)
     assert render_body("null") == ("map[]", None)
+    assert render_body('{"a": NaN}')[0] is None and render_body('{"a": [-Infinity]}')[0] is None
     assert render_body("[1,2]")[0] is None and render_body("{bad")[0] is None
 
 
@@ -76,13 +83,47 @@ def test_feeds(spark):
     got = {r.url: r for r in out if r.error is None}
     rej = [r for r in out if r.error is not None]
     assert set(got) == {"l1", "l2", "l3", "l4"}
-    assert got["l4"].text == "" and got["l4"].published_at == dt.datetime(2024, 1, 31)
+    assert got["l4"].text == "" and got["l4"].published_at == dt.datetime(2024, 1, 3)     # updated
     assert got["l1"].published_at == dt.datetime(2024, 1, 1, 0, 5) and got["l1"].source == "F"
     assert got["l2"].text == "" and got["l2"].published_at == dt.datetime(2024, 1, 31)
     assert got["l3"].text == "s" and got["l3"].published_at == dt.datetime(2024, 1, 2, 3, 4, 5)
     assert [r.url for r in rej] == ["u4"]
 
 
+def test_feed_kinds_and_dates(spark):
+    rdf = ('<rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/" xmlns:dc="d"><channel><title>R</title></channel>'
+           "<item><title>a</title><link>r1</link><description>x</description><dc:date>2024-01-04T05:06:07Z</dc:date></item>"
+           "<item><title>b</title><link>r2</link></item></rdf:RDF>")
+    rss = "<rss><channel><title>F</title><item><title>c</title><link>r3</link><dc:date>2024-01-05T00:00:00Z</dc:date></item></channel></rss>"
+    jsn = ('{"version": "https://jsonfeed.org/version/1.1", "title": "J", "items": [{"title": "j", "url": "j1", "summary": "s",'
+           ' "date_published": "2024-01-06T00:00:00Z"}, {"url": "j2"}]}')
+    landed = spark.createDataFrame([("r", "u1", rdf), ("r", "u2", rss), ("j", "u3", jsn), ("j", "u4", '{"title": "no feed"}'), ("j", "u5", None)],
+                                   "source_id string, url string, body string")
+    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    out = parse_feeds(landed, now).collect()
+    got = {r.url: (r.title, r.text, r.source, r.published_at.day) for r in out if r.error is None}
+    assert got == {"r1": ("a", "x", "R", 4), "r2": ("b", "", "R", 31), "r3": ("c", "", "F", 5), "j1": ("j", "s", "J", 6), "j2": ("", "", "J", 31)}
+    assert sorted(r.url for r in out if r.error is not None) == ["u4", "u5"]
+
+
+def test_blank_updates_never_reach_the_model(spark):
+    from kbspark.operators.embed import BatchModelEmbedder
+    from kbspark.plans.ingest import prepare_updates, update_report
+
+    def model(texts):
+        if any(t is not None and not t.strip() for t in texts):
+            raise AssertionError("blank text")
+        return [[1.0, 2.0] if t and "bad" not in t else None for t in texts]
+    ts = dt.datetime(2024, 1, 5)
+    rows = [("x", "s", ts, 1), (" ", "s", ts, 2), ("bad", "s", ts, 3), ("y", "s" * 300, ts, 4), (None, "s", ts, 5), ("z", "s", ts, None)]
+    u = spark.createDataFrame(rows, "content string, source string, updated_at timestamp, seq long")
+    p = prepare_updates(u, BatchModelEmbedder(model, 2))
+    assert {(r.seq, r.status) for r in p.collect()} == {(1, "ready"), (2, "skipped_blank"), (3, "failed_embed"), (4, "failed_insert"),
+                                                        (5, "skipped_blank"), (None, "failed_insert")}
+    r = {x.source: x for x in update_report(p).collect()}["s"]
+    assert (r.n_seen, r.n_skipped_blank, r.n_failed_embed, r.n_failed_insert, r.n_added) == (5, 2, 1, 1, 1)
+
+
 def test_video(spark):
     landed = spark.createDataFrame(
         [("y", "v1", '{"items":[{"snippet":{"title":"t","description":"d"}},{"snippet":{"title":"x"}}]}'),

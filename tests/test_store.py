@@ -155,3 +155,85 @@ def test_id_functions(spark):
     r = df.select(content_doc_id(F.lit("api-1"), F.col("ts"), F.lit(3)).alias("c"),
                   source_id(F.lit("rss"), F.col("ts"), F.lit(0)).alias("s")).collect()[1]
     assert r.c == "api-1-1704067200900000003" and r.s == "rss-1704067200900000000"
+
+
+BATCH = "doc_id string, content string, embedding array<float>, seq long"
+
+
+def test_bad_rows_give_the_same_result_on_both_paths(spark):
+    schema = KB.fromJson({**KB.jsonValue(), "fields": [dict(f, nullable=True) for f in KB.jsonValue()["fields"]]})
+    base = spark.createDataFrame([(1, "a", "A0", [1.0], T0, T0), (None, "b", "B0", [1.0], T0, T0), (3, None, "N0", None, T0, T0)], schema)
+    batch = spark.createDataFrame([(None, "x", [1.0], 1), ("c", None, [1.0], 2), ("a", "late", [1.0], None), ("l" * 256, "x", [1.0], 3),
+                                   ("a", "wrong", [1.0, 2.0], 9), ("d", "D", [1.0], 4)], BATCH)
+    for limit in (1 << 28, 0):
+        out = ST.upsert_documents(base, batch, now=_now(), max_broadcast_bytes=limit, dim=1).collect()
+        assert sorted(((r.id, r.doc_id, r.content, r.updated_at) for r in out), key=str) == sorted(
+            [(1, "a", "A0", T0), (None, "b", "B0", T0), (3, None, "N0", T0), (4, "d", "D", NOW)], key=str)
+    reasons = sorted(r.reason for r in ST.upsert_rejects(batch, dim=1).collect())
+    assert reasons == ["NULL content", "NULL doc_id", "NULL sequence", "doc_id too long", "wrong dimension"]
+
+
+def test_equal_sequences_have_one_winner_whatever_the_partitioning(spark):
+    rows = [("k", f"v{i}", [float(i)], 7) for i in range(40)]
+    got = {ST.upsert_documents(_base(spark), spark.createDataFrame(rows[::s], BATCH).repartition(n), now=_now())
+           .filter("doc_id = 'k'").first().content for n, s in ((1, 1), (5, -1), (9, 1))}
+    assert len(got) == 1
+
+
+def test_vector_upsert_never_repeats_ids(spark):
+    import pytest
+    idx = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
+    b = spark.createDataFrame([(2, [2.0], 1), (2, [3.0], 2), (None, [4.0], 3)], "vec_id long, embedding array<float>, seq long")
+    with pytest.raises(ValueError):
+        ST.vector_upsert(idx, b)
+    assert sorted(map(tuple, ST.vector_upsert(idx, b, seq="seq").collect())) == [(1, [1.0]), (2, [3.0])]
+
+
+def test_replay_over_a_half_written_version(spark, tmp_root):
+    import os
+    st = SnapshotStore(spark, tmp_root)
+    st.commit(_base(spark), batch_id=0)
+    half = os.path.join(tmp_root, "v=00000002_b=1")
+    _base(spark).write.parquet(half)
+    os.remove(os.path.join(half, "_SUCCESS"))
+    assert len(st.versions()) == 1
+    assert st.commit(_base(spark).limit(1), batch_id=1)
+    assert st.read().count() == 1 and len(st.versions()) == 2
+
+
+def test_retention_reports_the_deleted_rows(spark, tmp_root):
+    rows = [(i, f"d{i}", "x", None, dt.datetime(2024, 1, 1 + i, 12), None) for i in range(30)]
+    for part in ("created_date", None):
+        st = SnapshotStore(spark, f"{tmp_root}/{part}", partition_by=part)
+        assert st.retain(_now(), 15) == 0
+        st.commit(spark.createDataFrame(rows, KB))
+        assert st.retain(_now(), 15, batch_id=4) == 15 and st.read().count() == 15
+        assert st.retain(_now(), 15, batch_id=4) == 0
+
+
+def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
+    import pytest
+    from kbspark import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Fake())
+
+
+def test_source_constraints(spark):
+    rows = [("a", "t", "u", "s"), ("a", None, "u", "s"), (None, "t", None, None)]
+    r = ST.source_constraints(spark.createDataFrame(rows, "id string, type string, url string, schedule string")).first()
+    assert (r.n_rows, r.null_id, r.null_type, r.null_url, r.null_schedule, r.dup_ids, r.dup_rows) == (3, 1, 1, 1, 1, 1, 2)
+
+
+def test_unique_index_numbers_rows_in_place(spark):
+    from kbspark.functions.ids import unique_index
+    out = unique_index(spark.range(0, 777).repartition(7), out="i", start=3)
+    assert sorted(r.i for r in out.collect()) == list(range(3, 780)) and out.columns == ["id", "i"]
+    assert unique_index(spark.range(0), out="i").count() == 0
