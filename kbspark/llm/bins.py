@@ -3,8 +3,8 @@
 A document of n words takes n tokens and a separator; one longer than the greatest capacity is cut
 into consecutive pieces. Pieces are packed in decreasing length: each goes to the open bin with the
 least room that holds it; if there is none, a bin is opened. All capacities that hold the piece
-compete: the bin of least cost per token that it may come to hold, given the smaller pieces that are
-still to be placed (cost = capacity + ``overhead``; ties to the smaller). In the end each bin is
+compete: the bin of least cost per token wins, when filled greedily with the smaller pieces that
+are still to be placed (cost = capacity + ``overhead``; ties to the smaller). In the end each bin is
 downsized to the smallest capacity that holds its contents.
 
 Scale: packing needs no global order to be near its bound, so each task packs its own rows, in
@@ -21,9 +21,8 @@ input's partitions.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +36,7 @@ _BINS = ("bin_id long, capacity int, n_tokens int, doc_ids array<long>, pieces a
 def pack(lengths: list[int], capacities: tuple[int, ...], overhead: int = 16) -> list[tuple[int, list[int]]]:
     """Bins as (capacity, positions of ``lengths``); no length may exceed the greatest capacity."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    ascending = np.array([lengths[i] for i in reversed(order)], np.int64)
-    below = np.concatenate([[0], np.cumsum(ascending)])
+    ascending = [lengths[i] for i in reversed(order)]
     room: list[tuple[int, int]] = []               # (free, bin), sorted
     bins: list[tuple[int, list[int]]] = []
     for done, i in enumerate(order):
@@ -52,8 +50,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...], overhead: int = 16) ->
             for c in capacities:
                 if c < n:
                     continue
-                k = min(left, int(np.searchsorted(ascending, c - n, "right")))
-                cost = (c + overhead) / min(c, n + int(below[k]))
+                cost = (c + overhead) / (n + _fill(ascending, left, c - n))
                 if best is None or cost < best[0]:
                     best = (cost, c)
             b, free = len(bins), best[1]
@@ -64,6 +61,16 @@ def pack(lengths: list[int], capacities: tuple[int, ...], overhead: int = 16) ->
     return [(min(c for c in capacities if c >= sum(lengths[i] for i in members)), members) for _, members in bins]
 
 
+def _fill(ascending: list[int], left: int, free: int) -> int:
+    """What the ``left`` smallest pieces come to in a bin that is free up to ``free``: the largest
+    that fits, again and again."""
+    filled, k = 0, left
+    while (k := bisect_right(ascending, free - filled, 0, k)) > 0:
+        k -= 1
+        filled += ascending[k]
+    return filled
+
+
 def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = 16, separator: int = 1,
                    buffer_rows: int = 8192, buffer_bytes: int = 32 << 20, with_text: bool = True,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -195,6 +195,20 @@ def _branch(rows: DataFrame, depth: int, twice: bool) -> DataFrame:
         run, "tree int, node long, cls binary, lo long, hi long, label binary")
 
 
+def _members(lists: pa.ListArray, more: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Lists of (cls, lo, hi, label) flat: offsets, cls, (members x 2) bits, label codes (those of
+    ``more`` labels follow)."""
+    off = lists.offsets.to_numpy()
+    m = lists.flatten()
+    bits = np.stack([m.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi")], 1).view(np.uint64) if len(m) else np.zeros((0, 2), np.uint64)
+    labels = m.field("label") if more is None else pa.concat_arrays([m.field("label"), more])
+    return off - off[0], m.field("cls"), bits, labels.dictionary_encode().indices.to_numpy()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 class _Join:
     """One run of the similarity join: its tables and parameters."""
 
@@ -250,24 +264,19 @@ class _Join:
 
         def compare(batches):
             for b in batches:
-                a_out, b_out = [], []
-                for ms in b.column(0).to_pylist():
-                    x = np.array([[m["lo"], m["hi"]] for m in ms], np.int64).view(np.uint64)
-                    _, label = np.unique(np.array([m["label"] for m in ms], object), return_inverse=True)
-                    d = np.bitwise_count(x[:, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int16)
-                    i, j = np.nonzero(np.triu(d <= far, 1) & (label[:, None] != label[None, :]))
-                    for p, q in zip(i.tolist(), j.tolist()):
-                        u, v = ms[p]["cls"], ms[q]["cls"]
-                        a_out.append(min(u, v))
-                        b_out.append(max(u, v))
-                yield pa.record_batch({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+                off, cls, bits, label = _members(b.column(0))
+                for a, z in zip(off[:-1], off[1:]):
+                    d = np.bitwise_count(bits[a:z, None, :] ^ bits[None, a:z, :]).sum(axis=2, dtype=np.int16)
+                    i, j = np.nonzero(np.triu(d <= far, 1) & (label[a:z, None] != label[None, a:z]))
+                    if len(i):
+                        yield pa.record_batch({"a": cls.take(pa.array(i + a)), "b": cls.take(pa.array(j + a))})
 
         g = live.filter(F.col("cnt") <= self.small).withColumn("part", F.lit(""))
         if bottom:
             g = g.unionByName(self.blocks(self.large(live)))
         g = (g.groupBy("node", "part").agg(F.collect_list(F.struct("cls", "lo", "hi", "label")).alias("ms"), F.min("label").alias("l0"),
                                            F.max("label").alias("l1")).filter("l0 <> l1").select("ms"))
-        return g.mapInArrow(compare, "a binary, b binary")
+        return _ordered(g.mapInArrow(compare, "a binary, b binary"))
 
     def minor_pairs(self, live: DataFrame) -> DataFrame:
         """Pairs of different labels in larger nodes where at most ``small`` rows have another label
@@ -278,19 +287,15 @@ class _Join:
 
         def compare(batches):
             for b in batches:
-                a_out, b_out = [], []
-                cls, label = b.column(0).to_pylist(), b.column(3).to_pylist()
+                off, cls, bits, label = _members(b.column(4), b.column(3))
+                label, own_label = label[:off[-1]], label[off[-1]:]
                 own = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], 1).view(np.uint64)
-                for i, ms in enumerate(b.column(4).to_pylist()):
-                    x = np.array([[m["lo"], m["hi"]] for m in ms], np.int64).view(np.uint64)
-                    near = np.bitwise_count(x ^ own[i]).sum(axis=1, dtype=np.int16) <= far
-                    for j in np.flatnonzero(near).tolist():
-                        if ms[j]["label"] != label[i]:
-                            a_out.append(min(cls[i], ms[j]["cls"]))
-                            b_out.append(max(cls[i], ms[j]["cls"]))
-                yield pa.record_batch({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
-
-        return rows.join(few, "node").select("cls", "lo", "hi", "label", "ms").mapInArrow(compare, "a binary, b binary")
+                row = np.repeat(np.arange(len(own)), np.diff(off))
+                near = np.bitwise_count(bits ^ own[row]).sum(axis=1, dtype=np.int16) <= far
+                at = np.flatnonzero(near & (label != own_label[row]))
+                yield pa.record_batch({"a": b.column(0).take(pa.array(row[at])), "b": cls.take(pa.array(at))})
+
+        return _ordered(rows.join(few, "node").select("cls", "lo", "hi", "label", "ms").mapInArrow(compare, "a binary, b binary"))
 
     def blocks(self, live: DataFrame) -> DataFrame:
         """Each row once for every pair of blocks of its node that holds the row's block."""

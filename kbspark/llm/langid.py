@@ -181,12 +181,11 @@ class LanguageModel:
             todo, k = todo[~hit], k[~hit]
             if not len(todo):
                 break
-            if n == 1:
-                out[todo] -= self.uniform
-                break
             ctx = backoff[n - 1].find(k >> np.uint64(16))
             known = ctx >= 0
             out[todo[known]] += backoff[n - 1].rows[ctx[known]]
+            if n == 1:
+                out[todo] -= self.uniform
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +243,7 @@ def _estimate(langs: list[str], letters: np.ndarray, keys: np.ndarray, counts: n
         np.add.at(cont, inv, c > 0)
         raw[n - 1] = (low, cont)
     vocab = len(letters) + 2
-    grams, backoff = [], [(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))]
+    grams, backoff = [], []
     below = np.full((1, len(langs)), 1.0 / vocab)
     below_keys = np.zeros(1, np.uint64)
     for n in range(1, ORDER + 1):
@@ -259,8 +258,7 @@ def _estimate(langs: list[str], letters: np.ndarray, keys: np.ndarray, counts: n
         lower = below[np.searchsorted(below_keys, k & np.uint64((1 << (16 * (n - 1))) - 1))] if n > 1 else below
         p = np.where(tot[inv] > 0, np.maximum(c - d, 0) / np.maximum(tot[inv], 1), 0.0) + rest[inv] * lower
         grams.append((k, np.log(p).astype(np.float32)))
-        if n > 1:
-            backoff.append((ctx, np.log(rest).astype(np.float32)))
+        backoff.append((ctx, np.log(rest).astype(np.float32)))
         below, below_keys = p, k
     return grams, backoff
 

@@ -68,13 +68,20 @@ class PieceBpe:
                         else m.trainer_spec.unk_surface.encode() if t == UNKNOWN
                         else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)]
 
+        # Pieces that merging never reaches as a text of their own cannot occur in an encoding.
+        whole = [p for p in self.ids if len(p) == 1 or self._merged(p) == [p]]
         self.automaton = ahocorasick.Automaton()
-        inner = {SPACE}
-        for p, i in self.ids.items():
-            self.automaton.add_word(p, (len(p), i))
-            if len(p) > 1:
-                inner.update(p)
+        for p in whole:
+            self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        #: The next shorter piece that a piece starts with.
+        self.shorter: dict[str, str] = {}
+        known = set(whole)
+        for p in whole:
+            n = next((n for n in range(len(p) - 1, 0, -1) if p[:n] in known), 0)
+            if n:
+                self.shorter[p] = p[:n]
+        inner = {SPACE, *(c for p in self.ids if len(p) > 1 for c in p)}
         # A piece holds spaces only at its front (checked), so a run of spaces starts a segment.
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces with inner spaces are not supported")
@@ -85,18 +92,9 @@ class PieceBpe:
         self._seen: dict[str, tuple[bytes, int]] = {}
 
     # -- compatibility of neighbours ------------------------------------------------------
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the characters of ``left + right`` gives just these two pieces."""
-        key = (left, right)
-        ok = self._pairs.get(key)
-        if ok is None:
-            if len(self._pairs) >= MAX_PAIRS:
-                self._pairs.clear()
-            ok = self._pairs[key] = self._border_stays(left, right)
-        return ok
-
-    def _border_stays(self, left: str, right: str) -> bool:
-        parts, border, score = list(left + right), len(left), self.scores
+    def _merged(self, text: str) -> list[str]:
+        """What merging makes of a short text: best score first, leftmost of equals."""
+        parts, score = list(text), self.scores
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -104,72 +102,46 @@ class PieceBpe:
                 if s is not None and (best is None or s > best):
                     best, at = s, k
             if best is None:
-                return len(parts) == 2
-            if at + 1 == border:
-                return False
-            if at + 1 < border:
-                border -= 1
+                return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    # -- encoding -------------------------------------------------------------------------
-    def _pieces_of(self, seg: str) -> list[str]:
-        """The pieces of a segment; a character without a piece is a piece of its own."""
-        n, ids = len(seg), self.ids
-        if n == 1 or seg in ids and self._is_own_encoding(seg):
-            return [seg]
-        # Greedy longest pieces, if they fit together, are the encoding already.
-        greedy, end = [], 0
-        for last, (size, _) in self.automaton.iter_long(seg):
-            if last + 1 - size != end:
-                break
-            greedy.append(seg[end:last + 1])
-            end = last + 1
-        if end == n and all(map(self.compatible, greedy, greedy[1:])):
-            return greedy
-        # lengths of the pieces that start at each position, shortest first (all matches, one scan)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for last, (size, _) in self.automaton.iter(seg):
-            lengths[last + 1 - size].append(size)
-        return self._backtrack(seg, lengths)
-
-    def _is_own_encoding(self, piece: str) -> bool:
-        """Whether the piece, as a text, is one token (some pieces are never reached by merging)."""
-        key = (piece, "")
-        ok = self._pairs.get(key)
+    def compatible(self, left: str, right: str) -> bool:
+        """Whether merging the characters of ``left + right`` gives just these two pieces."""
+        ok = self._pairs.get((left, right))
         if ok is None:
-            parts, score = list(piece), self.scores
-            while len(parts) > 1:
-                best, at = max(((score.get(a + b, float("-inf")), -k) for k, (a, b) in enumerate(zip(parts, parts[1:]))))
-                if parts[-at] + parts[1 - at] not in score:
-                    break
-                parts[-at:2 - at] = [parts[-at] + parts[1 - at]]
-            ok = self._pairs[key] = len(parts) == 1
+            if len(self._pairs) >= MAX_PAIRS:
+                self._pairs.clear()
+            ok = self._pairs[left, right] = self._merged(left + right) == [left, right]
         return ok
 
-    def _backtrack(self, seg: str, lengths: list[list[int]]) -> list[str]:
+    # -- encoding -------------------------------------------------------------------------
+    def _pieces_of(self, seg: str) -> list[str]:
+        """The pieces of a segment; a character without a piece is a piece of its own."""
         n = len(seg)
-        failed = bytearray(n + 1)             # positions from which no valid rest was found
+        longest = [1] * n
+        for last, size in self.automaton.iter(seg):
+            longest[last + 1 - size] = size        # ends ascend, so the longest comes last
+        if longest[0] == n:
+            return [seg]
+        pairs, compatible, shorter = self._pairs, self.compatible, self.shorter
+        failed = bytearray(n + 1)                  # positions from which no valid rest was found
         out: list[str] = []
-        left: list[list[int]] = []            # untried lengths at each chosen piece
-        pos, todo = 0, list(lengths[0]) or [1]
-        while pos < n:
-            while todo:
-                size = todo.pop()             # the longest untried
-                piece = seg[pos:pos + size]
-                if (not failed[pos + size] and (size == 1 or self._is_own_encoding(piece))
-                        and (not out or self.compatible(out[-1], piece))):
-                    out.append(piece)
-                    left.append(todo)
-                    pos += size
-                    todo = list(lengths[pos]) or [1] if pos < n else []
-                    break
-            else:
-                if not out:
-                    raise AssertionError("a segment has an encoding")
+        pos, piece = 0, seg[:longest[0]]
+        while True:
+            end = pos + len(piece)
+            if not failed[end] and (not out or (pairs.get((out[-1], piece)) or compatible(out[-1], piece))):
+                out.append(piece)
+                if end == n:
+                    return out
+                pos = end
+                piece = seg[pos:pos + longest[pos]]
+                continue
+            piece = shorter.get(piece)
+            while piece is None:                   # nothing fits here: the piece before is wrong
                 failed[pos] = 1
-                pos -= len(out.pop())
-                todo = left.pop()
-        return out
+                piece = out.pop()
+                pos -= len(piece)
+                piece = shorter.get(piece)
 
     def _segment(self, seg: str) -> tuple[bytes, int]:
         ids = array("I")

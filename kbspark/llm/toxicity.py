@@ -181,7 +181,11 @@ def _lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     if not n1 or not n0:
         return {}, {}
     ratio = F.log((F.col("p") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("q") + 0.5) / F.lit(n0 + 1.0))
-    z = ratio / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    # likelihood ratio of the two rates against one common rate
+    share = n1 / (n1 + n0)
+    both = F.col("p") + F.col("q")
+    gain = F.col("p") * F.log(F.col("p") / (both * share)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / (both * (1 - share)))).otherwise(0.0)
+    z = F.sqrt(2 * F.greatest(gain, F.lit(0.0)))
     kept = rows_.filter((F.col("p") >= MIN_SUPPORT) & ((F.col("kind") == "w") | (F.col("forms") >= MIN_FORMS))).withColumn("r", ratio).filter((F.col("r") >= MIN_LOG_RATIO) & (z >= MIN_Z))
     words_, stems = {}, {}
     for r in kept.select("kind", "f", "r").collect():       # bounded by the fitting rows
