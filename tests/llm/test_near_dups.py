@@ -78,13 +78,25 @@ def test_large_group_of_near_copies_branches_and_closes(spark):
     check(spark, rows, 2, small=6, trees=12)
 
 
-def test_bottom_blocks_are_exhaustive(spark, monkeypatch):
-    import kbspark.llm.chosen_path as m
-    monkeypatch.setattr(m, "COORDS", 64)
-    r = random.Random(8)
-    base = [f"b{i}" for i in range(2000)]
-    rows = [(k, " ".join([*base, f"y{k}"])) for k in range(25)] + [(100 + k, f"z{r.random()} q{k}") for k in range(5)]
-    check(spark, rows, 2, small=2, trees=3, root_depth=60)
+def test_blocks_and_minorities_compare_all_pairs_of_different_labels(spark):
+    from kbspark.llm.chosen_path import _Join
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    join = _Join(docs, 2, 80, 3, 3, 4)
+    r = random.Random(6)
+    bits = [r.getrandbits(63) for _ in range(3)]
+    rows = [(0, 7, bytes([i]), bits[i % 3], bits[i % 3], bytes([i % 5])) for i in range(30)]           # one node, 5 labels of 6 rows
+    rows += [(0, 8, bytes([100 + i]), bits[0], bits[0], bytes([0 if i < 20 else i])) for i in range(23)]  # 20 of one label, 3 others
+    df = spark.createDataFrame(rows, "tree int, node long, cls binary, lo long, hi long, label binary")
+    live = join.prune(df)
+
+    def want(rows):
+        return sorted((bytes(a[2]), bytes(b[2])) for a in rows for b in rows if a[2] < b[2] and a[5] != b[5] and a[3] == b[3])
+    got = sorted((bytes(x.a), bytes(x.b)) for x in join.all_pairs(live, True).distinct().collect())
+    assert got == want(rows[:30])
+    assert join.all_pairs(live, False).count() == 0
+    got = sorted((bytes(x.a), bytes(x.b)) for x in join.minor_pairs(live).distinct().collect())
+    assert got == want(rows[30:])
+    assert {x.node for x in join.large(live).collect()} == {7}
 
 
 def test_repeated_ids_nulls_and_empty(spark):
