@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.components import connected_components
+from kbspark.llm.components import connected_components, small as small_table
 from kbspark.llm.words import mix, seeds, shingle_sets, slices
 from kbspark.session import scratch_dir
 
@@ -53,8 +53,10 @@ from kbspark.session import scratch_dir
 COORDS, WIDE = 64, 256
 EXTRA_LEVELS = 3
 CENTRE_SAMPLE = 64
-#: Candidate ids are broadcast up to this many (16 bytes each), else shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ids of candidate documents are broadcast up to this many, else shuffled.
+BROADCAST_IDS = 1_000_000
+#: Sketches are broadcast up to this many (400 bytes each), else shuffled.
+BROADCAST_SKETCHES = 40_000
 #: Seed of the trees' choices.
 SEED = 20_000
 
@@ -321,24 +323,33 @@ class _Join:
                 equal = (d & 15 == 0).sum(axis=1) + (d >> 4 == 0).sum(axis=1)
                 yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(equal >= least))
 
-        sketch = self.classes.select("cls", "sketch")
+        sketch = small_table(self.of_classes(self.ends(pairs), "sketch"), BROADCAST_SKETCHES)
         pairs = (pairs.join(sketch.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a")
                  .join(sketch.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
                  .select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary"))
         pairs = self.store(pairs, "alike")
         if pairs.isEmpty():
             return None
-        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        need = self.store(self.classes.select("cls", "rep").join(ends, "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "need")
+        ends = self.ends(pairs)
+        need = self.of_classes(ends, "rep").select(F.col("rep").alias("doc_id"))
         if need.count() <= BROADCAST_IDS:
             need = F.broadcast(need)
-        sets = self.store(_sets(self.docs.join(need, "doc_id", "left_semi"), self.words).join(ends, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+        # Rows that repeat a doc_id may give a set twice, or another one that the semi-join drops.
+        sets = self.store(_sets(self.docs.join(need, "doc_id", "left_semi"), self.words).join(small_table(ends), "cls", "left_semi"), "sets")
         a = sets.select(F.col("cls").alias("a"), F.col("items").alias("sa"))
         b = sets.select(F.col("cls").alias("b"), F.col("items").alias("sb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                                                       F.size(F.array_intersect("sa", "sb")).alias("both"))
         return self.store(both.filter(f"100L * both >= {self.percent}L * (na + nb - both)").select("a", "b"), "links")
 
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        """The classes of stored pairs."""
+        return self.store(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "ends")
+
+    def of_classes(self, some: DataFrame, column: str) -> DataFrame:
+        """(cls, column) of some classes: a stored table of distinct ``cls``."""
+        return self.store(self.classes.select("cls", column).join(small_table(some), "cls", "left_semi"), column)
+
     def relabel(self, links: DataFrame | None) -> None:
         if links is None or links.isEmpty():
             return
@@ -350,7 +361,7 @@ class _Join:
         rows = rows.drop("label")
         if self.labels is None:
             return rows.withColumn("label", F.col("cls"))
-        return rows.join(self.labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        return rows.join(small_table(self.labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     # -- the whole join -------------------------------------------------------------------
     def run(self) -> DataFrame:
@@ -363,17 +374,21 @@ class _Join:
         live = self.prune(self.labelled(_roots(linkable, self.trees, self.root_depth)))
         depth = self.root_depth
         self.relabel(self.confirm(self.leader_pairs(live)))
+        rows = live
         while True:
-            live, bottom = self.prune(self.labelled(live)), depth >= COORDS
+            live, bottom = self.prune(self.labelled(rows)), depth >= COORDS
             if live.isEmpty():
                 break
             pairs = self.all_pairs(live, bottom).unionByName(self.minor_pairs(live))
-            if bottom:
-                self.relabel(self.confirm(pairs))
+            large = self.large(live)
+            if not bottom and depth > self.root_depth:
+                pairs = pairs.unionByName(self.leader_pairs(live))
+            self.relabel(self.confirm(pairs))
+            if bottom or large.isEmpty():
                 break
-            rows = _branch(self.large(live).join(self.classes.select("cls", "sketch"), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
-            live, depth = self.prune(rows), depth + 1
-            self.relabel(self.confirm(pairs.unionByName(self.leader_pairs(live))))
+            sketch = self.of_classes(self.store(large.select("cls").distinct(), "open"), "sketch")
+            rows = _branch(large.join(small_table(sketch, BROADCAST_SKETCHES), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
+            depth += 1
         return self.result(sigs)
 
     def result(self, sigs: DataFrame) -> DataFrame:
