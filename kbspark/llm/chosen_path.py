@@ -393,7 +393,7 @@ class _Join:
 
     def result(self, sigs: DataFrame) -> DataFrame:
         own = self.labelled(self.classes.select("cls", "rep"))
-        low = own.groupBy("label").agg(F.min("rep").alias("component_id"))
+        low = self.store(own.groupBy("label").agg(F.min("rep").alias("component_id")), "lowest")
         ids = own.select("cls", "label").join(low, "label").select("cls", "component_id")
         d = sigs.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
         d = d.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))

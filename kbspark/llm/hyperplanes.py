@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.components import connected_components
+from kbspark.llm.components import connected_components, small
 from kbspark.session import scratch_dir
 
 SEED = 97
@@ -155,8 +155,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: flo
     own = (classes.select("cls", "copies", "low").join(counts, "cls", "left").join(comp, "cls", "left")
            .select("cls", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")))
     own = store(own, "own")
-    low = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    own = own.join(low, "root").select("cls", "n_links", "component_id")
+    low = store(own.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    own = own.join(small(low), "root").select("cls", "n_links", "component_id")
     out = rows.select("vec_id", "cls").join(own, "cls", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                      F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
