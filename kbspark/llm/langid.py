@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from kbspark.llm.words import mix, slices
+from kbspark.session import scratch_dir
 
 ORDER = 4
 EVIDENCE, SLACK = 40, 0.25
@@ -276,6 +277,9 @@ def fit_languages(docs: DataFrame, train: Column | None = None, fit_rows: int =
         return LanguageModel([], np.zeros(0, np.uint32), [], [], np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1_000_000, int(1_000_000 * fit_rows / sizes[k]) + 1))])
     d = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    path = f"{scratch_dir(docs.sparkSession, 'languages')}/rows"          # the bounded sample, read once
+    d.write.parquet(path)
+    d = docs.sparkSession.read.schema(d.schema).parquet(path)
     rest = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(8)) == 0
 
     def letters_of(batches):

@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from kbspark.session import scratch_dir
+
 # Small closed word classes of four languages: the fixed part of the grammar.
 THREATS = ("kill", "hurt", "destroy", "strangle", "shoot", "stab", "töten", "umbringen", "vernichten", "erschießen",
            "tuer", "détruire", "étrangler", "matar", "destruir", "apuñalar")
@@ -167,13 +169,20 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "word string, context string, toxic int")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A bounded table of the fitting rows, kept in the shared folder instead of computed again."""
+    path = f"{scratch_dir(df.sparkSession, 'toxicity')}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Insult words and stems with their log rate ratios."""
     occ = _occurrences(rows).select("word", F.xxhash64("context").alias("context"), "toxic").distinct()
     # A word is its own feature ("w"), and so is each of its stems ("s").
     feats = F.array(F.struct(F.lit("w").alias("kind"), F.col("word").alias("f")),
                     *[F.when(F.length("word") >= n, F.struct(F.lit("s").alias("kind"), F.substring("word", 1, n).alias("f"))) for n in STEM_LENGTHS])
-    words = occ.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    words = _stored(occ.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")), "words")
     rows_ = (words.select(F.explode(F.array_compact(feats)).alias("x"), "p", "q").groupBy("x.kind", "x.f")
              .agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") > 0).alias("forms")))
     total = words.agg(F.sum("p"), F.sum("q")).first()
@@ -221,6 +230,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .join(F.broadcast(lab), "doc_id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
             .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
+    rows = _stored(rows, "rows")
     grammar = Grammar(*_lexicon(rows))
 
     def measure(batches):
