@@ -14,8 +14,8 @@ rows: every member of a large node is compared with the node's leader, its most
 (nearest to the majority of the sketch bits of about ``CENTRE_SAMPLE`` members; the source of a group
 of copies, if it is there). Links join labels (components so far); only pairs of different labels
 are compared at all: a node whose members all have one label is closed, as no link inside it is
-news, and so is one where at most ``small`` members have another label than the most frequent, once
-these few have been compared with all. Nodes whose classes agree in all coordinates are finished by blocks of ``small`` members,
+news, and so is one where at most ``small`` / 4 members have another label than the most frequent,
+once these few have been compared with all. Nodes whose classes agree in all coordinates are finished by blocks of ``small`` members,
 each pair of blocks compared exhaustively.
 
 Every candidate passes two sketch filters (128 bits, then 256 coordinates of 4 bits; five standard
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.components import connected_components, small as small_table
+from kbspark.llm.components import connected_components, in_few_tasks, small as small_table
 from kbspark.llm.words import mix, seeds, shingle_sets, slices
 from kbspark.session import scratch_dir
 
@@ -55,7 +55,7 @@ EXTRA_LEVELS = 3
 CENTRE_SAMPLE = 64
 #: Ids of candidate documents are broadcast up to this many, else shuffled.
 BROADCAST_IDS = 1_000_000
-#: Sketches are broadcast up to this many (400 bytes each), else shuffled.
+#: Sketches are broadcast up to this many (up to 400 bytes each), else shuffled.
 BROADCAST_SKETCHES = 40_000
 #: Seed of the trees' choices.
 SEED = 20_000
@@ -197,14 +197,21 @@ def _branch(rows: DataFrame, depth: int, twice: bool) -> DataFrame:
         run, "tree int, node long, cls binary, lo long, hi long, label binary")
 
 
-def _members(lists: pa.ListArray, more: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Lists of (cls, lo, hi, label) flat: offsets, cls, (members x 2) bits, label codes (those of
-    ``more`` labels follow)."""
+def _members(lists: pa.ListArray, more: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of (cls, lo, hi, label, wide) flat: offsets, cls, (members x 2) bits, label codes (those
+    of ``more`` labels follow), wide sketches."""
     off = lists.offsets.to_numpy()
     m = lists.flatten()
     bits = np.stack([m.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi")], 1).view(np.uint64) if len(m) else np.zeros((0, 2), np.uint64)
     labels = m.field("label") if more is None else pa.concat_arrays([m.field("label"), more])
-    return off - off[0], m.field("cls"), bits, labels.dictionary_encode().indices.to_numpy()
+    wide = _plain(m.field("wide"), np.uint8, WIDE // 2)
+    return off - off[0], m.field("cls"), bits, labels.dictionary_encode().indices.to_numpy(), wide
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of equal 4-bit coordinates of each pair of rows."""
+    d = x ^ y
+    return (d & 15 == 0).sum(axis=1) + (d >> 4 == 0).sum(axis=1)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -219,9 +226,14 @@ class _Join:
         self.spark = docs.sparkSession
         self.base = scratch_dir(self.spark, "chosen-path")
         self.n_stored = 0
+        self.n_live = 1 << 60                  # rows of the nodes at hand; not known yet
+        self.minor = max(1, small // 4)        # fewer, as they are sent to every row of their node
         self.far, self.least_equal = _far(percent / 100), _least_equal(percent / 100)
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again; ``rows``: about how many rows it is made of, if known."""
+        if rows is not None:
+            df = in_few_tasks(df, rows)
         path = f"{self.base}/{self.n_stored}-{name}"
         self.n_stored += 1
         df.write.parquet(path)
@@ -234,15 +246,23 @@ class _Join:
         by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         stat = (by_label.groupBy("node").agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
                 .filter("labels > 1").select("node", "cnt", F.col("m.label").alias("top"), (F.col("cnt") - F.col("m.n")).alias("rest")))
-        return self.store(rows.drop("cnt", "top", "rest").join(stat, "node"), "live")
+        live = self.store(rows.drop("cnt", "top", "rest").join(stat, "node"), "live", self.n_live)
+        self.n_live = live.count()
+        return live
 
     def large(self, live: DataFrame) -> DataFrame:
         """Rows of nodes that are too large to be finished at once."""
-        return live.filter((F.col("cnt") > self.small) & (F.col("rest") > self.small))
+        return live.filter((F.col("cnt") > self.small) & (F.col("rest") > self.minor))
+
+    def with_wide(self, live: DataFrame) -> DataFrame:
+        """Stored rows with their wide sketches, looked up only for classes in open nodes."""
+        some = self.store(live.select("cls").distinct(), "open", self.n_live)
+        return live.join(small_table(self.of_classes(some, "wide"), BROADCAST_SKETCHES), "cls")
 
     def leader_pairs(self, live: DataFrame) -> DataFrame:
         """Pairs of the members of large nodes with the node's most central member."""
-        large = self.large(live).select("node", "cnt", "cls", "lo", "hi")
+        large = self.large(live).select("node", "cnt", "cls", "lo", "hi", "wide")
+        least = self.least_equal
         picked = F.pmod(F.xxhash64("cls", "node"), F.col("cnt")) < CENTRE_SAMPLE
 
         def majority(batches):
@@ -254,50 +274,60 @@ class _Join:
         centre = (large.filter(picked).groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("ms"))
                   .mapInArrow(majority, "node long, clo long, chi long"))
         off = F.expr("bit_count(lo ^ clo) + bit_count(hi ^ chi)")
-        leader = (large.join(centre, "node").groupBy("node").agg(F.min(F.struct(off.alias("off"), "cls", "lo", "hi")).alias("leader")))
+        leader = (large.join(centre, "node").groupBy("node").agg(F.min(F.struct(off.alias("off"), "cls", "lo", "hi", "wide")).alias("leader")))
         m = large.join(leader, "node").filter("cls <> leader.cls").filter(
             f"bit_count(lo ^ leader.lo) + bit_count(hi ^ leader.hi) <= {self.far}")
-        return m.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b"))
+
+        def alike(batches):
+            for b in batches:
+                equal = _equal(*(_plain(b.column(i), np.uint8, WIDE // 2) for i in (2, 3)))
+                yield b.select(["a", "b"]).filter(pa.array(equal >= least))
+
+        m = m.select(F.col("cls").alias("a"), F.col("leader.cls").alias("b"), F.col("wide").alias("x"), F.col("leader.wide").alias("y"))
+        return _ordered(m.mapInArrow(alike, "a binary, b binary"))
 
     def all_pairs(self, live: DataFrame, bottom: bool) -> DataFrame:
         """Pairs of different labels in nodes of at most ``small`` classes; at the bottom in all nodes,
         by pairs of blocks."""
-        far = self.far
+        far, least = self.far, self.least_equal
 
         def compare(batches):
             for b in batches:
-                off, cls, bits, label = _members(b.column(0))
+                off, cls, bits, label, wide = _members(b.column(0))
                 for a, z in zip(off[:-1], off[1:]):
                     d = np.bitwise_count(bits[a:z, None, :] ^ bits[None, a:z, :]).sum(axis=2, dtype=np.int16)
                     i, j = np.nonzero(np.triu(d <= far, 1) & (label[a:z, None] != label[None, a:z]))
-                    if len(i):
-                        yield pa.record_batch({"a": cls.take(pa.array(i + a)), "b": cls.take(pa.array(j + a))})
+                    ok = _equal(wide[i + a], wide[j + a]) >= least
+                    if ok.any():
+                        yield pa.record_batch({"a": cls.take(pa.array(i[ok] + a)), "b": cls.take(pa.array(j[ok] + a))})
 
         g = live.filter(F.col("cnt") <= self.small).withColumn("part", F.lit(""))
         if bottom:
             g = g.unionByName(self.blocks(self.large(live)))
-        g = (g.groupBy("node", "part").agg(F.collect_list(F.struct("cls", "lo", "hi", "label")).alias("ms"), F.min("label").alias("l0"),
+        g = (g.groupBy("node", "part").agg(F.collect_list(F.struct("cls", "lo", "hi", "label", "wide")).alias("ms"), F.min("label").alias("l0"),
                                            F.max("label").alias("l1")).filter("l0 <> l1").select("ms"))
         return _ordered(g.mapInArrow(compare, "a binary, b binary"))
 
     def minor_pairs(self, live: DataFrame) -> DataFrame:
-        """Pairs of different labels in larger nodes where at most ``small`` rows have another label
+        """Pairs of different labels in larger nodes where at most ``minor`` rows have another label
         than the most frequent one: these few against all."""
-        far = self.far
-        rows = live.filter((F.col("cnt") > self.small) & (F.col("rest") <= self.small)).select("node", "cls", "lo", "hi", "label", "top")
-        few = rows.filter("label <> top").groupBy("node").agg(F.collect_list(F.struct("cls", "lo", "hi", "label")).alias("ms"))
+        far, least = self.far, self.least_equal
+        rows = live.filter((F.col("cnt") > self.small) & (F.col("rest") <= self.minor)).select("node", "cls", "lo", "hi", "label", "top", "wide")
+        few = rows.filter("label <> top").groupBy("node").agg(F.collect_list(F.struct("cls", "lo", "hi", "label", "wide")).alias("ms"))
 
         def compare(batches):
             for b in batches:
-                off, cls, bits, label = _members(b.column(4), b.column(3))
+                off, cls, bits, label, wide = _members(b.column(4), b.column(3))
+                own_wide = _plain(b.column(5), np.uint8, WIDE // 2)
                 label, own_label = label[:off[-1]], label[off[-1]:]
                 own = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], 1).view(np.uint64)
                 row = np.repeat(np.arange(len(own)), np.diff(off))
                 near = np.bitwise_count(bits ^ own[row]).sum(axis=1, dtype=np.int16) <= far
                 at = np.flatnonzero(near & (label != own_label[row]))
+                at = at[_equal(wide[at], own_wide[row[at]]) >= least]
                 yield pa.record_batch({"a": b.column(0).take(pa.array(row[at])), "b": cls.take(pa.array(at))})
 
-        return _ordered(rows.join(few, "node").select("cls", "lo", "hi", "label", "ms").mapInArrow(compare, "a binary, b binary"))
+        return _ordered(rows.join(few, "node").select("cls", "lo", "hi", "label", "ms", "wide").mapInArrow(compare, "a binary, b binary"))
 
     def blocks(self, live: DataFrame) -> DataFrame:
         """Each row once for every pair of blocks of its node that holds the row's block."""
@@ -312,25 +342,12 @@ class _Join:
         pairs = pairs.distinct()
         if self.seen is not None:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = self.store(pairs, "pairs")
+        pairs = self.store(pairs, "pairs", self.n_live)
+        n = pairs.count()
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        least = self.least_equal
-
-        def alike(batches):
-            for b in batches:
-                x, y = (_plain(b.column(i), np.uint8, 4 * COORDS + WIDE // 2)[:, 4 * COORDS:] for i in (2, 3))
-                d = x ^ y
-                equal = (d & 15 == 0).sum(axis=1) + (d >> 4 == 0).sum(axis=1)
-                yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(equal >= least))
-
-        sketch = small_table(self.of_classes(self.ends(pairs), "sketch"), BROADCAST_SKETCHES)
-        pairs = (pairs.join(sketch.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a")
-                 .join(sketch.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
-                 .select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary"))
-        pairs = self.store(pairs, "alike")
-        if pairs.isEmpty():
+        if n == 0:
             return None
-        ends = self.ends(pairs)
+        ends = self.ends(pairs, n)
         need = self.of_classes(ends, "rep").select(F.col("rep").alias("doc_id"))
         if need.count() <= BROADCAST_IDS:
             need = F.broadcast(need)
@@ -340,11 +357,11 @@ class _Join:
         b = sets.select(F.col("cls").alias("b"), F.col("items").alias("sb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                                                       F.size(F.array_intersect("sa", "sb")).alias("both"))
-        return self.store(both.filter(f"100L * both >= {self.percent}L * (na + nb - both)").select("a", "b"), "links")
+        return self.store(both.filter(f"100L * both >= {self.percent}L * (na + nb - both)").select("a", "b"), "links", n)
 
-    def ends(self, pairs: DataFrame) -> DataFrame:
+    def ends(self, pairs: DataFrame, n: int) -> DataFrame:
         """The classes of stored pairs."""
-        return self.store(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "ends")
+        return self.store(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "ends", n)
 
     def of_classes(self, some: DataFrame, column: str) -> DataFrame:
         """(cls, column) of some classes: a stored table of distinct ``cls``."""
@@ -369,24 +386,25 @@ class _Join:
         sigs = self.store(_signatures(self.docs, self.words), "signatures")
         self.classes = self.store(sigs.filter("cls is not null").groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+        self.classes = self.classes.withColumn("wide", F.substring("sketch", 4 * COORDS + 1, WIDE // 2))
         self.labels = self.seen = None
         linkable = self.classes.filter("rep is not null")
         live = self.prune(self.labelled(_roots(linkable, self.trees, self.root_depth)))
         depth = self.root_depth
-        self.relabel(self.confirm(self.leader_pairs(live)))
+        self.relabel(self.confirm(self.leader_pairs(self.with_wide(live))))
         rows = live
         while True:
             live, bottom = self.prune(self.labelled(rows)), depth >= COORDS
-            if live.isEmpty():
+            if not self.n_live:
                 break
-            pairs = self.all_pairs(live, bottom).unionByName(self.minor_pairs(live))
-            large = self.large(live)
+            wide, large = self.with_wide(live), self.large(live)
+            pairs = self.all_pairs(wide, bottom).unionByName(self.minor_pairs(wide))
             if not bottom and depth > self.root_depth:
-                pairs = pairs.unionByName(self.leader_pairs(live))
+                pairs = pairs.unionByName(self.leader_pairs(wide))
             self.relabel(self.confirm(pairs))
             if bottom or large.isEmpty():
                 break
-            sketch = self.of_classes(self.store(large.select("cls").distinct(), "open"), "sketch")
+            sketch = self.of_classes(self.store(large.select("cls").distinct(), "open", self.n_live), "sketch")
             rows = _branch(large.join(small_table(sketch, BROADCAST_SKETCHES), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
             depth += 1
         return self.result(sigs)

@@ -17,9 +17,18 @@ from kbspark.session import scratch_dir
 
 MAX_ROUNDS = 100
 BROADCAST_ROWS = 200_000
+#: Steps over tables of at most this many rows end in few tasks.
+FEW_ROWS = 500_000
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made of about ``rows`` rows, with no more partitions than so small a table needs."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if rows <= FEW_ROWS else df
+
+
+def _stored(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    if rows is not None:
+        df = in_few_tasks(df, rows)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,20 +53,21 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     e = _stored(e, f"{base}/edges0")
     found = None                                            # (id, root) so far
     for k in range(1, MAX_ROUNDS):
-        if e.isEmpty():
+        n = e.count()
+        if n == 0:
             break
         near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = (near.groupBy("a").agg(F.min(_by_hash("b")).alias("m"))
                  .select(F.col("a").alias("v"), F.least(F.col("m"), _by_hash("a"))["x"].alias("p")))
-        point = _stored(point, f"{base}/point{k}")
+        point = _stored(point, f"{base}/point{k}", n)
         few = small(point) is not point
         mark = F.broadcast if few else (lambda df: df)
         hop = mark(point.select(F.col("v").alias("p"), F.col("p").alias("q")))
-        jump = _stored(point.join(hop, "p").select("v", F.col("q").alias("root")), f"{base}/jump{k}")
+        jump = _stored(point.join(hop, "p").select("v", F.col("q").alias("root")), f"{base}/jump{k}", n)
         left = mark(jump.select(F.col("v").alias("a"), F.col("root").alias("ra")))
         right = mark(jump.select(F.col("v").alias("b"), F.col("root").alias("rb")))
         e = e.join(left, "a").join(right, "b").filter("ra <> rb")
-        e = _stored(e.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{base}/edges{k}")
+        e = _stored(e.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{base}/edges{k}", n)
         if found is None:
             found = jump.select(F.col("v").alias("id"), "root")
         else:

@@ -87,7 +87,8 @@ def test_blocks_and_minorities_compare_all_pairs_of_different_labels(spark):
     rows = [(0, 7, bytes([i]), bits[i % 3], bits[i % 3], bytes([i % 5])) for i in range(30)]           # one node, 5 labels of 6 rows
     rows += [(0, 8, bytes([100 + i]), bits[0], bits[0], bytes([0 if i < 20 else i])) for i in range(23)]  # 20 of one label, 3 others
     df = spark.createDataFrame(rows, "tree int, node long, cls binary, lo long, hi long, label binary")
-    live = join.prune(df)
+    live = join.prune(df).withColumn("wide", F.lit(bytes(128)))
+    join.minor = 3
 
     def want(rows):
         return sorted((bytes(a[2]), bytes(b[2])) for a in rows for b in rows if a[2] < b[2] and a[5] != b[5] and a[3] == b[3])
@@ -97,6 +98,8 @@ def test_blocks_and_minorities_compare_all_pairs_of_different_labels(spark):
     got = sorted((bytes(x.a), bytes(x.b)) for x in join.minor_pairs(live).distinct().collect())
     assert got == want(rows[30:])
     assert {x.node for x in join.large(live).collect()} == {7}
+    far = live.withColumn("wide", F.sha2(F.hex("cls"), 512)).withColumn("wide", F.encode("wide", "utf-8"))
+    assert join.all_pairs(far, True).count() == 0 and join.minor_pairs(far).count() == 0       # the wide filter
 
 
 def test_repeated_ids_nulls_and_empty(spark):
