@@ -12,7 +12,7 @@ All keyed work is hash-aggregate or equi-join on the key:
   a third of the batch is pre-combined before the shuffle;
 * the merge is one equi-join on ``doc_id``: left-outer against a broadcast batch,
   or full-outer sort-merge (AQE splits skewed partitions). Both give the same rows;
-* new keys get dense surrogate ids from ``unique_index`` (no sort, no global window).
+* new keys get dense surrogate ids from ``dense_index`` over the narrow keys (no global window).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.functions.ids import unique_index
+from kbspark.functions.ids import dense_index
 from kbspark.schema import KB_COLUMNS, MAX_DOC_ID_CHARS
 from kbspark.session import ensure_checkpoint_dir
 
@@ -102,7 +102,9 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
     else:
         new = merged.filter(F.col("_old").isNull()).drop("id", "_old")
     start = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1
-    new = unique_index(new.drop("_first_seq"), out="id", start=int(start))
+    # Ids follow arrival: only (key, sequence) is sorted, not the contents.
+    ids = dense_index(new.select("doc_id", "_first_seq"), ["_first_seq", "doc_id"], out="id", start=int(start))
+    new = new.drop("_first_seq").join(ids.select("doc_id", "id"), "doc_id")
     return old.unionByName(new.select(*KB_COLUMNS))
 
 
