@@ -203,14 +203,23 @@ def _lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float, float]]:
-    """Ridge logistic regression by Newton steps."""
+    """Ridge logistic regression by Newton steps, each halved until the loss falls."""
     a = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(a.shape[1]), np.diag([1e-4, 0.02, 0.02, 0.02])
-    for _ in range(50):
+    ridge = np.array([1e-3, 0.1, 0.1, 0.1])
+
+    def loss(w):
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w * w).sum())
+
+    w = np.zeros(a.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge), a.T @ (y - p) - ridge * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-8:
             break
     return float(w[0]), tuple(float(v) for v in w[1:])
 

@@ -145,3 +145,12 @@ def test_languages_without_training_rows(spark):
     assert language_query(docs.limit(0)).count() == 0
     empty = LanguageModel([], np.zeros(0, np.uint32), [], [], np.zeros(0))
     assert identify_languages(docs.drop("score"), empty).filter("rejected").count() == 2
+
+
+def test_logistic_fit_survives_separable_features():
+    from kbspark.llm.toxicity import _logistic
+    r = np.random.default_rng(3)
+    y = (r.random(20_000) < 0.1).astype(float)
+    x = np.column_stack([y * r.uniform(1.5, 4, len(y)), y * r.uniform(3, 20, len(y)), y * r.uniform(0.7, 3, len(y))])
+    bias, coef = _logistic(x, y)
+    assert ((bias + x @ np.array(coef) > 0) == (y == 1)).all()
