@@ -3,11 +3,12 @@
 Each document is its set of distinct word shingles. Equal sets collapse into one class first. A
 class gets a sketch of minwise tokens; ``trees`` independent trees branch the classes recursively
 by the tokens at chosen coordinates: the root of a tree chooses ``root_depth`` coordinates at once,
-each further level one, and the first ``EXTRA_LEVELS`` of these a second one in a quarter of the
-nodes (about 1 / similarity children per record, so that a linked pair is expected to stay together
-in one child). Nodes of at most ``small`` classes are compared exhaustively; larger ones branch on.
-A pair at the threshold meets in a root of 3 coordinates with probability 0.51, so 20 trees miss it
-less than once in a million.
+and every node below chooses its own, one for each child, by a hash of the node. At level k below the
+root a record has (1 + 1/k) / p children on average, p being the chance that a linked pair agrees in a
+coordinate: 1 / p keep the pair together in one child on average, and the rest makes up for the paths
+that die out, so that the miss stays bounded (``miss``) however deep a large node branches. Nodes of
+at most ``small`` classes are compared exhaustively; larger ones branch on. A pair at the threshold
+meets in a root of 3 coordinates with probability 0.51, so 20 trees miss it less than once in a million.
 
 Large groups of near copies hardly shrink by branching. They end another way, without dropping
 rows: every member of a large node is compared with the node's leader, its most central member
@@ -51,7 +52,6 @@ from kbspark.session import scratch_dir
 
 #: Coordinates to branch by (32-bit tokens) and to compare (the same and more).
 COORDS, WIDE = 64, 256
-EXTRA_LEVELS = 3
 CENTRE_SAMPLE = 64
 #: Ids of candidate documents are broadcast up to this many, else shuffled.
 BROADCAST_IDS = 1_000_000
@@ -174,26 +174,43 @@ def _roots(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("cls", "sketch").mapInArrow(run, "tree int, node long, cls binary, lo long, hi long")
 
 
-def _branch(rows: DataFrame, depth: int, twice: bool) -> DataFrame:
-    """The children of the rows' nodes at ``depth`` (rows: tree, node, cls, lo, hi, label, sketch)."""
+def _children(similarity: float, level: int) -> float:
+    """Average number of children of a record at a level (from 1) below the root."""
+    return (1 + 1 / level) / (similarity + (1 - similarity) / 16)
+
+
+def miss(similarity: float, trees: int, root_depth: int, levels: int) -> float:
+    """Chance that a pair at the threshold shares no node ``levels`` below the roots of any tree."""
+    p, apart = similarity + (1 - similarity) / 16, 0.0
+    for level in range(levels, 0, -1):
+        whole, part = divmod(_children(similarity, level), 1)
+        u = 1 - p + p * apart
+        apart = u ** whole * (1 - part + part * u)
+    return (1 - similarity ** root_depth * (1 - apart)) ** trees
+
+
+def _branch(rows: DataFrame, level: int, similarity: float) -> DataFrame:
+    """The children of the rows' nodes (rows: tree, node, cls, lo, hi, label, wide)."""
+    whole, part = divmod(_children(similarity, level), 1)
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            s = _tokens(b.column(6))[0].astype(np.uint64)
-            tree = b.column(0).to_numpy(zero_copy_only=False)
+            wide = _plain(b.column(6), np.uint8, WIDE // 2)
             node = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            order = {r: _choice(r) for r in np.unique(tree)}
-            for extra in (0, 1) if twice and depth < COORDS - 1 else (0,):
-                at = depth if not extra else (depth + COORDS) // 2
-                col = np.array([order[r][at] for r in tree])
+            chosen = mix(node)
+            more = (chosen & np.uint64(0xFFFFF)) < np.uint64(int(part * (1 << 20)))
+            for k in range(int(whole) + 1):
+                at = np.arange(len(node)) if k < whole else np.flatnonzero(more)
+                col = ((chosen[at] >> np.uint64(32)) + np.uint64(k)) % np.uint64(WIDE)       # another one for each child
+                token = wide[at, col // np.uint64(2)] >> (col % np.uint64(2) * np.uint64(4)).astype(np.uint8) & 15
                 with np.errstate(over="ignore"):
-                    child = mix(node * np.uint64(0x9E3779B97F4A7C15) + s[np.arange(len(s)), col] + np.uint64(at << 40))
-                keep = np.flatnonzero(mix(node) % np.uint64(4) == 0) if extra else np.arange(len(s))
-                out = {"tree": pa.array(tree), "node": pa.array(child.view(np.int64)), **{c: b.column(i) for i, c in ((2, "cls"), (3, "lo"), (4, "hi"), (5, "label"))}}
-                yield pa.record_batch(out).take(pa.array(keep))
+                    child = mix(node[at] * np.uint64(0x9E3779B97F4A7C15) + token + (col << np.uint64(40)))
+                out = b.select(["tree", "cls", "lo", "hi", "label"]).take(pa.array(at))
+                yield pa.record_batch({"tree": out.column(0), "node": pa.array(child.view(np.int64)), **{c: out.column(c) for c in ("cls", "lo", "hi", "label")}})
 
-    return rows.select("tree", "node", "cls", "lo", "hi", "label", "sketch").mapInArrow(
+    return rows.select("tree", "node", "cls", "lo", "hi", "label", "wide").mapInArrow(
         run, "tree int, node long, cls binary, lo long, hi long, label binary")
 
 
@@ -404,9 +421,8 @@ class _Join:
             self.relabel(self.confirm(pairs))
             if bottom or large.isEmpty():
                 break
-            sketch = self.of_classes(self.store(large.select("cls").distinct(), "open", self.n_live), "sketch")
-            rows = _branch(large.join(small_table(sketch, BROADCAST_SKETCHES), "cls"), depth, depth < self.root_depth + EXTRA_LEVELS)
             depth += 1
+            rows = _branch(self.large(wide), depth - self.root_depth, self.percent / 100)
         return self.result(sigs)
 
     def result(self, sigs: DataFrame) -> DataFrame:

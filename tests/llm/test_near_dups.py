@@ -78,6 +78,30 @@ def test_large_group_of_near_copies_branches_and_closes(spark):
     check(spark, rows, 2, small=6, trees=12)
 
 
+def test_linked_pairs_inside_a_large_group_of_shared_text_stay_together(spark):
+    # every document shares 130 of 165 words (pairwise 0.65); the planted pairs are at 0.80 to 0.82
+    from kbspark.llm import chosen_path as m
+    r = random.Random(11)
+    core = [f"c{i}" for i in range(130)]
+    rows = [(i, [*core, *(f"o{i}-{k}" for k in range(35))]) for i in range(300)]
+    rows += [(1000 + i, [*rows[i][1][n:], *(f"p{i}-{k}" for k in range(n))]) for i in range(0, 300, 4) for n in [r.choice((16, 17, 18))]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    sigs = m._signatures(df, 1).localCheckpoint()
+    wide = sigs.select("cls", F.substring("sketch", 4 * m.COORDS + 1, m.WIDE // 2).alias("wide"))
+    nodes = m._roots(sigs, 20, 3).withColumn("label", F.col("cls"))
+    for level in range(1, 11):
+        nodes = m._branch(nodes.join(F.broadcast(wide), "cls"), level, 0.8).localCheckpoint()
+    at = nodes.join(F.broadcast(sigs.select("cls", "doc_id")), "cls").select("node", "doc_id").filter("doc_id % 4 = 0")
+    other = at.select("node", F.col("doc_id").alias("other"))
+    together = at.join(other, "node").filter("other = doc_id + 1000").select("doc_id").distinct().count()
+    assert together == 75
+
+
+def test_computed_miss_stays_low_at_every_level():
+    from kbspark.llm.chosen_path import COORDS, miss
+    assert all(miss(0.8, 20, 3, levels) < 1e-4 for levels in range(COORDS - 3 + 1))
+
+
 def test_blocks_and_minorities_compare_all_pairs_of_different_labels(spark):
     from kbspark.llm.chosen_path import _Join
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
