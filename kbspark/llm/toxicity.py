@@ -59,7 +59,11 @@ MIN_FORMS = 4
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»„]")
-_CLAUSE_END = re.compile(r"[.!?;:\n|]")
+#: Ends of clauses: ASCII marks, line ends, and the full stops, question and exclamation marks of other scripts.
+_CLAUSE_END = re.compile("[.!?;:\\n|\\r\u0085\u2028\u2029\u2026\u203c\u203d\u2047-\u2049\u3002\uff0e\uff61\uff01\uff1f\uff1b\uff1a\uff5c"
+                         "\u037e\u0589\u061b\u061f\u06d4\u0964\u0965\u0f0d\u104b\u1362\u1364-\u1367\u17d4\u17d5\u1803]")
+#: A clause without marks reaches at most so many characters back from its first match, and on from it.
+BEFORE, AFTER = 2000, 4000
 
 
 def id_crc(id_col: Column) -> Column:
@@ -67,6 +71,13 @@ def id_crc(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary"))
 
 
+def _word_border(text: str, at: int, last: int) -> int:
+    """The first position from ``at`` on, at most ``last``, that is not inside a word."""
+    while 0 < at < last and (text[at - 1].isalpha() or text[at - 1] in "'’") and (text[at].isalpha() or text[at] in "'’"):
+        at += 1
+    return min(at, last)
+
+
 class Grammar:
     """The compiled transducers: ``words`` and ``stems`` map insults to weights."""
 
@@ -122,21 +133,26 @@ class Grammar:
         return insults * (TARGETED if target else 1.0) + (threats if target else 0.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """(log of the sum, strongest clause, log of the number) of the matched clauses."""
+        """(log of the sum, strongest clause, log of the number) of the matched clauses. Each match counts in
+        one clause; a clause begins after the last mark before its first match, at most BEFORE characters back."""
         if not text:
             return 0.0, 0.0, 0.0
         text = text.lower()
         found = self.matches(text)
         if not found:
             return 0.0, 0.0, 0.0
-        weights, done = [], -1
+        weights, left = [], 0                   # all before left is done; the text is walked once
         for at in sorted(found):
-            if at < done:
+            if at < left:
                 continue
-            start = max((text.rfind(c, max(0, at - 2000), at) for c in ".!?;:\n|"), default=-1) + 1
-            end = _CLAUSE_END.search(text, at)
-            done = min(end.start() if end else len(text), at + 4000)
-            weight = self.clause_weight(text[start:done], found, start)
+            for mark in _CLAUSE_END.finditer(text, left, at):
+                left = mark.end()
+            if at - left > BEFORE:
+                left = _word_border(text, at - BEFORE, at)
+            end = _CLAUSE_END.search(text, at, at + AFTER)
+            done = end.start() if end else _word_border(text, at + AFTER, len(text))
+            weight = self.clause_weight(text[left:done], found, left)
+            left = done
             if weight > 0:
                 weights.append(weight)
         if not weights:

@@ -75,6 +75,18 @@ def test_grammar_composition():
     assert m.score(None) == m.score("") == m.score("clean") < 0.5 < m.score("you idiot idiot idiot")
 
 
+def test_clauses_of_long_texts_without_marks():
+    g = Grammar({"idiot": 4.0}, {"scum": 3.0})
+    far = "word " * 3000
+    assert g.features(f"you {far}kill the process") == (0.0, 0.0, 0.0)                # the target is 15,000 characters away
+    assert g.features(f"he said {far}idiot") == g.features("an idiot")                # so is the report
+    twice = g.features(f"idiot {far}idiot")
+    assert twice == (pytest.approx(np.log1p(8)), 4.0, pytest.approx(np.log1p(2)))     # each match counts once
+    many = g.features(f"idiot {'word ' * 500}" * 10)
+    assert many[0] == pytest.approx(np.log1p(40)) and many[1] < 20
+    assert g.features("you。idiot") == g.features("you. idiot") and g.features("said؟ idiot") == g.features("idiot")
+
+
 def test_copies_of_one_text_do_not_teach_its_words(spark):
     r = random.Random(1)
     clean = [(i, sentence(r, "en", 30), "en", "s", "") for i in range(200)]
