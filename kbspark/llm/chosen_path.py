@@ -45,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from kbspark.llm.components import connected_components, in_few_tasks, small as small_table
 from kbspark.llm.words import mix, seeds, shingle_sets, slices
@@ -113,6 +114,24 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls binary, sketch binary")
 
 
+def _with_classes(rows: DataFrame, words: int, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the class of each text in a new column ``name``; null if it has no words."""
+    text = f"{name}_text"
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch, batch.num_columns - 1):
+                sets, off = shingle_sets(b.column(b.num_columns - 1), words)
+                has = np.diff(off) > 0
+                cls = np.full(b.num_rows, None, object)
+                if has.any():
+                    tight = np.concatenate([[0], np.cumsum(np.diff(off)[has])])
+                    cls[np.flatnonzero(has)] = _fixed(_fingerprints(sets, tight)).to_pylist()
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(cls), pa.binary())], [*b.schema.names[:-1], name])
+
+    return rows.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(cls, items array<long>) of each document."""
     def run(batches):
@@ -399,7 +418,7 @@ class _Join:
 
     # -- the whole join -------------------------------------------------------------------
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, kept) per document row."""
+        """(doc_id, n_shingles, component_id, kept, cls) per document row."""
         sigs = self.store(_signatures(self.docs, self.words), "signatures")
         self.classes = self.store(sigs.filter("cls is not null").groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
@@ -431,7 +450,16 @@ class _Join:
         ids = own.select("cls", "label").join(low, "label").select("cls", "component_id")
         d = sigs.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
         d = d.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        return d.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        return d.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls")
+
+
+def _judged(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 20, root_depth: int = 3,
+            small: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with the class (equal sets) of each."""
+    if not 1 <= root_depth < COORDS:
+        raise ValueError("root_depth must be at least 1 and less than COORDS")
+    d = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    return _Join(d, words, percent, trees, root_depth, small).run()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 20, root_depth: int = 3,
@@ -442,22 +470,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     document: doc_id, n_shingles, component_id (smallest id reachable by links), kept (whether
     the document stands for its component).
     """
-    if not 1 <= root_depth < COORDS:
-        raise ValueError("root_depth must be at least 1 and less than COORDS")
-    d = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return _Join(d, words, percent, trees, root_depth, small).run()
+    return _judged(docs, words, percent, trees, root_depth, small, id_col, text_col).drop("cls")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stand for their component, with all their columns. Rows without an id
-    are not dropped."""
-    id_col = options.get("id_col", "doc_id")
-    path = f"{scratch_dir(docs.sparkSession, 'dropped')}/ids"
-    near_duplicates(docs, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct().write.parquet(path)
-    drop = docs.sparkSession.read.parquet(path)
-    if drop.count() <= BROADCAST_IDS:
-        drop = F.broadcast(drop)
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    """The rows that stand for their component, with all their columns. Rows are judged one by one: of
+    rows that repeat an id with different texts, only those go whose own text is a copy of a smaller
+    id's. Rows without an id are not dropped, nor exact copies that repeat the id of their component."""
+    id_col, text_col, words = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("words", 5)
+    spark = docs.sparkSession
+    base = scratch_dir(spark, "dropped")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    judged = stored(_judged(docs, **options).filter("doc_id is not null"), "judged")
+    by_id = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
+    ids = stored(by_id.filter("not every").select(F.col("doc_id").alias("dropped_id"), "some"), "ids")
+    key = docs[id_col].cast("long")
+    out = docs.join(small_table(ids.select("dropped_id"), BROADCAST_IDS), key == F.col("dropped_id"), "left_anti")
+    mixed = ids.filter("some").select("dropped_id")
+    if mixed.isEmpty():
+        return out
+    # ids with both verdicts: the set of a row's text decides
+    gone = stored(judged.filter("not kept").join(small_table(mixed, BROADCAST_IDS), F.col("doc_id") == F.col("dropped_id"), "left_semi")
+                  .select("doc_id", "cls").distinct(), "gone")
+    rows = docs.join(small_table(mixed, BROADCAST_IDS), key == F.col("dropped_id"), "left_semi")
+    names = [f"{n}_{len(docs.columns)}" for n in ("near_id", "near_cls")]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    rows = _with_classes(rows, words, text_col, names[1]).withColumn(names[0], F.col(id_col).cast("long"))
+    gone = gone.select(F.col("doc_id").alias(names[0]), F.col("cls").alias(names[1]))
+    return out.unionByName(rows.join(small_table(gone, BROADCAST_IDS), names, "left_anti").select(*docs.columns))
 
 
 ORACLE = r"""

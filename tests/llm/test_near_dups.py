@@ -136,6 +136,14 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None", "None", "None"]
 
 
+def test_dropping_judges_rows_not_ids(spark):
+    rows = [(1, "a b c d e f"), (5, "A b c d e f"), (5, "a text of its own"), (5, None), (6, "a b c d e f"), (None, "a b c d e f"), (7, "q r s")]
+    df = spark.createDataFrame([(d, t, "", "", "") for d, t in rows], DOC)
+    kept = drop_near_duplicates(df, words=2)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((rows[i] for i in (0, 2, 3, 5, 6)), key=str)
+
+
 def test_components_of_chains_and_hubs(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(r.randint(2000, 2080), r.randint(2000, 2080)) for _ in range(50)]
