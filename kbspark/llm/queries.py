@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import (backoff_lm, bins, chosen_path, hyperplanes, langid, norm_buckets, piece_bpe, snapshots, toxicity, url_rules)
+from kbspark.llm import (backoff_lm, bins, chosen_path, exact, hyperplanes, langid, norm_buckets, periodic, phrases, piece_bpe, snapshots, toxicity,
+                         url_rules)
 from kbspark.session import ship_package
 
 QUERIES: dict = {}
@@ -76,3 +77,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(table(spark, sf_dir, "documents"))
+
+
+@register("op11_exact_dedup", exact.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op13_phrase_collocations", phrases.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000)
