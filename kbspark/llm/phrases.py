@@ -171,10 +171,10 @@ def _routes(docs: DataFrame, lists, hot, seed: int, max_words: int, routes: int,
             return w
 
         def emit():
-            if not held:
-                return
-            w = np.concatenate(held)
+            w = np.concatenate(held) if held else np.zeros((0, max_words), dtype)
             held.clear()
+            if not len(w):
+                return
             lead = np.full(len(w), 2)              # leading words: one more while all of them are hot
             hot_so_far = np.ones(len(w), bool)
             for k in range(max_words - 1):
