@@ -9,11 +9,11 @@ Texts are equal when they are identical after A-Z is lower-cased (nothing else i
    Hashes with more than one (collisions) are grouped again by the text itself.
 4. Every narrow row is joined to its group; a row without one is alone.
 
-Scale: DataFrame functions only. Texts of rows that are alone are never shuffled if the hashes of the
-groups are few enough for Spark to broadcast them by their stored size; otherwise the semi-join is a
-sort-merge join whose split of hot hashes AQE does (both sides are plain scans). Groups are formed by
-partial aggregates, so a text that is a third of all rows costs one row per task, and the join back
-has stored tables on both sides, which lets AQE cut a hot hash into several tasks.
+Scale: DataFrame functions only. The stored groups are counted: if they fit ``broadcast_bytes`` they are
+broadcast to both joins, so that texts of rows that are alone are never shuffled and nothing is dealt
+out by a hot hash; beyond that both are sort-merge joins, of which AQE splits hot hashes (both sides
+are plain scans). Groups are formed by partial aggregates, so a text that is a third of all rows costs
+one row per task.
 
 Defined cases: null texts count as empty, and all empty texts are one group; repeated rows and
 repeated ids are rows of their own, of which exactly one per group stays; which of several rows with
@@ -46,17 +46,22 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+#: What a group takes in a broadcast hash table.
+GROUP_BYTES = 128
+
+
 def exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text",
-                     content_hash: Callable[[Column], Column] = content_hash) -> DataFrame:
+                     content_hash: Callable[[Column], Column] = content_hash, broadcast_bytes: int = 128 << 20) -> DataFrame:
     """One row per document: ``id_col``, keep_id, group_size, kept, text_sha256 (of the folded text).
 
     ``keep`` is ``smallest`` or ``largest``: which id of a group stays.
     """
-    out = _classes(docs, F.monotonically_increasing_id(), keep, id_col, text_col, content_hash)
+    out = _classes(docs, F.monotonically_increasing_id(), keep, id_col, text_col, content_hash, broadcast_bytes)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text",
+                          broadcast_bytes: int = 128 << 20) -> DataFrame:
     """The rows that stay, with all their columns. The rows are stored once, under a row key."""
     key = "row_key"
     while key in docs.columns:
@@ -64,7 +69,7 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str =
     path = scratch_dir(docs.sparkSession, "exact") + "/staged"
     docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
     staged = docs.sparkSession.read.parquet(path)
-    stay = _classes(staged, F.col(f"`{key}`"), keep, id_col, text_col, content_hash).filter("kept")
+    stay = _classes(staged, F.col(f"`{key}`"), keep, id_col, text_col, content_hash, broadcast_bytes).filter("kept")
     return staged.join(stay.select(F.col("row").alias(key)), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -78,7 +83,7 @@ def _groups(rows: DataFrame, by: list[str], keep: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame, row: Column, keep: str, id_col: str, text_col: str,
-             content_hash: Callable[[Column], Column]) -> DataFrame:
+             content_hash: Callable[[Column], Column], broadcast_bytes: int) -> DataFrame:
     """row, id, sha, keep_id, group_size, kept of every row."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
@@ -92,6 +97,8 @@ def _classes(docs: DataFrame, row: Column, keep: str, id_col: str, text_col: str
     rows = stored(docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), folded(F.col(f"`{text_col}`")).alias("t"))
                   .select("row", "id", content_hash(F.col("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")), "rows")
     groups = stored(_groups(rows, ["h"], keep), "groups")
+    if groups.count() * GROUP_BYTES <= broadcast_bytes:
+        groups = F.broadcast(groups)
 
     hashed = texts.withColumn("h", content_hash(F.col("t")))
     different = hashed.join(groups.select("h"), "h", "left_semi").groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"))

@@ -40,7 +40,7 @@ def test_exact_groups_against_brute_force(spark):
     r = random.Random(5)
     rows = [(i, r.choice(TEXTS), "en") for i in range(200)]
     for keep in ("smallest", "largest"):
-        out = exact_duplicates(docs(spark, rows), keep=keep).collect()
+        out = exact_duplicates(docs(spark, rows), keep=keep, broadcast_bytes=(1 << 20) * (keep == "largest")).collect()
         assert sorted(((o.doc_id, o.keep_id, o.group_size, o.text_sha256) for o in out), key=str) == classes(rows, keep)
         assert all(o.kept == (o.doc_id == o.keep_id) for o in out)
 
