@@ -28,6 +28,7 @@ _EXPORTS = {
     "get_documents": "kbspark.operators.store", "get_document": "kbspark.operators.store",
     "count_documents": "kbspark.operators.store", "kb_constraints": "kbspark.operators.store",
     "SnapshotStore": "kbspark.sources.snapshot", "scan_kb": "kbspark.sources.snapshot",
+    "BucketStore": "kbspark.sources.buckets",
     # ingest and registry
     "parse_api": "kbspark.sources.api", "parse_pages": "kbspark.sources.web",
     "stitch_pages": "kbspark.sources.pages", "parse_videos": "kbspark.sources.video",
@@ -37,6 +38,7 @@ _EXPORTS = {
     "ingest_updates": "kbspark.plans.ingest", "ingest_report": "kbspark.plans.ingest",
     # streaming
     "stream_updates": "kbspark.streaming.stream", "stream_sources": "kbspark.streaming.stream",
+    "read_accounting": "kbspark.streaming.stream",
 }
 
 __all__ = ["get_session", "scratch_dir", *_EXPORTS]

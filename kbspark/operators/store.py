@@ -71,12 +71,27 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
     the base is streamed through a left-outer hash join (the base is never
     shuffled); a larger batch takes a full-outer sort-merge join on ``doc_id``.
     """
-    now = now if now is not None else F.current_timestamp()
-    # Materialise the de-duplicated batch once (embeddings included): it feeds the size
-    # check, the merge and the new-key ids.  A reliable checkpoint survives executor loss.
+    return merge_documents(base, latest_rows(batch, seq, dim), now, max_broadcast_bytes)
+
+
+def latest_rows(batch: DataFrame, seq: str = "seq", dim: int | None = None) -> DataFrame:
+    """The valid rows of a batch, the last write of each key, materialised once (embeddings included):
+    they feed the size check, the merge and the new-key ids. A reliable checkpoint survives executor loss."""
     ensure_checkpoint_dir(batch.sparkSession)
     valid = batch.filter(batch_errors(seq, dim).isNull())
-    latest = dedupe_last(valid, "doc_id", seq, ["content", "embedding"]).checkpoint(eager=True)
+    return dedupe_last(valid, "doc_id", seq, ["content", "embedding"]).checkpoint(eager=True)
+
+
+def latest_nanos() -> Column:
+    """The latest nanosecond time stamp in the ids of ingested items (``<source>-<nanos>``)."""
+    return F.max(F.regexp_extract("doc_id", "-(\\d{1,18}|[1-8]\\d{18})$", 1).try_cast("long"))
+
+
+def merge_documents(base: DataFrame, latest: DataFrame, now: Column | None = None,
+                    max_broadcast_bytes: int = 256 * 1024 * 1024, start: int | None = None) -> DataFrame:
+    """The base after the rows of ``latest_rows``; new keys are numbered from ``start`` (default: one
+    past the base's largest id, by a scan of that column)."""
+    now = now if now is not None else F.current_timestamp()
     o = base.select(*KB_COLUMNS, F.lit(True).alias("_old")).alias("o")
     small = _batch_bytes(latest) <= max_broadcast_bytes
     n = (F.broadcast(latest) if small else latest).alias("n")
@@ -101,7 +116,8 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
                .withColumn("created_at", now).withColumn("updated_at", now))
     else:
         new = merged.filter(F.col("_old").isNull()).drop("id", "_old")
-    start = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1
+    if start is None:
+        start = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1
     # Ids follow arrival: only (key, sequence) is sorted, not the contents.
     ids = dense_index(new.select("doc_id", "_first_seq"), ["_first_seq", "doc_id"], out="id", start=int(start))
     new = new.drop("_first_seq").join(ids.select("doc_id", "id"), "doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kbspark.functions.ids import update_doc_id
 from kbspark.functions.text import has_text
 from kbspark.operators.embed import HashingEmbedder
-from kbspark.operators.store import batch_errors, upsert_documents
+from kbspark.operators.store import batch_errors, latest_nanos, upsert_documents
 from kbspark.schema import KB
 
 
@@ -51,10 +51,14 @@ def update_report(prepared: DataFrame) -> DataFrame:
 def ingest_updates(updates: DataFrame, base: DataFrame | None = None, embedder=None,
                    now: Column | None = None, seq: str = "seq") -> DataFrame:
     """P3 in batch form: the knowledge base after applying the update feed."""
-    spark = updates.sparkSession
-    base = base if base is not None else empty_kb(spark)
+    base = base if base is not None else empty_kb(updates.sparkSession)
+    return upsert_documents(base, ready_updates(updates, embedder, seq), now=now)
+
+
+def ready_updates(updates: DataFrame, embedder=None, seq: str = "seq") -> DataFrame:
+    """The rows of an update feed that W1 takes."""
     ready = prepare_updates(updates, embedder, seq).filter(F.col("status") == "ready")
-    return upsert_documents(base, ready.select("doc_id", "content", "embedding", "seq"), now=now)
+    return ready.select("doc_id", "content", "embedding", "seq")
 
 
 # ---------------------------------------------------------------------------
@@ -72,29 +76,35 @@ class SourceRun:
     need only the touched registry or the rejects do not pay for embedding."""
 
     def __init__(self, registry, content, rejects, fetched_ok, base, embedder, now):
-        self.rejects, self.fetched_ok = rejects, fetched_ok
-        self._content, self._base, self._embedder, self._now = content, base, embedder, now
-        self._items = self._kb = None
+        self.rejects, self.fetched_ok, self.now = rejects, fetched_ok, now
+        self._content, self._base, self._embedder = content, base, embedder
+        self._items = self._kb = self._numbered = None
+        self._past: int | None = None
         self.registry = touch_sources(registry, fetched_ok, now)
 
+    def items_after(self, past: int | None) -> DataFrame:
+        """source_id, doc_id, content, embedding, seq, status (embedded and stored once). The clock of the
+        ids never stands still: a run starts at ``now`` or one past ``past``, the latest nanosecond
+        in the knowledge base, so runs and micro-batches never collide."""
+        if self._numbered is None:
+            self._numbered = unique_index(self._content.withColumn("embedding", self._embedder.embed(F.col("text"))), out="seq")
+        start = unix_nanos(self.now)
+        start = start if past is None else F.greatest(start, F.lit(past + 1))
+        c = self._numbered.withColumn("doc_id", F.concat("source_id", F.lit("-"), (start + F.col("seq")).cast("string")))
+        status = (F.when(F.char_length("doc_id") > MAX_DOC_ID_CHARS, F.lit("failed_insert"))
+                  .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))
+                  .otherwise(F.lit("added")))
+        self._items = c.select("source_id", "doc_id", F.col("text").alias("content"), "embedding", "seq", status.alias("status"))
+        return self._items
+
+    def added_after(self, past: int | None) -> DataFrame:
+        """The items that W1 takes, numbered past ``past``."""
+        return self.items_after(past).filter(F.col("status") == "added").select("doc_id", "content", "embedding", "seq")
+
     @property
     def items(self) -> DataFrame:
-        """source_id, doc_id, content, embedding, seq, status (materialised once)."""
         if self._items is None:
-            # The clock of the ids never stands still: a run starts at ``now`` or one past the
-            # latest nanosecond in the knowledge base, so runs and micro-batches never collide.
-            c = unique_index(self._content, out="seq")
-            last = F.max(F.regexp_extract("doc_id", "-(\\d{1,18}|[1-8]\\d{18})$", 1).try_cast("long"))
-            past = self._base.agg(last.alias("n")).first()["n"]
-            start = unix_nanos(self._now)
-            start = start if past is None else F.greatest(start, F.lit(past + 1))
-            c = (c.withColumn("doc_id", F.concat("source_id", F.lit("-"), (start + F.col("seq")).cast("string")))
-                 .withColumn("embedding", self._embedder.embed(F.col("text"))))
-            status = (F.when(F.char_length("doc_id") > MAX_DOC_ID_CHARS, F.lit("failed_insert"))
-                      .when(F.col("embedding").isNull() & has_text(F.col("text")), F.lit("failed_embed"))
-                      .otherwise(F.lit("added")))
-            self._items = c.select("source_id", "doc_id", F.col("text").alias("content"), "embedding", "seq",
-                                   status.alias("status")).checkpoint(eager=True)
+            self.items_after(self._base.agg(latest_nanos().alias("n")).first()["n"])
         return self._items
 
     @property
@@ -102,7 +112,7 @@ class SourceRun:
         """The knowledge base after W1 (items with status ``added`` upserted into the base)."""
         if self._kb is None:
             added = self.items.filter(F.col("status") == "added").select("doc_id", "content", "embedding", "seq")
-            self._kb = upsert_documents(self._base, added, now=self._now)
+            self._kb = upsert_documents(self._base, added, now=self.now)
         return self._kb
 
 

@@ -192,20 +192,38 @@ def q_source_constraints(spark, sf_dir):
     return source_constraints(bad.unionByName(reg.filter(i % 4 == 1).select("id", "type", "url", "schedule")))
 
 
-@register("ingest_report", f"""
+# Items that fail: embeddings of texts with the marker, and inserts whose id is too long (ids of
+# video sources are prolonged).
+FAIL_MARK, LONG_TYPE = "k:1", "youtube"
+REPORT = f"""
 WITH {_DISPATCH},
-ci AS (SELECT source_id, count(*) AS n_items,
-              count(*) FILTER (WHERE NOT regexp_matches(text, '{_TOKENS}')) AS n_no_embedding
-       FROM content GROUP BY source_id),
+it AS (SELECT c.source_id, r.type = '{LONG_TYPE}' AS too_long, regexp_matches(c.text, '{_TOKENS}') AS has_text,
+              contains(c.text, '{FAIL_MARK}') AS fails FROM content c JOIN reg2 r ON r.id = c.source_id),
+ci AS (SELECT source_id, count(*) AS n_items, count(*) FILTER (WHERE NOT has_text OR fails) AS n_no_embedding,
+              count(*) FILTER (WHERE has_text AND fails AND NOT too_long) AS n_failed_embed,
+              count(*) FILTER (WHERE too_long) AS n_failed_insert
+       FROM it GROUP BY source_id),
 rj AS (SELECT source_id, count(*) AS n_rejected FROM rejects GROUP BY source_id)
-SELECT r.id AS source_id, r.type, ci.source_id IS NOT NULL AS fetched,
-       coalesce(ci.n_items, 0) AS n_items, coalesce(ci.n_items, 0) AS n_added,
-       coalesce(ci.n_no_embedding, 0) AS n_no_embedding, CAST(0 AS BIGINT) AS n_failed_embed,
-       CAST(0 AS BIGINT) AS n_failed_insert, coalesce(rj.n_rejected, 0) AS n_rejected
+SELECT r.id || CASE WHEN r.type = '{LONG_TYPE}' THEN repeat('x', 256) ELSE '' END AS source_id, r.type, ci.source_id IS NOT NULL AS fetched,
+       coalesce(ci.n_items, 0) AS n_items, coalesce(ci.n_items - ci.n_failed_embed - ci.n_failed_insert, 0) AS n_added,
+       coalesce(ci.n_no_embedding, 0) AS n_no_embedding, coalesce(ci.n_failed_embed, 0) AS n_failed_embed,
+       coalesce(ci.n_failed_insert, 0) AS n_failed_insert, coalesce(rj.n_rejected, 0) AS n_rejected
 FROM reg2 r LEFT JOIN ci ON ci.source_id = r.id LEFT JOIN rj ON rj.source_id = r.id
 WHERE r.active
-""")
+"""
+
+
+def failing_run(spark, sf_dir):
+    """(registry, landed bodies, embedder) of a run in which items fail."""
+    from kbspark.plans.q_ingest import _FailingEmbedder
+    reg = L.registry(spark, sf_dir)
+    longer = F.when(F.col("type") == LONG_TYPE, F.concat("id", F.repeat(F.lit("x"), 256))).otherwise(F.col("id"))
+    reg = reg.withColumn("id", longer)
+    return reg, L.landed_for_registry(spark, sf_dir, reg), _FailingEmbedder(_embedder(), FAIL_MARK)
+
+
+@register("ingest_report", REPORT)
 def q_ingest_report(spark, sf_dir):
-    """Per-source accounting of one ingestion run."""
-    reg, run = _run(spark, sf_dir)
-    return ingest_report(run, reg)
+    """Per-source accounting of one ingestion run, with failing embeddings and inserts."""
+    reg, landed, embedder = failing_run(spark, sf_dir)
+    return ingest_report(ingest_sources(reg, landed, embedder=embedder, now=TB.now_lit()), reg)

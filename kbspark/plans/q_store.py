@@ -9,8 +9,12 @@ from kbspark.plans import tables as TB
 from kbspark.plans.catalog import n_dims
 from kbspark.plans.catalog import DIM, _embedder, fmt_ts, register
 from kbspark.session import scratch_dir
+from kbspark.sources.buckets import BucketStore
 from kbspark.sources.snapshot import SnapshotStore, scan_kb
 
+#: Buckets of the registered queries' stores (a production store has thousands).
+BUCKETS = 8
+
 # SQL twin of ``documents_kb``: created on day (doc_id mod 30) of January 2024.
 _DOCS_KB = f"""
   SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS doc_id, text AS content,
@@ -62,6 +66,25 @@ def q_get_documents(spark, sf_dir):
     return r.select("lookup_id", "found", "id", F.md5("content").alias("content_md5"))
 
 
+@register("lookup_in_place", """
+WITH ids AS (
+  SELECT CAST(doc_id AS VARCHAR) AS lookup_id FROM labels WHERE toxic = 1
+  UNION ALL SELECT 'retired-' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)
+SELECT ids.lookup_id, d.doc_id IS NOT NULL AS found, d.doc_id AS id, md5(d.text) AS content_md5
+FROM ids LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = ids.lookup_id
+""")
+def q_lookup_in_place(spark, sf_dir):
+    """F2 on a stored table: the documents labelled toxic, and as many retired ids; only the buckets of the ids are read."""
+    store = BucketStore(spark, scratch_dir(spark, "in-place"), n_buckets=BUCKETS)
+    store.replace(TB.documents_kb_text(spark, sf_dir, for_embedding=False)
+                  .withColumn("embedding", F.lit(None).cast("array<float>"))
+                  .withColumn("created_at", TB.base_time_lit()).withColumn("updated_at", TB.base_time_lit()))
+    key = F.col("doc_id").cast("string")
+    toxic = TB.read(spark, sf_dir, "labels").filter(F.col("toxic") == 1)
+    ids = toxic.select(key.alias("doc_id")).unionByName(toxic.select(F.concat(F.lit("retired-"), key).alias("doc_id")))
+    return store.lookup(ids).select("lookup_id", "found", "id", F.md5("content").alias("content_md5"))
+
+
 def _upsert_inputs(spark, sf_dir):
     d = TB.read_spread(spark, sf_dir, "documents")
     base_t = TB.base_time_lit()
@@ -128,6 +151,16 @@ def q_upsert_documents_sort_merge(spark, sf_dir):
     return _upserted(ST.upsert_documents(base, batch, now=TB.now_lit(), dim=DIM, max_broadcast_bytes=0))
 
 
+@register("upsert_in_place", _UPSERT)
+def q_upsert_in_place(spark, sf_dir):
+    """W1 + R3 on a stored table: the batch rewrites the buckets of its keys; the same rows."""
+    base, batch = _upsert_inputs(spark, sf_dir)
+    store = BucketStore(spark, scratch_dir(spark, "in-place"), n_buckets=BUCKETS)
+    store.replace(base)
+    store.upsert(batch, now=TB.now_lit(), dim=DIM)
+    return _upserted(store.read())
+
+
 @register("upsert_rejects", """
 SELECT reason, count(*) AS n FROM (
   SELECT ['NULL doc_id', 'doc_id too long', 'NULL content', 'NULL sequence', 'wrong dimension'][doc_id // 10 % 5 + 1] AS reason
@@ -170,6 +203,19 @@ def q_retention_survivors(spark, sf_dir):
     return r.select("doc_id", fmt_ts("created_at").alias("created_at"))
 
 
+@register("retention_in_place", f"""
+SELECT 'evt-' || CAST(event_id AS VARCHAR) AS doc_id, strftime(ts, {_TS}) AS created_at,
+       (SELECT count(*) FROM events WHERE ts < {TB.NOW_SQL} - INTERVAL {RETENTION_DAYS} DAY) AS n_deleted
+FROM events WHERE ts IS NULL OR NOT (ts < {TB.NOW_SQL} - INTERVAL {RETENTION_DAYS} DAY)
+""")
+def q_retention_in_place(spark, sf_dir):
+    """W5 + A2 on a stored table: expired days are dropped whole, the boundary day is rewritten."""
+    store = BucketStore(spark, scratch_dir(spark, "in-place"), n_buckets=2)
+    store.replace(TB.events_kb(spark, sf_dir))
+    deleted = store.retain(TB.now_lit(), RETENTION_DAYS)
+    return store.read().select("doc_id", fmt_ts("created_at").alias("created_at"), F.lit(deleted).cast("long").alias("n_deleted"))
+
+
 @register("retention_deleted_count", f"""
 SELECT CAST(sum(CASE WHEN ts < {TB.NOW_SQL} - INTERVAL {RETENTION_DAYS} DAY THEN 1 ELSE 0 END) AS BIGINT) AS deleted,
        CAST(sum(CASE WHEN ts < {TB.NOW_SQL} - INTERVAL {RETENTION_DAYS} DAY THEN 0 ELSE 1 END) AS BIGINT) AS kept,

@@ -11,12 +11,13 @@ from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
 from kbspark.plans.catalog import _VEC_PAIRS, _embedder, fmt_ts, register
 from kbspark.plans.q_ingest import _UPD, NOW_TXT
-from kbspark.plans.q_registry import _DISPATCH, INGESTED, ingested
-from kbspark.schema import SOURCE
+from kbspark.plans.q_store import BUCKETS
+from kbspark.plans.q_registry import _DISPATCH, INGESTED, REPORT, failing_run, ingested
+from kbspark.schema import DISPATCHABLE_TYPES, SOURCE
 from kbspark.session import scratch_dir
+from kbspark.sources.buckets import BucketStore
 from kbspark.sources.snapshot import SnapshotStore
-from kbspark.streaming.stream import stream_sources, stream_updates
-
+from kbspark.streaming.stream import read_accounting, stream_sources, stream_updates
 
 def _read_stream(spark, sf_dir: str, name: str) -> DataFrame:
     """A streaming scan of one landed table (the file is the landing zone)."""
@@ -37,7 +38,7 @@ FROM d GROUP BY doc_id
 def q_stream_updates(spark, sf_dir):
     """R1 + R3: the update feed as a stream; each micro-batch upserts into a versioned snapshot."""
     root = scratch_dir(spark, "stream-updates")
-    store = SnapshotStore(spark, f"{root}/kb")
+    store = BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS)
     updates = L.update_feed(spark, sf_dir, orders=_read_stream(spark, sf_dir, "orders"))
     stream_updates(spark, updates, store, f"{root}/checkpoint", embedder=_embedder(), now=TB.now_lit())
     kb = store.read()
@@ -50,7 +51,7 @@ def q_stream_sources(spark, sf_dir):
     """R2: landed bodies of all types arrive as a stream of several micro-batches, each of which
     runs source ingestion (P2); the same rows as one batch run."""
     root = scratch_dir(spark, "stream-sources")
-    store = SnapshotStore(spark, f"{root}/kb")
+    store = BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS)
     reg_store = SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None)
     reg = L.registry(spark, sf_dir)
     landed = L.landed_for_registry(spark, sf_dir, reg)
@@ -61,6 +62,66 @@ def q_stream_sources(spark, sf_dir):
     return ingested(store.read())
 
 
+@register("stream_two_writers", f"""
+WITH {_DISPATCH}, {_UPD}
+SELECT 'update' AS kind, md5(arg_max(content, seq)) AS content_md5, {NOW_TXT} AS created_at, true AS unique_id FROM d GROUP BY doc_id
+UNION ALL SELECT 'item' AS kind, md5(text) AS content_md5, {NOW_TXT} AS created_at, true AS unique_id FROM content
+""")
+def q_stream_two_writers(spark, sf_dir):
+    """R1 + R2 into one store at the same time: neither loses a batch of the other."""
+    from threading import Thread
+    root = scratch_dir(spark, "two-writers")
+    reg = L.registry(spark, sf_dir)
+    landed = L.landed_for_registry(spark, sf_dir, reg)
+    landed.repartition(2, "source_id", "url").write.parquet(f"{root}/landed")
+    failed: list[Exception] = []
+
+    def updates():
+        feed = L.update_feed(spark, sf_dir, orders=_read_stream(spark, sf_dir, "orders"))
+        stream_updates(spark, feed, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), f"{root}/updates", embedder=_embedder(), now=TB.now_lit())
+
+    def sources():
+        stream = spark.readStream.schema(landed.schema).parquet(f"{root}/landed")
+        stream_sources(spark, stream, reg, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None),
+                       f"{root}/sources", embedder=_embedder(), now=TB.now_lit())
+
+    def guarded(work):
+        try:
+            work()
+        except Exception as e:  # noqa: BLE001 - raised below, in the caller's thread
+            failed.append(e)
+    threads = [Thread(target=guarded, args=(f,)) for f in (updates, sources)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    kb = BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS).read()
+    ids = kb.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.startswith("doc_id", F.lit("doc_")), F.lit("update")).otherwise(F.lit("item"))
+    return (kb.join(ids, "id").select(kind.alias("kind"), F.md5("content").alias("content_md5"),
+                                      fmt_ts("created_at").alias("created_at"), (F.col("n") == 1).alias("unique_id")))
+
+
+@register("stream_accounting", REPORT)
+def q_stream_accounting(spark, sf_dir):
+    """A6 in R2: the reports of all micro-batches add up to the report of one run, failures included."""
+    root = scratch_dir(spark, "accounting")
+    reg, landed, embedder = failing_run(spark, sf_dir)
+    landed.repartition(2, "source_id", "url").write.parquet(f"{root}/landed")
+    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    stream_sources(spark, stream, reg, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None),
+                   f"{root}/checkpoint", embedder=embedder, now=TB.now_lit(), accounting=f"{root}/accounting")
+    reports, batches = read_accounting(spark, f"{root}/accounting"), F.countDistinct("batch")
+    # A source without a processor is rejected in each run.
+    unknown = F.when(F.max("known"), F.sum("n_rejected")).otherwise(F.sum("n_rejected") / batches)
+    known = F.col("type").isin(*DISPATCHABLE_TYPES)
+    counts = ["n_items", "n_added", "n_no_embedding", "n_failed_embed", "n_failed_insert"]
+    return (reports.withColumn("known", known).groupBy("source_id", "type")
+            .agg(F.max("fetched").alias("fetched"), *[F.sum(c).alias(c) for c in counts], unknown.cast("long").alias("n_rejected")))
+
+
 ANN_K, ANN_PROBE = 10, 3
 # Given centroids: the first vector of each label. Cells and probes go by the rounded similarity key.
 _IVF = f"""
