@@ -7,7 +7,8 @@ partitioned by cell, with large cells spread over several files (rebalance by
 size), so a probe reads only the cells it needs (partition pruning).
 
 Search: each query probes its ``n_probe`` most similar centroids; scoring runs
-in the same Arrow-batched matmul scorer as the exact search, restricted per
+in the same Arrow-batched matmul scorers as the exact search (broadcast queries, or the
+shuffled grid of ``operators.grid`` for a large query table), restricted per
 cell to the queries that probe it, then the exact per-query top-k.  With
 ``n_probe = n_lists`` the result equals the exact search.
 """
@@ -17,12 +18,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.functions.vectors import SIM_SCALE, l2_normalize
-from kbspark.operators.retrieve import DEFAULT_MAX_BROADCAST_BYTES, _to_matrix, top_k_batch
+from kbspark.functions.vectors import l2_normalize
+from kbspark.operators.grid import keys_of, unit_rows
+from kbspark.operators.retrieve import _to_matrix, top_k_batch
 from kbspark.session import ensure_checkpoint_dir
 
 # Fixed default of the reference's index (ivfflat, lists = 100).
@@ -49,34 +52,31 @@ class IVFIndex:
 
         def probes(qmat: np.ndarray) -> np.ndarray:
             p = min(n_probe, cent.shape[0])
-            top = np.argsort(-_keys(qmat, cent), axis=1, kind="stable")[:, :p]
+            top = np.argsort(-keys_of(qmat @ cent.T), axis=1, kind="stable")[:, :p]
             mask = np.zeros((len(qmat), len(cent)), dtype=bool)
             np.put_along_axis(mask, top, True, axis=1)
             return mask
         return probes
 
 
-def _keys(unit: np.ndarray, cent: np.ndarray) -> np.ndarray:
-    """Rounded similarity keys to the centroids, so that ties go to the smaller cell everywhere."""
-    return np.floor((unit @ cent.T) * SIM_SCALE + 0.5)
-
-
 def assign_ivf(kb: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> IVFIndex:
     """An index on given centroids: a small table of vectors, one cell each, in row order (at most
     ``MAX_CENTROIDS``). Vectors without a direction are in no cell."""
     rows = centroids.select(vec_col).limit(MAX_CENTROIDS + 1).collect()
     if not 0 < len(rows) <= MAX_CENTROIDS:
         raise ValueError(f"1 to {MAX_CENTROIDS} centroids expected")
-    cent, ok = _to_matrix([r[0] for r in rows], max(len(r[0]) for r in rows))
+    cent, ok = _to_matrix([r[0] for r in rows], max(len(r[0] or ()) for r in rows))
     if not ok.all():
         raise ValueError("a centroid has no direction")
 
+    at = kb.columns.index(vec_col)
+
     def assign(batches):
-        for b in batches:
-            unit, good = _to_matrix(b[vec_col].to_numpy(), cent.shape[1])
-            yield b.assign(cell=np.argmax(_keys(unit, cent), axis=1).astype(np.int32))[good]
+        for b in batches:                          # the columns stay as they are: 64-bit ids are exact
+            unit, good = unit_rows(b.column(at), cent.shape[1])
+            yield b.filter(pa.array(good)).append_column("cell", pa.array(np.argmax(keys_of(unit @ cent.T), axis=1) if len(unit) else [], pa.int32()))
 
-    data = kb.mapInPandas(assign, T.StructType([*kb.schema.fields, T.StructField("cell", T.IntegerType())]))
+    data = kb.mapInArrow(assign, T.StructType([*kb.schema.fields, T.StructField("cell", T.IntegerType())]))
     ensure_checkpoint_dir(kb.sparkSession)
     return IVFIndex(cent, data.checkpoint(eager=True))
 
@@ -106,8 +106,8 @@ def build_ivf(kb: DataFrame, n_lists: int = DEFAULT_LISTS, seed: int = 42, max_i
 
 def ann_topk(queries: DataFrame, index: IVFIndex, k: int = 10, n_probe: int = 1,
              threshold: float | None = None, query_id: str = "query_id", query_vec: str = "embedding",
-             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+             max_broadcast_bytes: int | None = None, strategy: str = "auto") -> DataFrame:
     """Approximate per-query top-k: ``(query_id, doc_id, sim_key, similarity, rank)``."""
     return top_k_batch(queries, index.data, k=k, threshold=threshold, query_id=query_id, query_vec=query_vec,
-                       max_broadcast_bytes=max_broadcast_bytes,
-                       _probe=(index.centroids, index.probe_fn(n_probe)))
+                       max_broadcast_bytes=max_broadcast_bytes, strategy=strategy,
+                       _probe=(index.centroids, index.probe_fn(n_probe), n_probe))
