@@ -16,7 +16,7 @@ _EXPORTS = {
     # retrieval
     "similar_documents": "kbspark.operators.retrieve", "top_k_batch": "kbspark.operators.retrieve",
     "vector_topk": "kbspark.operators.retrieve", "build_ivf": "kbspark.operators.ann",
-    "ann_topk": "kbspark.operators.ann", "cosine_similarity": "kbspark.functions.vectors",
+    "ann_topk": "kbspark.operators.ann", "assign_ivf": "kbspark.operators.ann", "StoredIndex": "kbspark.operators.ann", "cosine_similarity": "kbspark.functions.vectors",
     # models and answers
     "HashingEmbedder": "kbspark.operators.embed", "BatchModelEmbedder": "kbspark.operators.embed",
     "embed_documents": "kbspark.operators.embed", "ExtractiveGenerator": "kbspark.operators.generate",

@@ -62,6 +62,13 @@ class IVFIndex:
 def assign_ivf(kb: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> IVFIndex:
     """An index on given centroids: a small table of vectors, one cell each, in row order (at most
     ``MAX_CENTROIDS``). Vectors without a direction are in no cell."""
+    cent = _unit_centroids(centroids, vec_col)
+    data = _assigned(kb, cent, vec_col)
+    ensure_checkpoint_dir(kb.sparkSession)
+    return IVFIndex(cent, data.checkpoint(eager=True))
+
+
+def _unit_centroids(centroids: DataFrame, vec_col: str) -> np.ndarray:
     rows = centroids.select(vec_col).limit(MAX_CENTROIDS + 1).collect()
     if not 0 < len(rows) <= MAX_CENTROIDS:
         raise ValueError(f"1 to {MAX_CENTROIDS} centroids expected")
@@ -69,6 +76,11 @@ def assign_ivf(kb: DataFrame, centroids: DataFrame, vec_col: str = "embedding")
     if not ok.all():
         raise ValueError("a centroid has no direction")
 
+    return cent
+
+
+def _assigned(kb: DataFrame, cent: np.ndarray, vec_col: str) -> DataFrame:
+    """``kb`` with the ``cell`` of each usable vector."""
     at = kb.columns.index(vec_col)
 
     def assign(batches):
@@ -76,9 +88,7 @@ def assign_ivf(kb: DataFrame, centroids: DataFrame, vec_col: str = "embedding")
             unit, good = unit_rows(b.column(at), cent.shape[1])
             yield b.filter(pa.array(good)).append_column("cell", pa.array(np.argmax(keys_of(unit @ cent.T), axis=1) if len(unit) else [], pa.int32()))
 
-    data = kb.mapInArrow(assign, T.StructType([*kb.schema.fields, T.StructField("cell", T.IntegerType())]))
-    ensure_checkpoint_dir(kb.sparkSession)
-    return IVFIndex(cent, data.checkpoint(eager=True))
+    return kb.mapInArrow(assign, T.StructType([*kb.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
 def build_ivf(kb: DataFrame, n_lists: int = DEFAULT_LISTS, seed: int = 42, max_iter: int = 20,
@@ -111,3 +121,67 @@ def ann_topk(queries: DataFrame, index: IVFIndex, k: int = 10, n_probe: int = 1,
     return top_k_batch(queries, index.data, k=k, threshold=threshold, query_id=query_id, query_vec=query_vec,
                        max_broadcast_bytes=max_broadcast_bytes, strategy=strategy,
                        _probe=(index.centroids, index.probe_fn(n_probe), n_probe))
+
+
+class StoredIndex:
+    """An IVF index that stays current under writes (W1, W5): a stored table with a partition per cell.
+
+    An upsert or a delete rewrites the cells that hold the old or the new vectors of its keys, as one
+    version; other cells are neither read (but for their ids, to find the old ones) nor written. The
+    contents equal a fresh assignment of the current vectors to the same centroids. Rows with a NULL id or
+    without a usable vector are in no cell; an upsert of such a vector takes the old one out. Several
+    writers and replays are safe, as the table's commits are (``sources.buckets``).
+    """
+
+    def __init__(self, spark, root: str, centroids: DataFrame | None = None, vec_col: str = "embedding"):
+        from kbspark.sources.buckets import BucketStore
+        self.vec_col, path = vec_col, f"{root.rstrip('/')}/centroids"
+        if centroids is not None:                  # a small table, see ``assign_ivf``; its order names the cells
+            rows = centroids.select(vec_col).limit(MAX_CENTROIDS + 1).collect()
+            spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "cell int, embedding array<float>").coalesce(1).write.parquet(path)
+        self.centroids = spark.read.parquet(path).orderBy("cell").select(F.col("embedding").alias(vec_col))
+        self._cent = _unit_centroids(self.centroids, vec_col)
+        schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField(vec_col, T.ArrayType(T.FloatType())),
+                               T.StructField("cell", T.IntegerType())])
+        self.store = BucketStore(spark, root, schema, key="doc_id", n_buckets=len(self._cent), bucket_by="cell", dated=False)
+
+    def index(self) -> IVFIndex:
+        """The current index, for ``ann_topk``; a search reads only the partitions of the cells it probes."""
+        return IVFIndex(self._cent, self.store.read())
+
+    def _assigned(self, rows: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(rows.sparkSession)
+        rows = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col(self.vec_col).cast("array<float>").alias(self.vec_col))
+        return _assigned(rows, self._cent, self.vec_col).checkpoint(eager=True)
+
+    def build(self, rows: DataFrame, batch_id=None) -> bool:
+        """The whole index anew from ``doc_id`` and the vector column."""
+        return self.store.replace(self._assigned(rows), batch_id)
+
+    def upsert(self, rows: DataFrame, batch_id=None) -> bool:
+        """Replace or insert the vectors of ``rows`` (one row per ``doc_id``)."""
+        return self._replace(rows.select("doc_id"), self._assigned(rows), batch_id)
+
+    def delete(self, ids: DataFrame, batch_id=None) -> bool:
+        """Take the given ``doc_id`` out."""
+        return self._replace(ids.select("doc_id"), None, batch_id)
+
+    def keep_only(self, kb: DataFrame, batch_id=None) -> bool:
+        """Take out what ``kb`` does not hold (any more), as after a retention delete."""
+        return self._replace(lambda have: have.join(kb.select("doc_id"), "doc_id", "left_anti"), None, batch_id)
+
+    def _replace(self, ids, new: DataFrame | None, batch_id) -> bool:
+        from kbspark.operators.store import _keys
+
+        def plan(s):
+            have = self.store.read(state=s, with_day=True).select("doc_id", "bucket")
+            gone = ids(have.select("doc_id")) if callable(ids) else ids
+            gone = _keys(gone.filter(F.col("doc_id").isNotNull()), "doc_id")
+            cells = {r[0] for r in have.join(gone, "doc_id", "left_semi").select("bucket").distinct().collect()}
+            cells |= set(self.store.buckets_of(new)) if new is not None else set()
+            touched = sorted(cells)                # at most the number of cells
+            if not touched:
+                return None, {"buckets": []}
+            left = self.store.read(touched, s).join(gone, "doc_id", "left_anti").select(*self.store.columns)
+            return (left if new is None else left.unionByName(new)), {"buckets": touched}
+        return self.store.update(plan, batch_id)

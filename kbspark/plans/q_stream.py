@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.operators.ann import ann_topk, assign_ivf
+from kbspark.operators.ann import StoredIndex, ann_topk, assign_ivf
 from kbspark.plans import landing as L
 from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
@@ -138,10 +138,16 @@ SELECT query_id, vec_id, sim_key / 1e9 AS score, rank FROM t WHERE rank <= {ANN_
 
 
 def _ann(spark, sf_dir, n_probe):
+    return _searched(spark, sf_dir, assign_ivf(TB.vector_index(spark, sf_dir), _centroids(spark, sf_dir)), n_probe)
+
+
+def _centroids(spark, sf_dir):
     e = TB.read(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    centroids = first.join(e.select("vec_id", "embedding"), "vec_id").orderBy("vec_id").select("embedding")
-    idx = assign_ivf(TB.vector_index(spark, sf_dir), centroids)
+    return first.join(e.select("vec_id", "embedding"), "vec_id").orderBy("vec_id").select("embedding")
+
+
+def _searched(spark, sf_dir, idx, n_probe):
     r = ann_topk(TB.vector_queries(spark, sf_dir), idx, k=ANN_K, n_probe=n_probe or idx.n_lists)
     return r.select("query_id", F.col("doc_id").alias("vec_id"), F.col("similarity").alias("score"),
                     F.col("rank").cast("long").alias("rank"))
@@ -153,6 +159,20 @@ def q_ann_topk(spark, sf_dir):
     return _ann(spark, sf_dir, ANN_PROBE)
 
 
+@register("ann_topk_maintained", _IVF.replace("%d", str(ANN_PROBE)))
+def q_ann_topk_maintained(spark, sf_dir):
+    """T4 under W1 and W5: the index is built on an old state (some vectors missing, some others, some
+    retired), then an upsert and a delete bring it to the current one; the same rows as ``ann_topk``."""
+    now, n = TB.vector_index(spark, sf_dir).select("id", "doc_id", "embedding"), F.col("id")
+    old = now.filter(n % 4 != 2).withColumn("embedding", F.when(n % 4 == 1, F.reverse("embedding")).otherwise(F.col("embedding")))
+    retired = now.filter(n % 5 == 0).withColumn("doc_id", F.concat(F.lit("retired-"), "doc_id"))
+    idx = StoredIndex(spark, scratch_dir(spark, "index"), _centroids(spark, sf_dir))
+    idx.build(old.unionByName(retired))
+    idx.upsert(now.filter((n % 4).isin(1, 2)))
+    idx.keep_only(now)
+    return _searched(spark, sf_dir, idx.index(), ANN_PROBE)
+
+
 @register("ann_topk_full_probe", """
 SELECT query_id, doc_id AS vec_id, sim_key / 1e9 AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim_key DESC, doc_id) AS rank FROM (%s)) WHERE rank <= 10

@@ -112,3 +112,36 @@ def test_probing_by_grid_equals_probing_by_broadcast(spark, monkeypatch):
         monkeypatch.setattr(R, "SMALL_PAIRS", pairs)
         assert triples(ann_topk(qs, idx, k=5, n_probe=2, strategy="grid")) == want
     assert triples(ann_topk(qs, idx, k=5, n_probe=7, strategy="grid")) == brute(v, v, 5)
+
+
+def test_stored_index_follows_upserts_and_deletes(spark, tmp_root):
+    from kbspark.operators.ann import StoredIndex
+    rng = np.random.default_rng(9)
+    cent = rng.normal(size=(6, 5))
+    v = np.repeat(cent, 30, axis=0) + 0.1 * rng.normal(size=(180, 5))
+    kb = table(spark, v, kind="string")
+    idx = StoredIndex(spark, tmp_root, table(spark, cent).coalesce(1))
+    idx.build(kb)
+
+    def rows(df):
+        return sorted((r.doc_id, r.cell, tuple(r.embedding)) for r in df.collect())
+    assert rows(idx.index().data) == rows(assign_ivf(kb, idx.centroids).data)
+    before = idx.store.state()
+    # One vector moves from cell 0 to cell 3, one goes (no usable vector), one is new in cell 3, NULL ids are nothing.
+    batch = spark.createDataFrame([("0000", cent[3].tolist()), ("0001", None), ("new", cent[3].tolist()), (None, cent[5].tolist())],
+                                  "doc_id string, embedding array<float>")
+    assert idx.upsert(batch, batch_id=1) and not idx.upsert(batch, batch_id=1)
+    now = kb.filter("doc_id not in ('0000', '0001')").unionByName(batch.filter("doc_id is not null"))
+    again = StoredIndex(spark, tmp_root)
+    assert rows(again.index().data) == rows(assign_ivf(now, again.centroids).data)
+    after = again.store.state()
+    assert {p[0] for p, d in after.parts.items() if before.parts[p] != d} == {0, 3}
+    again.keep_only(now.filter("doc_id < '0150' or doc_id = 'new'"))          # cell 5 goes whole
+    last = idx.store.state()
+    assert rows(idx.index().data) == rows(assign_ivf(now.filter("doc_id < '0150' or doc_id = 'new'"), idx.centroids).data)
+    assert {p[0] for p, d in last.parts.items() if after.parts.get(p) != d} == set() and (5, "__HIVE_DEFAULT_PARTITION__") not in last.parts
+    idx.delete(spark.createDataFrame([("nobody",)], "doc_id string"))
+    assert idx.store.state().parts == last.parts
+    qs = table(spark, v[:20], "query_id")
+    a = triples(ann_topk(qs, idx.index(), k=3, n_probe=2, strategy="grid"))
+    assert a == triples(ann_topk(qs, idx.index(), k=3, n_probe=2, strategy="broadcast")) and len(a) == 60
