@@ -22,6 +22,7 @@ _EXPORTS = {
     "embed_documents": "kbspark.operators.embed", "ExtractiveGenerator": "kbspark.operators.generate",
     "BatchModelGenerator": "kbspark.operators.generate", "generate_answers": "kbspark.operators.generate",
     "rag": "kbspark.operators.rag", "build_prompt": "kbspark.functions.text",
+    "register_sql": "kbspark.functions.sql",
     # store
     "upsert_documents": "kbspark.operators.store", "vector_upsert": "kbspark.operators.store",
     "retention_survivors": "kbspark.operators.store", "retention_counts": "kbspark.operators.store",

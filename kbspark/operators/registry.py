@@ -85,9 +85,9 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
     routed = landed.join(maybe_broadcast(act), "source_id").filter(F.col("type").isin(*DISPATCHABLE_TYPES))
     path = scratch or scratch_dir(spark, "dispatch")
     # Clustered by type and split by size, so that a task writes few files.
-    (routed.withColumn("body_id", F.monotonically_increasing_id()).hint("rebalance", "type")
-     .write.mode("errorifexists").partitionBy("type").parquet(path))
-    stored = spark.read.parquet(path)
+    routed = routed.withColumn("body_id", F.monotonically_increasing_id())
+    routed.hint("rebalance", "type").write.mode("errorifexists").partitionBy("type").parquet(path)
+    stored = spark.read.schema(routed.schema).parquet(path)        # nothing may have been routed
     by = {t: stored.filter(F.col("type") == t).drop("type") for t in DISPATCHABLE_TYPES}
 
     cols = ["source_id"] + CONTENT_COLUMNS
@@ -118,8 +118,9 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
     if scratch is None:
         delete_folder(spark, path)
 
-    unknown = act.filter(~F.col("type").isin(*DISPATCHABLE_TYPES)).select(
-        "source_id", nul.alias("url"), F.concat(F.lit("unknown source type: "), F.col("type")).alias("reason"))
+    # A NULL type is unknown too.
+    unknown = act.filter(~F.coalesce(F.col("type").isin(*DISPATCHABLE_TYPES), F.lit(False))).select(
+        "source_id", nul.alias("url"), F.concat(F.lit("unknown source type: "), F.coalesce("type", F.lit(""))).alias("reason"))
     content = outcome.filter(F.col("kind") == "item").select(*cols)
     body_rejects = outcome.filter(F.col("kind") == "reject").select("source_id", "url", "reason")
     rejects = body_rejects.unionByName(unknown)

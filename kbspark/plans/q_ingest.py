@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions.ids import content_doc_id, dense_index, update_doc_id
+from kbspark.functions.sql import register_sql
 from kbspark.plans import landing as L
 from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
@@ -45,10 +46,21 @@ SELECT '{L.API_URL}' || CAST(event_id AS VARCHAR) AS url,
             lambda k: k || ':' || json_extract_string(props, '$."' || k || '"')), ' ') || ']' AS text,
        '{L.API_URL}' || CAST(event_id AS VARCHAR) AS source, {NOW_TXT} AS published_at
 FROM events WHERE event_type <> 'error'
+UNION ALL
+SELECT u, 'API Data from ' || u, text, u, {NOW_TXT} FROM (
+  SELECT '{L.API_URL}deep' || CAST(event_id AS VARCHAR) AS u, 'map[d:' || repeat('[', 1000) || repeat(']', 1000) || ']' AS text
+  FROM events WHERE event_id % 500 = 0
+  UNION ALL SELECT '{L.API_URL}lone' || CAST(event_id AS VARCHAR), 'map[s:x' || chr(65533) || 'y]' FROM events WHERE event_id % 500 = 0)
 """)
 def q_ingest_api(spark, sf_dir):
-    """S3 + X6 + X7 + X12: JSON object bodies to Content; array bodies are rejected."""
-    c = parse_api(L.api_bodies(spark, sf_dir), now=TB.now_lit())
+    """S3 + X6 + X7 + X12: JSON object bodies to Content; array bodies are rejected. Every 500th event
+    also lands a body of 1,000 levels and one with half a surrogate pair."""
+    bodies = L.api_bodies(spark, sf_dir)
+    odd = bodies.filter(F.col("key") % 500 == 0).withColumn("kind", F.explode(F.array(F.lit("deep"), F.lit("lone"))))
+    text = F.when(F.col("kind") == "deep", F.concat(F.lit('{"d":'), F.repeat(F.lit("["), 1000), F.repeat(F.lit("]"), 1000), F.lit("}"))) \
+        .otherwise(F.lit('{"s":"x\\ud800y"}'))
+    url = F.concat(F.lit(L.API_URL), "kind", F.col("key").cast("string"))
+    c = parse_api(bodies.unionByName(odd.withColumn("url", url).withColumn("body", text).drop("kind")), now=TB.now_lit())
     return c.filter(F.col("error").isNull()).select("url", "title", "text", "source",
                                                      fmt_ts("published_at").alias("published_at"))
 
@@ -168,3 +180,50 @@ def q_update_report(spark, sf_dir):
     long_id = F.concat("source", F.repeat(F.lit("x"), 256))
     u = u.withColumn("source", F.when(F.col("seq") % 41 == 0, long_id).otherwise(F.col("source")))
     return update_report(prepare_updates(u, _FailingEmbedder(_embedder(), " is F")))
+
+
+@register("sql_functions", f"""
+SELECT a.vec_id AS vec_id, {O.key_of("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS sim_key,
+       'doc_' || CAST(a.label AS VARCHAR) || '_' || CAST(a.vec_id AS VARCHAR) AS doc_id, a.label % 2 = 0 AS has_text,
+       md5('Use the following information to answer the question:' || chr(10) || chr(10) || 'Context:' || chr(10) || 'a' || chr(10) || chr(10) || CAST(b.vec_id AS VARCHAR)
+           || chr(10) || chr(10) || 'Question: 100%?' || chr(10) || chr(10) || 'Answer:') AS prompt_md5
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+""")
+def q_sql_functions(spark, sf_dir):
+    """X1, X2, X3, X8, X9 as functions of SQL text."""
+    register_sql(spark)
+    return spark.sql("""
+        SELECT a.vec_id, sim_key(cosine_similarity(a.embedding, b.embedding)) AS sim_key,
+               update_doc_id(CAST(a.label AS STRING), timestamp_seconds(a.vec_id)) AS doc_id,
+               has_text(CASE WHEN a.label % 2 = 0 THEN 'x' ELSE '\u00a0 \t' END) AS has_text,
+               md5(build_prompt(array('a', CAST(b.vec_id AS STRING)), '100%?')) AS prompt_md5
+        FROM {e} a JOIN {e} b ON b.vec_id = a.vec_id + 1""", e=TB.read(spark, sf_dir, "embeddings"))
+
+
+@register("sql_top_rows", f"""
+WITH s AS (SELECT a.label, a.vec_id, {O.key_of("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS sim_key
+           FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT label, vec_id, sim_key, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim_key DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""")
+def q_sql_top_rows(spark, sf_dir):
+    """T2 / T3 as a table function of SQL text: the five best-scoring vectors of each label."""
+    register_sql(spark)
+    return spark.sql("""
+        WITH s AS (SELECT a.label, a.vec_id, sim_key(cosine_similarity(a.embedding, b.embedding)) AS sim_key
+                   FROM {e} a JOIN {e} b ON b.vec_id = a.vec_id + 1)
+        SELECT label, vec_id, sim_key, rank FROM top_rows(TABLE(s) PARTITION BY label ORDER BY (sim_key DESC, vec_id), 5)""",
+                     e=TB.read(spark, sf_dir, "embeddings"))
+
+
+@register("sql_stitch_pages", """
+SELECT 'docs/conv-' || CAST(conv_id AS VARCHAR) || '.pdf' AS path,
+       md5(coalesce(string_agg(CASE WHEN turn % 5 = 4 OR conv_id % 50 = 7 THEN NULL ELSE text END, '' ORDER BY turn), '')) AS text_md5
+FROM conversations GROUP BY conv_id
+""")
+def q_sql_stitch_pages(spark, sf_dir):
+    """S5 as a table function of SQL text."""
+    register_sql(spark)
+    return spark.sql("""
+        WITH p AS (SELECT url AS path, page_no, body AS text FROM {pages})
+        SELECT path, md5(text) AS text_md5 FROM stitch_pages(TABLE(p) PARTITION BY path ORDER BY page_no)""", pages=L.pdf_pages(spark, sf_dir))

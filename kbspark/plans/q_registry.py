@@ -117,12 +117,16 @@ FROM content
 UNION ALL
 SELECT source_id, 'reject' AS kind, url, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS text_md5, reason
 FROM rejects
+UNION ALL
+SELECT id || '-untyped', 'reject', NULL, NULL, NULL, 'unknown source type: ' FROM reg2 WHERE active
 """)
 def q_dispatch_sources(spark, sf_dir):
-    """S9 + J3 + U1: landed bodies of active sources routed by type; failures and unknown types rejected."""
+    """S9 + J3 + U1: landed bodies of active sources routed by type; failures and unknown types rejected.
+    Every source also has a twin without a type."""
     from kbspark.operators.registry import dispatch
     reg = L.registry(spark, sf_dir)
-    content, rejects, _ok = dispatch(reg, L.landed_for_registry(spark, sf_dir, reg), TB.now_lit())
+    untyped = reg.withColumn("id", F.concat("id", F.lit("-untyped"))).withColumn("type", F.lit(None).cast("string"))
+    content, rejects, _ok = dispatch(reg.unionByName(untyped), L.landed_for_registry(spark, sf_dir, reg), TB.now_lit())
     c = content.select("source_id", F.lit("content").alias("kind"), "url", "title",
                        F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
     r = rejects.select("source_id", F.lit("reject").alias("kind"), "url", F.lit(None).cast("string").alias("title"),

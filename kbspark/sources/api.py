@@ -6,15 +6,16 @@ Go ``%v`` rendering of the decoded map (sorted keys, ``map[k:v ...]``, arrays
 ``[a b]``, ``<nil>``, float64 numbers in shortest ``%g`` form); source = url =
 the URL.
 
-Decoding and the canonical text, which is recursive, are a small per-row helper
+Decoding and the canonical text, which is nested, are a small per-row helper
 in an Arrow-batched pandas UDF. Constants that JSON does not have (``NaN``,
-``Infinity``) make a body malformed.
+``Infinity``) make a body malformed; a lone surrogate escape reads as U+FFFD.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from decimal import Decimal
 
 import pandas as pd
@@ -53,19 +54,44 @@ def go_float(x: float) -> str:
 
 
 def go_value(v) -> str:
-    if v is None:
-        return "<nil>"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return go_float(float(v))
-    if isinstance(v, str):
-        return v
-    if isinstance(v, list):
-        return "[" + " ".join(go_value(x) for x in v) + "]"
-    if isinstance(v, dict):
-        return "map[" + " ".join(f"{k}:{go_value(v[k])}" for k in sorted(v)) + "]"
-    return str(v)
+    """Go's ``%v`` of a decoded JSON value, without recursion (bodies may nest deeply)."""
+    out, todo = [], [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, tuple):                   # text that is written as it is
+            out.append(v[0])
+        elif v is None:
+            out.append("<nil>")
+        elif isinstance(v, bool):
+            out.append("true" if v else "false")
+        elif isinstance(v, (int, float)):
+            out.append(go_float(float(v)))
+        elif isinstance(v, str):
+            out.append(v)
+        elif isinstance(v, list):
+            todo.append(("]",))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [v[i], (" " if i else "[",)]
+            if not v:
+                todo.append(("[",))
+        elif isinstance(v, dict):
+            todo.append(("]",))
+            keys = sorted(v)
+            for i in range(len(keys) - 1, -1, -1):
+                todo += [v[keys[i]], (f"{' ' if i else 'map['}{keys[i]}:",)]
+            if not keys:
+                todo.append(("map[",))
+        else:
+            out.append(str(v))
+    return "".join(out)
+
+
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _whole(pairs: list) -> dict:
+    """An object whose keys and strings have U+FFFD for lone surrogates (pairs are decoded already)."""
+    return {_LONE.sub("\ufffd", k): v for k, v in pairs}
 
 
 def _number(s: str) -> float:
@@ -84,15 +110,15 @@ def render_body(body: str | None) -> tuple[str | None, str | None]:
     if body is None:
         return None, "empty body"
     try:
-        dec = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_no_constant)
+        dec = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_no_constant, object_pairs_hook=_whole)
         v, _ = dec.raw_decode(body.lstrip(" \t\r\n"))
-    except Exception as ex:  # noqa: BLE001
+        if v is None:
+            return "map[]", None
+        if not isinstance(v, dict):
+            return None, "JSON body is not an object"
+        return _LONE.sub("\ufffd", go_value(v)), None
+    except Exception as ex:  # noqa: BLE001 - one body never fails the job
         return None, f"invalid JSON: {type(ex).__name__}"
-    if v is None:
-        return "map[]", None
-    if not isinstance(v, dict):
-        return None, "JSON body is not an object"
-    return go_value(v), None
 
 
 _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])

@@ -37,7 +37,15 @@ def run_stream(stream: DataFrame, apply_batch: Callable[[DataFrame, int], None],
     """Start ``stream`` -> ``foreachBatch(apply_batch)``; block until drained when available_now."""
     w = stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=period)
-    q = w.start()
+    # Timers of keyed state ask for batches without data for ever; a drain ends with the last data instead.
+    conf, empty_batches = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(empty_batches)
+    try:
+        if available_now:
+            conf.set(empty_batches, "false")
+        q = w.start()
+    finally:
+        conf.set(empty_batches, before)
     if available_now:
         q.awaitTermination()
         if q.exception() is not None:
