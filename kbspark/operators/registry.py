@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.functions.ids import dense_index, source_id
+from kbspark.functions.ids import source_id, unique_index
 from kbspark.schema import CONTENT_COLUMNS, DISPATCHABLE_TYPES, SOURCE_COLUMNS
 from kbspark.sources.api import parse_api
 from kbspark.sources.feed import parse_feeds
@@ -36,7 +36,7 @@ def register_sources(requests: DataFrame, now: Column | None = None, ordinal: st
     """
     now = now if now is not None else F.current_timestamp()
     if ordinal is None:
-        requests = dense_index(requests, ["type", "url", "schedule"], out="_ord")
+        requests = unique_index(requests, out="_ord")      # numbered where they are: repeated requests stay spread
         ordinal = "_ord"
     active = F.col("active") if "active" in requests.columns else F.lit(True)
     return requests.select(
