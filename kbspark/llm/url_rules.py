@@ -66,7 +66,8 @@ def apply_url_rules(pages: DataFrame, rules: DataFrame, default: str = "allow",
     """
     spark = pages.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    urls = pages.select(F.col(id_col).cast("long").alias("id"), url_host(F.col(url_col)).alias("host"),
+    # Ids travel as text: beside the rules' nulls, pandas would turn integers into floats.
+    urls = pages.select(F.col(id_col).cast("long").cast("string").alias("id"), url_host(F.col(url_col)).alias("host"),
                         url_path(F.col(url_col)).alias("path"))
     urls = urls.withColumn("key", F.concat(host_key(F.col("host")), F.lit("\x00"), F.col("path"))) \
                .withColumn("salt", F.rand(11))
@@ -94,12 +95,12 @@ def apply_url_rules(pages: DataFrame, rules: DataFrame, default: str = "allow",
                           F.coalesce("path", F.lit("")).alias("path"), "action")
              .filter("host <> ''").groupBy("host", "path").agg(F.min("action").alias("action"))
              .withColumn("key", host_key(F.col("host"))))
-    schema = "id long, host string, path string, key string, kind int, action string, part int"
+    schema = "id string, host string, path string, key string, kind int, action string, part int"
     placed = clean.mapInPandas(deal_rules, schema).unionByName(
         urls.withColumn("kind", F.lit(2)).withColumn("action", F.lit(None).cast("string")).mapInPandas(deal, schema))
     swept = placed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("key", "kind")
-    out = swept.mapInPandas(_sweep, "id long, host string, path string, rule string, action string")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"),
+    out = swept.mapInPandas(_sweep, "id string, host string, path string, rule string, action string")
+    return out.select(F.col("id").cast("long").alias(id_col), "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"),
                       F.col("rule").isNotNull().alias("matched"))
 
 
@@ -126,8 +127,7 @@ def _sweep(batches):
                     if (p := path[:n]) in paths and len(p) == n:
                         best = max(best or (-1,), (len(rule_host) + n, len(rule_host), rule_host + p, paths[p]))
             out.append((id_, host, path, *(best[2:] if best else (None, None))))
-        f = pd.DataFrame(out, columns=["id", "host", "path", "rule", "action"])
-        yield f.assign(id=pd.array(f.id, dtype="Int64"))
+        yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "action"], dtype=object)
 
 
 #: The rules of the registered query.

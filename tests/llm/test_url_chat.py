@@ -56,6 +56,13 @@ def test_hot_url_is_cut_over_ranges(spark):
     assert len(sizes) > 4 and max(sizes) < 2000
 
 
+def test_large_ids_are_exact_beside_nulls(spark):
+    ids = [9007199254740993 + i for i in range(6)] + [None, -3]
+    pages = spark.createDataFrame([(i, "http://a.net/", "", "") for i in ids], PAGE)
+    out = apply_url_rules(pages, spark.createDataFrame([("net", "/", "block")], RULE), ranges=2)
+    assert sorted(str(r.page_id) for r in out.collect()) == sorted(map(str, ids)) and out.schema["page_id"].dataType.typeName() == "long"
+
+
 CONV = "conv_id long, turn long, role string, text string, pos int, n_turns string"
 
 
