@@ -16,7 +16,8 @@ _EXPORTS = {
     # retrieval
     "similar_documents": "kbspark.operators.retrieve", "top_k_batch": "kbspark.operators.retrieve",
     "vector_topk": "kbspark.operators.retrieve", "build_ivf": "kbspark.operators.ann",
-    "ann_topk": "kbspark.operators.ann", "assign_ivf": "kbspark.operators.ann", "StoredIndex": "kbspark.operators.ann", "cosine_similarity": "kbspark.functions.vectors",
+    "ann_topk": "kbspark.operators.ann", "assign_ivf": "kbspark.operators.ann", "StoredIndex": "kbspark.operators.ann",
+    "CodedIndex": "kbspark.operators.coded", "cosine_similarity": "kbspark.functions.vectors",
     # models and answers
     "HashingEmbedder": "kbspark.operators.embed", "BatchModelEmbedder": "kbspark.operators.embed",
     "embed_documents": "kbspark.operators.embed", "ExtractiveGenerator": "kbspark.operators.generate",
@@ -39,7 +40,7 @@ _EXPORTS = {
     "ingest_updates": "kbspark.plans.ingest", "ingest_report": "kbspark.plans.ingest",
     # streaming
     "stream_updates": "kbspark.streaming.stream", "stream_sources": "kbspark.streaming.stream",
-    "read_accounting": "kbspark.streaming.stream",
+    "assemble_pages": "kbspark.streaming.pages", "read_accounting": "kbspark.streaming.stream",
 }
 
 __all__ = ["get_session", "scratch_dir", *_EXPORTS]

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.operators.ann import StoredIndex, ann_topk, assign_ivf
+from kbspark.operators.coded import CodedIndex
 from kbspark.plans import landing as L
 from kbspark.plans import oracle_sql as O
 from kbspark.plans import tables as TB
-from kbspark.plans.catalog import _VEC_PAIRS, _embedder, fmt_ts, register
+from kbspark.plans.catalog import _VEC_PAIRS, REGISTRY, VEC_K, VEC_T, _embedder, fmt_ts, register
 from kbspark.plans.q_ingest import _UPD, NOW_TXT
 from kbspark.plans.q_store import BUCKETS
 from kbspark.plans.q_registry import _DISPATCH, INGESTED, REPORT, failing_run, ingested
@@ -180,3 +181,13 @@ SELECT query_id, doc_id AS vec_id, sim_key / 1e9 AS score, rank FROM (
 def q_ann_topk_full_probe(spark, sf_dir):
     """T4 with every cell probed: equal to the exact search."""
     return _ann(spark, sf_dir, None)
+
+
+@register("similar_documents_two_phase", REGISTRY["similar_documents_batch"][1])
+def q_similar_documents_two_phase(spark, sf_dir):
+    """T1 / T3 over a stored index: 8-bit codes first, exact scores of what can matter; the same rows as
+    ``similar_documents_batch``."""
+    idx = CodedIndex(spark, scratch_dir(spark, "coded"), dim=64, n_buckets=BUCKETS)
+    idx.build(TB.vector_index(spark, sf_dir))
+    r = idx.top_k(TB.vector_queries(spark, sf_dir), k=VEC_K, threshold=VEC_T)
+    return r.select("query_id", "doc_id", "sim_key", "similarity", F.col("rank").cast("long").alias("rank"))
