@@ -7,9 +7,8 @@ All keyed work is hash-aggregate or equi-join on the key:
 
 * rows that the table's constraints forbid never reach a write: ``batch_errors``
   names the reason, ``upsert_rejects`` returns them;
-* the batch is de-duplicated with ``max_by(.., seq)``, aggregated map-side first
-  (a sort aggregate, as the values are strings and arrays), so a key repeated in
-  a third of the batch is pre-combined before the shuffle;
+* the batch is de-duplicated over its keys, sequence and row numbers alone, aggregated map-side
+  first, so a key repeated in a third of the batch is pre-combined before the shuffle;
 * the merge is one equi-join on ``doc_id``: left-outer against a broadcast batch,
   or full-outer sort-merge (AQE splits skewed partitions). Both give the same rows;
 * new keys get dense surrogate ids from ``dense_index`` over the narrow keys (no global window).
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.ids import dense_index
 from kbspark.schema import KB_COLUMNS, MAX_DOC_ID_CHARS
-from kbspark.session import ensure_checkpoint_dir
+from kbspark.session import scratch_dir
 
 
 def dedupe_last(batch: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
@@ -75,11 +74,25 @@ def upsert_documents(base: DataFrame, batch: DataFrame, now: Column | None = Non
 
 
 def latest_rows(batch: DataFrame, seq: str = "seq", dim: int | None = None) -> DataFrame:
-    """The valid rows of a batch, the last write of each key, materialised once (embeddings included):
-    they feed the size check, the merge and the new-key ids. A reliable checkpoint survives executor loss."""
-    ensure_checkpoint_dir(batch.sparkSession)
-    valid = batch.filter(batch_errors(seq, dim).isNull())
-    return dedupe_last(valid, "doc_id", seq, ["content", "embedding"]).checkpoint(eager=True)
+    """The valid rows of a batch, the last write of each key, stored once (embeddings included): they feed
+    the size check, the merge and the new-key ids.
+
+    The winners are picked over (key, sequence, row) alone; contents and vectors are not aggregated, and they are
+    copied once more only if a key occurs twice. Ties of the sequence go by a hash of the values, so that
+    the winner does not depend on partitioning."""
+    spark, base = batch.sparkSession, scratch_dir(batch.sparkSession, "batch")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+    cols = ["doc_id", "content", "embedding"]
+    rows = stored(batch.filter(batch_errors(seq, dim).isNull())
+                  .select(*cols, F.col(seq).alias("_seq"), F.xxhash64("content", "embedding").alias("_hash"), F.monotonically_increasing_id().alias("_row")), "rows")
+    best = stored(rows.groupBy("doc_id").agg(F.max_by("_row", F.struct("_seq", "_hash")).alias("_row"), F.min("_seq").alias("_first_seq"),
+                                             F.count(F.lit(1)).alias("n")), "winners")
+    if best.filter("n > 1").isEmpty():
+        return rows.select(*cols, F.col("_seq").alias("_first_seq"))
+    return stored(rows.join(best.select("_row", "_first_seq"), "_row").select(*cols, "_first_seq"), "latest")
 
 
 def latest_nanos() -> Column:

@@ -18,7 +18,9 @@ from kbspark.schema import DISPATCHABLE_TYPES, SOURCE
 from kbspark.session import scratch_dir
 from kbspark.sources.buckets import BucketStore
 from kbspark.sources.snapshot import SnapshotStore
-from kbspark.streaming.stream import read_accounting, stream_sources, stream_updates
+from kbspark.sources.pages import stitch_pages
+from kbspark.streaming.pages import assemble_pages
+from kbspark.streaming.stream import read_accounting, run_stream, stream_sources, stream_updates
 
 def _read_stream(spark, sf_dir: str, name: str) -> DataFrame:
     """A streaming scan of one landed table (the file is the landing zone)."""
@@ -105,6 +107,23 @@ def q_stream_two_writers(spark, sf_dir):
                                       fmt_ts("created_at").alias("created_at"), (F.col("n") == 1).alias("unique_id")))
 
 
+@register("stream_pages", REGISTRY["stitch_pages"][1])
+def q_stream_pages(spark, sf_dir):
+    """R2 with S5: the pages of each document are dealt out over three micro-batches; the same documents
+    as from whole ones."""
+    root = scratch_dir(spark, "stream-pages")
+    p = L.pdf_pages(spark, sf_dir)
+    p = p.join(p.groupBy("url").agg(F.count(F.lit(1)).alias("page_count")), "url").drop("key")
+    for i in range(3):
+        p.filter(F.pmod("page_no", F.lit(3)) == i).coalesce(1).write.parquet(f"{root}/in/{i}")
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    run_stream(assemble_pages(stream), lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/{i}"), f"{root}/checkpoint")
+    done = spark.read.parquet(f"{root}/out/*").select(F.col("url").alias("path"), "page_no", F.col("body").alias("text"))
+    c = stitch_pages(done, now=TB.now_lit())
+    return c.select("title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_len"),
+                    fmt_ts("published_at").alias("published_at"))
+
+
 @register("stream_accounting", REPORT)
 def q_stream_accounting(spark, sf_dir):
     """A6 in R2: the reports of all micro-batches add up to the report of one run, failures included."""
