@@ -78,6 +78,35 @@ def test_large_group_of_near_copies_branches_and_closes(spark):
     check(spark, rows, 2, small=6, trees=12)
 
 
+def test_groups_larger_than_tiny_nodes(spark, monkeypatch):
+    # a star, a chain of small steps and a crowd of texts that share much without being linked
+    from kbspark.llm import chosen_path as m
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(1000 + k, " ".join(f"x{r.random()}" if r.random() < 0.03 else w for w in base)) for k in range(90)]
+    rows += [(2000 + k, " ".join(f"c{i}" for i in range(2 * k, 2 * k + 80))) for k in range(50)]
+    core = [f"k{i}" for i in range(100)]
+    rows += [(3000 + k, " ".join([*core, *(f"o{k}-{i}" for i in range(30))])) for k in range(60)]
+    rows += [(4000 + k, " ".join([*core, *(f"o{k}-{i}" for i in range(26))])) for k in range(0, 60, 5)]
+    check(spark, rows, 2)
+    monkeypatch.setattr(m, "SET_ITEMS", 100)                       # the way of heavy nodes: pairs
+    check(spark, rows, 2)
+
+
+def test_nodes_are_whole_whatever_the_batches():
+    import pyarrow as pa
+    from kbspark.llm.chosen_path import _whole_nodes
+    r = random.Random(3)
+    parts = sorted(r.randint(0, 12) for _ in range(100))
+    for cut in (1, 3, 7, 100):
+        batches = [pa.record_batch({"part": pa.array(parts[k:k + cut]), "x": pa.array(range(k, min(100, k + cut)))}) for k in range(0, 100, cut)]
+        got = list(_whole_nodes(iter(batches)))
+        assert [x for b in got for x in b.column("x").to_pylist()] == list(range(100))
+        ends = [set(b.column("part").to_pylist()) for b in got]
+        assert all(not (a & b) for n, a in enumerate(ends) for b in ends[:n])
+    assert list(_whole_nodes(iter([]))) == []
+
+
 def test_linked_pairs_inside_a_large_group_of_shared_text_stay_together(spark):
     # every document shares 130 of 165 words (pairwise 0.65); the planted pairs are at 0.80 to 0.82
     from kbspark.llm import chosen_path as m
