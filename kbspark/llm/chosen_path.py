@@ -660,8 +660,9 @@ class _Join:
         live = self.prune(self.labelled(rows))
         if not self.n_live:
             return None
-        if depth == self.root_depth:
-            self.note(live)
+        if depth > self.root_depth:
+            return self.meet_below(live, bottom)
+        self.note(live)
         wide = self.with_wide(live)
         pairs, large = self.forest_pairs(wide), not self.large(live).isEmpty()
         if large:
@@ -678,6 +679,19 @@ class _Join:
         self.relabel(self.confirm(self.all_pairs(wide, bottom).unionByName(self.minor_pairs(wide))))
         return self.large(wide) if large and not bottom and not self.large(live).isEmpty() else None
 
+    def meet_below(self, live: DataFrame, bottom: bool) -> DataFrame | None:
+        """``meet`` below the roots, in one step: there, most labels are joined already."""
+        tiny = F.col("cnt") <= min(TINY, self.small)
+        if not live.filter(~tiny & (F.col("cnt") <= self.small)).isEmpty():
+            left = self.compare_sets(live.filter(~tiny)).unionByName(live.filter(tiny).select("node").distinct())
+            live = self.store(self.labelled(live).join(small_table(left), "node", "left_semi"), "heavy")
+        wide, large = self.with_wide(live), not self.large(live).isEmpty()
+        pairs = self.all_pairs(wide, bottom).unionByName(self.minor_pairs(wide))
+        if large and not bottom:
+            pairs = pairs.unionByName(self.leader_pairs(wide))
+        self.relabel(self.confirm(pairs))
+        return self.large(wide) if large and not bottom else None
+
     def compare_sets(self, live: DataFrame) -> DataFrame:
         """Joins the labels that are linked inside small nodes, by the full sets; returns the nodes (node) that are
         large, or whose sets are too large for a task."""
