@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = [n.split("_")[0] for n in QUERIES]
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 11)]
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
 
 
