@@ -132,24 +132,6 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls binary, sketch binary")
 
 
-def _with_classes(rows: DataFrame, words: int, text_col: str, name: str) -> DataFrame:
-    """``rows`` with the class of each text in a new column ``name``; null if it has no words."""
-    text = f"{name}_text"
-
-    def run(batches):
-        for batch in batches:
-            for b in slices(batch, batch.num_columns - 1):
-                sets, off = shingle_sets(b.column(b.num_columns - 1), words)
-                has = np.diff(off) > 0
-                cls = np.full(b.num_rows, None, object)
-                if has.any():
-                    tight = np.concatenate([[0], np.cumsum(np.diff(off)[has])])
-                    cls[np.flatnonzero(has)] = _fixed(_fingerprints(sets, tight)).to_pylist()
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(list(cls), pa.binary())], [*b.schema.names[:-1], name])
-
-    return rows.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, StructType([*rows.schema.fields, StructField(name, BinaryType())]))
-
-
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(cls, items array<long>) of each document."""
     def run(batches):
@@ -753,10 +735,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows that stand for their component, with all their columns. Rows are judged one by one: of
-    rows that repeat an id with different texts, only those go whose own text is a copy of a smaller
-    id's. Rows without an id are not dropped, nor exact copies that repeat the id of their component."""
-    id_col, text_col, words = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("words", 5)
+    """One row of each component, with all its columns: the one of the smallest id, rows without an id last.
+
+    Rows are judged one by one. Where ids are null or repeated, all rows are numbered first (in a stored copy)
+    and judged by their number, so that exact and near copies go whatever their ids are; of rows that agree in
+    component and id one stays, of those without an id too. Texts without words are linked with nothing and stay."""
+    id_col = options.get("id_col", "doc_id")
     spark = docs.sparkSession
     base = scratch_dir(spark, "dropped")
 
@@ -764,24 +748,21 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    judged = stored(_judged(docs, **options).filter("doc_id is not null"), "judged")
-    by_id = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
-    ids = stored(by_id.filter("not every").select(F.col("doc_id").alias("dropped_id"), "some"), "ids")
-    key = docs[id_col].cast("long")
-    out = docs.join(small_table(ids.select("dropped_id"), BROADCAST_IDS), key == F.col("dropped_id"), "left_anti")
-    mixed = ids.filter("some").select("dropped_id")
-    if mixed.isEmpty():
-        return out
-    # ids with both verdicts: the set of a row's text decides
-    gone = stored(judged.filter("not kept").join(small_table(mixed, BROADCAST_IDS), F.col("doc_id") == F.col("dropped_id"), "left_semi")
-                  .select("doc_id", "cls").distinct(), "gone")
-    rows = docs.join(small_table(mixed, BROADCAST_IDS), key == F.col("dropped_id"), "left_semi")
-    names = [f"{n}_{len(docs.columns)}" for n in ("near_id", "near_cls")]
-    while set(names) & set(docs.columns):
-        names = [n + "_" for n in names]
-    rows = _with_classes(rows, words, text_col, names[1]).withColumn(names[0], F.col(id_col).cast("long"))
-    gone = gone.select(F.col("doc_id").alias(names[0]), F.col("cls").alias(names[1]))
-    return out.unionByName(rows.join(small_table(gone, BROADCAST_IDS), names, "left_anti").select(*docs.columns))
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        gone = stored(_judged(docs, **options).filter("not kept").select(F.col("doc_id").alias("dropped_id")), "gone")
+        return docs.join(small_table(gone, BROADCAST_IDS), docs[id_col].cast("long") == F.col("dropped_id"), "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    key = next(n for n in ("row_key", *(f"row_key_{i}" for i in range(len(taken) + 1))) if n not in taken)
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    judged = stored(_judged(rows, **{**options, "id_col": key}).filter("n_shingles > 0").select("doc_id", "component_id"), "judged")
+    shared = judged.filter("doc_id <> component_id").select("component_id").distinct()
+    members = stored(judged.join(shared, "component_id", "left_semi")
+                     .join(rows.select(F.col(key).alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("own_id")), "doc_id"), "members")
+    first = (members.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first"))
+             .select(F.col("first.doc_id").alias("doc_id")))
+    gone = stored(members.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("dropped_key")), "gone")
+    return rows.join(small_table(gone, BROADCAST_IDS), rows[key] == F.col("dropped_key"), "left_anti").drop(key)
 
 
 ORACLE = r"""

@@ -162,7 +162,8 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (None, None, True)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
     kept = drop_near_duplicates(df, words=2)
-    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None", "None", "None"]
+    assert kept.columns == df.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == [
+        "(1, 'a b c d e f')", "(None, 'q r s t')", "(None, None)"]
 
 
 def test_dropping_judges_rows_not_ids(spark):
@@ -170,7 +171,23 @@ def test_dropping_judges_rows_not_ids(spark):
     df = spark.createDataFrame([(d, t, "", "", "") for d, t in rows], DOC)
     kept = drop_near_duplicates(df, words=2)
     assert kept.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((rows[i] for i in (0, 2, 3, 5, 6)), key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((rows[i] for i in (0, 2, 3, 6)), key=str)
+
+
+def test_rows_without_ids_and_repeats_leave_one_of_each_group(spark):
+    # near copies without an id, equal texts under one id, and clashing columns
+    base = [f"b{i}" for i in range(60)]
+    near = " ".join([*base[:59], "z"])
+    rows = ([(None, " ".join(base))] * 30 + [(None, near)] * 30 + [(9, "p q r s t u v")] * 20 + [(None, "p q r s t u v")] * 5
+            + [(8, "P q r s t u v"), (None, ""), (None, None), (3, None), (3, None)])
+    df = spark.createDataFrame([(d, t, "", "", "") for d, t in rows], DOC).withColumnRenamed("label", "Row_Key")
+    kept = drop_near_duplicates(df, words=2)
+    assert kept.columns == df.columns
+    got = sorted(str((r.doc_id, r.text)) for r in kept.collect() if r.text not in (" ".join(base), near))
+    assert got == sorted(map(str, [(8, "P q r s t u v"), (None, ""), (None, None), (3, None), (3, None)]))
+    assert kept.filter(F.col("text").startswith("b0 ")).count() == 1
+    none = drop_near_duplicates(df.filter("doc_id = 9").limit(0), words=2)
+    assert none.count() == 0 and none.columns == df.columns
 
 
 def test_components_of_chains_and_hubs(spark):
