@@ -1,140 +1,63 @@
-"""LM scoring: stupid-backoff bigram scores, with count tables partitioned by hash.
+"""LM scoring: stupid-backoff bigram scores, computed relationally over n-gram count tables.
 
-The vocabulary is the most frequent words of the whole corpus (at most ``vocab_size``; of a group of
-equally frequent words at the border none is taken); other words are one unknown word. All
-documents are counted. A token w after v scores log10 of
+Every word and bigram of the corpus is counted; there is no vocabulary limit. A token w after v scores
+log10 of
 
-* count'(v w) / count(v) if the vocabulary bigram also occurs in other documents
-  (count' leaves out the scored document's own occurrences), else
-* alpha * (count(w) + 1) / (tokens + vocab_size + 2), the backed-off unigram.
+* count'(v w) / count(v) if the bigram also occurs in other documents (count' leaves out the
+  scored document's own occurrences), else
+* alpha * (count(w) + 1) / (tokens + word types), the backed-off unigram.
 
-Bigrams with the unknown word are not tabled and always back off; the first word follows a start
-symbol counted once per document with words. Scores are summed in whole millionths, so sums do not
-depend on their order.
+The first word follows a start symbol counted once per document with words. Scores are summed in whole
+millionths, so sums do not depend on their order.
 
-Scale: the unigram table is bounded by the vocabulary and broadcast. Bigram occurrences are exploded
-to 4-byte keys, dealt to partitions by hash, counted and looked up there, and the partial sums are
-sent back by slice of documents and added up: two shuffles of 4 + 2 and at most 10 bytes a token.
-A partition holds about ``part_tokens`` occurrences. Bigrams frequent in a bounded sample of
-documents (at least ``HOT_SHARE`` of them, so a bounded list) never enter the shuffle: their exact
-totals are counted by partial sums and broadcast, so no partition holds a hot key.
+Relations: the count table (v, w, n, docs), v null for words, is a partial aggregate partitioned by hash.
+From it follows a score table by 64-bit n-gram key: of words the backed-off score, of bigrams of two or more
+documents the count, the count of v and the backed-off score of w. Each document is exploded to its distinct
+n-grams with their own counts, these rows are joined to the score table by key and summed per
+document: words add their backed-off score, found bigrams the difference to it. So a bigram that
+no other document has needs no row of the table.
+
+Scale: both tables grow with the corpus and stay partitioned by hash. A document sends one row per distinct
+n-gram, however often it repeats it. N-grams of more than one in ``hot_rows`` of all rows (so fewer than
+``hot_rows`` n-grams) are broadcast and scored where the documents are read; only the others enter the
+shuffle, and none of these is hot. Bigrams meet the counts of their words by a broadcast of
+at most ``BROADCAST_WORDS`` counted words, else by a shuffle that AQE can split. The driver sees totals and the hot rows.
 
 Defined cases: null, empty and blank texts have no words, score 0 and a null mean; repeated rows are
 documents of their own; ids are only carried along, null ids too; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored. Rows are numbered as they are read, so the input should be a stored table.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.words import mix, slices, word_hashes
+from kbspark.llm.components import small
+from kbspark.llm.words import seeds, slices, word_hashes
 from kbspark.session import scratch_dir
 
-VOCAB = 65_534                 # ids fit 16 bits together with the unknown word and the start symbol
-UNK, START = 0, 1
 ALPHA = 0.4
-SAMPLE_DOCS, HOT_SHARE = 4_000, 0.005
-
-
-class _Vocabulary:
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, docs: int, limit: int):
-        self.hashes = hashes                                   # sorted
-        self.counts = np.concatenate([[tokens - counts.sum(), docs], counts]).astype(np.int64)
-        self.tokens, self.docs, self.limit = tokens, docs, limit
-
-    def ids(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.uint32)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 2, UNK).astype(np.uint32)
-
-    def backed_off(self, w: np.ndarray) -> np.ndarray:
-        """Millionths of the backed-off score of each word id."""
-        return np.rint(1e6 * np.log10(ALPHA * (self.counts[w] + 1) / (self.tokens + self.limit + 2))).astype(np.int64)
-
-    def found(self, key: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Millionths of the bigram score, from the count in other documents."""
-        return np.rint(1e6 * np.log10(others / self.counts[key >> np.uint32(16)])).astype(np.int64)
-
-
-def _bigrams(column: pa.Array, vocab: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous ids, ids, offsets of each text)."""
-    words, off = word_hashes(column)
-    w = vocab.ids(words)
-    prev = np.empty_like(w)
-    prev[1:] = w[:-1]
-    prev[off[:-1][np.diff(off) > 0]] = START
-    return prev, w, off
-
-
-def _vocabulary(docs: DataFrame, limit: int) -> _Vocabulary:
-    def count(batches):
-        for batch in batches:
-            for b in slices(batch, 1, 16 << 20):
-                words, off = word_hashes(b.column(1))
-                h, n = np.unique(words, return_counts=True)
-                # the null row counts tokens and texts
-                yield pa.record_batch({"w": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64)), "texts": pa.array(np.zeros(len(h), np.int64))})
-                yield pa.record_batch({"w": pa.array([None], pa.int64()), "n": pa.array([len(words)], pa.int64()),
-                                       "texts": pa.array([int((np.diff(off) > 0).sum())], pa.int64())})
-
-    spark = docs.sparkSession
-    path = f"{scratch_dir(spark, 'backoff')}/words"
-    docs.mapInArrow(count, "w long, n long, texts long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).write.parquet(path)
-    counted = spark.read.parquet(path)
-    total = counted.filter("w is null").first()
-    top = counted.filter("w is not null").select("w", "n").orderBy(F.desc("n")).limit(limit + 1).toArrow()
-    h, n = top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    if len(n) > limit:
-        h, n = h[n > n.min()], n[n > n.min()]
-    order = np.argsort(h)
-    return _Vocabulary(h[order], n[order], total.n if total else 0, total.texts if total else 0, limit)
-
+HOT_ROWS = 200_000
+BROADCAST_WORDS = 1_000_000
+START = seeds(1, 9)[0]
+_KEY = "v ^ (shiftleft(w, 1) | shiftrightunsigned(w, 63))"
 
-def _tabled(prev: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (prev != UNK) & (w != UNK)
 
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous words, words, offsets of each text) as hashes."""
+    w, off = word_hashes(column)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[off[:-1][np.diff(off) > 0]] = START
+    return v, w, off
 
-def _hot_totals(docs: DataFrame, vocab) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and exact counts of bigrams that are frequent in a bounded sample of documents."""
-    n = docs.count()
 
-    def distinct(batches):
-        for batch in batches:
-            for b in slices(batch, 1):
-                prev, w, off = _bigrams(b.column(1), vocab.value)
-                ok = _tabled(prev, w)
-                doc = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
-                both = np.unique(doc[ok] << np.uint64(32) | prev[ok].astype(np.uint64) << np.uint64(16) | w[ok])
-                yield pa.record_batch({"key": pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64))})
-
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / n), seed=5) if n > SAMPLE_DOCS else docs
-    least = max(20, math.ceil(HOT_SHARE * min(n, SAMPLE_DOCS)))
-    hot = sample.mapInArrow(distinct, "key long").groupBy("key").count().filter(F.col("count") >= least).toArrow()
-    keys = np.sort(hot.column("key").to_numpy().astype(np.uint32))
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-
-    def count(batches):
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for b in slices(batch, 1):
-                prev, w, _ = _bigrams(b.column(1), vocab.value)
-                key = prev << np.uint32(16) | w
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                total += np.bincount(at[(keys[at] == key) & _tabled(prev, w)], minlength=len(keys))
-        yield pa.record_batch({"at": pa.array(np.arange(len(keys))), "n": pa.array(total)})
-
-    got = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.zeros(len(keys), np.int64)
-    totals[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    return keys, totals
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Bigram keys; the same as ``_KEY``."""
+    return v ^ (w << np.uint64(1) | w >> np.uint64(63))
 
 
 def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -146,127 +69,118 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _scores(vocab: _Vocabulary, key: np.ndarray, doc: np.ndarray, totals: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, millionths, backed-off tokens) from all occurrences of the given keys; ``totals``
-    per occurrence if the corpus counts are known, else these occurrences are all there are."""
-    if not len(key):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    start = _runs(key, doc)
-    own = np.diff(np.append(start, len(key)))
-    k, d = key[start], doc[start]
-    if totals is None:
-        first = _runs(k)
-        total = np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(k))))
-    else:
-        total = totals[order][start]
-    others = total - own
-    seen = others > 0
-    score = np.empty(len(k), np.int64)
-    score[seen] = vocab.found(k[seen], others[seen])
-    score[~seen] = vocab.backed_off(k[~seen] & np.uint32(0xFFFF))
-    score *= own
-    back = np.where(seen, 0, own)
-    order = np.argsort(d, kind="stable")
-    d, score, back = d[order], score[order], back[order]
-    start = _runs(d)
-    return d[start], np.add.reduceat(score, start), np.add.reduceat(back, start)
-
-
-def score_documents(docs: DataFrame, vocab_size: int = VOCAB, part_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _own(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a position, occurrences) of each distinct (key, document), by key; ``doc`` does not fall."""
+    order = np.argsort(key, kind="stable")
+    start = _runs(key[order], doc[order])
+    return order[start], np.diff(np.append(start, len(order)))
+
+
+def _count_table(docs: DataFrame) -> DataFrame:
+    """(v, w, n, docs): occurrences and documents of every word (v null) and bigram; the start symbol as a word."""
+    def count(batches):
+        for batch in batches:
+            for b in slices(batch, 1, 16 << 20):
+                v, w, off = _grams(b.column(1))
+                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                for order, key in ((1, w), (2, _key(v, w))):
+                    at, own = _own(key, doc)
+                    start = _runs(key[at])
+                    n = np.add.reduceat(own, start) if len(start) else own
+                    first = at[start]
+                    yield pa.record_batch({"v": pa.array(v[first].view(np.int64), mask=np.full(len(first), order == 1)),
+                                           "w": pa.array(w[first].view(np.int64)), "n": pa.array(n.astype(np.int64)),
+                                           "docs": pa.array(np.diff(np.append(start, len(at))).astype(np.int64))})
+                yield pa.record_batch({"v": pa.array([None], pa.int64()), "w": pa.array([START]).view(pa.int64()),
+                                       "n": pa.array([int((np.diff(off) > 0).sum())], pa.int64()), "docs": pa.array([0], pa.int64())})
+
+    return docs.mapInArrow(count, "v long, w long, n long, docs long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _score_table(counts: DataFrame) -> DataFrame:
+    """(key, n, before, back, docs): of words n and before are null; bigrams of one document are left out."""
+    start = int(START.view(np.int64))
+    words = counts.filter("v is null")
+    total = words.filter(F.col("w") != start).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
+    back = F.rint(1e6 * F.log10(ALPHA * (F.col("n") + 1) / F.lit(max(1, total.tokens + total.types)))).cast("long")
+    words = words.select("w", "n", back.alias("back"), "docs")
+    known = small(words, BROADCAST_WORDS)
+    one = words.filter(F.col("w") != start).select(F.col("w").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("before"),
+                                                   "back", "docs")
+    two = (counts.filter("v is not null and docs > 1")
+           .join(known.select(F.col("w").alias("v"), F.col("n").alias("before")), "v").join(known.select("w", "back"), "w")
+           .select(F.expr(_KEY).alias("key"), "n", "before", "back", "docs"))
+    return one.unionByName(two)
+
+
+def _hot_scores(n, before, back, own) -> tuple[np.ndarray, np.ndarray]:
+    """(millionths, found tokens) of rows of the score table; n is 0 for words."""
+    found = n > own
+    e6 = np.where(n == 0, own * back, 0)
+    e6[found] = own[found] * (np.rint(1e6 * np.log10((n[found] - own[found]) / before[found])).astype(np.int64) - back[found])
+    return e6, np.where(found, own, 0)
+
+
+def score_documents(docs: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_backoff, logprob_e6, mean_logprob) of every whole text, by counts over all texts."""
     spark = docs.sparkSession
     d = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    if not 0 < vocab_size <= VOCAB:
-        raise ValueError(f"a vocabulary of 1 to {VOCAB} words expected")
-    vocab = _vocabulary(d, vocab_size)
-    parts = max(1, math.ceil(vocab.tokens / part_tokens))
-    vocab = spark.sparkContext.broadcast(vocab)                 # bounded by VOCAB
-    hot = spark.sparkContext.broadcast(_hot_totals(d, vocab))   # bounded by SAMPLE_DOCS and HOT_SHARE
+    base = scratch_dir(spark, "backoff")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    counts = stored(_count_table(d), "counts")
+    limit = (counts.agg(F.sum("docs")).first()[0] or 0) // hot_rows
+    table = stored(_score_table(counts), "scores")
+    hot = table.filter(F.col("docs") > limit).fillna(0, ["n", "before"]).orderBy("key").toArrow()          # fewer than hot_rows
+    hot = spark.sparkContext.broadcast([hot.column(c).to_numpy() for c in ("key", "n", "before", "back")])
 
     def explode(batches):
         from pyspark import TaskContext
-        v, (hot_keys, hot_totals) = vocab.value, hot.value
+        key_, *values = hot.value
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for b in slices(batch, 1):
-                prev, w, off = _bigrams(b.column(1), v)
-                n = np.diff(off)
-                doc = np.repeat(np.arange(len(n), dtype=np.int64), n)
-                key = prev << np.uint32(16) | w
-                tabled = _tabled(prev, w)
-                at = np.minimum(np.searchsorted(hot_keys, key), max(0, len(hot_keys) - 1))
-                is_hot = tabled & (hot_keys[at] == key) if len(hot_keys) else np.zeros(len(key), bool)
-                e6 = np.zeros(len(n), np.int64)
-                back = np.zeros(len(n), np.int64)
-                np.add.at(e6, doc[~tabled], v.backed_off(w[~tabled]))
-                np.add.at(back, doc[~tabled], 1)
-                if is_hot.any():
-                    at_doc, s, k = _scores(v, key[is_hot], doc[is_hot], hot_totals[at[is_hot]])
-                    e6[at_doc] += s
-                    back[at_doc] += k
-                yield _row(number, number % parts, ids=b.column(0).to_pylist(), words=n, e6=e6, back=back)
-                cold = tabled & ~is_hot
-                key, doc = key[cold], doc[cold]
-                part = (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(edges)):
-                    o = order[edges[p]:edges[p + 1]]
-                    yield _row(number, int(p), doc=doc[o], key=key[o])
-                number += 1
-
-    def look_up(batches):
-        # one partition: passes the slices' heads on, gathers its occurrences (about part_tokens), then scores them
-        keys, docs_, sizes, numbers = [], [], [], []
-        for b in batches:
-            head = b.column("key").is_null()
-            yield b.filter(head).drop_columns(["part", "key"])
-            for s, x, k in zip(b.column("slice").to_pylist(), b.column("doc").to_pylist(), b.column("key").to_pylist()):
-                if k is not None:
-                    numbers.append(s)
-                    keys.append(np.frombuffer(k, np.uint32))
-                    docs_.append(np.frombuffer(x, np.int32))
-                    sizes.append(len(keys[-1]))
-        if not keys:
-            return
-        numbers, at = np.unique(np.array(numbers, np.int64), return_inverse=True)
-        doc = np.repeat(at.astype(np.int64) << 32, sizes) | np.concatenate(docs_)
-        who, e6, back = _scores(vocab.value, np.concatenate(keys), doc)
-        first = _runs(who >> 32)
-        for a, z in zip(first, np.append(first[1:], len(who))):
-            yield _row(int(numbers[who[a] >> 32]), None, doc=who[a:z] & 0xFFFFFFFF, e6=e6[a:z], back=back[a:z]).drop_columns(["part", "key"])
-
-    def add_up(t: pa.Table) -> pa.Table:
-        head = t.filter(pa.compute.is_valid(t.column("ids")))
-        e6 = np.frombuffer(head.column("e6")[0].as_py(), np.int64).copy()
-        back = np.frombuffer(head.column("back")[0].as_py(), np.int64).copy()
-        rest = t.filter(pa.compute.is_null(t.column("ids")))
-        for x, e, k in zip(rest.column("doc").to_pylist(), rest.column("e6").to_pylist(), rest.column("back").to_pylist()):
-            at = np.frombuffer(x, np.int32)
-            e6[at] += np.frombuffer(e, np.int64)
-            back[at] += np.frombuffer(k, np.int64)
-        return pa.table({"doc_id": head.column("ids").combine_chunks().flatten(), "n_words": np.frombuffer(head.column("words")[0].as_py(), np.int64),
-                         "n_backoff": back, "logprob_e6": e6})
-
-    rows = d.mapInArrow(explode, f"slice long, part int, {_REST}, key binary").repartitionById(parts, "part")
-    partial = rows.mapInArrow(look_up, f"slice long, {_REST}")
-    out = partial.groupBy("slice").applyInArrow(add_up, "doc_id long, n_words long, n_backoff long, logprob_e6 long")
+                v, w, off = _grams(b.column(1))
+                size = np.diff(off)
+                doc = np.repeat(np.arange(len(size)), size)
+                e6, found = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+                for k in (w, _key(v, w)):
+                    at, own = _own(k, doc)
+                    key, of = k[at].view(np.int64), doc[at]
+                    near = np.minimum(np.searchsorted(key_, key), max(0, len(key_) - 1))
+                    is_hot = key_[near] == key if len(key_) else np.zeros(len(key), bool)
+                    s, f = _hot_scores(*(x[near[is_hot]] for x in values), own[is_hot])
+                    np.add.at(e6, of[is_hot], s)
+                    np.add.at(found, of[is_hot], f)
+                    cold = ~is_hot
+                    yield _rows(number + of[cold], key[cold], own[cold])
+                numbers = number + np.arange(len(size))
+                yield _rows(numbers, seeds(1)[0].view(np.int64) ^ numbers << 20, size, b.column(0), e6, found)      # keys that spread the documents
+                number += len(size)
+
+    rows = d.mapInArrow(explode, "number long, key long, own long, head boolean, doc_id long, e6 long, found long")
+    cold = table.filter(F.col("docs") <= limit).select("key", "n", "before", "back")
+    others = F.col("n") - F.col("own")
+    gain = F.rint(1e6 * F.log10(others / F.col("before"))).cast("long") - F.col("back")
+    is_found = F.col("n").isNotNull() & (others > 0)
+    joined = rows.join(cold, "key", "left").filter(F.col("head") | (F.col("back").isNotNull() & (F.col("n").isNull() | (others > 0))))
+    out = joined.groupBy("number").agg(
+        F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("head"), F.col("own")).otherwise(0)).alias("n_words"),
+        F.sum(F.when(F.col("head"), F.col("found")).when(is_found, F.col("own")).otherwise(0)).alias("found"),
+        F.sum(F.when(F.col("head"), F.col("e6")).otherwise(F.col("own") * F.when(is_found, gain).otherwise(F.col("back")))).alias("logprob_e6"))
+    out = out.select("doc_id", "n_words", (F.col("n_words") - F.col("found")).alias("n_backoff"), "logprob_e6")
     return out.withColumn("mean_logprob", F.when(F.col("n_words") > 0, F.col("logprob_e6") / F.lit(1e6) / F.col("n_words")))
 
 
-_REST = "ids array<long>, words binary, doc binary, e6 binary, back binary"
-
-
-def _row(number: int, part: int | None, ids=None, words=None, doc=None, e6=None, back=None, key=None) -> pa.RecordBatch:
-    def raw(a, dtype):
-        return pa.array([None if a is None else np.ascontiguousarray(a, dtype).tobytes()], pa.binary())
-
-    return pa.record_batch({"slice": pa.array([number], pa.int64()), "part": pa.array([part], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())),
-                            "words": raw(words, np.int64), "doc": raw(doc, np.int32), "e6": raw(e6, np.int64), "back": raw(back, np.int64),
-                            "key": raw(key, np.uint32)})
+def _rows(number: np.ndarray, key: np.ndarray, own: np.ndarray, ids=None, e6=None, found=None) -> pa.RecordBatch:
+    """Exploded n-grams; with ids the rows that stand for the documents themselves."""
+    n = len(number)
+    rest = [pa.nulls(n, pa.int64())] * 3 if ids is None else [ids, pa.array(e6), pa.array(found)]
+    return pa.record_batch({"number": pa.array(number), "key": pa.array(key), "own": pa.array(own.astype(np.int64)),
+                            "head": pa.array(np.full(n, ids is not None)), "doc_id": rest[0], "e6": rest[1], "found": rest[2]})
 
 
 ORACLE = r"""
@@ -274,19 +188,17 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(t
                                                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
 c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-v AS (SELECT w, n FROM c WHERE n > coalesce((SELECT n FROM c ORDER BY n DESC LIMIT 1 OFFSET 65534), 0)),
-tot AS (SELECT (SELECT count(*) FROM t) AS tokens, (SELECT count(DISTINCT doc_id) FROM t) AS docs,
-               (SELECT count(*) FROM t) - coalesce((SELECT sum(n) FROM v), 0) AS unk),
-x AS (SELECT t.doc_id, t.i, v.w AS w, coalesce(v.n, tot.unk) AS cw,
-             lag(v.w) OVER (PARTITION BY t.doc_id ORDER BY t.i) AS p, lag(v.n) OVER (PARTITION BY t.doc_id ORDER BY t.i) AS cp, tot.tokens, tot.docs
-      FROM t LEFT JOIN v ON v.w = t.w CROSS JOIN tot),
-y AS (SELECT doc_id, w, cw, tokens, CASE WHEN i = 1 THEN ' ' ELSE p END AS p, CASE WHEN i = 1 THEN docs ELSE cp END AS cp FROM x),
-o AS (SELECT doc_id, p, w, count(*) AS own FROM y WHERE p IS NOT NULL AND w IS NOT NULL GROUP BY doc_id, p, w),
+tot AS (SELECT (SELECT count(*) FROM t) + (SELECT count(*) FROM c) AS all_words, (SELECT count(DISTINCT doc_id) FROM t) AS docs),
+x AS (SELECT t.doc_id, t.i, t.w, c.n AS cw, lag(t.w) OVER (PARTITION BY t.doc_id ORDER BY t.i) AS p,
+             lag(c.n) OVER (PARTITION BY t.doc_id ORDER BY t.i) AS cp, tot.all_words, tot.docs
+      FROM t JOIN c ON c.w = t.w CROSS JOIN tot),
+y AS (SELECT doc_id, w, cw, all_words, CASE WHEN i = 1 THEN ' ' ELSE p END AS p, CASE WHEN i = 1 THEN docs ELSE cp END AS cp FROM x),
+o AS (SELECT doc_id, p, w, count(*) AS own FROM y GROUP BY doc_id, p, w),
 b AS (SELECT *, sum(own) OVER (PARTITION BY p, w) - own AS others FROM o),
-s AS (SELECT y.doc_id, coalesce(b.others, 0) > 0 AS found,
-             CASE WHEN coalesce(b.others, 0) > 0 THEN CAST(round(1e6 * log10(b.others / y.cp)) AS BIGINT)
-                  ELSE CAST(round(1e6 * log10(0.4 * (y.cw + 1) / (y.tokens + 65536))) AS BIGINT) END AS e6
-      FROM y LEFT JOIN b ON b.doc_id = y.doc_id AND b.p = y.p AND b.w = y.w),
+s AS (SELECT y.doc_id, b.others > 0 AS found,
+             CASE WHEN b.others > 0 THEN CAST(round(1e6 * log10(b.others / y.cp)) AS BIGINT)
+                  ELSE CAST(round(1e6 * log10(0.4 * (y.cw + 1) / y.all_words)) AS BIGINT) END AS e6
+      FROM y JOIN b ON b.doc_id = y.doc_id AND b.p = y.p AND b.w = y.w),
 g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT found) AS n_backoff, sum(e6) AS e6 FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, CAST(coalesce(e6, 0) AS BIGINT) AS logprob_e6,
        CAST(e6 AS DOUBLE) / 1e6 / n_words AS mean_logprob

@@ -73,13 +73,10 @@ def test_digests(spark, bpe):
     assert row[0].decoded == "a b" and row[1].ids == [1, 2]
 
 
-def brute_lm(texts, vocab_size):
+def brute_lm(texts):
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
     count = Counter(w for ws in words for w in ws)
-    top = sorted(count.values(), reverse=True)
-    border = top[vocab_size] if len(top) > vocab_size else 0
-    vocab = {w: n for w, n in count.items() if n > border}
-    tokens, unk = sum(count.values()), sum(n for w, n in count.items() if w not in vocab)
+    every = sum(count.values()) + len(count)
     n_docs = sum(bool(ws) for ws in words)
     pairs = [Counter(zip(["<s>", *ws], ws)) for ws in words]
     total = Counter()
@@ -89,34 +86,43 @@ def brute_lm(texts, vocab_size):
     for i, (ws, p) in enumerate(zip(words, pairs)):
         e6 = back = 0
         for v, w in zip(["<s>", *ws], ws):
-            others = total[v, w] - p[v, w] if w in vocab and (v == "<s>" or v in vocab) else 0
+            others = total[v, w] - p[v, w]
             if others > 0:
-                e6 += round(1e6 * math.log10(others / (n_docs if v == "<s>" else vocab[v])))
+                e6 += round(1e6 * math.log10(others / (n_docs if v == "<s>" else count[v])))
             else:
-                e6 += round(1e6 * math.log10(0.4 * (vocab.get(w, unk) + 1) / (tokens + vocab_size + 2)))
+                e6 += round(1e6 * math.log10(0.4 * (count[w] + 1) / every))
                 back += 1
         out.append((i, len(ws), back, e6))
     return out
 
 
-@pytest.mark.parametrize("vocab_size,part_tokens,least", [(65_534, 3_000_000, 10 ** 9), (12, 50, 10 ** 9), (65_534, 40, 3)])
-def test_lm_scores_against_brute_force(spark, monkeypatch, vocab_size, part_tokens, least):
-    r = random.Random(vocab_size + part_tokens)
+def lm_rows(df):
+    return sorted((g.doc_id, g.n_words, g.n_backoff, g.logprob_e6) for g in df.collect())
+
+
+@pytest.mark.parametrize("hot_rows,words_sent", [(200_000, 1_000_000), (20, 1_000_000), (1, 0)])
+def test_lm_scores_against_brute_force(spark, monkeypatch, hot_rows, words_sent):
+    monkeypatch.setattr(backoff_lm, "BROADCAST_WORDS", words_sent)
+    r = random.Random(hot_rows)
     words = ["the", "cat", "Sat", "on", "mat", "é", "ÉÉ", "x1", "rare"] + [f"w{i}" for i in range(20)]
     texts = [" ".join(r.choice(words[:r.choice([5, 29])]) for _ in range(r.randint(0, 40))) for _ in range(60)]
-    texts += [None, "", " \n", "the cat", "the cat", "the " * 3000]
-    if least < 10 ** 9:
-        monkeypatch.setattr(backoff_lm, "math", type("M", (), {"ceil": lambda x: least if x < 100 else math.ceil(x)}))
-    got = score_documents(docs(spark, texts), vocab_size=vocab_size, part_tokens=part_tokens).collect()
-    assert sorted((g.doc_id, g.n_words, g.n_backoff, g.logprob_e6) for g in got) == brute_lm(texts, vocab_size)
-    assert all((g.mean_logprob is None) == (g.n_words == 0) for g in got)
+    texts += [None, "", " \n", "the cat", "the cat", "the " * 3000, "only here", "never again " * 500]
+    df = score_documents(docs(spark, texts), hot_rows=hot_rows)
+    assert lm_rows(df) == brute_lm(texts)
+    assert all((g.mean_logprob is None) == (g.n_words == 0) for g in df.collect())
+
+
+def test_lm_counts_words_beyond_any_vocabulary(spark):
+    # 70,000 words, each in two documents: bigrams of words of equal counts are found, none is unknown
+    texts = [" ".join(f"u{k}" for k in range(i, i + 700)) for i in range(0, 70_000, 700)] * 2
+    got = lm_rows(score_documents(docs(spark, texts), hot_rows=1000))
+    assert got == brute_lm(texts) and all(g[2] == 0 for g in got)
 
 
-def test_lm_hot_bigrams_null_ids_and_empty(spark):
+def test_lm_repeats_null_ids_and_empty(spark):
     texts = ["of the of the"] * 400 + ["the of"]
     df = docs(spark, texts)
-    got = sorted((g.doc_id, g.n_words, g.n_backoff, g.logprob_e6) for g in score_documents(df).collect())
-    assert got == brute_lm(texts, backoff_lm.VOCAB)           # hot: in more than 20 sampled documents
+    assert lm_rows(score_documents(df)) == lm_rows(score_documents(df, hot_rows=1)) == brute_lm(texts)
     null = spark.createDataFrame([(None, "a b", "", ""), (None, "a b", "", "")], DOC)
     assert [g.doc_id for g in score_documents(null).collect()] == [None, None]
     assert score_documents(df.limit(0)).count() == 0
