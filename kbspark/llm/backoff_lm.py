@@ -18,9 +18,9 @@ document: words add their backed-off score, found bigrams the difference to it.
 no other document has needs no row of the table.
 
 Scale: both tables grow with the corpus and stay partitioned by hash. A document sends one row per distinct
-n-gram, however often it repeats it. N-grams of more than one in ``hot_rows`` of all rows (so fewer than
-``hot_rows`` n-grams) are broadcast and scored where the documents are read; only the others enter the
-shuffle, and none of these is hot. Bigrams meet the counts of their words by a broadcast of
+n-gram, however often it repeats it. N-grams that have more than one in ``hot_rows`` of these rows (so fewer than
+``hot_rows`` n-grams, 32 bytes each) are broadcast and scored where the documents are read; only the others enter the
+shuffle, and none of these is hot. If the whole score table is that small, nothing does. Bigrams meet the counts of their words by a broadcast of
 at most ``BROADCAST_WORDS`` counted words, else by a shuffle that AQE can split. The driver sees totals and the hot rows.
 
 Defined cases: null, empty and blank texts have no words, score 0 and a null mean; repeated rows are
@@ -40,7 +40,7 @@ from kbspark.llm.words import seeds, slices, word_hashes
 from kbspark.session import scratch_dir
 
 ALPHA = 0.4
-HOT_ROWS = 200_000
+HOT_ROWS = 1_000_000
 BROADCAST_WORDS = 1_000_000
 START = seeds(1, 9)[0]
 _KEY = "v ^ (shiftleft(w, 1) | shiftrightunsigned(w, 63))"
@@ -77,10 +77,11 @@ def _own(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_table(docs: DataFrame) -> DataFrame:
-    """(v, w, n, docs): occurrences and documents of every word (v null) and bigram; the start symbol as a word."""
+    """(v, w, n, docs): occurrences and documents of every word (v null; the start symbol too) and of the bigrams of two
+    or more documents. All bigrams are counted; one that a single document has is found by none."""
     def count(batches):
         for batch in batches:
-            for b in slices(batch, 1, 16 << 20):
+            for b in slices(batch, 1):
                 v, w, off = _grams(b.column(1))
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
                 for order, key in ((1, w), (2, _key(v, w))):
@@ -94,11 +95,12 @@ def _count_table(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch({"v": pa.array([None], pa.int64()), "w": pa.array([START]).view(pa.int64()),
                                        "n": pa.array([int((np.diff(off) > 0).sum())], pa.int64()), "docs": pa.array([0], pa.int64())})
 
-    return docs.mapInArrow(count, "v long, w long, n long, docs long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = docs.mapInArrow(count, "v long, w long, n long, docs long").groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counted.filter("v is null or docs > 1")
 
 
 def _score_table(counts: DataFrame) -> DataFrame:
-    """(key, n, before, back, docs): of words n and before are null; bigrams of one document are left out."""
+    """(key, n, before, back, docs): of words n and before are null."""
     start = int(START.view(np.int64))
     words = counts.filter("v is null")
     total = words.filter(F.col("w") != start).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
@@ -107,7 +109,7 @@ def _score_table(counts: DataFrame) -> DataFrame:
     known = small(words, BROADCAST_WORDS)
     one = words.filter(F.col("w") != start).select(F.col("w").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("before"),
                                                    "back", "docs")
-    two = (counts.filter("v is not null and docs > 1")
+    two = (counts.filter("v is not null")
            .join(known.select(F.col("w").alias("v"), F.col("n").alias("before")), "v").join(known.select("w", "back"), "w")
            .select(F.expr(_KEY).alias("key"), "n", "before", "back", "docs"))
     return one.unionByName(two)
@@ -132,9 +134,9 @@ def score_documents(docs: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "do
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     counts = stored(_count_table(d), "counts")
-    limit = (counts.agg(F.sum("docs")).first()[0] or 0) // hot_rows
+    limit = (counts.agg(F.sum("docs")).first()[0] or 0) // hot_rows        # fewer than hot_rows n-grams have more documents
     table = stored(_score_table(counts), "scores")
-    hot = table.filter(F.col("docs") > limit).fillna(0, ["n", "before"]).orderBy("key").toArrow()          # fewer than hot_rows
+    hot = table.filter(F.col("docs") > limit).fillna(0, ["n", "before"]).orderBy("key").toArrow()
     hot = spark.sparkContext.broadcast([hot.column(c).to_numpy() for c in ("key", "n", "before", "back")])
 
     def explode(batches):
@@ -155,8 +157,8 @@ def score_documents(docs: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "do
                     s, f = _hot_scores(*(x[near[is_hot]] for x in values), own[is_hot])
                     np.add.at(e6, of[is_hot], s)
                     np.add.at(found, of[is_hot], f)
-                    cold = ~is_hot
-                    yield _rows(number + of[cold], key[cold], own[cold])
+                    if limit:                                     # else the others are bigrams of one document
+                        yield _rows(number + of[~is_hot], key[~is_hot], own[~is_hot])
                 numbers = number + np.arange(len(size))
                 yield _rows(numbers, seeds(1)[0].view(np.int64) ^ numbers << 20, size, b.column(0), e6, found)      # keys that spread the documents
                 number += len(size)
