@@ -20,7 +20,9 @@ no other document has needs no row of the table.
 Scale: both tables grow with the corpus and stay partitioned by hash. A document sends one row per distinct
 n-gram, however often it repeats it. N-grams that have more than one in ``hot_rows`` of these rows (so fewer than
 ``hot_rows`` n-grams, 32 bytes each) are broadcast and scored where the documents are read; only the others enter the
-shuffle, and none of these is hot. If the whole score table is that small, nothing does. Bigrams meet the counts of their words by a broadcast of
+shuffle, and none of these is hot. Rows of bigrams that no other document
+has are left out by a Bloom filter while the other keys are at most ``FILTER_KEYS`` (it has 16 MB at most), and by the
+join beyond that. Bigrams meet the counts of their words by a broadcast of
 at most ``BROADCAST_WORDS`` counted words, else by a shuffle that AQE can split. The driver sees totals and the hot rows.
 
 Defined cases: null, empty and blank texts have no words, score 0 and a null mean; repeated rows are
@@ -42,6 +44,8 @@ from kbspark.session import scratch_dir
 ALPHA = 0.4
 HOT_ROWS = 1_000_000
 BROADCAST_WORDS = 1_000_000
+#: Keys of the other n-grams are broadcast as a filter (two of 16 bits a key) up to this many; beyond, all rows are sent.
+FILTER_KEYS = 4_000_000
 START = seeds(1, 9)[0]
 _KEY = "v ^ (shiftleft(w, 1) | shiftrightunsigned(w, 63))"
 
@@ -123,6 +127,30 @@ def _hot_scores(n, before, back, own) -> tuple[np.ndarray, np.ndarray]:
     return e6, np.where(found, own, 0)
 
 
+def _filter(cold: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the keys, if there are at most ``FILTER_KEYS``."""
+    n = cold.count()
+    if n > FILTER_KEYS:
+        return None
+    bits = np.zeros(1 << max(10, (16 * n).bit_length()), bool)
+    for at in _bits(cold.select("key").toArrow().column("key").to_numpy(), len(bits)):
+        bits[at] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _bits(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    key = key.view(np.uint64)
+    return (key & np.uint64(size - 1)).astype(np.int64), (key >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _maybe(bits: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+    """Whether the keys may be in the filter."""
+    if bits is None:
+        return np.ones(len(key), bool)
+    a, b = _bits(key, 8 * len(bits))
+    return (bits[a >> 3] >> (a & 7).astype(np.uint8) & bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def score_documents(docs: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_backoff, logprob_e6, mean_logprob) of every whole text, by counts over all texts."""
     spark = docs.sparkSession
@@ -138,6 +166,8 @@ def score_documents(docs: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "do
     table = stored(_score_table(counts), "scores")
     hot = table.filter(F.col("docs") > limit).fillna(0, ["n", "before"]).orderBy("key").toArrow()
     hot = spark.sparkContext.broadcast([hot.column(c).to_numpy() for c in ("key", "n", "before", "back")])
+    cold = table.filter(F.col("docs") <= limit).select("key", "n", "before", "back")
+    known = spark.sparkContext.broadcast(_filter(cold))
 
     def explode(batches):
         from pyspark import TaskContext
@@ -157,14 +187,13 @@ def score_documents(docs: DataFrame, hot_rows: int = HOT_ROWS, id_col: str = "do
                     s, f = _hot_scores(*(x[near[is_hot]] for x in values), own[is_hot])
                     np.add.at(e6, of[is_hot], s)
                     np.add.at(found, of[is_hot], f)
-                    if limit:                                     # else the others are bigrams of one document
-                        yield _rows(number + of[~is_hot], key[~is_hot], own[~is_hot])
+                    sent = ~is_hot & _maybe(known.value, key)         # the others are bigrams of one document
+                    yield _rows(number + of[sent], key[sent], own[sent])
                 numbers = number + np.arange(len(size))
                 yield _rows(numbers, seeds(1)[0].view(np.int64) ^ numbers << 20, size, b.column(0), e6, found)      # keys that spread the documents
                 number += len(size)
 
     rows = d.mapInArrow(explode, "number long, key long, own long, head boolean, doc_id long, e6 long, found long")
-    cold = table.filter(F.col("docs") <= limit).select("key", "n", "before", "back")
     others = F.col("n") - F.col("own")
     gain = F.rint(1e6 * F.log10(others / F.col("before"))).cast("long") - F.col("back")
     is_found = F.col("n").isNotNull() & (others > 0)

@@ -100,9 +100,10 @@ def lm_rows(df):
     return sorted((g.doc_id, g.n_words, g.n_backoff, g.logprob_e6) for g in df.collect())
 
 
-@pytest.mark.parametrize("hot_rows,words_sent", [(200_000, 1_000_000), (20, 1_000_000), (1, 0)])
-def test_lm_scores_against_brute_force(spark, monkeypatch, hot_rows, words_sent):
-    monkeypatch.setattr(backoff_lm, "BROADCAST_WORDS", words_sent)
+@pytest.mark.parametrize("hot_rows,bound", [(200_000, 1_000_000), (20, 1_000_000), (1, 0)])
+def test_lm_scores_against_brute_force(spark, monkeypatch, hot_rows, bound):
+    monkeypatch.setattr(backoff_lm, "BROADCAST_WORDS", bound)
+    monkeypatch.setattr(backoff_lm, "FILTER_KEYS", bound)
     r = random.Random(hot_rows)
     words = ["the", "cat", "Sat", "on", "mat", "é", "ÉÉ", "x1", "rare"] + [f"w{i}" for i in range(20)]
     texts = [" ".join(r.choice(words[:r.choice([5, 29])]) for _ in range(r.randint(0, 40))) for _ in range(60)]
