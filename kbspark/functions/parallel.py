@@ -9,6 +9,9 @@ adds no shuffle where the scan already gives enough parallelism.
 
 from __future__ import annotations
 
+from typing import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +35,16 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     if key is not None:
         return df.repartition(n, F.xxhash64(F.col(key)))
     return df.repartition(n)
+
+
+#: Rows that ``per_row`` holds as Python objects at once.
+ROWS_AT_ONCE = 256
+
+
+def per_row(fn: Callable, column: pa.Array, names: Sequence[str]) -> pa.StructArray:
+    """A struct of strings, ``fn(value)`` for each value: an Arrow batch becomes Python objects a few rows at a time."""
+    parts = []
+    for lo in range(0, len(column), ROWS_AT_ONCE):
+        rows = [fn(v) for v in column.slice(lo, ROWS_AT_ONCE).to_pylist()]
+        parts.append(pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names))
+    return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.string())] * len(names), names)
