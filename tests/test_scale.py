@@ -16,6 +16,64 @@ from kbspark.operators.retrieve import top_k_batch
 from test_grid import brute, clusters, table, triples
 
 
+@pytest.mark.parametrize("floor", [None, 950_000_000])
+def test_running_top_k_equals_sorting_and_holds_little(floor):
+    rng = np.random.default_rng(5)
+    d, q = rng.normal(size=(9000, 12)), rng.normal(size=(300, 12))
+    d[::3] = d[0]                                  # a third of the rows is one vector
+    q[:100] = d[0]
+    d, q = (x / np.linalg.norm(x, axis=1)[:, None] for x in (d, q))
+    best, most = G.TopK(q, 5, floor), 0
+    for lo in range(0, len(d), 1500):
+        best.add(d[lo:lo + 1500], pa.array(np.arange(lo, lo + 1500)))
+        most = max(most, best.held)
+    t = best.best()
+    keys = G.keys_of(q @ d.T).astype(np.int64)
+    want = []
+    for i in range(len(q)):
+        order = [int(j) for j in np.lexsort((np.arange(len(d)), -keys[i]))[:5] if floor is None or keys[i, j] >= floor]
+        want += [(i, j, int(keys[i, j])) for j in order]
+    got = list(zip(t.column("q").to_pylist(), t.column("doc_id").to_pylist(), t.column("sim_key").to_pylist()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert max(abs(g[2] - w[2]) for g, w in zip(got, want)) <= 1
+    assert most < 2 * (1 << 16)                    # of 2.7 million pairs
+
+
+def test_running_top_k_puts_ids_together(monkeypatch):
+    d = np.ones((4000, 3)) / np.sqrt(3)
+    d[:, 0] += np.arange(4000) * 1e-13             # different vectors with one key: all are ties
+    best = G.TopK(d[:50], 4)
+    for lo in range(3000, -1, -1000):
+        best.add(d[lo:lo + 1000], pa.array([f"{i:05d}" for i in range(lo, lo + 1000)]))
+        best._prune()
+    assert best.held <= 2 * 4 * 50 and best.best().column("doc_id").to_pylist() == [f"{i:05d}" for i in range(4)] * 50
+
+
+def test_many_best_rows_go_to_the_grid(spark, monkeypatch):
+    v = clusters(300)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(R, "BROADCAST_RATIO", 0)
+
+    def refuse(*a):
+        raise AssertionError("the queries were broadcast")
+    monkeypatch.setattr(R, "_query_chunk", refuse)
+    assert triples(top_k_batch(table(spark, v[:60], "query_id"), table(spark, v), k=5)) == brute(v[:60], v, 5)
+
+
+def test_whole_blocks_meet_where_bounds_leave_out_little(spark, monkeypatch):
+    v = np.random.default_rng(1).normal(size=(700, 24))        # no clusters: nearly every cell can matter
+    asked = []
+    meet = G._meet
+    monkeypatch.setattr(G, "_meet", lambda d, q, sizes, *a: asked.append(sizes) or meet(d, q, sizes, *a))
+    monkeypatch.setattr(R, "SMALL_PAIRS", 0)
+    got = top_k_batch(table(spark, v[:200], "query_id"), table(spark, v), k=5, strategy="grid")
+    assert triples(got) == brute(v[:200], v, 5) and len(asked[0]) > 1 and len(asked[1]) == 1
+
+
+def test_blocks_are_cut_for_all_tasks():
+    assert G._sizes({0: 100_000}, {0: 100_000}, 64, 12)[0][0] * G._sizes({0: 100_000}, {0: 100_000}, 64, 12)[0][1] >= 96
+
+
 def test_per_row_holds_few_values(monkeypatch):
     out = per_row(lambda v: (v and v.upper(), None if v else "empty"), pa.array(["a", None, "b"] * 400), ("text", "error"))
     assert out.to_pylist() == [{"text": "A", "error": None}, {"text": None, "error": "empty"}, {"text": "B", "error": None}] * 400
