@@ -9,7 +9,8 @@ distance ``err`` between the unit vector and what the code stands for. For a uni
 2. The rows that are left are looked up by id in their buckets and scored exactly; rank key and ties as everywhere.
 
 Equal vectors share their bounds; of those, a task passes on the k smallest ids only, so a vector that is a third of all
-rows costs k candidates per task. A task holds a bounded multiple of k candidates per query and distinct vector.
+rows costs k candidates per task. A task holds a bounded multiple of k candidates per query and distinct vector, of at most
+``QUERY_ROWS`` queries at once.
 
 The table is a ``BucketStore``: upserts and deletes rewrite the buckets of their ids, several writers and replays
 are safe. Rows with a NULL id or without a usable vector (NULL, zero, not finite) are not in the index; an upsert of such a vector takes
@@ -18,6 +19,8 @@ the old one out; a vector of another dimension is an error.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,13 +31,15 @@ from pyspark.sql import types as T
 from kbspark.functions.vectors import SIM_SCALE, key_to_sim, threshold_key
 from kbspark.operators.grid import keys_of, unit_rows
 from kbspark.operators.retrieve import DEFAULT_MAX_BROADCAST_BYTES, _ranked, top_k_batch
-from kbspark.session import ensure_checkpoint_dir
+from kbspark.session import ensure_checkpoint_dir, scratch_dir
 from kbspark.sources.buckets import BucketStore
 
 #: What rounding may add to a score or take from it, and to the code's error (both far above float64's).
 _SLACK = 1e-8
 #: Ids that are pushed down to the scan of the second phase as literals.
 MAX_LITERALS = 1000
+#: Queries whose candidates a task holds at once; more are worked through in as many parts.
+QUERY_ROWS = 8192
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
                        T.StructField("code", T.BinaryType()), T.StructField("step", T.DoubleType()),
@@ -103,9 +108,24 @@ class CodedIndex:
               query_vec: str = "embedding", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
         """T2 / T3 for a query table, as ``top_k_batch``. Query vectors up to ``max_broadcast_bytes`` (measured)
         are broadcast; a larger table meets the vectors in the shuffled grid of ``top_k_batch``."""
-        s = self.store.state()
-        if queries.count() * self.dim * 8 > max_broadcast_bytes:
+        s, n = self.store.state(), queries.count()
+        if n * self.dim * 8 > max_broadcast_bytes:
             return top_k_batch(queries, self.store.read(state=s).select("doc_id", "embedding"), k, threshold, query_id, query_vec, strategy="grid")
+        queries = queries.select(query_id, query_vec)
+        if n <= QUERY_ROWS:
+            return _ranked(self._exact(queries, k, threshold, query_id, query_vec, s), k, query_id, "doc_id")
+        # 25% headroom: hash parts are only approximately equal. The parts follow each other; each leaves its scores.
+        n_parts, base = math.ceil(n / (0.75 * QUERY_ROWS)), scratch_dir(self.spark, "coded")
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_parts))
+        queries.withColumn("_part", part).write.parquet(f"{base}/queries")
+        dealt = self.spark.read.parquet(f"{base}/queries")
+        for p in range(n_parts):
+            found = self._exact(dealt.filter(F.col("_part") == p).drop("_part"), k, threshold, query_id, query_vec, s)
+            found.write.parquet(f"{base}/scores/{p}")
+        return _ranked(self.spark.read.schema(found.schema).parquet(f"{base}/scores/*"), k, query_id, "doc_id")
+
+    def _exact(self, queries: DataFrame, k: int, threshold: float | None, query_id: str, query_vec: str, s) -> DataFrame:
+        """(query_id, doc_id, sim_key) of the candidates, scored exactly; the queries are broadcast."""
         table = queries.select(query_id, query_vec).toArrow()
         unit, ok = unit_rows(table.column(1), self.dim)
         ids = table.column(0).filter(pa.array(ok)).combine_chunks()
@@ -134,7 +154,7 @@ class CodedIndex:
         exact = rows.join(pairs, "doc_id").select("q", "doc_id", "embedding").mapInArrow(score, schema)
         if threshold is not None:
             exact = exact.filter(F.col("sim_key") >= threshold_key(threshold))
-        return _ranked(exact, k, query_id, "doc_id")
+        return exact
 
     def candidates(self, queries, k: int, least: float = -np.inf, state=None) -> DataFrame:
         """(q, doc_id): the rows that can be in the top k of query ``q`` (a row of the broadcast unit

@@ -74,6 +74,18 @@ def test_blocks_are_cut_for_all_tasks():
     assert G._sizes({0: 100_000}, {0: 100_000}, 64, 12)[0][0] * G._sizes({0: 100_000}, {0: 100_000}, 64, 12)[0][1] >= 96
 
 
+def test_two_phases_take_queries_in_parts(spark, tmp_root, monkeypatch):
+    v = clusters(300, hot=90, dim=16)
+    idx = C.CodedIndex(spark, tmp_root, 16, n_buckets=4)
+    idx.build(table(spark, v, kind="string"))
+    monkeypatch.setattr(C, "QUERY_ROWS", 40)
+    seen, search = [], idx.candidates
+    monkeypatch.setattr(idx, "candidates", lambda q, *a: seen.append(len(q.value)) or search(q, *a))
+    got = triples(idx.top_k(table(spark, v[50:150], "query_id"), k=4))
+    assert got == [(q, f"{d:04d}", r) for q, d, r in brute(v[50:150], v, 4)]
+    assert sum(seen) == 100 and max(seen) < 60
+
+
 def test_per_row_holds_few_values(monkeypatch):
     out = per_row(lambda v: (v and v.upper(), None if v else "empty"), pa.array(["a", None, "b"] * 400), ("text", "error"))
     assert out.to_pylist() == [{"text": "A", "error": None}, {"text": None, "error": "empty"}, {"text": "B", "error": None}] * 400
