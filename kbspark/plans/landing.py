@@ -8,9 +8,12 @@ holds the items of one source within one block of ``FEED_BLOCK`` doc ids.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.functions.parallel import estimated_bytes
 from kbspark.functions.text import xml_escape
 from kbspark.plans import tables as TB
 
@@ -183,3 +186,17 @@ def landed_for_registry(spark, sf_dir, reg: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: Input bytes whose bodies one landed file holds (bodies take up to about twice as much).
+LANDED_BYTES = 32 << 20
+
+
+def land(spark, sf_dir, landed: DataFrame, path: str, batches: int, least: int) -> DataFrame:
+    """The bodies landed in files, ``least`` or as many as the tables' sizes ask for, as a stream of ``batches``
+    micro-batches. The pages of one document land in one file."""
+    tables = ("events", "pages", "conversations", "documents")
+    size = sum(estimated_bytes(TB.read(spark, sf_dir, t)) * (2 if t in ("conversations", "documents") else 1) for t in tables)
+    landed.repartition(max(least, math.ceil(size / LANDED_BYTES)), "source_id", "url").write.parquet(path)
+    files = len(spark.read.schema(landed.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(path)

@@ -58,9 +58,7 @@ def q_stream_sources(spark, sf_dir):
     reg_store = SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None)
     reg = L.registry(spark, sf_dir)
     landed = L.landed_for_registry(spark, sf_dir, reg)
-    # The pages of one document land in one file.
-    landed.repartition(4, "source_id", "url").write.parquet(f"{root}/landed")
-    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
+    stream = L.land(spark, sf_dir, landed, f"{root}/landed", batches=2, least=4)
     stream_sources(spark, stream, reg, store, reg_store, f"{root}/checkpoint", embedder=_embedder(), now=TB.now_lit())
     return ingested(store.read())
 
@@ -76,7 +74,7 @@ def q_stream_two_writers(spark, sf_dir):
     root = scratch_dir(spark, "two-writers")
     reg = L.registry(spark, sf_dir)
     landed = L.landed_for_registry(spark, sf_dir, reg)
-    landed.repartition(2, "source_id", "url").write.parquet(f"{root}/landed")
+    stream = L.land(spark, sf_dir, landed, f"{root}/landed", batches=1, least=2)
     failed: list[Exception] = []
 
     def updates():
@@ -84,7 +82,6 @@ def q_stream_two_writers(spark, sf_dir):
         stream_updates(spark, feed, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), f"{root}/updates", embedder=_embedder(), now=TB.now_lit())
 
     def sources():
-        stream = spark.readStream.schema(landed.schema).parquet(f"{root}/landed")
         stream_sources(spark, stream, reg, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None),
                        f"{root}/sources", embedder=_embedder(), now=TB.now_lit())
 
@@ -129,8 +126,7 @@ def q_stream_accounting(spark, sf_dir):
     """A6 in R2: the reports of all micro-batches add up to the report of one run, failures included."""
     root = scratch_dir(spark, "accounting")
     reg, landed, embedder = failing_run(spark, sf_dir)
-    landed.repartition(2, "source_id", "url").write.parquet(f"{root}/landed")
-    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    stream = L.land(spark, sf_dir, landed, f"{root}/landed", batches=2, least=2)
     stream_sources(spark, stream, reg, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None),
                    f"{root}/checkpoint", embedder=embedder, now=TB.now_lit(), accounting=f"{root}/accounting")
     reports, batches = read_accounting(spark, f"{root}/accounting"), F.countDistinct("batch")

@@ -86,6 +86,22 @@ def test_two_phases_take_queries_in_parts(spark, tmp_root, monkeypatch):
     assert sum(seen) == 100 and max(seen) < 60
 
 
+def test_landed_files_grow_with_the_input_and_micro_batches_do_not(spark, tmp_root, monkeypatch):
+    import kbspark.plans.landing as L
+    schema = "key long, props string"
+    for t in ("events", "pages", "conversations", "documents"):
+        spark.createDataFrame([(i, "x" * 50) for i in range(200)], schema).write.parquet(f"{tmp_root}/{t}.parquet")
+    rows = [(f"s{i % 7}", f"u{i % 90}", "body", None, i) for i in range(500)]
+    landed = spark.createDataFrame(rows, "source_id string, url string, body string, fetched_at timestamp, page_no long")
+    monkeypatch.setattr(L, "LANDED_BYTES", 1000)
+    s = L.land(spark, tmp_root, landed, f"{tmp_root}/landed", batches=2, least=2)
+    assert len(glob.glob(f"{tmp_root}/landed/*.parquet")) > 4
+    done = []
+    from kbspark.streaming.stream import run_stream
+    run_stream(s, lambda b, i: done.append({(r.source_id, r.url) for r in b.collect()}), f"{tmp_root}/checkpoint")
+    assert len(done) == 2 and not done[0] & done[1] and len(done[0] | done[1]) == len({r[:2] for r in rows})
+
+
 def test_per_row_holds_few_values(monkeypatch):
     out = per_row(lambda v: (v and v.upper(), None if v else "empty"), pa.array(["a", None, "b"] * 400), ("text", "error"))
     assert out.to_pylist() == [{"text": "A", "error": None}, {"text": None, "error": "empty"}, {"text": "B", "error": None}] * 400
