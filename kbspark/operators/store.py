@@ -78,7 +78,7 @@ def latest_rows(batch: DataFrame, seq: str = "seq", dim: int | None = None) -> D
     the size check, the merge and the new-key ids.
 
     The winners are picked over (key, sequence, row) alone; contents and vectors are not aggregated, and they are
-    copied once more only if a key occurs twice. Ties of the sequence go by a hash of the values, so that
+    copied once more only if more than ``KEY_BROADCAST_ROWS`` keys occur twice. Ties of the sequence go by a hash of the values, so that
     the winner does not depend on partitioning."""
     spark, base = batch.sparkSession, scratch_dir(batch.sparkSession, "batch")
 
@@ -90,8 +90,13 @@ def latest_rows(batch: DataFrame, seq: str = "seq", dim: int | None = None) -> D
                   .select(*cols, F.col(seq).alias("_seq"), F.xxhash64("content", "embedding").alias("_hash"), F.monotonically_increasing_id().alias("_row")), "rows")
     best = stored(rows.groupBy("doc_id").agg(F.max_by("_row", F.struct("_seq", "_hash")).alias("_row"), F.min("_seq").alias("_first_seq"),
                                              F.count(F.lit(1)).alias("n")), "winners")
-    if best.filter("n > 1").isEmpty():
+    again = best.filter("n > 1").select("doc_id", F.col("_row").alias("_last"), "_first_seq")
+    n = again.count()
+    if n == 0:
         return rows.select(*cols, F.col("_seq").alias("_first_seq"))
+    if n <= KEY_BROADCAST_ROWS:                                # the contents are neither shuffled nor copied
+        kept = rows.join(F.broadcast(again), "doc_id", "left").filter("_last is null or _last = _row")
+        return kept.select(*cols, F.coalesce("_first_seq", "_seq").alias("_first_seq"))
     return stored(rows.join(best.select("_row", "_first_seq"), "_row").select(*cols, "_first_seq"), "latest")
 
 
@@ -105,36 +110,35 @@ def merge_documents(base: DataFrame, latest: DataFrame, now: Column | None = Non
     """The base after the rows of ``latest_rows``; new keys are numbered from ``start`` (default: one
     past the base's largest id, by a scan of that column)."""
     now = now if now is not None else F.current_timestamp()
+    if start is None:
+        start = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1
     o = base.select(*KB_COLUMNS, F.lit(True).alias("_old")).alias("o")
     small = _batch_bytes(latest) <= max_broadcast_bytes
-    n = (F.broadcast(latest) if small else latest).alias("n")
-    how = "left_outer" if small else "full_outer"
-    j = o.join(n, F.col("o.doc_id") == F.col("n.doc_id"), how)
-    hit = F.col("n.doc_id").isNotNull()
+    # Keys already present: a doc_id-only (column-pruned) scan of the base.
+    matched = base.select("doc_id")
+    if small:
+        matched = matched.join(F.broadcast(latest.select("doc_id")), "doc_id")
+    new = latest.join(matched, "doc_id", "left_anti")
+    # Ids follow arrival: only (key, sequence) is sorted, not the contents.
+    ids = dense_index(new.select("doc_id", "_first_seq"), ["_first_seq", "doc_id"], out="id", start=int(start)).select("doc_id", "id")
+    # A large batch gets its new ids on the way into the merge, so that its contents are shuffled once.
+    numbered = latest.withColumn("id", F.lit(None).cast("long")) if small else latest.join(ids, "doc_id", "left")
+    n = (F.broadcast(numbered) if small else numbered).alias("n")
+    j = o.join(n, F.col("o.doc_id") == F.col("n.doc_id"), "left_outer" if small else "full_outer")
+    hit, old = F.col("n.doc_id").isNotNull(), F.col("o._old")
     merged = j.select(
-        F.col("o.id").alias("id"),
+        # An existing row keeps its id and its created_at (even NULL); only an insert is numbered and stamped now.
+        F.when(old, F.col("o.id")).otherwise(F.col("n.id")).alias("id"),
         F.coalesce(F.col("o.doc_id"), F.col("n.doc_id")).alias("doc_id"),
         F.when(hit, F.col("n.content")).otherwise(F.col("o.content")).alias("content"),
         F.when(hit, F.col("n.embedding")).otherwise(F.col("o.embedding")).alias("embedding"),
-        # An existing row keeps its created_at (even NULL); only an insert stamps now.
-        F.when(F.col("o._old"), F.col("o.created_at")).otherwise(now).alias("created_at"),
+        F.when(old, F.col("o.created_at")).otherwise(now).alias("created_at"),
         F.when(hit, now).otherwise(F.col("o.updated_at")).alias("updated_at"),
-        F.col("n._first_seq").alias("_first_seq"), F.col("o._old").alias("_old"),
-    )
-    old = merged.filter(F.col("_old")).drop("_first_seq", "_old")
-    if small:
-        # Keys already present: a doc_id-only (column-pruned) scan of the base.
-        matched = base.select("doc_id").join(F.broadcast(latest.select("doc_id")), "doc_id")
-        new = (latest.join(matched, "doc_id", "left_anti")
-               .withColumn("created_at", now).withColumn("updated_at", now))
-    else:
-        new = merged.filter(F.col("_old").isNull()).drop("id", "_old")
-    if start is None:
-        start = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1
-    # Ids follow arrival: only (key, sequence) is sorted, not the contents.
-    ids = dense_index(new.select("doc_id", "_first_seq"), ["_first_seq", "doc_id"], out="id", start=int(start))
-    new = new.drop("_first_seq").join(ids.select("doc_id", "id"), "doc_id")
-    return old.unionByName(new.select(*KB_COLUMNS))
+    ).select(*KB_COLUMNS)
+    if not small:
+        return merged
+    added = new.drop("_first_seq").join(ids, "doc_id").withColumn("created_at", now).withColumn("updated_at", now)
+    return merged.unionByName(added.select(*KB_COLUMNS))
 
 
 # Key sets up to this many rows are broadcast, so the large side streams without a shuffle.

@@ -102,6 +102,18 @@ def test_landed_files_grow_with_the_input_and_micro_batches_do_not(spark, tmp_ro
     assert len(done) == 2 and not done[0] & done[1] and len(done[0] | done[1]) == len({r[:2] for r in rows})
 
 
+def test_repeated_keys_of_a_batch_are_not_copied(spark, monkeypatch):
+    copies = []
+    monkeypatch.setattr(ST, "scratch_dir", lambda s, name, f=ST.scratch_dir: copies.append(f(s, name)) or copies[-1])
+    schema = "doc_id string, content string, embedding array<float>, seq long"
+    batch = spark.createDataFrame([(f"k{i % 30}", f"v{i}", [float(i)], i) for i in range(50)], schema)
+    got = {r.doc_id: (r.content, r._first_seq) for r in ST.latest_rows(batch).collect()}
+    assert got == {f"k{i}": (f"v{i + 30}" if i < 20 else f"v{i}", i) for i in range(30)}
+    assert not glob.glob(f"{copies[0]}/latest")
+    monkeypatch.setattr(ST, "KEY_BROADCAST_ROWS", 0)
+    assert {r.doc_id: (r.content, r._first_seq) for r in ST.latest_rows(batch).collect()} == got
+
+
 def test_per_row_holds_few_values(monkeypatch):
     out = per_row(lambda v: (v and v.upper(), None if v else "empty"), pa.array(["a", None, "b"] * 400), ("text", "error"))
     assert out.to_pylist() == [{"text": "A", "error": None}, {"text": None, "error": "empty"}, {"text": "B", "error": None}] * 400
