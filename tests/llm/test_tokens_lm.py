@@ -129,6 +129,31 @@ def test_lm_repeats_null_ids_and_empty(spark):
     assert score_documents(df.limit(0)).count() == 0
 
 
+def test_lm_parts_share_out_the_ngrams_and_change_no_score(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 2000}" for _ in range(r.randint(0, 60))) for _ in range(300)]
+    texts += texts[:50] + [None, "", "the cat", "the cat", "only here"]
+    df = docs(spark, texts)
+    whole = sorted(map(tuple, backoff_lm._count_table(df).collect()), key=str)
+    for parts in (2, 3):
+        counts = [backoff_lm._count_table(df, i, parts).collect() for i in range(parts)]
+        assert sorted((tuple(g) for c in counts for g in c), key=str) == whole          # each n-gram in one part
+        assert max(map(len, counts)) < len(whole) * 1.3 / parts                         # none is much larger
+    want = brute_lm(texts)
+    for parts in (1, 2, 3):                                                             # hot n-grams in any part, others joined
+        assert lm_rows(score_documents(df.repartition(3), hot_rows=50, parts=parts)) == want
+
+
+def test_lm_parts_meet_by_id_and_text(spark):
+    # equal rows, null ids, one id with several texts and one text with several ids: the rows of the parts must not mix
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "d c b a e"), (None, "a b c d"), (None, "a b c d"), (2, "a b c d"), (None, None), (None, ""), (1, None), (3, "z")]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOC)
+    want = sorted(((i, *g[1:]) for (i, _), g in zip(rows, brute_lm([t for _, t in rows]))), key=str)
+    for parts in (1, 2, 5):
+        got = score_documents(df, parts=parts).collect()
+        assert sorted(((g.doc_id, g.n_words, g.n_backoff, g.logprob_e6) for g in got), key=str) == want
+
+
 def test_pack_holds_everything_and_downsizes():
     r = random.Random(2)
     for _ in range(30):
