@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.session import ensure_checkpoint_dir
+from kbspark.session import ensure_checkpoint_dir, scratch_dir, stored
 
 
 def _col(c) -> Column:
@@ -37,13 +37,14 @@ def source_id(source_type, ts, ordinal) -> Column:
 
 
 def _stamped(df: DataFrame) -> DataFrame:
-    """``df`` with (``_pid``, ``_li``) = partition and position, behind a reliable checkpoint, so
+    """``df`` with (``_pid``, ``_li``) = partition and position, stored (compressed, unlike a checkpoint), so
     that a retried task cannot renumber."""
-    ensure_checkpoint_dir(df.sparkSession)
     pid = F.spark_partition_id()
-    return (df.withColumn("_pid", pid)
-            .withColumn("_li", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
-            .checkpoint(eager=True))
+    numbered = df.withColumn("_pid", pid).withColumn("_li", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
+    if any("void" in t for _, t in numbered.dtypes):             # a type that files cannot hold
+        ensure_checkpoint_dir(df.sparkSession)
+        return numbered.checkpoint(eager=True)
+    return stored(numbered, scratch_dir(df.sparkSession, "numbered"))
 
 
 def _numbered(s: DataFrame, out: str, start: int) -> DataFrame:

@@ -74,11 +74,11 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
     partitioned by ``type`` in the shared scratch folder - so each processor
     reads only its own partition (partition pruning), never the whole landing.
     Every processor runs once into one outcome table (items and failures
-    together), which is checkpointed; the three results are filters of it. Bodies
+    together), which is stored; the three results are filters of it. Bodies
     carry an id of their own, so a source counts as fetched if any of its bodies
     did not fail, whatever their urls. The routed copy is deleted at the end.
     """
-    from kbspark.session import delete_folder, scratch_dir
+    from kbspark.session import delete_folder, scratch_dir, shuffles_deleted, stored as written
     spark = registry.sparkSession
     now = now if now is not None else F.current_timestamp()
     act = active_sources(registry).select(F.col("id").alias("source_id"), "type")
@@ -86,7 +86,8 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
     path = scratch or scratch_dir(spark, "dispatch")
     # Clustered by type and split by size, so that a task writes few files.
     routed = routed.withColumn("body_id", F.monotonically_increasing_id())
-    routed.hint("rebalance", "type").write.mode("errorifexists").partitionBy("type").parquet(path)
+    with shuffles_deleted(routed.sparkSession):
+        routed.hint("rebalance", "type").write.mode("errorifexists").option("compression", "zstd").partitionBy("type").parquet(path)
     stored = spark.read.schema(routed.schema).parquet(path)        # nothing may have been routed
     by = {t: stored.filter(F.col("type") == t).drop("type") for t in DISPATCHABLE_TYPES}
 
@@ -114,7 +115,7 @@ def dispatch(registry: DataFrame, landed: DataFrame, now: Column | None = None,
 
     outcome = (checked(api).unionByName(checked(web)).unionByName(items(pdf))
                .unionByName(checked(vid)).unionByName(checked(rss)).unionByName(fetched))
-    outcome = outcome.checkpoint(eager=True)
+    outcome = written(outcome, scratch_dir(spark, "outcome"))
     if scratch is None:
         delete_folder(spark, path)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.ids import dense_index
 from kbspark.schema import KB_COLUMNS, MAX_DOC_ID_CHARS
-from kbspark.session import scratch_dir
+from kbspark.session import scratch_dir, stored as written
 
 
 def dedupe_last(batch: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
@@ -80,11 +80,10 @@ def latest_rows(batch: DataFrame, seq: str = "seq", dim: int | None = None) -> D
     The winners are picked over (key, sequence, row) alone; contents and vectors are not aggregated, and they are
     copied once more only if more than ``KEY_BROADCAST_ROWS`` keys occur twice. Ties of the sequence go by a hash of the values, so that
     the winner does not depend on partitioning."""
-    spark, base = batch.sparkSession, scratch_dir(batch.sparkSession, "batch")
+    base = scratch_dir(batch.sparkSession, "batch")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+        return written(df, f"{base}/{name}")
     cols = ["doc_id", "content", "embedding"]
     rows = stored(batch.filter(batch_errors(seq, dim).isNull())
                   .select(*cols, F.col(seq).alias("_seq"), F.xxhash64("content", "embedding").alias("_hash"), F.monotonically_increasing_id().alias("_row")), "rows")
@@ -141,6 +140,14 @@ def merge_documents(base: DataFrame, latest: DataFrame, now: Column | None = Non
     return merged.unionByName(added.select(*KB_COLUMNS))
 
 
+def new_documents(latest: DataFrame, now: Column | None = None, start: int = 1) -> DataFrame:
+    """The rows of ``latest_rows`` as new rows of a table that has none of their keys, numbered from ``start`` in order
+    of arrival."""
+    now = now if now is not None else F.current_timestamp()
+    ids = dense_index(latest.select("doc_id", "_first_seq"), ["_first_seq", "doc_id"], out="id", start=int(start)).select("doc_id", "id")
+    return latest.join(ids, "doc_id").withColumns({"created_at": now, "updated_at": now}).select(*KB_COLUMNS)
+
+
 # Key sets up to this many rows are broadcast, so the large side streams without a shuffle.
 KEY_BROADCAST_ROWS = 5_000_000
 

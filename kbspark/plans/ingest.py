@@ -87,7 +87,8 @@ class SourceRun:
         ids never stands still: a run starts at ``now`` or one past ``past``, the latest nanosecond
         in the knowledge base, so runs and micro-batches never collide."""
         if self._numbered is None:
-            self._numbered = unique_index(self._content.withColumn("embedding", self._embedder.embed(F.col("text"))), out="seq")
+            named = self._content.select("source_id", "text")
+            self._numbered = unique_index(named.withColumn("embedding", self._embedder.embed(F.col("text"))), out="seq")
         start = unix_nanos(self.now)
         start = start if past is None else F.greatest(start, F.lit(past + 1))
         c = self._numbered.withColumn("doc_id", F.concat("source_id", F.lit("-"), (start + F.col("seq")).cast("string")))

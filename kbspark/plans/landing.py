@@ -9,12 +9,14 @@ holds the items of one source within one block of ``FEED_BLOCK`` doc ids.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.parallel import estimated_bytes
 from kbspark.functions.text import xml_escape
+from kbspark.session import shuffles_deleted
 from kbspark.plans import tables as TB
 
 FEED_BLOCK = 64
@@ -178,25 +180,38 @@ def body_assigner(reg: DataFrame):
 def landed_for_registry(spark, sf_dir, reg: DataFrame) -> DataFrame:
     """Landed bodies of every table, spread over the sources of the matching natural type:
     a row with key k goes to source i = (k mod n_t) * 6 + t."""
+    pages, single = landed_parts(spark, sf_dir, reg)
+    return single.unionByName(pages)
+
+
+def landed_parts(spark, sf_dir, reg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``landed_for_registry`` as (pages of documents, bodies that each stand for themselves)."""
     assign = body_assigner(reg)
-    parts = [assign(api_bodies(spark, sf_dir), 0), assign(page_bodies(spark, sf_dir), 1),
-             assign(pdf_pages(spark, sf_dir), 2), assign(video_bodies(spark, sf_dir), 3),
-             assign(feed_bodies(spark, sf_dir), 4), assign(text_bodies(spark, sf_dir), 5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    single = [assign(api_bodies(spark, sf_dir), 0), assign(page_bodies(spark, sf_dir), 1),
+              assign(video_bodies(spark, sf_dir), 3), assign(feed_bodies(spark, sf_dir), 4), assign(text_bodies(spark, sf_dir), 5)]
+    return assign(pdf_pages(spark, sf_dir), 2), reduce(DataFrame.unionByName, single)
 
 
 #: Input bytes whose bodies one landed file holds (bodies take up to about twice as much).
 LANDED_BYTES = 32 << 20
+#: Bodies in one landed file of ``single`` ones.
+LANDED_ROWS = 200_000
+#: Landed files and bytes that a micro-batch takes at most.
+BATCH_FILES, BATCH_BYTES = 32, 512 << 20
 
 
-def land(spark, sf_dir, landed: DataFrame, path: str, batches: int, least: int) -> DataFrame:
+def land(spark, sf_dir, landed: DataFrame, path: str, batches: int, least: int, single: DataFrame | None = None) -> DataFrame:
     """The bodies landed in files, ``least`` or as many as the tables' sizes ask for, as a stream of ``batches``
-    micro-batches. The pages of one document land in one file."""
-    tables = ("events", "pages", "conversations", "documents")
+    micro-batches, or more if these would hold too much at once. The rows of one url of ``landed`` (the pages of a document) land in one file;
+    ``single`` bodies land where they are read, without a shuffle."""
+    tables = ("conversations",) if single is not None else ("events", "pages", "conversations", "documents")
     size = sum(estimated_bytes(TB.read(spark, sf_dir, t)) * (2 if t in ("conversations", "documents") else 1) for t in tables)
-    landed.repartition(max(least, math.ceil(size / LANDED_BYTES)), "source_id", "url").write.parquet(path)
+    with shuffles_deleted(landed.sparkSession):
+        landed.repartition(max(least, math.ceil(size / LANDED_BYTES)), "source_id", "url").write.option("compression", "zstd").parquet(path)
+        if single is not None:
+            single.select(*landed.columns).write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", LANDED_ROWS).parquet(path)
     files = len(spark.read.schema(landed.schema).parquet(path).inputFiles())
-    return spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    a_batch = min(math.ceil(files / batches), BATCH_FILES, math.ceil(files * BATCH_BYTES / max(1, held)))
+    return spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", max(1, a_batch)).parquet(path)

@@ -57,8 +57,8 @@ def q_stream_sources(spark, sf_dir):
     store = BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS)
     reg_store = SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None)
     reg = L.registry(spark, sf_dir)
-    landed = L.landed_for_registry(spark, sf_dir, reg)
-    stream = L.land(spark, sf_dir, landed, f"{root}/landed", batches=2, least=4)
+    pages, single = L.landed_parts(spark, sf_dir, reg)
+    stream = L.land(spark, sf_dir, pages, f"{root}/landed", batches=2, least=4, single=single)
     stream_sources(spark, stream, reg, store, reg_store, f"{root}/checkpoint", embedder=_embedder(), now=TB.now_lit())
     return ingested(store.read())
 

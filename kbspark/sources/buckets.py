@@ -6,9 +6,10 @@
 Rows lie in buckets by a hash of their key (or by a column, as an index does by cell) and, within a bucket, by creation
 day. A commit writes the new contents of the partitions it touches to a folder of its own and then adds a log
 entry that names these partitions and the ones they replace. The current table is, per partition, the
-folder of the last entry that wrote it. So:
+folders of the last entry that replaced it and of those that added to it since. So:
 
-* an upsert reads and writes the buckets of its keys, whatever else the table holds;
+* an upsert reads and writes the buckets of its keys, whatever else the table holds; one of new keys alone only adds
+  to their partitions (up to ``MOST_FOLDERS`` each, then the buckets are written anew);
 * retention drops whole expired days by a log entry and rewrites just the boundary day;
 * a lookup of some keys reads only their buckets, files sorted by key and with a Bloom filter on it;
 * a write never touches what is being read, and what a crashed write left behind is never read;
@@ -28,18 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.schema import KB
-from kbspark.session import delete_folder
+from kbspark.session import delete_folder, shuffles_deleted
 from kbspark.sources.log import VersionLog, new_folder
 
 DAY = "created_date"
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+#: Folders that a partition may lie in.
+MOST_FOLDERS = 16
 
 
 @dataclass
 class State:
-    """The table as of a version: the folder of each partition, the batches, the high-water marks."""
+    """The table as of a version: the folders of each partition, the batches, the high-water marks."""
     version: int = 0
-    parts: dict[tuple[int, str], str] = field(default_factory=dict)
+    parts: dict[tuple[int, str], tuple[str, ...]] = field(default_factory=dict)
     keys: set[str] = field(default_factory=set)
     high: dict[str, int] = field(default_factory=dict)
 
@@ -70,7 +73,7 @@ class BucketStore:
             else:
                 touched = set(gone["buckets"])
                 s.parts = {p: d for p, d in s.parts.items() if p[0] not in touched}
-            s.parts.update({(b, day): e["data"] for b, day in e["parts"]})
+            s.parts.update({(b, day): (*s.parts.get((b, day), ()), e["data"]) for b, day in e["parts"]})
             s.version = e["version"]
             s.keys.add(e["key"])
             s.high.update({k: max(v, s.high.get(k, v)) for k, v in e["high"].items()})
@@ -96,14 +99,14 @@ class BucketStore:
         folder = f"{self.root}/data/{data}"
         return folder if part is None else f"{folder}/bucket={part[0]}" + (f"/{DAY}={part[1]}" if self.dated else "")
 
-    def _scan(self, parts: dict[tuple[int, str], str], whole: dict[tuple[int, str], str] | None = None) -> DataFrame:
+    def _scan(self, parts: dict[tuple[int, str], tuple[str, ...]]) -> DataFrame:
         fields = [*[T.StructField(f.name, f.dataType) for f in self.schema.fields if f.name != self.bucket_by],
                   T.StructField("v", T.StringType()), T.StructField("bucket", T.IntegerType())]
         schema = T.StructType(fields + [T.StructField(DAY, T.DateType())] * self.dated)
         if not parts:
             df = self.spark.createDataFrame([], schema)
         else:
-            df = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*sorted(self._path(d, p) for p, d in parts.items()))
+            df = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*sorted(self._path(d, p) for p, folders in parts.items() for d in folders))
         return df.withColumn(self.bucket_by, F.col("bucket").cast(self.schema[self.bucket_by].dataType)) if self.bucket_by else df
 
     def read(self, buckets: list[int] | None = None, state: State | None = None, with_day: bool = False) -> DataFrame:
@@ -134,8 +137,9 @@ class BucketStore:
                         *([F.to_date("created_at").alias(DAY)] if self.dated else []))
         by = ["bucket"] + [DAY] * self.dated
         # Few files per partition, split by size; sorted by key and with a Bloom filter, so that a lookup skips row groups.
-        (out.hint("rebalance", *by).sortWithinPartitions(*by, self.key).write.partitionBy(*by)
-         .option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(self._path(data)))
+        with shuffles_deleted(df.sparkSession):
+            (out.hint("rebalance", *by).sortWithinPartitions(*by, self.key).write.partitionBy(*by).option("compression", "zstd")
+             .option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(self._path(data)))
         pattern = self.log._Path(f"{self._path(data)}/bucket=*" + f"/{DAY}=*" * self.dated)
         found = []
         for st in self.log.fs.globStatus(pattern) or []:
@@ -154,7 +158,7 @@ class BucketStore:
                 return False
             rows, drop = plan(s)
             data, parts = self._write(rows) if rows is not None else (None, [])
-            high = self._high(self._scan({p: data for p in parts})) if parts else {}
+            high = self._high(self._scan({p: (data,) for p in parts})) if parts else {}
             if self.log.claim(s.version + 1, {"key": None if batch_id is None else str(batch_id), "data": data, "parts": parts,
                                               "drop": drop, "high": high, "n_buckets": self.n_buckets}):
                 return True
@@ -171,7 +175,7 @@ class BucketStore:
         ``batch`` is a DataFrame (doc_id, content, embedding, seq) or, if its ids go on from the
         table, a function of the latest time stamp in the table's ids (None if there is none),
         which is called again if another writer comes first."""
-        from kbspark.operators.store import latest_rows, merge_documents
+        from kbspark.operators.store import latest_rows, merge_documents, new_documents
         if batch_id is not None and self.has_batch(batch_id):
             return False
         ready: list = [None, None, None]           # time stamp, rows, buckets
@@ -184,9 +188,23 @@ class BucketStore:
             _, rows, touched = ready
             if not touched:
                 return None, {"buckets": []}
-            return merge_documents(self.read(touched, s), rows, now, start=s.high.get("id", 0) + 1), {"buckets": touched}
+            start = s.high.get("id", 0) + 1
+            if self._only_new(rows, touched, s):
+                return new_documents(rows, now, start), {"buckets": []}
+            return merge_documents(self.read(touched, s), rows, now, start=start), {"buckets": touched}
         return self.update(plan, batch_id)
 
+    def _only_new(self, rows: DataFrame, touched: list[int], s: State) -> bool:
+        """Whether none of the keys of ``rows`` is in the table and its partitions take another folder."""
+        wanted = set(touched)
+        folders = [d for p, d in s.parts.items() if p[0] in wanted]
+        if any(len(d) >= MOST_FOLDERS for d in folders):
+            return False
+        if not folders:
+            return True
+        with shuffles_deleted(rows.sparkSession):
+            return rows.select(self.key).join(self.read(touched, s).select(self.key), self.key, "left_semi").isEmpty()
+
     def retain(self, now: Column, days: int, batch_id=None) -> int:
         """W5 in place: expired days go by a log entry, the boundary day is rewritten; the number of
         deleted rows (0 for a batch that is committed already)."""

@@ -10,6 +10,7 @@ runs the batch plan inside ``foreachBatch``:
   id, so a replayed batch (after a driver or executor failure) is a no-op, while several
   streams, or a stream with a new checkpoint, write to one store without losing batches;
 * with ``accounting`` each micro-batch of R2 also leaves its report (A6), one folder per batch;
+* what a micro-batch stored on the way to its commit is deleted after it;
 * the stream checkpoint lives in the shared checkpoint folder;
 * ``trigger(availableNow=True)`` drains what has landed (tests, backfills),
   ``trigger(processingTime=...)`` runs it live on the reference's period.
@@ -22,6 +23,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.session import scratch_scope
 from kbspark.sources.buckets import BucketStore
 from kbspark.sources.snapshot import SnapshotStore
 
@@ -65,7 +67,8 @@ def kb_update_sink(store: Store, ready: Callable[[DataFrame], DataFrame], now: C
     def apply(batch: DataFrame, batch_id: int) -> None:
         key = batch_key(batch, batch_id)
         if not store.has_batch(key):
-            store.upsert(ready(batch), now=now, batch_id=key)
+            with scratch_scope(batch.sparkSession):
+                store.upsert(ready(batch), now=now, batch_id=key)
     return apply
 
 
@@ -93,8 +96,7 @@ def stream_sources(spark: SparkSession, landed_stream: DataFrame, registry: Data
         key = batch_key(batch, batch_id)
         if store.has_batch(key) and registry_store.has_batch(key):
             return                                 # a batch that failed in between is finished by its replay
-        batch = batch.persist()
-        try:
+        with scratch_scope(batch.sparkSession):
             landed = to_landed(batch) if to_landed else batch
             reg = registry_store.read() if registry_store.latest_path() else registry
             run = ingest_sources(reg, landed, embedder=embedder, now=now)
@@ -104,8 +106,6 @@ def stream_sources(spark: SparkSession, landed_stream: DataFrame, registry: Data
                 # Written again as a whole if the batch is replayed.
                 ingest_report(run, reg).withColumn("batch", F.lit(key)).write.mode("overwrite").parquet(f"{accounting}/{key}")
             registry_store.update(lambda r: touch_sources(r if registry_store.latest_path() else registry, run.fetched_ok, run.now), key)
-        finally:
-            batch.unpersist()
     return run_stream(landed_stream, apply, checkpoint, available_now, SOURCE_CHECK_PERIOD)
 
 
