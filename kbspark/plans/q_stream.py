@@ -73,8 +73,8 @@ def q_stream_two_writers(spark, sf_dir):
     from threading import Thread
     root = scratch_dir(spark, "two-writers")
     reg = L.registry(spark, sf_dir)
-    landed = L.landed_for_registry(spark, sf_dir, reg)
-    stream = L.land(spark, sf_dir, landed, f"{root}/landed", batches=1, least=2)
+    pages, single = L.landed_parts(spark, sf_dir, reg)
+    stream = L.land(spark, sf_dir, pages, f"{root}/landed", batches=1, least=2, single=single)
     failed: list[Exception] = []
 
     def updates():

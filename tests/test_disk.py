@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,32 @@ def test_scratch_of_a_scope_is_deleted_and_shuffles_with_their_query(spark):
     # A column without a type cannot be stored; it is numbered all the same.
     void = dense_index(spark.sql("select id, null as nothing from range(9)"), ["id"], out="i")
     assert [r.i for r in void.orderBy("id").collect()] == list(range(9))
+
+
+def test_two_streams_into_one_store_leave_only_the_store(spark, tmp_root):
+    reg = register_sources(spark.createDataFrame([("link", "u", "x")], "type string, url string, schedule string"), now=now()).cache()
+    link = reg.first().id
+    spark.createDataFrame([(link, f"p{i}", f"<article>text {i}</article>", None, None) for i in range(9)], BODIES).coalesce(1).write.parquet(f"{tmp_root}/in")
+    feed = "content string, source string, updated_at timestamp, seq long"
+    spark.createDataFrame([(f"order {i}", "a", dt.datetime(2024, 1, 1 + i), i) for i in range(5)], feed).coalesce(1).write.parquet(f"{tmp_root}/feed")
+    before, failed = folders(spark), []
+
+    def run(work):
+        try:
+            work()
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+    bodies, updates = spark.readStream.schema(BODIES).parquet(f"{tmp_root}/in"), spark.readStream.schema(feed).parquet(f"{tmp_root}/feed")
+    work = [lambda: stream_sources(spark, bodies, reg, BucketStore(spark, f"{tmp_root}/kb", n_buckets=2), SnapshotStore(spark, f"{tmp_root}/reg", schema=SOURCE, partition_by=None),
+                                   f"{tmp_root}/c", now=now()),
+            lambda: stream_updates(spark, updates, BucketStore(spark, f"{tmp_root}/kb", n_buckets=2), f"{tmp_root}/cu", now=now())]
+    threads = [Thread(target=run, args=(w,)) for w in work]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    kb = BucketStore(spark, f"{tmp_root}/kb", n_buckets=2)
+    assert not failed and folders(spark) == before
+    assert kb.read().count() == kb.read().select("id").distinct().count() == 14 and len(kb.versions()) == 2
+    # Both only added: each partition lies in a folder of either writer.
+    assert {len(d) for d in kb.state().parts.values()} <= {1, 2} and {d for f in kb.state().parts.values() for d in f} == {e["data"] for e in kb.log.entries()}
