@@ -218,16 +218,16 @@ WHERE r.active
 
 
 def failing_run(spark, sf_dir):
-    """(registry, landed bodies, embedder) of a run in which items fail."""
+    """(registry, embedder) of a run in which items fail."""
     from kbspark.plans.q_ingest import _FailingEmbedder
     reg = L.registry(spark, sf_dir)
     longer = F.when(F.col("type") == LONG_TYPE, F.concat("id", F.repeat(F.lit("x"), 256))).otherwise(F.col("id"))
     reg = reg.withColumn("id", longer)
-    return reg, L.landed_for_registry(spark, sf_dir, reg), _FailingEmbedder(_embedder(), FAIL_MARK)
+    return reg, _FailingEmbedder(_embedder(), FAIL_MARK)
 
 
 @register("ingest_report", REPORT)
 def q_ingest_report(spark, sf_dir):
     """Per-source accounting of one ingestion run, with failing embeddings and inserts."""
-    reg, landed, embedder = failing_run(spark, sf_dir)
-    return ingest_report(ingest_sources(reg, landed, embedder=embedder, now=TB.now_lit()), reg)
+    reg, embedder = failing_run(spark, sf_dir)
+    return ingest_report(ingest_sources(reg, L.landed_for_registry(spark, sf_dir, reg), embedder=embedder, now=TB.now_lit()), reg)

@@ -125,8 +125,9 @@ def q_stream_pages(spark, sf_dir):
 def q_stream_accounting(spark, sf_dir):
     """A6 in R2: the reports of all micro-batches add up to the report of one run, failures included."""
     root = scratch_dir(spark, "accounting")
-    reg, landed, embedder = failing_run(spark, sf_dir)
-    stream = L.land(spark, sf_dir, landed, f"{root}/landed", batches=2, least=2)
+    reg, embedder = failing_run(spark, sf_dir)
+    pages, single = L.landed_parts(spark, sf_dir, reg)
+    stream = L.land(spark, sf_dir, pages, f"{root}/landed", batches=2, least=2, single=single)
     stream_sources(spark, stream, reg, BucketStore(spark, f"{root}/kb", n_buckets=BUCKETS), SnapshotStore(spark, f"{root}/registry", schema=SOURCE, partition_by=None),
                    f"{root}/checkpoint", embedder=embedder, now=TB.now_lit(), accounting=f"{root}/accounting")
     reports, batches = read_accounting(spark, f"{root}/accounting"), F.countDistinct("batch")

@@ -17,7 +17,7 @@ from kbspark.schema import KB, SOURCE
 from kbspark.session import ensure_checkpoint_dir, scratch_dir, scratch_scope, shuffles_deleted, stored
 from kbspark.sources.buckets import BucketStore
 from kbspark.sources.snapshot import SnapshotStore
-from kbspark.streaming.stream import run_stream, stream_sources, stream_updates
+from kbspark.streaming.stream import read_accounting, run_stream, stream_sources, stream_updates
 
 BATCH = "doc_id string, content string, embedding array<float>, seq long"
 BODIES = "source_id string, url string, body string, fetched_at timestamp, page_no long"
@@ -154,3 +154,22 @@ def test_two_streams_into_one_store_leave_only_the_store(spark, tmp_root):
     assert kb.read().count() == kb.read().select("id").distinct().count() == 14 and len(kb.versions()) == 2
     # Both only added: each partition lies in a folder of either writer.
     assert {len(d) for d in kb.state().parts.values()} <= {1, 2} and {d for f in kb.state().parts.values() for d in f} == {e["data"] for e in kb.log.entries()}
+
+
+def test_reports_of_bounded_micro_batches_add_up(spark, tmp_root, monkeypatch):
+    reg = register_sources(spark.createDataFrame([("link", "u", "x"), ("pdf", "u", "x")], "type string, url string, schedule string"), now=now()).cache()
+    ids = {r.type: r.id for r in reg.collect()}
+    spark.createDataFrame([(1, "x")], "key long, text string").write.parquet(f"{tmp_root}/conversations.parquet")
+    monkeypatch.setattr(L, "LANDED_ROWS", 5)
+    monkeypatch.setattr(L, "BATCH_FILES", 2)
+    pages = spark.createDataFrame([(ids["pdf"], f"d{i % 3}", f"page {i}", None, i) for i in range(12)], BODIES)
+    single = spark.createDataFrame([(ids["link"], f"u{i}", None if i % 4 == 0 else f"<article>text {i}</article>", None, None) for i in range(20)], BODIES).coalesce(1)
+    s = L.land(spark, tmp_root, pages, f"{tmp_root}/landed", batches=1, least=2, single=single)
+    before = folders(spark)
+    stream_sources(spark, s, reg, BucketStore(spark, f"{tmp_root}/kb", n_buckets=2), SnapshotStore(spark, f"{tmp_root}/reg", schema=SOURCE, partition_by=None),
+                   f"{tmp_root}/c", now=now(), accounting=f"{tmp_root}/acc")
+    reports = read_accounting(spark, f"{tmp_root}/acc")
+    assert reports.select("batch").distinct().count() >= 3 and folders(spark) == before
+    got = {r.type: (r.items, r.added, r.rejected, r.fetched) for r in reports.groupBy("type").agg(
+        F.sum("n_items").alias("items"), F.sum("n_added").alias("added"), F.sum("n_rejected").alias("rejected"), F.max("fetched").alias("fetched")).collect()}
+    assert got == {"link": (15, 15, 5, True), "pdf": (3, 3, 0, True)}
